@@ -46,9 +46,14 @@ def is_delta_metric(aggregator: Column) -> Column:
     return F.coalesce(F.lower(aggregator).rlike("offset|anomaly|delta"), F.lit(False))
 
 
+def display_round(value: Column, digits: int = 3) -> Column:
+    """Half-to-even rounding; float noise is cut first so that ties stay ties."""
+    return F.bround(F.round(value, 9), digits)
+
+
 def display_value(value: Column, aggregator: Column, source: str, target: str) -> Column:
     """Converted value rounded to three digits for display."""
-    return F.bround(
+    return display_round(
         F.when(is_delta_metric(aggregator), convert_delta(value, source, target)).otherwise(
             convert_unit(value, source, target)
         ),

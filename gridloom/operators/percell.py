@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.contract import CELL
+from gridloom.functions.units import display_round
 
 V = F.col("value")
 
@@ -171,9 +172,9 @@ def rolling_mean_centered(series: DataFrame, keys, window: int, order: str = "po
 def rolling_mean_min_periods(series: DataFrame, keys, window: int, unit: str = "points",
                              order: str = "pos", given: str = "mean") -> DataFrame:
     """Centred mean truncated at the edges, only where no mean was given."""
-    need = {"days": window, "years": 2}.get(unit, -(-window // 2))
+    need = {"days": window, "years": 2}.get(unit, max(2, -(-window // 2)))
     half = window // 2
-    w = _frame(keys, order, -half, window - 1 - half)
+    w = _frame(keys, order, -half, half)
     rolled = F.when(F.count("value").over(w) >= need, F.avg("value").over(w))
     return series.withColumn("rolling", F.coalesce(F.col(given), rolled))
 
@@ -224,7 +225,7 @@ def chart_trend(series: DataFrame, keys, x: str = "year") -> DataFrame:
     fit = series.groupBy(*keys).agg(slope(x).alias("__b"), intercept(x).alias("__a"))
     line = series.join(fit, keys).where(F.col("__b").isNotNull()).select(
         *keys, x, F.lit("trend").alias("role"),
-        F.bround(F.col("__a") + F.col("__b") * F.col(x), 3).alias("value"),
+        display_round(F.col("__a") + F.col("__b") * F.col(x)).alias("value"),
     )
     return series.select(*keys, x, F.lit("series").alias("role"), "value").unionByName(line)
 

@@ -99,56 +99,59 @@ def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict) -> DataFrame:
-    """Exact order statistics per key, without sorting a key in one task.
+    """Exact order statistics: rows of (keys, name, n, value), any group size.
 
-    ``ranks`` maps an output name to a function from the count column to a
-    0-based rank.  A sketch brackets each rank, rows outside the brackets are
-    only counted, and the distinct values inside are ranked with their counts.
+    ``ranks`` maps a name to a function from the count column to a 0-based
+    rank.  Duplicates collapse to counts first; a sketch then brackets each
+    rank between two percentiles, values below the bracket are only counted,
+    and only the distinct values inside it are ordered.
     """
-    accuracy = 10000
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
-    # Duplicates collapse before anything is ordered.
     counts = base.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
+    grid = [i / 100 for i in range(101)]
     totals = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.percentile_approx(
-            "__v", [i / 100 for i in range(101)], accuracy
-        ).alias("__grid"),
-    )
-    names = list(ranks)
-    for name in names:
-        k = F.least(F.greatest(ranks[name](F.col("__n")).cast("long"), F.lit(0)), F.col("__n") - 1)
-        share = k / F.greatest(F.col("__n") - 1, F.lit(1))
-        lo = F.greatest(F.floor(share * 100) - 1, F.lit(0)).cast("int")
-        hi = F.least(F.ceil(share * 100) + 1, F.lit(100)).cast("int")
-        totals = totals.withColumns({
-            f"__k_{name}": k,
-            # The grid ends are the true extremes, so the bracket always holds the rank.
-            f"__lo_{name}": F.when(lo == 0, F.lit(float("-inf"))).otherwise(F.get("__grid", lo)),
-            f"__hi_{name}": F.when(hi == 100, F.lit(float("inf"))).otherwise(F.get("__grid", hi)),
-        })
-    totals = totals.drop("__grid")
-    joined = _join_on(counts, totals, keys) if keys else counts.join(F.broadcast(totals))
-    out = None
-    for name in names:
-        v, lo, hi = F.col("__v"), F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        below = joined.groupBy(*keys).agg(
-            F.sum(F.when(v < lo, F.col("__c")).otherwise(0)).alias("__below"),
-            F.max(f"__k_{name}").alias("__rank"),
-        )
-        inside = joined.where((v >= lo) & (v <= hi)).select(*keys, "__v", "__c")
-        run = Window.partitionBy(*keys).orderBy("__v")
-        ranked = inside.withColumn("__cum", F.sum("__c").over(run))
-        at = _join_on(ranked, below, keys) if keys else ranked.join(F.broadcast(below))
-        one = (
-            at.where(F.col("__below") + F.col("__cum") > F.col("__rank"))
-            .groupBy(*keys)
-            .agg(F.min("__v").alias(name))
+        F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", grid, 10000).alias("__grid")
+    ).where(F.col("n") > 0)
+
+    def wanted(name):
+        top = F.col("n") - 1
+        k = F.least(F.greatest(ranks[name](F.col("n")).cast("long"), F.lit(0)), top)
+        share = k / F.greatest(top, F.lit(1)) * 100
+        # One percentile of slack either side is far beyond the sketch error.
+        lo = F.greatest(F.floor(share) - 1, F.lit(0)).cast("int")
+        hi = F.least(F.ceil(share) + 1, F.lit(100)).cast("int")
+        return F.struct(
+            F.lit(name).alias("name"), k.alias("k"),
+            F.when(lo == 0, F.lit(float("-inf"))).otherwise(F.get("__grid", lo)).alias("lo"),
+            F.when(hi == 100, F.lit(float("inf"))).otherwise(F.get("__grid", hi)).alias("hi"),
         )
-        if out is None:
-            out = one
-        elif keys:
-            out = _join_on(out, one, keys)
-        else:
-            out = out.join(F.broadcast(one))
-    return out
+
+    brackets = totals.select(*keys, "n", F.explode(F.array(*[wanted(r) for r in ranks])).alias("w")).select(
+        *keys, "n", "w.*"
+    )
+    rows = _join_on(brackets, counts, keys) if keys else counts.join(F.broadcast(brackets))
+    by = [*keys, "name"]
+    below = rows.where(F.col("__v") < F.col("lo")).groupBy(*by).agg(F.sum("__c").alias("__below"))
+    inside = rows.where(F.col("__v").between(F.col("lo"), F.col("hi")))
+    run = Window.partitionBy(*by).orderBy("__v")
+    ranked = inside.withColumn("__cum", F.sum("__c").over(run))
+    placed = _join_on(ranked, below, by).where(
+        F.coalesce(F.col("__below"), F.lit(0)) + F.col("__cum") > F.col("k")
+    )
+    return placed.groupBy(*by).agg(F.max("n").alias("n"), F.min("__v").alias("value"))
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles, one column per name in ``qs``."""
+    ranks = {}
+    for name, q in qs.items():
+        ranks[f"{name}:lo"] = lambda n, q=q: F.floor((n - 1) * F.lit(q))
+        ranks[f"{name}:hi"] = lambda n, q=q: F.floor((n - 1) * F.lit(q)) + 1
+    stats = order_statistics(df, keys, value, ranks)
+    at = lambda name: F.max(F.when(F.col("name") == name, F.col("value")))
+    out = {}
+    for name, q in qs.items():
+        pos = (F.max("n") - 1) * F.lit(q)
+        lo, hi = at(f"{name}:lo"), at(f"{name}:hi")
+        out[name] = lo + (hi - lo) * (pos - F.floor(pos))
+    return stats.groupBy(*keys).agg(*[c.alias(n) for n, c in out.items()])

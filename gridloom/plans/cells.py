@@ -166,7 +166,7 @@ def _(spark, sf):
 @query("chart_trend", f"""WITH s AS (SELECT i_lat, i_lon, year, round_even(value, 3) AS value FROM annual WHERE value IS NOT NULL),
   f AS (SELECT i_lat, i_lon, {_SLOPE} AS b, {_ICPT} AS a FROM s GROUP BY 1, 2)
   SELECT i_lat, i_lon, year, 'series' AS role, value FROM s
-  UNION ALL SELECT i_lat, i_lon, year, 'trend', round_even(a + b * year, 3) + 0.0::DOUBLE FROM s JOIN f USING (i_lat, i_lon) WHERE b IS NOT NULL""")
+  UNION ALL SELECT i_lat, i_lon, year, 'trend', round_even(round(a + b * year, 9), 3) + 0.0::DOUBLE FROM s JOIN f USING (i_lat, i_lon) WHERE b IS NOT NULL""")
 def _(spark, sf):
     s = V.annual(spark, sf).where("value IS NOT NULL").withColumn("value", F.bround("value", 3))
     return D.chart_trend(s, CELL).withColumn("value", F.col("value") + 0.0)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from gridloom.plans.views import with_views
 
 QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+_SQL: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -16,7 +16,7 @@ def query(name: str, sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = fn
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            _SQL[name] = sql
         return fn
 
     return keep
@@ -24,6 +24,11 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from gridloom.plans import (  # noqa: F401
-        cells, reducers,
+        cells, grids, masks, raster, reducers, regions,
 
     )
+
+
+def oracles() -> dict[str, str]:
+    """Complete SQL per query, with the views it reads."""
+    return {name: with_views(sql) for name, sql in _SQL.items()}

@@ -1,9 +1,8 @@
 """Views of the driver tables in the shape the operators expect.
 
 Each view exists twice, as a DataFrame and as the SQL of a common table
-expression, with the same columns.  Observation values are integers, means
-of integers or multiples of a quarter,
-so both engines sum them exactly.
+expression, with the same columns.  Observation values are means of
+integers or multiples of a quarter, so both engines agree on them exactly.
 """
 
 from __future__ import annotations
