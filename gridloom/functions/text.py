@@ -79,17 +79,17 @@ MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "
 def month_span_label(months: Column) -> Column:
     """``[12, 1, 2]`` as "December-February"; scattered months as a list.
 
-    A run may wrap over the year end; its first month is the only one whose
+    A whole year needs no label.  A run may wrap over the year end; its first month is the only one whose
     predecessor is absent.
     """
     names = F.array(*[F.lit(m) for m in MONTH_NAMES])
-    ms = F.array_sort(F.array_distinct(months))
+    ms = F.array_sort(F.array_distinct(F.filter(months, lambda m: m.between(1, 12))))
     name = lambda i: F.get(names, (i - 1).cast("int"))
     starts = F.filter(ms, lambda m: ~F.array_contains(ms, F.pmod(m - 2, F.lit(12)) + 1))
     first = F.get(starts, F.lit(0))
     last = F.pmod(first + F.size(ms) - 2, F.lit(12)) + 1
     return (
-        F.when(F.size(ms) == 0, F.lit(None).cast("string"))
+        F.when(F.size(ms).isin(0, 12), F.lit(None).cast("string"))
         .when(F.size(ms) == 1, name(F.get(ms, F.lit(0))))
         .when(F.size(starts) == 1, F.concat(name(first), F.lit("–"), name(last)))
         .otherwise(F.array_join(F.transform(ms, name), ", "))
@@ -97,11 +97,13 @@ def month_span_label(months: Column) -> Column:
 
 
 def both_units(celsius: Column, digits: int = 1, delta: bool = False) -> Column:
-    """A temperature in both units as ``[[20.0 °C|68.0 °F]]``."""
-    from gridloom.functions.units import convert_delta, convert_unit
+    """A temperature in both units as ``[[20.0°C|68.0°F]]``."""
+    from gridloom.functions.units import convert_delta, convert_unit, display_round
 
-    f = (convert_delta if delta else convert_unit)(celsius, "C", "F")
-    return F.format_string(f"[[%.{digits}f °C|%.{digits}f °F]]", celsius, f)
+    c = display_round(celsius, digits)
+    f = display_round((convert_delta if delta else convert_unit)(c, "C", "F"), digits)
+    show = lambda v: (v + F.lit(0.0)).cast("string")
+    return F.concat(F.lit("[["), show(c), F.lit("°C|"), show(f), F.lit("°F]]"))
 
 
 def pick_unit(text: Column, unit: str) -> Column:

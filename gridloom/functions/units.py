@@ -47,8 +47,9 @@ def is_delta_metric(aggregator: Column) -> Column:
 
 
 def display_round(value: Column, digits: int = 3) -> Column:
-    """Half-to-even rounding; float noise is cut first so that ties stay ties."""
-    return F.bround(F.round(value, 9), digits)
+    """Half-to-even rounding of the scaled value, free of product noise."""
+    scale = F.lit(float(10**digits))
+    return F.rint(F.round(value * scale, 6)) / scale
 
 
 def display_value(value: Column, aggregator: Column, source: str, target: str) -> Column:

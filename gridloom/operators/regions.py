@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.contract import CELL
 from gridloom.functions.text import slug
+from gridloom.functions.units import display_round
 from gridloom.grid import Grid, area_weight, cell_of, center_lat, center_lon, in_bbox
 from gridloom.operators.masks import integer_ratio
 from gridloom.operators.percell import slope
@@ -82,7 +83,7 @@ def _region_aggs(weight: Column, digits: int) -> list[Column]:
     total = F.sum(F.when(v.isNotNull(), weight))
     mean = F.when(total > 0, F.sum(v * weight) / total)
     return [
-        F.bround(F.round(mean, 9), digits).alias("mean"),
+        display_round(mean, digits).alias("mean"),
         F.round(F.min(v), digits).alias("min"),
         F.round(F.max(v), digits).alias("max"),
     ]
@@ -207,5 +208,5 @@ def city_rankings(places: DataFrame, annual: DataFrame, grid: Grid, aggregation:
     order = [F.desc("score"), F.desc("population"), F.asc("geonameid")]
     return global_row_number(scored, [], order).select(
         "geonameid", F.col("label").alias("name"), F.col("country_code").alias("country"), "lat", "lon",
-        "population", "capital", F.bround("score", 4).alias("value"), "rank",
+        "population", "capital", display_round(F.col("score"), 4).alias("value"), "rank",
     )

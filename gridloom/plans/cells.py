@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.contract import CELL
 from gridloom.functions import calendar as cal
+from gridloom.functions.units import display_round
 from gridloom.operators import percell as D, reducers as R
 from gridloom.plans import views as V
 from gridloom.plans.registry import query
@@ -163,12 +164,12 @@ def _(spark, sf):
     return D.series_extrema(V.annual(spark, sf), CELL)
 
 
-@query("chart_trend", f"""WITH s AS (SELECT i_lat, i_lon, year, round_even(value, 3) AS value FROM annual WHERE value IS NOT NULL),
+@query("chart_trend", f"""WITH s AS (SELECT i_lat, i_lon, year, disp(value, 3) AS value FROM annual WHERE value IS NOT NULL),
   f AS (SELECT i_lat, i_lon, {_SLOPE} AS b, {_ICPT} AS a FROM s GROUP BY 1, 2)
   SELECT i_lat, i_lon, year, 'series' AS role, value FROM s
-  UNION ALL SELECT i_lat, i_lon, year, 'trend', round_even(round(a + b * year, 9), 3) + 0.0::DOUBLE FROM s JOIN f USING (i_lat, i_lon) WHERE b IS NOT NULL""")
+  UNION ALL SELECT i_lat, i_lon, year, 'trend', disp(a + b * year, 3) + 0.0::DOUBLE FROM s JOIN f USING (i_lat, i_lon) WHERE b IS NOT NULL""")
 def _(spark, sf):
-    s = V.annual(spark, sf).where("value IS NOT NULL").withColumn("value", F.bround("value", 3))
+    s = V.annual(spark, sf).where("value IS NOT NULL").withColumn("value", display_round(F.col("value")))
     return D.chart_trend(s, CELL).withColumn("value", F.col("value") + 0.0)
 
 

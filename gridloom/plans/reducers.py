@@ -70,8 +70,8 @@ def _(spark, sf):
     return rounded(out, "value")
 
 
-@query("convert_unit", """SELECT i_lat, i_lon, t, round_even(value * 9 / 5 + 32, 3) AS absolute,
-  round_even(value * 9 / 5, 3) AS delta, round((value - 32) * 5 / 9, 6) AS to_c FROM obs_daily""")
+@query("convert_unit", """SELECT i_lat, i_lon, t, disp(value * 9 / 5 + 32, 3) AS absolute,
+  disp(value * 9 / 5, 3) AS delta, round((value - 32) * 5 / 9, 6) AS to_c FROM obs_daily""")
 def _(spark, sf):
     v = F.col("value")
     out = V.obs_daily(spark, sf).select(

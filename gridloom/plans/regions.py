@@ -29,10 +29,10 @@ def weights(spark, sf):
     )
 
 
-V.SQL_VIEWS["region_values"] = f"""SELECT region_key, year, round_even(round(sum(value * frac * {_COS}) / sum(CASE WHEN value IS NOT NULL THEN frac * {_COS} END), 9), 4) AS mean,
+V.SQL_VIEWS["region_values"] = f"""SELECT region_key, year, disp(sum(value * frac * {_COS}) / sum(CASE WHEN value IS NOT NULL THEN frac * {_COS} END), 4) AS mean,
     round(min(value), 4) AS min, round(max(value), 4) AS max
   FROM annual JOIN weights USING (i_lat, i_lon) GROUP BY 1, 2
-  UNION ALL SELECT 'globe', year, round_even(round(sum(value * {_COS}) / sum(CASE WHEN value IS NOT NULL THEN {_COS} END), 9), 4),
+  UNION ALL SELECT 'globe', year, disp(sum(value * {_COS}) / sum(CASE WHEN value IS NOT NULL THEN {_COS} END), 4),
     round(min(value), 4), round(max(value), 4) FROM annual GROUP BY 2"""
 
 
@@ -72,7 +72,7 @@ def _(spark, sf):
 
 @query("global_mean_trend", f"""WITH m AS (SELECT i_lat, i_lon, date_trunc('month', t) AS t, avg(value) AS value FROM obs_daily GROUP BY 1, 2, 3),
   a AS (SELECT i_lat, i_lon, year(t) AS year, avg(value) AS value FROM m GROUP BY 1, 2, 3),
-  g AS (SELECT year, round_even(round(sum(value * {_COS}) / sum(CASE WHEN value IS NOT NULL THEN {_COS} END), 9), 4) AS v FROM a GROUP BY 1)
+  g AS (SELECT year, disp(sum(value * {_COS}) / sum(CASE WHEN value IS NOT NULL THEN {_COS} END), 4) AS v FROM a GROUP BY 1)
   SELECT count(*) AS years, round(avg(v), 4) AS mean, round(regr_slope(v, year), 6) + 0.0::DOUBLE AS slope_per_year FROM g""")
 def _(spark, sf):
     annual = R.annual_mean_from_daily(V.obs_daily(spark, sf))
@@ -129,7 +129,7 @@ V.SQL_VIEWS["city_keys"] = f"""SELECT * FROM places WHERE population >= 1000
 _SLOPE10 = "CASE WHEN count(DISTINCT CASE WHEN value IS NOT NULL THEN year END) >= 2 THEN regr_slope(value, year) * 10 END"
 for _agg, _expr in [("mean", "avg(value)"), ("max", "max(value)"), ("min", "min(value)"), ("trend_slope", _SLOPE10)]:
     V.SQL_VIEWS[f"ranked_{_agg}"] = f"""SELECT c.geonameid, c.label AS name, c.country_code AS country, c.lat, c.lon, c.population, c.capital,
-        round_even(round(s.score, 9), 4) AS value, row_number() OVER (ORDER BY round(s.score, 9) DESC, c.population DESC, c.geonameid) AS rank
+        disp(s.score, 4) AS value, row_number() OVER (ORDER BY round(s.score, 9) DESC, c.population DESC, c.geonameid) AS rank
       FROM (SELECT *, CAST(floor(90 - lat) AS INTEGER) AS i_lat, CAST(floor(lon + 180) AS INTEGER) AS i_lon FROM city_keys) c
       JOIN (SELECT i_lat, i_lon, {_expr} AS score FROM annual_wide GROUP BY 1, 2) s USING (i_lat, i_lon) WHERE s.score IS NOT NULL"""
     query(f"city_rankings_{_agg}", f"SELECT * FROM ranked_{_agg}")(
@@ -137,13 +137,13 @@ for _agg, _expr in [("mean", "avg(value)"), ("max", "max(value)"), ("min", "min(
     )
 
 V.SQL_VIEWS["annual_wide"] = """SELECT CAST((a.i_lat + k.dy) % 180 AS INTEGER) AS i_lat, CAST((a.i_lon + k.dx) % 360 AS INTEGER) AS i_lon, year, max(value) AS value
-  FROM annual a, (SELECT x * 9 AS dy, y * 12 AS dx FROM range(20) r(x), range(30) s(y)) k GROUP BY 1, 2, 3"""
+  FROM annual a, (SELECT x * 30 AS dy, y * 36 AS dx FROM range(6) r(x), range(10) s(y)) k GROUP BY 1, 2, 3"""
 
 
 def annual_wide(spark, sf):
-    """The yearly series copied at offsets, so that most places fall on a cell."""
-    dy = F.explode(F.sequence(F.lit(0), F.lit(171), F.lit(9)))
-    dx = F.explode(F.sequence(F.lit(0), F.lit(348), F.lit(12)))
+    """The yearly series copied at 60 offsets, so that more places fall on a cell."""
+    dy = F.explode(F.sequence(F.lit(0), F.lit(150), F.lit(30)))
+    dx = F.explode(F.sequence(F.lit(0), F.lit(324), F.lit(36)))
     return V.annual(spark, sf).withColumn("dy", dy).withColumn("dx", dx).groupBy(
         ((F.col("i_lat") + F.col("dy")) % 180).alias("i_lat"), ((F.col("i_lon") + F.col("dx")) % 360).alias("i_lon"), "year"
     ).agg(F.max("value").alias("value"))

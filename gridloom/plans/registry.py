@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from gridloom.plans import (  # noqa: F401
-        cells, grids, masks, raster, reducers, regions,
+        cells, grids, headlines, masks, queries, raster, reducers, regions,
 
     )
 

@@ -27,6 +27,22 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _display_rounding(sql: str) -> str:
+    """Expand ``disp(expr, digits)``, the SQL form of the display rounding."""
+    while (at := re.search(r"\bdisp\(", sql)) is not None:
+        depth, comma, i = 1, 0, at.end()
+        while depth:
+            c = sql[i]
+            depth += (c == "(") - (c == ")")
+            if c == "," and depth == 1:
+                comma = i
+            i += 1
+        expr, digits = sql[at.end():comma], int(sql[comma + 1:i - 1])
+        scale = f"{10 ** digits}::DOUBLE"
+        sql = sql[:at.start()] + f"(round_even(round(({expr}) * {scale}, 6), 0) / {scale})" + sql[i:]
+    return sql
+
+
 def with_views(body: str) -> str:
     """Prefix ``body`` with the view definitions it uses, in dependency order."""
     needed: list[str] = []
@@ -38,8 +54,9 @@ def with_views(body: str) -> str:
                 if name not in needed:
                     needed.append(name)
 
+    body = _display_rounding(body)
     visit(body)
-    ctes = [f"{n} AS ({SQL_VIEWS[n]})" for n in needed]
+    ctes = [f"{n} AS ({_display_rounding(SQL_VIEWS[n])})" for n in needed]
     body = body.strip()
     if re.match(r"(?i)with\s+recursive\s", body):
         body = re.sub(r"(?i)^with\s+recursive\s", "", body, count=1)
@@ -255,7 +272,7 @@ def continent_country(spark, sf) -> DataFrame:
   CAST(((c_custkey * 37) % 17000) AS DOUBLE) / 100 - 85 AS lat,
   CAST(((c_custkey * 731) % 36000) AS DOUBLE) / 100 - 180 AS lon,
   CAST(greatest(0, floor(c_acctbal * 100)) AS BIGINT) AS population,
-  c_custkey % 50 = 0 AS capital,
+  c_custkey % 5 = 0 AS capital,
   CASE CAST(c_custkey % 4 AS INTEGER) WHEN 0 THEN 'PPLC' WHEN 1 THEN 'PPLA' WHEN 2 THEN 'PPLA2' ELSE 'PPL' END AS feature_code,
   'Alt ' || (c_custkey % 211) || ', Øld  Näme' || (c_custkey % 13) || ', x' AS alt_names
   FROM customer JOIN nation ON c_nationkey = n_nationkey""")
@@ -273,7 +290,7 @@ def places(spark, sf) -> DataFrame:
         (((k * 37) % 17000).cast("double") / 100 - 85).alias("lat"),
         (((k * 731) % 36000).cast("double") / 100 - 180).alias("lon"),
         F.greatest(F.lit(0), F.floor(F.col("c_acctbal") * 100)).cast("long").alias("population"),
-        (k % 50 == 0).alias("capital"),
+        (k % 5 == 0).alias("capital"),
         F.when(k % 4 == 0, "PPLC").when(k % 4 == 1, "PPLA").when(k % 4 == 2, "PPLA2")
         .otherwise("PPL").alias("feature_code"),
         F.concat(F.lit("Alt "), (k % 211).cast("string"), F.lit(", Øld  Näme"),
