@@ -67,9 +67,10 @@ def collapse_spaces(text: Column) -> Column:
 
 
 def title_if_upper(name: Column) -> Column:
-    """All-caps names in title case, others unchanged."""
-    all_caps = (name == F.upper(name)) & (name != F.lower(name))
-    return F.when(all_caps, F.initcap(F.lower(name))).otherwise(name)
+    """All-caps names in title case (every run of letters), others unchanged."""
+    runs = F.regexp_extract_all(name, F.lit(r"(\p{L}+|\P{L}+)"), F.lit(0))
+    titled = F.array_join(F.transform(runs, lambda w: F.initcap(F.lower(w))), "")
+    return F.when((name != "") & (name == F.upper(name)), titled).otherwise(name)
 
 
 MONTH_NAMES = ["January", "February", "March", "April", "May", "June", "July", "August",

@@ -24,7 +24,8 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from gridloom.plans import (  # noqa: F401
-        cells, grids, headlines, masks, queries, raster, reducers, regions,
+        analytics, cells, grids, headlines, masks, places, queries, raster, reducers, regions,
+        streams,
 
     )
 

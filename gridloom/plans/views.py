@@ -49,7 +49,7 @@ def with_views(body: str) -> str:
 
     def visit(text: str) -> None:
         for name in SQL_VIEWS:
-            if name not in needed and re.search(rf"\b{name}\b", text):
+            if name not in needed and re.search(rf"(?i)(\bfrom|\bjoin|,)\s*{name}\b", text):
                 visit(SQL_VIEWS[name])
                 if name not in needed:
                     needed.append(name)
