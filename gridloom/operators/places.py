@@ -67,8 +67,8 @@ def place_names(places: DataFrame) -> DataFrame:
 
 
 def _exact(queries: DataFrame, places: DataFrame, query: str) -> DataFrame:
-    asked = queries.select(query).distinct().withColumn("name", norm_name(F.col(query)))
-    return asked.join(place_names(places), "name").drop("name")
+    asked = queries.select(query).distinct().withColumn("__n", norm_name(F.col(query)))
+    return asked.join(place_names(places).withColumnRenamed("name", "__n"), "__n").drop("__n")
 
 
 def resolve_name_all(queries: DataFrame, places: DataFrame, query: str = "query") -> DataFrame:
