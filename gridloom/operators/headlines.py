@@ -11,13 +11,16 @@ from gridloom.functions.text import both_units
 from gridloom.functions.units import display_round
 from gridloom.operators.percell import intercept, slope
 
-V = F.col("value")
 RECENT_YEARS = 5
 
 
+def _v() -> Column:
+    return F.col("value")
+
+
 def _with_latest(rows: DataFrame, keys: list[str], finite: bool = True) -> DataFrame:
     """Adds the latest (present) year of each key; a key is one axis long."""
-    seen = F.when(V.isNotNull(), F.col("year")) if finite else F.col("year")
+    seen = F.when(_v().isNotNull(), F.col("year")) if finite else F.col("year")
     return rows.withColumn("latest", F.max(seen).over(Window.partitionBy(*keys)))
 
 
@@ -29,7 +32,7 @@ def recent_vs_window(rows: DataFrame, keys: list[str], start: int = 1979, end: i
                      need_recent: int = 4, need_base: int = 10) -> DataFrame:
     """Mean of the latest five years minus the mean of a window, if both are well covered."""
     base = F.col("year").between(start, end)
-    recent, ref = F.when(_recent(), V), F.when(base, V)
+    recent, ref = F.when(_recent(), _v()), F.when(base, _v())
     enough = (F.count(recent) >= need_recent) & (F.count(ref) >= need_base)
     return _with_latest(rows, keys).groupBy(*keys).agg(
         F.max("latest").alias("latest_year"),
@@ -39,7 +42,7 @@ def recent_vs_window(rows: DataFrame, keys: list[str], start: int = 1979, end: i
 
 def recent_vs_preindustrial(rows: DataFrame, offset: DataFrame, keys: list[str], **gates) -> DataFrame:
     """The same plus the last present model offset; no offset means no value."""
-    last = offset.where(V.isNotNull()).groupBy(*keys).agg(F.max_by("value", "year").alias("__offset"))
+    last = offset.where(_v().isNotNull()).groupBy(*keys).agg(F.max_by("value", "year").alias("__offset"))
     return recent_vs_window(rows, keys, **gates).join(last, keys, "left").withColumn(
         "value", F.col("value") + F.col("__offset")
     ).drop("__offset")
@@ -47,8 +50,8 @@ def recent_vs_preindustrial(rows: DataFrame, offset: DataFrame, keys: list[str],
 
 def recent_vs_year(rows: DataFrame, keys: list[str], baseline_year: int, need_recent: int = 4) -> DataFrame:
     """Latest five-year mean minus the value of one year."""
-    recent = F.when(_recent(), V)
-    at = F.max(F.when(F.col("year") == baseline_year, V))
+    recent = F.when(_recent(), _v())
+    at = F.max(F.when(F.col("year") == baseline_year, _v()))
     return _with_latest(rows, keys).groupBy(*keys).agg(
         F.max("latest").alias("latest_year"),
         F.when(F.count(recent) >= need_recent, F.avg(recent) - at).alias("value"),
@@ -91,10 +94,10 @@ def worst_stress_year(severe: DataFrame, moderate: DataFrame, keys: list[str]) -
 
 def global_recent_delta(globe: DataFrame, baseline_year: int) -> DataFrame:
     """On the globe series: latest year is the last label; any recent value suffices."""
-    at = F.max(F.when(F.col("year") == baseline_year, V))
+    at = F.max(F.when(F.col("year") == baseline_year, _v()))
     return _with_latest(globe, ["region_key"], finite=False).groupBy("region_key").agg(
         F.max("latest").alias("latest_year"),
-        display_round(F.avg(F.when(_recent(), V)) - at, 2).alias("value"),
+        display_round(F.avg(F.when(_recent(), _v())) - at, 2).alias("value"),
     )
 
 
@@ -102,7 +105,7 @@ def global_last_value(globe: DataFrame) -> DataFrame:
     """Value at the last label, missing if that one is missing."""
     return globe.groupBy("region_key").agg(
         F.max("year").alias("period"),
-        display_round(F.max_by(F.struct(V.alias("v")), "year")["v"], 2).alias("value"),
+        display_round(F.max_by(F.struct(_v().alias("v")), "year")["v"], 2).alias("value"),
     )
 
 
@@ -112,15 +115,15 @@ def first_last_mean(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     pos = F.row_number().over(p.orderBy("year"))
     back = F.row_number().over(p.orderBy(F.desc("year")))
     return rows.withColumns({"__p": pos, "__b": back}).groupBy(*keys).agg(
-        F.avg(F.when(F.col("__p") <= n, V)).alias("first_mean"),
-        F.avg(F.when(F.col("__b") <= n, V)).alias("last_mean"),
+        F.avg(F.when(F.col("__p") <= n, _v())).alias("first_mean"),
+        F.avg(F.when(F.col("__b") <= n, _v())).alias("last_mean"),
     )
 
 
 def typical_extreme_month(rows: DataFrame, keys: list[str], extreme: str = "max", recent_years: int = 10) -> DataFrame:
     """Calendar month with the highest (lowest) mean over the last years of the axis."""
     latest = rows.withColumn("latest", F.max("year").over(Window.partitionBy(*keys)))
-    months = latest.where((F.col("year") > F.col("latest") - recent_years) & V.isNotNull()).groupBy(
+    months = latest.where((F.col("year") > F.col("latest") - recent_years) & _v().isNotNull()).groupBy(
         *keys, "month"
     ).agg(F.avg("value").alias("m"))
     # The first month wins a tie.
@@ -137,7 +140,7 @@ def seasonal_yearly_means(rows: DataFrame, keys: list[str], lat: str = "lat") ->
     """Winter means by calendar year: December counts with January of the same year."""
     north = F.col(lat) >= 0
     winter = (north & F.col("month").isin(12, 1, 2)) | (~north & F.col("month").isin(6, 7, 8))
-    return rows.where(winter & V.isNotNull()).groupBy(*keys, "year").agg(F.avg("value").alias("value"))
+    return rows.where(winter & _v().isNotNull()).groupBy(*keys, "year").agg(F.avg("value").alias("value"))
 
 
 def trend_per_decade(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -169,12 +172,12 @@ def rainfall_change(rows: DataFrame, keys: list[str], n: int = 10) -> DataFrame:
 
 def record_value(rows: DataFrame, keys: list[str], extreme: str = "max", label: str = "label") -> DataFrame:
     """Highest or lowest value ever with its label; the first wins ties."""
-    here = rows.where(V.isNotNull())
+    here = rows.where(_v().isNotNull())
     if extreme == "max":
-        first = F.struct(V, -F.col("pos"))
+        first = F.struct(_v(), -F.col("pos"))
         return here.groupBy(*keys).agg(F.max("value").alias("value"), F.max_by(label, first).alias(label))
     return here.groupBy(*keys).agg(
-        F.min("value").alias("value"), F.min_by(label, F.struct(V, F.col("pos"))).alias(label)
+        F.min("value").alias("value"), F.min_by(label, F.struct(_v(), F.col("pos"))).alias(label)
     )
 
 

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridloom.contract import CELL
 from gridloom.functions.units import display_round
 
-V = F.col("value")
+def _v() -> Column:
+    return F.col("value")
 
 
 def latest_year(annual: DataFrame) -> DataFrame:
@@ -38,8 +39,8 @@ def mean_between(annual: DataFrame, start: int, end: int, strict: bool = True) -
 
 def anomaly_vs_mean(annual: DataFrame, target: int, start: int, end: int) -> DataFrame:
     """Value of a year minus the mean of a window; missing if either is."""
-    at = F.max(F.when(F.col("year") == target, V))
-    base = F.avg(F.when(F.col("year").between(start, end), V))
+    at = F.max(F.when(F.col("year") == target, _v()))
+    base = F.avg(F.when(F.col("year").between(start, end), _v()))
     return annual.groupBy(*CELL).agg((at - base).alias("value"))
 
 
@@ -94,7 +95,7 @@ def monthly_climatology_anomaly(monthly: DataFrame, year: int, month: int, start
     """One month minus the mean of that calendar month over a window of years."""
     y, m = F.year("t"), F.month("t")
     return monthly.where(m == month).groupBy(*CELL).agg(
-        (F.max(F.when(y == year, V)) - F.avg(F.when(y.between(start, end), V))).alias("value")
+        (F.max(F.when(y == year, _v())) - F.avg(F.when(y.between(start, end), _v()))).alias("value")
     )
 
 
@@ -119,7 +120,7 @@ def daily_window_anomaly(daily: DataFrame, monthly: DataFrame, window: Column, c
 
 def blended_preindustrial_anomaly(annual: DataFrame, offset: DataFrame, recent, reference) -> DataFrame:
     """Recent minus reference mean, plus a modelled offset of the reference period."""
-    mean_in = lambda w: F.avg(F.when(F.col("year").between(*w), V))
+    mean_in = lambda w: F.avg(F.when(F.col("year").between(*w), _v()))
     change = annual.groupBy(*CELL).agg((mean_in(recent) - mean_in(reference)).alias("a"))
     return change.join(
         offset.groupBy(*CELL).agg(F.max_by("value", "year").alias("b")), CELL
@@ -211,12 +212,12 @@ def label_to_x(label: Column) -> Column:
 
 def series_extrema(series: DataFrame, keys, x: str = "year") -> DataFrame:
     """Lowest and highest present value with the first x that has it."""
-    here = series.where(V.isNotNull())
+    here = series.where(_v().isNotNull())
     return here.groupBy(*keys).agg(
         F.min("value").alias("min_value"),
-        F.min_by(x, F.struct(V, F.col(x))).alias("min_x"),
+        F.min_by(x, F.struct(_v(), F.col(x))).alias("min_x"),
         F.max("value").alias("max_value"),
-        F.max_by(x, F.struct(V, -F.col(x))).alias("max_x"),
+        F.max_by(x, F.struct(_v(), -F.col(x))).alias("max_x"),
     )
 
 

@@ -11,8 +11,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from gridloom.contract import CELL
 from gridloom.functions.calendar import is_feb29
 
-YEAR = F.year("t").alias("year")
-MONTH = F.trunc("t", "MM").alias("t")
+
+def _year() -> Column:
+    return F.year("t").alias("year")
+
+
+def _month() -> Column:
+    return F.trunc("t", "MM").alias("t")
 
 
 def _observed(result: Column) -> Column:
@@ -25,7 +30,7 @@ def identity(obs: DataFrame) -> DataFrame:
 
 
 def _monthly(obs: DataFrame, agg: Column, fill_gaps: bool) -> DataFrame:
-    months = obs.groupBy(*CELL, MONTH).agg(agg.alias("value"))
+    months = obs.groupBy(*CELL, _month()).agg(agg.alias("value"))
     if not fill_gaps:
         return months
     # Months with no rows inside a cell's own span appear as missing.
@@ -49,7 +54,7 @@ def monthly_min(obs: DataFrame, fill_gaps: bool = False) -> DataFrame:
 
 def annual_mean_of_months(monthly: DataFrame) -> DataFrame:
     """Unweighted mean of the months of a year."""
-    return monthly.groupBy(*CELL, YEAR).agg(F.avg("value").alias("value"))
+    return monthly.groupBy(*CELL, _year()).agg(F.avg("value").alias("value"))
 
 
 def annual_mean_from_daily(obs: DataFrame) -> DataFrame:
@@ -58,7 +63,7 @@ def annual_mean_from_daily(obs: DataFrame) -> DataFrame:
 
 
 def annual_sum(obs: DataFrame) -> DataFrame:
-    return obs.groupBy(*CELL, YEAR).agg(F.sum("value").alias("value"))
+    return obs.groupBy(*CELL, _year()).agg(F.sum("value").alias("value"))
 
 
 _HOW = {"mean": F.avg, "sum": F.sum, "max": F.max}
@@ -67,7 +72,7 @@ _HOW = {"mean": F.avg, "sum": F.sum, "max": F.max}
 def annual_group(obs: DataFrame, how: str, keys=CELL) -> DataFrame:
     if how not in _HOW:
         raise ValueError(f"unknown annual aggregate: {how}")
-    return obs.groupBy(*keys, YEAR).agg(_HOW[how]("value").alias("value"))
+    return obs.groupBy(*keys, _year()).agg(_HOW[how]("value").alias("value"))
 
 
 def daily_to_monthly_yearly(daily: DataFrame) -> DataFrame:
@@ -77,7 +82,7 @@ def daily_to_monthly_yearly(daily: DataFrame) -> DataFrame:
     rows are shuffled once.
     """
     cols = ["v_mean", "v_min", "v_max"]
-    parts = daily.groupBy(*CELL, MONTH).agg(
+    parts = daily.groupBy(*CELL, _month()).agg(
         *[F.sum(c).alias(f"s_{c}") for c in cols], *[F.count(c).alias(f"n_{c}") for c in cols]
     )
     tagged = parts.select(
@@ -100,7 +105,7 @@ def longest_dry_run(obs: DataFrame, threshold: float = 1.0) -> DataFrame:
     year_rows = Window.partitionBy(*CELL, "year").orderBy("t")
     dry_rows = Window.partitionBy(*CELL, "year", "dry").orderBy("t")
     marked = obs.select(
-        *CELL, YEAR, "t", "value",
+        *CELL, _year(), "t", "value",
         F.coalesce(F.col("value") < threshold, F.lit(False)).alias("dry"),
     )
     islands = marked.withColumn(
@@ -134,7 +139,7 @@ def hot_days(obs: DataFrame, baseline_years: int = 10, percentile: float = 90) -
     year, and day 366 has a threshold only if the baseline has a leap year.
     """
     days = obs.where(~is_feb29(F.col("t"))).select(
-        *CELL, YEAR, F.dayofyear("t").alias("doy"), "value"
+        *CELL, _year(), F.dayofyear("t").alias("doy"), "value"
     )
     first = obs.agg((F.min(F.year("t")) + baseline_years - 1).alias("last_base"))
     base = days.join(F.broadcast(first)).where(F.col("year") <= F.col("last_base"))
@@ -162,7 +167,7 @@ def heat_stress_years(obs: DataFrame, moderate: float = 4.0, severe: float = 8.0
     v = F.col("value")
     mod = F.count_if((v >= moderate) & (v < severe))
     sev = F.count_if(v >= severe)
-    return obs.groupBy(*CELL, YEAR).agg(
+    return obs.groupBy(*CELL, _year()).agg(
         _observed(F.count_if(v < moderate)).alias("no_risk_days"),
         _observed(mod).alias("moderate_days"),
         _observed(sev).alias("severe_days"),

@@ -101,7 +101,7 @@ def _(spark, sf):
 
 
 for _ext, _dir in [("max", "DESC"), ("min", "ASC")]:
-    query(f"typical_{_ext}_month", f"""WITH m AS (SELECT geonameid, month, avg(value) AS v FROM place_monthly WHERE year > (SELECT max(year) FROM place_monthly) - 4 AND value IS NOT NULL GROUP BY 1, 2)
+    query(f"typical_extreme_month_{_ext}", f"""WITH m AS (SELECT geonameid, month, avg(value) AS v FROM place_monthly WHERE year > (SELECT max(year) FROM place_monthly) - 4 AND value IS NOT NULL GROUP BY 1, 2)
       SELECT geonameid, month, round(v, 6) AS value FROM m QUALIFY row_number() OVER (PARTITION BY geonameid ORDER BY v {_dir}, month) = 1""")(
         lambda spark, sf, e=_ext: rounded(I.typical_extreme_month(place_monthly(spark, sf), K, e, recent_years=4), "value")
     )
@@ -132,7 +132,7 @@ def _(spark, sf):
 
 
 for _ext, _dir in [("max", "DESC"), ("min", "ASC")]:
-    query(f"record_{_ext}", f"""SELECT geonameid, value, strftime(t, '%Y-%m') AS label FROM place_monthly WHERE value IS NOT NULL
+    query(f"record_value_{_ext}", f"""SELECT geonameid, value, strftime(t, '%Y-%m') AS label FROM place_monthly WHERE value IS NOT NULL
       QUALIFY row_number() OVER (PARTITION BY geonameid ORDER BY value {_dir}, t) = 1""")(
         lambda spark, sf, e=_ext: I.record_value(place_monthly(spark, sf), K, e)
     )

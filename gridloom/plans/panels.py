@@ -246,15 +246,15 @@ def listed(spark, sf):
     return j.select(k.alias("answer_id"), "label", "alt_names", "lat", "lon")
 
 
-@query("mentions_to_places", f"""WITH m AS (SELECT answer_id, unnest(regexp_extract_all(text, '\\*\\*([^*,\\n]+?)\\*\\*', 1)) AS raw, generate_subscripts(regexp_extract_all(text, '\\*\\*([^*,\\n]+?)\\*\\*', 1), 1) AS at FROM answers),
-  f AS (SELECT answer_id, at, trim(split_part(trim(raw), ',', 1)) AS name FROM m),
+@query("mentions_to_places", f"""WITH m AS (SELECT answer_id, unnest(regexp_extract_all(text, '\\*\\*([^*,\\n]+?)\\*\\*', 1)) AS raw, generate_subscripts(regexp_extract_all(text, '\\*\\*([^*,\\n]+?)\\*\\*', 1), 1) AS pos FROM answers),
+  f AS (SELECT answer_id, pos, trim(split_part(trim(raw), ',', 1)) AS name FROM m),
   t AS (SELECT answer_id, {_norm('g')} AS n FROM (SELECT answer_id, unnest([split_part(label, ',', 1)] || string_split(alt_names, ',')) AS g FROM listed)),
   u AS (SELECT f.*, {_norm('name')} AS n FROM f WHERE regexp_matches(name, '^\\p{{Lu}}')),
-  h AS (SELECT u.answer_id, u.at, p.geonameid FROM u JOIN (SELECT name, geonameid FROM name_rows QUALIFY row_number() OVER (PARTITION BY name ORDER BY population DESC, geonameid) = 1) p ON p.name = u.n
+  h AS (SELECT u.answer_id, u.pos, p.geonameid FROM u JOIN (SELECT name, geonameid FROM name_rows QUALIFY row_number() OVER (PARTITION BY name ORDER BY population DESC, geonameid) = 1) p ON p.name = u.n
      WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.answer_id = u.answer_id AND t.n = u.n)),
   k AS (SELECT h.*, label, lat, lon, round_even(round(lat * 10, 6), 0) AS ky, round_even(round(lon * 10, 6), 0) AS kx FROM h JOIN places USING (geonameid)),
   z AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.answer_id = k.answer_id AND round_even(round(l.lat * 10, 6), 0) = ky AND round_even(round(l.lon * 10, 6), 0) = kx))
-  SELECT answer_id, geonameid, label, lat, lon FROM z QUALIFY row_number() OVER (PARTITION BY answer_id, ky, kx ORDER BY at, geonameid) = 1""")
+  SELECT answer_id, geonameid, label, lat, lon FROM z QUALIFY row_number() OVER (PARTITION BY answer_id, ky, kx ORDER BY pos, geonameid) = 1""")
 def _(spark, sf):
     return P.mentions_to_places(answers(spark, sf), listed(spark, sf), V.places(spark, sf))
 
