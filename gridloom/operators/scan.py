@@ -121,22 +121,22 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict) ->
         lo = F.greatest(F.floor(share) - 1, F.lit(0)).cast("int")
         hi = F.least(F.ceil(share) + 1, F.lit(100)).cast("int")
         return F.struct(
-            F.lit(name).alias("name"), k.alias("k"),
-            F.when(lo == 0, F.lit(float("-inf"))).otherwise(F.get("__grid", lo)).alias("lo"),
-            F.when(hi == 100, F.lit(float("inf"))).otherwise(F.get("__grid", hi)).alias("hi"),
+            F.lit(name).alias("name"), k.alias("__k"),
+            F.when(lo == 0, F.lit(float("-inf"))).otherwise(F.get("__grid", lo)).alias("__lo"),
+            F.when(hi == 100, F.lit(float("inf"))).otherwise(F.get("__grid", hi)).alias("__hi"),
         )
 
-    brackets = totals.select(*keys, "n", F.explode(F.array(*[wanted(r) for r in ranks])).alias("w")).select(
-        *keys, "n", "w.*"
+    brackets = totals.select(*keys, "n", F.explode(F.array(*[wanted(r) for r in ranks])).alias("__w")).select(
+        *keys, "n", "__w.*"
     )
     rows = _join_on(brackets, counts, keys) if keys else counts.join(F.broadcast(brackets))
     by = [*keys, "name"]
-    below = rows.where(F.col("__v") < F.col("lo")).groupBy(*by).agg(F.sum("__c").alias("__below"))
-    inside = rows.where(F.col("__v").between(F.col("lo"), F.col("hi")))
+    below = rows.where(F.col("__v") < F.col("__lo")).groupBy(*by).agg(F.sum("__c").alias("__below"))
+    inside = rows.where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
     run = Window.partitionBy(*by).orderBy("__v")
     ranked = inside.withColumn("__cum", F.sum("__c").over(run))
     placed = _join_on(ranked, below, by).where(
-        F.coalesce(F.col("__below"), F.lit(0)) + F.col("__cum") > F.col("k")
+        F.coalesce(F.col("__below"), F.lit(0)) + F.col("__cum") > F.col("__k")
     )
     return placed.groupBy(*by).agg(F.max("n").alias("n"), F.min("__v").alias("value"))
 

@@ -56,9 +56,9 @@ def _page(df):
     return df.select(*_PAGE_COLS, F.array_join("tools_called", "|").alias("tools"), F.size("steps_timing").alias("steps"))
 
 
-@query("messages_page", f"SELECT {_PAGE_SQL} FROM messages WHERE feedback = 'bad' ORDER BY ts DESC, message_id LIMIT 50 OFFSET 20")
+@query("messages_page", f"SELECT {_PAGE_SQL} FROM messages WHERE feedback = 'bad' ORDER BY ts DESC, message_id LIMIT 50 OFFSET 2")
 def _(spark, sf):
-    return _page(K.messages_page(V.messages(spark, sf), limit=50, offset=20, feedback="bad"))
+    return _page(K.messages_page(V.messages(spark, sf), limit=50, offset=2, feedback="bad"))
 
 
 @query("review_queue", f"SELECT {_PAGE_SQL} FROM messages WHERE feedback_status = 'new' AND NOT opt_out ORDER BY ts DESC, message_id LIMIT 40")

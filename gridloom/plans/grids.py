@@ -42,9 +42,9 @@ _AXES = "WITH " + _axis_sql("rw", 45, "90 - (i + 0.5::DOUBLE) * 4", "lat") + ",
     FROM rw CROSS JOIN cl LEFT JOIN source_grid n ON n.lat = rw.near AND n.lon = cl.near
     LEFT JOIN source_grid a ON a.lat = rw.lo AND a.lon = cl.lo LEFT JOIN source_grid b ON b.lat = rw.lo AND b.lon = cl.hi
     LEFT JOIN source_grid c ON c.lat = rw.hi AND c.lon = cl.lo LEFT JOIN source_grid d ON d.lat = rw.hi AND d.lon = cl.hi)
-  SELECT i_lat, i_lon, round(CASE WHEN o THEN nv ELSE (1 - wx) * ((1 - wy) * v00 + wy * v10) + wx * ((1 - wy) * v01 + wy * v11) END, 6) AS value FROM g""")
+  SELECT * FROM (SELECT i_lat, i_lon, round(CASE WHEN o THEN nv ELSE (1 - wx) * ((1 - wy) * v00 + wy * v10) + wx * ((1 - wy) * v01 + wy * v11) END, 6) AS value FROM g) WHERE value IS NOT NULL""")
 def _(spark, sf):
-    return rounded(RGD.regrid(source_grid(spark, sf), TARGET), "value")
+    return rounded(RGD.regrid(source_grid(spark, sf), TARGET), "value").where("value IS NOT NULL")
 
 
 @query("regrid_nearest", f"""{_AXES} SELECT rw.i AS i_lat, cl.i AS i_lon, n.value FROM rw CROSS JOIN cl

@@ -163,7 +163,7 @@ def _(spark, sf):
     return P.chart_group_merge(asked.select("result_no", "metric_id", "location", "year", "value"), available, registry)
 
 
-V.SQL_VIEWS["scalar_results"] = """SELECT 'm' || (s_suppkey % 40) AS metric_id, CAST(s_suppkey % 80 AS BIGINT) AS result_no, CASE WHEN s_suppkey % 8 <> 3 THEN 'country:' || chr(CAST(65 + s_nationkey AS INTEGER)) || 'X' END AS region_key,
+V.SQL_VIEWS["scalar_results"] = """SELECT 'm' || (s_suppkey // 3) AS metric_id, s_suppkey - CASE WHEN s_suppkey % 9 = 1 THEN 1 ELSE 0 END AS result_no, CASE WHEN (s_suppkey // 3) % 4 <> 2 THEN 'country:' || chr(CAST(65 + s_nationkey AS INTEGER)) || 'X' END AS region_key,
   'S' || s_suppkey AS label, s_acctbal AS value FROM supplier"""
 
 
@@ -172,8 +172,9 @@ V.SQL_VIEWS["scalar_results"] = """SELECT 'm' || (s_suppkey % 40) AS metric_id,
 def _(spark, sf):
     k = F.col("s_suppkey")
     r = V.table(spark, sf, "supplier").select(
-        F.concat(F.lit("m"), (k % 40).cast("string")).alias("metric_id"), (k % 80).alias("result_no"),
-        F.when(k % 8 != 3, F.concat(F.lit("country:"), F.char(F.lit(65) + F.col("s_nationkey")), F.lit("X"))).alias("region_key"),
+        F.concat(F.lit("m"), F.floor(k / 3).cast("string")).alias("metric_id"),
+        (k - F.when(k % 9 == 1, 1).otherwise(0)).alias("result_no"),
+        F.when(F.floor(k / 3) % 4 != 2, F.concat(F.lit("country:"), F.char(F.lit(65) + F.col("s_nationkey")), F.lit("X"))).alias("region_key"),
         F.concat(F.lit("S"), k.cast("string")).alias("label"), F.col("s_acctbal").alias("value"),
     )
     return P.scalar_region_compare(r)

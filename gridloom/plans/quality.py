@@ -149,7 +149,7 @@ def _(spark, sf):
 @query("write_ranking", "SELECT name, value, rank, 'annual' AS metric_id, 'max' AS aggregation FROM ranked_max")
 def _(spark, sf):
     path = work_folder(spark) + "/rankings"
-    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.TOY, "max")
+    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.RASTER, "max")
     sinks.write_ranking(ranking.withColumns({"metric_id": F.lit("annual"), "aggregation": F.lit("max")}), path, "json")
     schema = "name string, value double, rank long, metric_id string, aggregation string"
     return spark.read.schema(schema).json(path)
@@ -209,7 +209,7 @@ def _(spark, sf):
 
 @query("rankings_present", "SELECT * FROM (VALUES ('annual', 'min'), ('other', 'mean')) v(metric_id, aggregation) WHERE (SELECT count(*) FROM ranked_mean) > 0")
 def _(spark, sf):
-    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.TOY, "mean")
+    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.RASTER, "mean")
     stored = ranking.select(F.lit("annual").alias("metric_id"), F.lit("mean").alias("aggregation"))
     declared = spark.createDataFrame([("annual", "mean"), ("annual", "min"), ("other", "mean")], "metric_id string, aggregation string")
     return Q.absent_rankings(declared, stored)

@@ -16,7 +16,7 @@ from gridloom.sources import series as S
 #: Thirty-degree grid under the monthly view.
 M30 = Grid("toy_30deg", 30.0, 6, 12, tile_size=4)
 
-V.SQL_VIEWS["place_cells"] = """SELECT geonameid, label, lat, lon, population, CAST(floor(90 - lat) AS INTEGER) AS i_lat, CAST(floor(lon + 180) AS INTEGER) AS i_lon,
+V.SQL_VIEWS["place_cells"] = """SELECT geonameid, label, lat, lon, population, CAST(floor((90 - lat) / 10) AS INTEGER) AS i_lat, CAST(floor((lon + 180) / 10) AS INTEGER) AS i_lon,
   CAST(floor((90 - lat) / 30) AS INTEGER) AS m_lat, CAST(floor((lon + 180) / 30) AS INTEGER) AS m_lon FROM places"""
 V.SQL_VIEWS["wide_full"] = """SELECT c.i_lat, c.i_lon, y.year, a.value FROM (SELECT i_lat, i_lon FROM annual_wide GROUP BY 1, 2 HAVING count(value) > 0) c
   CROSS JOIN (SELECT DISTINCT year FROM annual_wide) y LEFT JOIN annual_wide a ON a.i_lat = c.i_lat AND a.i_lon = c.i_lon AND a.year = y.year"""
@@ -30,7 +30,7 @@ V.SQL_VIEWS["place_monthly"] = """SELECT geonameid, lat, m.t, CAST(year(m.t) AS
 def wide_series(spark, sf):
     long = annual_wide(spark, sf).withColumn("t", F.make_date("year", F.lit(1), F.lit(1)))
     axis = S.build_axis("annual", long, "year")
-    return S.pack_series(long, axis, "annual", V.TOY), axis.drop("t")
+    return S.pack_series(long, axis, "annual", V.RASTER), axis.drop("t")
 
 
 def monthly_series(spark, sf):
@@ -42,7 +42,7 @@ def monthly_series(spark, sf):
 def place_annual(spark, sf):
     series, axis = wide_series(spark, sf)
     places = V.places(spark, sf)
-    rows = H.point_series(places, series, axis, V.TOY, key="geonameid")
+    rows = H.point_series(places, series, axis, V.RASTER, key="geonameid")
     return rows.select("geonameid", "year", "pos", "value").join(
         places.select("geonameid", "lat", F.col("label")), "geonameid"
     )
@@ -122,7 +122,7 @@ _KEYED = """SELECT *, row_number() OVER (PARTITION BY round_even(lat * 4, 0), ro
 
 
 def _extreme_sql(cond: str, score: str, order: str, limit: int, year: str = "CAST(NULL AS INTEGER)", where: str = "true") -> str:
-    return f"""WITH c AS (SELECT *, CAST(floor(90 - lat) AS INTEGER) AS i_lat, CAST(floor(lon + 180) AS INTEGER) AS i_lon FROM ({_KEYED.format(cond=cond)}) WHERE k = 1),
+    return f"""WITH c AS (SELECT *, CAST(floor((90 - lat) / 10) AS INTEGER) AS i_lat, CAST(floor((lon + 180) / 10) AS INTEGER) AS i_lon FROM ({_KEYED.format(cond=cond)}) WHERE k = 1),
       r AS (SELECT i_lat, i_lon, year, disp(value, 3) AS value FROM annual_wide WHERE {where}),
       s AS (SELECT i_lat, i_lon, round({score}, 9) AS score, {year} AS year FROM r GROUP BY 1, 2)
       SELECT geonameid, label, alt_names, lat, lon, disp(score, 3) + 0.0::DOUBLE AS value, year FROM c JOIN s USING (i_lat, i_lon) WHERE score IS NOT NULL
@@ -132,7 +132,7 @@ def _extreme_sql(cond: str, score: str, order: str, limit: int, year: str = "CAS
 @query("find_extreme_location", _extreme_sql("true", "max(value)", "DESC", 10, "arg_max(year, value * 10000 - year)", "year BETWEEN 1996 AND 2000"))
 def _(spark, sf):
     cities = H.eligible_cities(V.places(spark, sf))
-    out = H.extreme_locations(cities, annual_wide(spark, sf), V.TOY, "max", "max", 10, start=1996, end=2000)
+    out = H.extreme_locations(cities, annual_wide(spark, sf), V.RASTER, "max", "max", 10, start=1996, end=2000)
     return out.withColumn("value", F.col("value") + 0.0)
 
 
@@ -140,14 +140,14 @@ def _(spark, sf):
 def _(spark, sf):
     both = V.continent_country(spark, sf).where("continent IN ('ASIA', 'EUROPE')").withColumn("continent", F.lit("eurasia"))
     cities = H.eligible_cities(V.places(spark, sf), continent="eurasia", continent_country=both)
-    out = H.extreme_locations(cities, annual_wide(spark, sf), V.TOY, "trend_slope", "min", 5)
+    out = H.extreme_locations(cities, annual_wide(spark, sf), V.RASTER, "trend_slope", "min", 5)
     return out.withColumn("value", F.col("value") + 0.0)
 
 
 @query("find_extreme_location_capitals", _extreme_sql("capital AND country_code NOT IN ('AX', 'CX')", "avg(value)", "DESC", 3))
 def _(spark, sf):
     cities = H.eligible_cities(V.places(spark, sf), capital_only=True, dependencies=["AX", "CX"])
-    return H.extreme_locations(cities, annual_wide(spark, sf), V.TOY, "mean", "max", 3)
+    return H.extreme_locations(cities, annual_wide(spark, sf), V.RASTER, "mean", "max", 3)
 
 
 @query("find_extreme_location_monthly", f"""WITH c AS (SELECT *, CAST(floor((90 - lat) / 30) AS INTEGER) AS i_lat, CAST(floor((lon + 180) / 30) AS INTEGER) AS i_lon FROM ({_KEYED.format(cond="country_code = 'BX'")}) WHERE k = 1),
@@ -162,7 +162,7 @@ def _(spark, sf):
 @query("find_extreme_location_ranked", """SELECT r.geonameid, r.name, r.lat, r.lon, disp(r.value, 3) AS value FROM ranked_mean r JOIN places p USING (geonameid)
   WHERE p.population >= 100000 ORDER BY r.rank DESC LIMIT 5""")
 def _(spark, sf):
-    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.TOY, "mean")
+    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.RASTER, "mean")
     eligible = H.eligible_cities(V.places(spark, sf), min_population=100_000)
     return H.extreme_from_ranking(ranking, eligible, "min", 5)
 
@@ -178,9 +178,9 @@ V.SQL_VIEWS["cell_means"] = "SELECT i_lat, i_lon, avg(value) AS mean FROM annual
 def _(spark, sf):
     places = V.places(spark, sf)
     means = annual_wide(spark, sf).groupBy(*CELL).agg(F.avg("value").alias("mean")).where("mean IS NOT NULL")
-    placed = places.withColumns(cell_of(F.col("lat"), F.col("lon"), V.TOY)).join(means, CELL, "left_semi")
+    placed = places.withColumns(cell_of(F.col("lat"), F.col("lon"), V.RASTER)).join(means, CELL, "left_semi")
     ref = placed.orderBy(F.desc("population"), "geonameid").limit(1).select("lat", "lon")
-    return H.similar_locations(places, ref, means, V.TOY, limit=8)
+    return H.similar_locations(places, ref, means, V.RASTER, limit=8)
 
 
 V.SQL_VIEWS["region_info"] = "SELECT DISTINCT region_key, region_type, region_name FROM weights UNION ALL SELECT 'globe', 'globe', 'Global'"
@@ -269,7 +269,7 @@ def _(spark, sf):
   b AS (SELECT * FROM d WHERE d < 0.35::DOUBLE QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, rank) = 1)
   SELECT point_id, rank, value, (SELECT count(*) FROM ranked_mean) AS total, round(((SELECT count(*) FROM ranked_mean) - rank) / (SELECT count(*) FROM ranked_mean) * 100, 6) AS share_below FROM b""")
 def _(spark, sf):
-    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.TOY, "mean")
+    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.RASTER, "mean")
     return rounded(H.rank_of_points(V.points(spark, sf), ranking), "share_below")
 
 

@@ -130,20 +130,20 @@ _SLOPE10 = "CASE WHEN count(DISTINCT CASE WHEN value IS NOT NULL THEN year END)
 for _agg, _expr in [("mean", "avg(value)"), ("max", "max(value)"), ("min", "min(value)"), ("trend_slope", _SLOPE10)]:
     V.SQL_VIEWS[f"ranked_{_agg}"] = f"""SELECT c.geonameid, c.label AS name, c.country_code AS country, c.lat, c.lon, c.population, c.capital,
         disp(s.score, 4) AS value, row_number() OVER (ORDER BY round(s.score, 9) DESC, c.population DESC, c.geonameid) AS rank
-      FROM (SELECT *, CAST(floor(90 - lat) AS INTEGER) AS i_lat, CAST(floor(lon + 180) AS INTEGER) AS i_lon FROM city_keys) c
+      FROM (SELECT *, CAST(floor((90 - lat) / 10) AS INTEGER) AS i_lat, CAST(floor((lon + 180) / 10) AS INTEGER) AS i_lon FROM city_keys) c
       JOIN (SELECT i_lat, i_lon, {_expr} AS score FROM annual_wide GROUP BY 1, 2) s USING (i_lat, i_lon) WHERE s.score IS NOT NULL"""
     query(f"city_rankings_{_agg}", f"SELECT * FROM ranked_{_agg}")(
-        lambda spark, sf, a=_agg: RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.TOY, a)
+        lambda spark, sf, a=_agg: RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.RASTER, a)
     )
 
-V.SQL_VIEWS["annual_wide"] = """SELECT CAST((a.i_lat + k.dy) % 180 AS INTEGER) AS i_lat, CAST((a.i_lon + k.dx) % 360 AS INTEGER) AS i_lon, year, max(value) AS value
-  FROM annual a, (SELECT x * 30 AS dy, y * 36 AS dx FROM range(6) r(x), range(10) s(y)) k GROUP BY 1, 2, 3"""
+V.SQL_VIEWS["annual_wide"] = """SELECT CAST((a.i_lat + k.dy) % 18 AS INTEGER) AS i_lat, CAST((a.i_lon + k.dx) % 36 AS INTEGER) AS i_lon, year, max(value) AS value
+  FROM annual a, (SELECT x * 7 AS dy, y * 11 AS dx FROM range(2) r(x), range(3) s(y)) k GROUP BY 1, 2, 3"""
 
 
 def annual_wide(spark, sf):
-    """The yearly series copied at 60 offsets, so that more places fall on a cell."""
-    dy = F.explode(F.sequence(F.lit(0), F.lit(150), F.lit(30)))
-    dx = F.explode(F.sequence(F.lit(0), F.lit(324), F.lit(36)))
+    """The yearly series folded onto the ten-degree grid at six offsets, so that places fall on cells."""
+    dy = F.explode(F.sequence(F.lit(0), F.lit(7), F.lit(7)))
+    dx = F.explode(F.sequence(F.lit(0), F.lit(22), F.lit(11)))
     return V.annual(spark, sf).withColumn("dy", dy).withColumn("dx", dx).groupBy(
-        ((F.col("i_lat") + F.col("dy")) % 180).alias("i_lat"), ((F.col("i_lon") + F.col("dx")) % 360).alias("i_lon"), "year"
+        ((F.col("i_lat") + F.col("dy")) % 18).alias("i_lat"), ((F.col("i_lon") + F.col("dx")) % 36).alias("i_lon"), "year"
     ).agg(F.max("value").alias("value"))
