@@ -142,12 +142,15 @@ def hot_days(obs: DataFrame, baseline_years: int = 10, percentile: float = 90) -
         *CELL, _year(), F.dayofyear("t").alias("doy"), "value"
     )
     first = obs.agg((F.min(F.year("t")) + baseline_years - 1).alias("last_base"))
-    base = days.join(F.broadcast(first)).where(F.col("year") <= F.col("last_base"))
-    limits = base.groupBy(*CELL, "doy").agg(
-        F.percentile("value", F.lit(percentile / 100)).alias("p")
+    # One shuffle by cell serves both groupings: a (cell, day) group holds one
+    # value per year, so its years travel as a short array and nothing is joined back.
+    by_day = days.join(F.broadcast(first)).repartition(*CELL).groupBy(*CELL, "doy").agg(
+        F.percentile(
+            F.when(F.col("year") <= F.col("last_base"), F.col("value")), F.lit(percentile / 100)
+        ).alias("p"),
+        F.collect_list(F.struct("year", "value")).alias("years"),
     )
-    joined = days.join(limits, [*CELL, "doy"], "left")
-    return joined.groupBy(*CELL, "year").agg(
+    return by_day.select(*CELL, "p", F.inline("years")).groupBy(*CELL, "year").agg(
         _observed(F.count_if(F.col("value") > F.col("p"))).alias("value")
     )
 

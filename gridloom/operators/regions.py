@@ -78,7 +78,8 @@ def region_cell_counts(weights: DataFrame, grid: Grid) -> DataFrame:
     return counts.unionByName(globe)
 
 
-def _region_aggs(weight: Column, digits: int) -> list[Column]:
+def aggregate_columns(weight: Column, digits: int) -> list[Column]:
+    """Weighted mean over present values, and plain minimum and maximum."""
     v = F.col("value")
     total = F.sum(F.when(v.isNotNull(), weight))
     mean = F.when(total > 0, F.sum(v * weight) / total)
@@ -91,7 +92,7 @@ def _region_aggs(weight: Column, digits: int) -> list[Column]:
 
 def globe_aggregates(cells: DataFrame, grid: Grid, step: str = "year", digits: int = 4) -> DataFrame:
     """Weighted mean, min and max over all cells; partial sums need no join."""
-    return cells.groupBy(step).agg(*_region_aggs(area_weight(F.col("i_lat"), grid), digits)).select(
+    return cells.groupBy(step).agg(*aggregate_columns(area_weight(F.col("i_lat"), grid), digits)).select(
         F.lit("globe").alias("region_key"), step, "mean", "min", "max"
     )
 
@@ -107,7 +108,7 @@ def region_aggregates(cells: DataFrame, weights: DataFrame, grid: Grid, step: st
     w = weights.where(F.col("frac") > 0).select("region_key", *CELL, "frac")
     joined = cells.select(*CELL, step, "value").join(w, CELL)
     weight = area_weight(F.col("i_lat"), grid) * F.col("frac")
-    regional = joined.groupBy("region_key", step).agg(*_region_aggs(weight, digits))
+    regional = joined.groupBy("region_key", step).agg(*aggregate_columns(weight, digits))
     return regional.unionByName(globe_aggregates(cells, grid, step, digits))
 
 

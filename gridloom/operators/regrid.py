@@ -72,18 +72,20 @@ def regrid(source: DataFrame, grid: Grid, method: str = "bilinear", keys: list[s
     spark = source.sparkSession
     rows = _brackets(src.select(F.col("lat").alias("x")).distinct(), _target_axis(spark, grid, "lat"))
     cols = _brackets(src.select(F.col("lon").alias("x")).distinct(), _target_axis(spark, grid, "lon"))
-    near = (
-        src.join(rows.select(F.col("i").alias("i_lat"), F.col("outside").alias("__r"), F.col("nearest").alias("lat")), "lat")
-        .join(cols.select(F.col("i").alias("i_lon"), F.col("outside").alias("__c"), F.col("nearest").alias("lon")), "lon")
-    )
+    def nearest_of(r: DataFrame, c: DataFrame) -> DataFrame:
+        by_lat = r.select(F.col("i").alias("i_lat"), F.col("nearest").alias("lat"))
+        by_lon = c.select(F.col("i").alias("i_lon"), F.col("nearest").alias("lon"))
+        return src.join(by_lat, "lat").join(by_lon, "lon").select(*keys, *CELL, "value")
+
     if method == "nearest":
-        return near.select(*keys, *CELL, "value")
+        return nearest_of(rows, cols)
     if method != "bilinear":
         raise ValueError(f"unknown regrid method: {method}")
     by_row = _interpolate(src, rows, "lat", "i_lat", [*keys, "lon"])
     inside = _interpolate(by_row, cols, "lon", "i_lon", [*keys, "i_lat"])
-    outside = near.where(F.col("__r") | F.col("__c")).select(*keys, *CELL, "value")
-    return inside.select(*keys, *CELL, "value").unionByName(outside)
+    # Beyond the source bounds: whole outer rows, then the outer columns of inner rows.
+    beyond = nearest_of(rows.where("outside"), cols).unionByName(nearest_of(rows.where(~F.col("outside")), cols.where("outside")))
+    return inside.select(*keys, *CELL, "value").unionByName(beyond)
 
 
 def reindex_nearest(source: DataFrame, grid: Grid, tolerance: float = 0.51, keys: list[str] | None = None) -> DataFrame:

@@ -9,31 +9,20 @@ that the chunk summaries and the rows always come from the same boundaries.
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from gridloom.storage import stable
 
 CHUNK = "__chunk"
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names for it."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="gridloom-ckpt-"))
-    return df.checkpoint(eager=True)
-
-
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def ordered_chunks(df: DataFrame, order: list[Column], partitions: int | None = None) -> DataFrame:
-    """``df`` plus a chunk number; chunks are consecutive in ``order``."""
-    n = partitions or _partitions(df.sparkSession)
-    return stable(df.repartitionByRange(n, *order).withColumn(CHUNK, F.spark_partition_id()))
+    """``df`` plus a chunk number; chunks are consecutive in ``order``.
+
+    Without a partition count Spark sizes the chunks by the data.
+    """
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return stable(ranged.withColumn(CHUNK, F.spark_partition_id()))
 
 
 def global_row_number(
@@ -102,43 +91,29 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict) ->
     """Exact order statistics: rows of (keys, name, n, value), any group size.
 
     ``ranks`` maps a name to a function from the count column to a 0-based
-    rank.  Duplicates collapse to counts first; a sketch then brackets each
-    rank between two percentiles, values below the bracket are only counted,
-    and only the distinct values inside it are ordered.
+    rank.  Duplicates collapse to counts, the distinct values are chunked in
+    order, chunk sums tell which chunk holds a rank, and only that chunk is
+    ordered.
     """
     base = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("__v"))
     counts = base.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__c"))
-    grid = [i / 100 for i in range(101)]
-    totals = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("__v", grid, 10000).alias("__grid")
-    ).where(F.col("n") > 0)
-
-    def wanted(name):
-        top = F.col("n") - 1
-        k = F.least(F.greatest(ranks[name](F.col("n")).cast("long"), F.lit(0)), top)
-        share = k / F.greatest(top, F.lit(1)) * 100
-        # One percentile of slack either side is far beyond the sketch error.
-        lo = F.greatest(F.floor(share) - 1, F.lit(0)).cast("int")
-        hi = F.least(F.ceil(share) + 1, F.lit(100)).cast("int")
-        return F.struct(
-            F.lit(name).alias("name"), k.alias("__k"),
-            F.when(lo == 0, F.lit(float("-inf"))).otherwise(F.get("__grid", lo)).alias("__lo"),
-            F.when(hi == 100, F.lit(float("inf"))).otherwise(F.get("__grid", hi)).alias("__hi"),
-        )
-
-    brackets = totals.select(*keys, "n", F.explode(F.array(*[wanted(r) for r in ranks])).alias("__w")).select(
-        *keys, "n", "__w.*"
+    chunked = ordered_chunks(counts, [*[F.col(k) for k in keys], F.col("__v")])
+    upto = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+    sums = chunked.groupBy(*keys, CHUNK).agg(F.sum("__c").alias("__s")).withColumns({
+        "__upto": F.sum("__s").over(upto), "n": F.sum("__s").over(Window.partitionBy(*keys)),
+    })
+    rank = lambda fn: F.least(F.greatest(fn(F.col("n")).cast("long"), F.lit(0)), F.col("n") - 1)
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), rank(fn).alias("__k")) for name, fn in ranks.items()])
+    before = F.col("__upto") - F.col("__s")
+    targets = sums.select(*keys, CHUNK, "n", before.alias("__before"), "__upto", F.inline(wanted)).where(
+        (F.col("__k") >= F.col("__before")) & (F.col("__k") < F.col("__upto"))
     )
-    rows = _join_on(brackets, counts, keys) if keys else counts.join(F.broadcast(brackets))
-    by = [*keys, "name"]
-    below = rows.where(F.col("__v") < F.col("__lo")).groupBy(*by).agg(F.sum("__c").alias("__below"))
-    inside = rows.where(F.col("__v").between(F.col("__lo"), F.col("__hi")))
-    run = Window.partitionBy(*by).orderBy("__v")
-    ranked = inside.withColumn("__cum", F.sum("__c").over(run))
-    placed = _join_on(ranked, below, by).where(
-        F.coalesce(F.col("__below"), F.lit(0)) + F.col("__cum") > F.col("__k")
+    rows = _join_on(targets, chunked, [*keys, CHUNK])
+    run = Window.partitionBy(*keys, "name").orderBy("__v")
+    placed = rows.withColumn("__cum", F.col("__before") + F.sum("__c").over(run))
+    return placed.where(F.col("__cum") > F.col("__k")).groupBy(*keys, "name").agg(
+        F.max("n").alias("n"), F.min("__v").alias("value")
     )
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), F.min("__v").alias("value"))
 
 
 def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: dict[str, float]) -> DataFrame:

@@ -12,7 +12,7 @@ from gridloom.plans.queries import region_values, wide_series
 from gridloom.plans.regions import annual_wide
 from gridloom.plans.registry import query
 from gridloom.sources import readers, series as S, sinks, tile_archive as TA
-from gridloom.streaming.usage import work_folder
+from gridloom.storage import work_folder
 
 
 @query("scan_grid", """SELECT 'sst' AS metric_id, CAST(floor(90 - ((l_suppkey * 7) % 1790 / 10.0::DOUBLE - 89.45::DOUBLE)) AS INTEGER) AS i_lat, CAST(floor((l_partkey % 3599) / 10.0::DOUBLE + 0.05::DOUBLE) AS INTEGER) AS i_lon,

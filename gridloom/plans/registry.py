@@ -24,7 +24,7 @@ def query(name: str, sql: str | None = None):
 
 def load_all() -> None:
     from gridloom.plans import (  # noqa: F401
-        analytics, cells, grids, headlines, masks, panels, places, quality, queries, raster, reducers, regions,
+        analytics, cells, grids, headlines, masks, packed, panels, places, quality, queries, raster, reducers, regions,
         streams,
 
     )

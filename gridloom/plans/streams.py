@@ -8,6 +8,7 @@ from gridloom.operators import analytics as K
 from gridloom.plans import views as V
 from gridloom.plans.analytics import HEAT_SQL, ORIGIN_SQL, STATS_SQL, UNBLOCKED_SQL, UPSERT_SQL, blocked_lines, message_log
 from gridloom.plans.registry import query
+from gridloom.storage import work_folder
 from gridloom.streaming import usage as U
 
 
@@ -24,7 +25,7 @@ class _Streamed:
 
 
 def _state(spark, stream, keys):
-    path = U.run_available(stream, U.work_folder(spark))
+    path = U.run_available(stream, work_folder(spark, 'stream'))
     return U.latest_state(spark, path, keys)
 
 
@@ -49,5 +50,5 @@ def _(spark, sf):
 def _(spark, sf):
     log = message_log(V.messages(_Streamed(spark), sf))
     # Every event arrives twice, as a client retry would send it.
-    path = U.message_upserts(log.unionByName(log), U.work_folder(spark))
+    path = U.message_upserts(log.unionByName(log), work_folder(spark, 'stream'))
     return K.current_messages(spark.read.parquet(path)).withColumn("question", F.md5("question"))

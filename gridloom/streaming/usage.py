@@ -7,21 +7,11 @@ files, and the current state is the row of the highest batch per key.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.operators import analytics as K
 
 
-def work_folder(spark: SparkSession) -> str:
-    """A fresh folder under the shared checkpoint directory (temporary when unset)."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="gridloom-stream-")
-
-
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Stream the files of one table; the schema is declared from the stored one."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
