@@ -120,7 +120,7 @@ def typed_entry_points(messages: DataFrame, limit: int | None = None, examples:
     ``limit`` bounds the input rows in session order, as a report would.  The
     running last chip survives sessions of any size (see ``last_before``).
     """
-    order = [F.asc("ts"), F.asc("message_id")]
+    order = ["ts", "message_id"]
     rows = _real(messages).select("session_id", "ts", "message_id", "question_id", "question_tree_version", "question")
     if limit is not None:
         rows = rows.orderBy("session_id", *order).limit(limit)

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.grid import EARTH_RADIUS_KM, haversine_km, wrap_lon
+from gridloom.storage import work_folder
 
 ROOT_DEG = 45.0
 SPLIT = 8
@@ -45,16 +46,39 @@ def _box_distance(lat: Column, lon: Column, r: Column, c: Column, level: int) ->
     return F.lit(2 * EARTH_RADIUS_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
 
 
-def _pyramid(targets: DataFrame, scope: list[str], level: int) -> DataFrame:
-    """Occupied cells of a level with one real target each, keyed by their parent."""
-    r, c = _cell(F.col("t_lat"), F.col("t_lon"), level)
-    cells = targets.groupBy(*scope, r.alias("r"), c.alias("c")).agg(
+def build_index(places: DataFrame, scope: list[str] | None = None, place_id: str = "geonameid") -> DataFrame:
+    """The pyramid as a stored table, partitioned by level.
+
+    A level lists its occupied cells under their parent, with one real target
+    each; the last level lists the targets themselves.  Because it is stored,
+    Spark knows the size of every level and broadcasts only small ones.
+    """
+    scope = scope or []
+    # Equal coordinates are one target, under the lowest id.
+    targets = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).groupBy(
+        *scope, F.col("lat").alias("t_lat"), wrap_lon(F.col("lon")).alias("t_lon")
+    ).agg(F.min(place_id).alias("id"))
+    levels = F.explode(F.array(*[
+        F.struct(F.lit(level).alias("level"), *[c.alias(n) for n, c in zip("rc", _cell(F.col("t_lat"), F.col("t_lon"), level))])
+        for level in range(LEVELS)
+    ])).alias("cell")
+    cells = targets.select(*scope, "t_lat", "t_lon", levels).groupBy(*scope, "cell").agg(
         F.min(F.struct("t_lat", "t_lon")).alias("rep")
     )
-    return cells.select(
-        *scope, "r", "c", "rep", F.floor(F.col("r") / SPLIT).cast("int").alias("pr"),
-        F.floor(F.col("c") / SPLIT).cast("int").alias("pc"),
+    up = lambda x: F.floor(F.col(x) / SPLIT).cast("int")
+    inner = cells.select(
+        *scope, "cell.level", up("cell.r").alias("pr"), up("cell.c").alias("pc"), F.col("cell.r").alias("r"),
+        F.col("cell.c").alias("c"), "rep", F.lit(None).cast(dict(targets.dtypes)["id"]).alias("id"),
     )
+    r, c = _cell(F.col("t_lat"), F.col("t_lon"), LEVELS - 1)
+    leaves = targets.select(
+        *scope, F.lit(LEVELS).alias("level"), r.alias("pr"), c.alias("pc"), F.lit(0).alias("r"), F.lit(0).alias("c"),
+        F.struct("t_lat", "t_lon").alias("rep"), "id",
+    )
+    spark = places.sparkSession
+    path = work_folder(spark, "nearest")
+    inner.unionByName(leaves).write.partitionBy("level").parquet(path)
+    return spark.read.parquet(path)
 
 
 def _prune(cand: DataFrame, loc: list[str], level: int) -> DataFrame:
@@ -69,39 +93,37 @@ def _prune(cand: DataFrame, loc: list[str], level: int) -> DataFrame:
 
 
 def nearest(points: DataFrame, places: DataFrame, scope: list[str] | None = None,
-            place_id: str = "geonameid") -> DataFrame:
+            place_id: str = "geonameid", index: DataFrame | None = None) -> DataFrame:
     """(lat, lon, scope..., place id, distance_km) per distinct location of ``points``.
 
     ``scope`` columns must agree between a location and its place.  Distances
-    equal to a millimetre go to the lower id.
+    equal to a millimetre go to the lower id.  ``index`` reuses a table of
+    ``build_index``.
     """
     scope = scope or []
+    index = build_index(places, scope, place_id) if index is None else index
     loc = [*scope, "lat", "lon"]
-    # Equal coordinates are searched once, on either side.
-    targets = places.groupBy(
-        *scope, F.col("lat").alias("t_lat"), wrap_lon(F.col("lon")).alias("t_lon")
-    ).agg(F.min(place_id).alias(place_id))
-    spots = points.select(*loc).distinct().where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    spots = spots.withColumns({"w_lon": wrap_lon(F.col("lon"))})
-
-    roots = _pyramid(targets, scope, 0).groupBy(*scope).agg(
-        F.collect_list(F.struct("r", "c", "rep")).alias("cells")  # at most 4 x 8 cells
+    # Equal locations are searched once.
+    spots = points.select(*loc).distinct().where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        *scope, "lat", F.col("lon").alias("o_lon"), wrap_lon(F.col("lon")).alias("lon")
     )
-    start = spots.join(roots, scope) if scope else spots.join(F.broadcast(roots))
-    cand = start.select(*scope, "lat", F.col("lon").alias("o_lon"), F.col("w_lon").alias("lon"), F.inline("cells"))
     key = [*scope, "lat", "o_lon"]
-    cand = _prune(cand, key, 0)
-    for level in range(1, LEVELS):
-        children = _pyramid(targets, scope, level)
-        kids = cand.withColumnsRenamed({"r": "pr", "c": "pc"}).join(children, [*scope, "pr", "pc"]).drop("pr", "pc")
-        cand = _prune(kids, key, level)
-    r, c = _cell(F.col("t_lat"), F.col("t_lon"), LEVELS - 1)
-    leaves = targets.withColumns({"r": r, "c": c})
-    final = cand.join(leaves, [*scope, "r", "c"])
-    d = haversine_km(F.col("lat"), F.col("lon"), F.col("t_lat"), F.col("t_lon"))
+
+    def level(n: int) -> DataFrame:
+        return index.where(F.col("level") == n).drop("level")
+
+    roots = level(0).groupBy(*scope).agg(F.collect_list(F.struct("r", "c", "rep")).alias("cells"))  # at most 4 x 8
+    start = spots.join(roots, scope) if scope else spots.join(F.broadcast(roots))
+    cand = _prune(start.select(*key, "lon", F.inline("cells")), key, 0)
+    for n in range(1, LEVELS):
+        below = cand.withColumnsRenamed({"r": "pr", "c": "pc"}).join(level(n).drop("id"), [*scope, "pr", "pc"])
+        cand = _prune(below.drop("pr", "pc"), key, n)
+    leaves = level(LEVELS).drop("r", "c")
+    final = cand.withColumnsRenamed({"r": "pr", "c": "pc"}).join(leaves, [*scope, "pr", "pc"])
+    d = haversine_km(F.col("lat"), F.col("lon"), F.col("rep.t_lat"), F.col("rep.t_lon"))
     return final.withColumn("d", d).groupBy(*key).agg(
-        F.min_by(F.struct(F.col(place_id), F.col("d")), F.struct(F.round("d", 6), F.col(place_id))).alias("b")
-    ).select(*scope, "lat", F.col("o_lon").alias("lon"), F.col(f"b.{place_id}").alias(place_id), F.col("b.d").alias("distance_km"))
+        F.min_by(F.struct("id", "d"), F.struct(F.round("d", 6), F.col("id"))).alias("b")
+    ).select(*scope, "lat", F.col("o_lon").alias("lon"), F.col("b.id").alias(place_id), F.col("b.d").alias("distance_km"))
 
 
 def nearest_place(points: DataFrame, places: DataFrame, key: str = "point_id") -> DataFrame:

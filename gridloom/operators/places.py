@@ -33,15 +33,14 @@ def with_norms(places: DataFrame) -> DataFrame:
 def autocomplete(queries: DataFrame, places: DataFrame, limit: int = 10, query: str = "query") -> DataFrame:
     """Best places whose label or city contains the normalised query.
 
-    Every place lists its substrings of the lengths that were asked for and
-    meets the distinct queries in an equi-join, so only true matches come out;
-    the per-query limit is applied per task before the shuffle.
+    Every place lists its substrings of the lengths that were asked for; each
+    substring keeps its best places, per task before the shuffle, so a
+    substring of most places shrinks early.  Queries then meet them by equality.
     """
     asked = queries.select(query).distinct().withColumn("__q", norm_name(F.col(query))).where(
         F.length("__q") >= MIN_QUERY
     )
-    wanted = asked.select("__q").distinct()
-    lengths = wanted.agg(F.collect_set(F.length("__q")).alias("__lens"))  # no longer than a label
+    lengths = asked.agg(F.collect_set(F.length("__q")).alias("__lens"))  # no longer than a label
     subs = lambda s, n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
 
     def substrings(s: Column) -> Column:
@@ -52,9 +51,8 @@ def autocomplete(queries: DataFrame, places: DataFrame, limit: int = 10, query:
         "geonameid", "label", "population",
         F.explode(F.array_distinct(F.concat(substrings(F.col("norm_label")), substrings(F.col("norm_city"))))).alias("__q"),
     )
-    hits = pool.join(wanted, "__q")
     best = Window.partitionBy("__q").orderBy(F.desc("population"), "label", "geonameid")
-    top = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    top = pool.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return asked.join(top, "__q").select(query, "rank", "geonameid", "label", "population")
 
 

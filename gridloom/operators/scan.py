@@ -52,28 +52,20 @@ def global_row_number(
     )
 
 
-def last_before(
-    df: DataFrame, keys: list[str], order: list[Column], value: str, name: str
-) -> DataFrame:
-    """Last non-NULL ``value`` strictly before each row of its key."""
-    chunked = ordered_chunks(df, [F.col(k) for k in keys] + order)
-    inside = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    prior_rows = inside.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
+def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
+    """Last non-NULL ``value`` strictly before each row of its key, in ascending ``order``."""
+    cols = [F.col(c) for c in order]
+    chunked = ordered_chunks(df, [F.col(k) for k in keys] + cols)
+    earlier = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = chunked.withColumn("__prev", F.last(value, ignorenulls=True).over(earlier))
+    # What a chunk hands on: its last value, carried over chunks without any.
+    tails = chunked.groupBy(*keys, CHUNK).agg(
+        F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*cols))).alias("__tail")
     )
-    rows = chunked.withColumns({
-        "__prev": F.last(value, ignorenulls=True).over(prior_rows),
-        "__rn": F.row_number().over(inside),
-        "__tail": F.last(value, ignorenulls=True).over(whole),
-    })
-    tails = rows.where("__rn = 1").select(*keys, CHUNK, F.col("__tail").alias("__t"))
     before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    carried = tails.withColumn("__carry", F.last("__t", ignorenulls=True).over(before)).drop("__t")
+    carried = tails.withColumn("__carry", F.last("__tail", ignorenulls=True).over(before)).drop("__tail")
     out = _join_on(rows, carried, [*keys, CHUNK])
-    return out.withColumn(name, F.coalesce("__prev", "__carry")).drop(
-        "__prev", "__carry", "__rn", "__tail", CHUNK
-    )
+    return out.withColumn(name, F.coalesce("__prev", "__carry")).drop("__prev", "__carry", CHUNK)
 
 
 def _join_on(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

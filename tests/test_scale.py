@@ -38,7 +38,7 @@ def test_hot_key_is_spread_over_chunks(hot):
 
 def test_last_before_carries_over_chunks(hot):
     rows, df = hot
-    out = S.last_before(df, ["session_id"], [F.asc("ts"), F.asc("message_id")], "question_id", "prev")
+    out = S.last_before(df, ["session_id"], ["ts", "message_id"], "question_id", "prev")
     got = {r.message_id: r.prev for r in out.collect()}
     last, want = {}, {}
     for s, t, m, c in sorted(rows, key=lambda r: (r[0], r[1], r[2])):
