@@ -1,6 +1,6 @@
 """Exact nearest neighbour on the sphere without comparing all pairs.
 
-Targets are summarised by a pyramid of cells, each split eight by eight.  A
+Targets are summarised by a pyramid of cells, each split four by four.  A
 location starts from the occupied root cells and, level by level, keeps only
 cells that could still hold something closer than the best place already
 known, so a handful of candidates travels per location however dense a cell
@@ -16,8 +16,8 @@ from gridloom.grid import EARTH_RADIUS_KM, haversine_km, wrap_lon
 from gridloom.storage import work_folder
 
 ROOT_DEG = 45.0
-SPLIT = 8
-LEVELS = 5  # 45, 5.6, 0.70, 0.088 and 0.011 degrees
+SPLIT = 4
+LEVELS = 7  # 45 degrees down to 0.011
 _SLACK_KM = 1e-5
 
 
@@ -62,9 +62,16 @@ def build_index(places: DataFrame, scope: list[str] | None = None, place_id: str
         F.struct(F.lit(level).alias("level"), *[c.alias(n) for n, c in zip("rc", _cell(F.col("t_lat"), F.col("t_lon"), level))])
         for level in range(LEVELS)
     ])).alias("cell")
-    cells = targets.select(*scope, "t_lat", "t_lon", levels).groupBy(*scope, "cell").agg(
-        F.min(F.struct("t_lat", "t_lon")).alias("rep")
+    # The target nearest the middle of a cell gives the tightest bound on average.
+    size = F.lit(ROOT_DEG) / F.pow(F.lit(float(SPLIT)), F.col("cell.level"))
+    off = lambda t, i: F.pow(F.col(t) / size - F.col(i) - 0.5, 2)
+    middle = off("s_lat", "cell.r") + off("s_lon", "cell.c")
+    shifted = targets.select(
+        *scope, "t_lat", "t_lon", levels, (F.col("t_lat") + 90.0).alias("s_lat"), (F.col("t_lon") + 180.0).alias("s_lon")
     )
+    cells = shifted.groupBy(*scope, "cell").agg(
+        F.min(F.struct(middle.alias("m"), "t_lat", "t_lon")).alias("m")
+    ).select(*scope, "cell", F.struct("m.t_lat", "m.t_lon").alias("rep"))
     up = lambda x: F.floor(F.col(x) / SPLIT).cast("int")
     inner = cells.select(
         *scope, "cell.level", up("cell.r").alias("pr"), up("cell.c").alias("pc"), F.col("cell.r").alias("r"),

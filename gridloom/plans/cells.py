@@ -26,18 +26,18 @@ def _(spark, sf):
     return D.at_year(V.annual(spark, sf), 1998, strict=False)
 
 
-@query("reduce_mean", "SELECT i_lat, i_lon, round(avg(value), 6) AS value FROM annual WHERE year BETWEEN 1996 AND 1999 GROUP BY 1, 2")
+@query("reduce_mean", "SELECT i_lat, i_lon, disp(avg(value), 6) AS value FROM annual WHERE year BETWEEN 1996 AND 1999 GROUP BY 1, 2")
 def _(spark, sf):
     return rounded(D.mean_between(V.annual(spark, sf), 1996, 1999, strict=False), "value")
 
 
-@query("anomaly_vs_mean", """SELECT i_lat, i_lon, round(max(value) FILTER (WHERE year = 2000)
+@query("anomaly_vs_mean", """SELECT i_lat, i_lon, disp(max(value) FILTER (WHERE year = 2000)
   - avg(value) FILTER (WHERE year BETWEEN 1995 AND 1998), 6) + 0.0::DOUBLE AS value FROM annual GROUP BY 1, 2""")
 def _(spark, sf):
     return rounded(D.anomaly_vs_mean(V.annual(spark, sf), 2000, 1995, 1998), "value")
 
 
-@query("trend_slope", f"SELECT i_lat, i_lon, round({_SLOPE}, 6) + 0.0::DOUBLE AS value FROM annual WHERE year >= 1996 GROUP BY 1, 2")
+@query("trend_slope", f"SELECT i_lat, i_lon, disp({_SLOPE}, 6) + 0.0::DOUBLE AS value FROM annual WHERE year >= 1996 GROUP BY 1, 2")
 def _(spark, sf):
     return rounded(D.trend_slope(V.annual(spark, sf), start=1996), "value")
 
@@ -47,19 +47,19 @@ def _(spark, sf):
   s AS (SELECT a.i_lat, a.i_lon, sum((year - x0) * (value - my)) AS num,
      sum(CASE WHEN value IS NOT NULL THEN (year - x0) * (year - x0) END) AS den, count(value) AS n
     FROM annual a JOIN m USING (i_lat, i_lon), x GROUP BY 1, 2)
-  SELECT i_lat, i_lon, CASE WHEN n >= 2 AND den > 0 THEN round(10 * num / den, 6) + 0.0::DOUBLE END AS value FROM s""")
+  SELECT i_lat, i_lon, CASE WHEN n >= 2 AND den > 0 THEN disp(10 * num / den, 6) + 0.0::DOUBLE END AS value FROM s""")
 def _(spark, sf):
     return rounded(D.trend_slope_per_decade(V.annual(spark, sf)), "value")
 
 
-@query("monthly_climatology_anomaly", """SELECT i_lat, i_lon, round(max(value) FILTER (WHERE year(t) = 2000)
+@query("monthly_climatology_anomaly", """SELECT i_lat, i_lon, disp(max(value) FILTER (WHERE year(t) = 2000)
   - avg(value) FILTER (WHERE year(t) BETWEEN 1995 AND 1999), 6) + 0.0::DOUBLE AS value
   FROM obs_monthly WHERE month(t) = 6 GROUP BY 1, 2""")
 def _(spark, sf):
     return rounded(D.monthly_climatology_anomaly(V.obs_monthly(spark, sf), 2000, 6, 1995, 1999), "value")
 
 
-@query("mean_over_indices", """SELECT i_lat, i_lon, round(avg(value), 6) AS value FROM obs_gappy
+@query("mean_over_indices", """SELECT i_lat, i_lon, disp(avg(value), 6) AS value FROM obs_gappy
   WHERE day(t) IN (1, 15) AND year(t) >= 1997 GROUP BY 1, 2""")
 def _(spark, sf):
     obs = V.obs_gappy(spark, sf)
@@ -82,7 +82,7 @@ def daily_small(spark, sf):
 @query("daily_window_anomaly", """WITH a AS (SELECT i_lat, i_lon, avg(value) AS v FROM daily_small
     WHERE t BETWEEN DATE '2000-06-01' AND DATE '2000-06-30' GROUP BY 1, 2),
   b AS (SELECT i_lat, i_lon, avg(value) AS v FROM obs_monthly WHERE month(t) = 6 AND year(t) BETWEEN 1996 AND 1999 GROUP BY 1, 2)
-  SELECT i_lat, i_lon, round(a.v - b.v, 6) + 0.0::DOUBLE AS value FROM a JOIN b USING (i_lat, i_lon)""")
+  SELECT i_lat, i_lon, disp(a.v - b.v, 6) + 0.0::DOUBLE AS value FROM a JOIN b USING (i_lat, i_lon)""")
 def _(spark, sf):
     out = D.daily_window_anomaly(
         daily_small(spark, sf), V.obs_monthly(spark, sf),
@@ -97,17 +97,17 @@ def _(spark, sf):
     FROM e GROUP BY 1, 2),
   c AS (SELECT i_lat, i_lon, avg(value) FILTER (WHERE year BETWEEN 1999 AND 2001) - avg(value) FILTER (WHERE year BETWEEN 1995 AND 1997) AS a
     FROM annual GROUP BY 1, 2)
-  SELECT i_lat, i_lon, round(a + b, 6) + 0.0::DOUBLE AS value FROM c JOIN o USING (i_lat, i_lon)""")
+  SELECT i_lat, i_lon, disp(a + b, 6) + 0.0::DOUBLE AS value FROM c JOIN o USING (i_lat, i_lon)""")
 def _(spark, sf):
     offset = R.multi_model_offset(V.models(spark, sf), (1995, 1996), (1998, 2000))
     out = D.blended_preindustrial_anomaly(V.annual(spark, sf), offset, (1999, 2001), (1995, 1997))
     return rounded(out, "value")
 
 
-@query("derive_metrics", """WITH a AS (SELECT i_lat, i_lon, round(avg(value), 6) AS value FROM annual WHERE year BETWEEN 1999 AND 2001 GROUP BY 1, 2),
-  b AS (SELECT i_lat, i_lon, round(avg(value), 6) AS value FROM annual WHERE year BETWEEN 1995 AND 1997 GROUP BY 1, 2)
+@query("derive_metrics", """WITH a AS (SELECT i_lat, i_lon, disp(avg(value), 6) AS value FROM annual WHERE year BETWEEN 1999 AND 2001 GROUP BY 1, 2),
+  b AS (SELECT i_lat, i_lon, disp(avg(value), 6) AS value FROM annual WHERE year BETWEEN 1995 AND 1997 GROUP BY 1, 2)
   SELECT 'recent' AS metric_id, * FROM a UNION ALL SELECT 'early', * FROM b
-  UNION ALL SELECT 'change', i_lat, i_lon, round(a.value - b.value, 6) + 0.0::DOUBLE FROM a JOIN b USING (i_lat, i_lon)""")
+  UNION ALL SELECT 'change', i_lat, i_lon, disp(a.value - b.value, 6) + 0.0::DOUBLE FROM a JOIN b USING (i_lat, i_lon)""")
 def _(spark, sf):
     mean = lambda s, e: lambda a: rounded(D.mean_between(a, s, e, strict=False), "value")
     out, _skipped = D.derive_metrics(
@@ -134,7 +134,7 @@ def monthly_pos(spark, sf):
     return V.obs_monthly(spark, sf).withColumn("pos", F.row_number().over(w))
 
 
-@query("rolling_mean_centered", """SELECT i_lat, i_lon, pos, CASE WHEN count(*) OVER w = 5 THEN round(avg(value) OVER w, 6) END AS rolling
+@query("rolling_mean_centered", """SELECT i_lat, i_lon, pos, CASE WHEN count(*) OVER w = 5 THEN disp(avg(value) OVER w, 6) END AS rolling
   FROM monthly_pos WINDOW w AS (PARTITION BY i_lat, i_lon ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def _(spark, sf):
     out = D.rolling_mean_centered(monthly_pos(spark, sf), CELL, window=4)
@@ -142,7 +142,7 @@ def _(spark, sf):
 
 
 @query("rolling_mean_min_periods", """WITH g AS (SELECT *, CASE WHEN pos % 4 = 0 THEN value END AS mean FROM monthly_pos)
-  SELECT i_lat, i_lon, pos, round(coalesce(mean, CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END), 6) AS rolling
+  SELECT i_lat, i_lon, pos, disp(coalesce(mean, CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END), 6) AS rolling
   FROM g WINDOW w AS (PARTITION BY i_lat, i_lon ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""")
 def _(spark, sf):
     s = monthly_pos(spark, sf).withColumn("mean", F.when(F.col("pos") % 4 == 0, F.col("value")))
@@ -152,7 +152,7 @@ def _(spark, sf):
 
 @query("linear_trend_line", f"""WITH f AS (SELECT i_lat, i_lon, {_SLOPE} AS b, {_ICPT} AS a, max(year) AS last FROM annual GROUP BY 1, 2),
   r AS (SELECT i_lat, i_lon, year FROM annual UNION ALL SELECT i_lat, i_lon, 2010 FROM f WHERE last < 2010)
-  SELECT i_lat, i_lon, CAST(year AS INTEGER) AS year, round(a + b * year, 4) + 0.0::DOUBLE AS trend FROM r JOIN f USING (i_lat, i_lon)""")
+  SELECT i_lat, i_lon, CAST(year AS INTEGER) AS year, disp(a + b * year, 4) + 0.0::DOUBLE AS trend FROM r JOIN f USING (i_lat, i_lon)""")
 def _(spark, sf):
     return rounded(D.linear_trend_line(V.annual(spark, sf), CELL, x="year", extend_to=2010), "trend", digits=4)
 
@@ -177,7 +177,7 @@ def _(spark, sf):
   f AS (SELECT i_lat, i_lon, {_SLOPE.replace('year', 'x')} AS b, {_ICPT.replace('year', 'x')} AS a FROM x GROUP BY 1, 2),
   l AS (SELECT i_lat, i_lon, x, a + b * x AS trend FROM x JOIN f USING (i_lat, i_lon) WHERE b IS NOT NULL),
   e AS (SELECT i_lat, i_lon, min(x) AS x0, max(x) AS x1, arg_min(trend, x) AS y0, arg_max(trend, x) AS y1 FROM l GROUP BY 1, 2)
-  SELECT i_lat, i_lon, CASE WHEN x1 > x0 THEN round((y1 - y0) / ((x1 - x0) / (365.2425::DOUBLE * 86400)) * 10, 4) + 0.0::DOUBLE END AS per_decade FROM e""")
+  SELECT i_lat, i_lon, CASE WHEN x1 > x0 THEN disp((y1 - y0) / ((x1 - x0) / (365.2425::DOUBLE * 86400)) * 10, 4) + 0.0::DOUBLE END AS per_decade FROM e""")
 def _(spark, sf):
     s = V.annual(spark, sf).select(*CELL, D.label_to_x(F.col("year").cast("string")).alias("x"), "value")
     line = D.linear_trend_line(s, CELL, x="x")

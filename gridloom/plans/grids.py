@@ -42,7 +42,7 @@ _AXES = "WITH " + _axis_sql("rw", 45, "90 - (i + 0.5::DOUBLE) * 4", "lat") + ",
     FROM rw CROSS JOIN cl LEFT JOIN source_grid n ON n.lat = rw.near AND n.lon = cl.near
     LEFT JOIN source_grid a ON a.lat = rw.lo AND a.lon = cl.lo LEFT JOIN source_grid b ON b.lat = rw.lo AND b.lon = cl.hi
     LEFT JOIN source_grid c ON c.lat = rw.hi AND c.lon = cl.lo LEFT JOIN source_grid d ON d.lat = rw.hi AND d.lon = cl.hi)
-  SELECT * FROM (SELECT i_lat, i_lon, round(CASE WHEN o THEN nv ELSE (1 - wx) * ((1 - wy) * v00 + wy * v10) + wx * ((1 - wy) * v01 + wy * v11) END, 6) AS value FROM g) WHERE value IS NOT NULL""")
+  SELECT * FROM (SELECT i_lat, i_lon, disp(CASE WHEN o THEN nv ELSE (1 - wx) * ((1 - wy) * v00 + wy * v10) + wx * ((1 - wy) * v01 + wy * v11) END, 6) AS value FROM g) WHERE value IS NOT NULL""")
 def _(spark, sf):
     return rounded(RGD.regrid(source_grid(spark, sf), TARGET), "value").where("value IS NOT NULL")
 
@@ -81,7 +81,7 @@ _Y = "ln(tan(pi() / 4 + radians(90 - (i + 0.5::DOUBLE) * 10) / 2))"
   t AS (SELECT CAST(k AS INTEGER) AS row, top - k * ((top - bot) / 17) AS yt FROM range(18) r(k), b),
   s AS (SELECT p.i_lon, p.i_lat, p.value AS v, q.value AS v1, u.y AS y, w.y AS y1 FROM raster p JOIN raster q ON q.i_lon = p.i_lon AND q.i_lat = p.i_lat + 1
      JOIN ax u ON u.i = p.i_lat JOIN ax w ON w.i = q.i_lat WHERE p.value IS NOT NULL AND q.value IS NOT NULL)
-  SELECT row, i_lon, round(v1 + (v - v1) * least(greatest((yt - y1) / (y - y1), 0), 1), 6) AS value FROM s JOIN t ON yt <= y + 1e-9 AND yt >= y1 - 1e-9
+  SELECT row, i_lon, disp(v1 + (v - v1) * least(greatest((yt - y1) / (y - y1), 0), 1), 6) AS value FROM s JOIN t ON yt <= y + 1e-9 AND yt >= y1 - 1e-9
   QUALIFY row_number() OVER (PARTITION BY row, i_lon ORDER BY i_lat) = 1""")
 def _(spark, sf):
     return rounded(RGD.mercator_rows(V.raster(spark, sf), V.RASTER), "value")
@@ -142,6 +142,6 @@ def _(spark, sf):
     atan2(sum(sin(radians(lon))), sum(cos(radians(lon)))) AS a FROM vertices GROUP BY 1, 2, 3, 4),
   g AS (SELECT norm_name, sum(lat * n) / sum(n) AS lat, degrees(atan2(sum(sin(a) * n), sum(cos(a) * n))) AS lon, CAST(sum(n) AS BIGINT) AS vertices FROM p GROUP BY 1),
   l AS (SELECT norm_name, name AS label FROM p QUALIFY row_number() OVER (PARTITION BY norm_name ORDER BY length(name) DESC, feature_order) = 1)
-  SELECT norm_name, label, round(lat, 5) + 0.0::DOUBLE AS lat, round(((lon + 180) - floor((lon + 180) / 360) * 360) - 180, 5) + 0.0::DOUBLE AS lon, vertices FROM g JOIN l USING (norm_name)""")
+  SELECT norm_name, label, disp(lat, 5) + 0.0::DOUBLE AS lat, disp(((lon + 180) - floor((lon + 180) / 360) * 360) - 180, 5) + 0.0::DOUBLE AS lon, vertices FROM g JOIN l USING (norm_name)""")
 def _(spark, sf):
     return rounded(RGD.circular_centroids(vertices(spark, sf)), "lat", "lon", digits=5)

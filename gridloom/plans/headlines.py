@@ -19,7 +19,7 @@ _WIN = """SELECT geonameid, max(latest) AS latest_year, CASE WHEN count(value) F
 _GATES = {"start": 1995, "end": 1997, "need_recent": 4, "need_base": 2}
 
 
-@query("recent_vs_window", f"{_L} SELECT geonameid, latest_year, round(value, 6) + 0.0::DOUBLE AS value FROM ({_WIN})")
+@query("recent_vs_window", f"{_L} SELECT geonameid, latest_year, disp(value, 6) + 0.0::DOUBLE AS value FROM ({_WIN})")
 def _(spark, sf):
     return rounded(I.recent_vs_window(place_annual(spark, sf), K, **_GATES), "value")
 
@@ -33,12 +33,12 @@ def place_offset(spark, sf):
 
 
 @query("recent_vs_preindustrial", f"""{_L}, w AS ({_WIN}), o AS (SELECT geonameid, arg_max(value, year) AS off FROM place_offset WHERE value IS NOT NULL GROUP BY 1)
-  SELECT geonameid, latest_year, round(value + off, 6) + 0.0::DOUBLE AS value FROM w LEFT JOIN o USING (geonameid)""")
+  SELECT geonameid, latest_year, disp(value + off, 6) + 0.0::DOUBLE AS value FROM w LEFT JOIN o USING (geonameid)""")
 def _(spark, sf):
     return rounded(I.recent_vs_preindustrial(place_annual(spark, sf), place_offset(spark, sf), K, **_GATES), "value")
 
 
-@query("recent_vs_year", f"""{_L} SELECT geonameid, max(latest) AS latest_year, round(CASE WHEN count(value) FILTER (WHERE year > latest - 5) >= 4
+@query("recent_vs_year", f"""{_L} SELECT geonameid, max(latest) AS latest_year, disp(CASE WHEN count(value) FILTER (WHERE year > latest - 5) >= 4
   THEN avg(value) FILTER (WHERE year > latest - 5) - max(value) FILTER (WHERE year = 1996) END, 6) + 0.0::DOUBLE AS value FROM l GROUP BY 1""")
 def _(spark, sf):
     return rounded(I.recent_vs_year(place_annual(spark, sf), K, 1996), "value")
@@ -95,19 +95,19 @@ _ENDS = """WITH p AS (SELECT *, row_number() OVER (PARTITION BY geonameid ORDER
   e AS (SELECT geonameid, avg(value) FILTER (WHERE p <= {n}) AS first_mean, avg(value) FILTER (WHERE b <= {n}) AS last_mean FROM p GROUP BY 1)"""
 
 
-@query("first_last_window_mean", f"{_ENDS.format(n=3)} SELECT geonameid, round(first_mean, 6) AS first_mean, round(last_mean, 6) AS last_mean FROM e")
+@query("first_last_window_mean", f"{_ENDS.format(n=3)} SELECT geonameid, disp(first_mean, 6) AS first_mean, disp(last_mean, 6) AS last_mean FROM e")
 def _(spark, sf):
     return rounded(I.first_last_mean(place_annual(spark, sf), K, 3), "first_mean", "last_mean")
 
 
 for _ext, _dir in [("max", "DESC"), ("min", "ASC")]:
     query(f"typical_extreme_month_{_ext}", f"""WITH m AS (SELECT geonameid, month, avg(value) AS v FROM place_monthly WHERE year > (SELECT max(year) FROM place_monthly) - 4 AND value IS NOT NULL GROUP BY 1, 2)
-      SELECT geonameid, month, round(v, 6) AS value FROM m QUALIFY row_number() OVER (PARTITION BY geonameid ORDER BY v {_dir}, month) = 1""")(
+      SELECT geonameid, month, disp(v, 6) AS value FROM m QUALIFY row_number() OVER (PARTITION BY geonameid ORDER BY v {_dir}, month) = 1""")(
         lambda spark, sf, e=_ext: rounded(I.typical_extreme_month(place_monthly(spark, sf), K, e, recent_years=4), "value")
     )
 
 
-@query("seasonal_yearly_means", """SELECT geonameid, year, round(avg(value), 6) AS value FROM place_monthly
+@query("seasonal_yearly_means", """SELECT geonameid, year, disp(avg(value), 6) AS value FROM place_monthly
   WHERE value IS NOT NULL AND ((lat >= 0 AND month IN (12, 1, 2)) OR (lat < 0 AND month IN (6, 7, 8))) GROUP BY 1, 2""")
 def _(spark, sf):
     return rounded(I.seasonal_yearly_means(place_monthly(spark, sf), K), "value")
@@ -115,7 +115,7 @@ def _(spark, sf):
 
 @query("local_vs_global_ratio", f"""WITH l AS (SELECT geonameid, {_SLOPE} * 10 AS per_decade FROM place_annual GROUP BY 1), g AS (SELECT {_SLOPE} * 10 AS global_rate FROM globe_series),
   r AS (SELECT *, CASE WHEN global_rate <> 0 THEN round(per_decade / global_rate, 9) END AS ratio FROM l, g WHERE per_decade IS NOT NULL)
-  SELECT geonameid, round(per_decade, 6) + 0.0::DOUBLE AS per_decade, round(global_rate, 6) AS global_rate, round(ratio, 6) + 0.0::DOUBLE AS ratio,
+  SELECT geonameid, disp(per_decade, 6) + 0.0::DOUBLE AS per_decade, disp(global_rate, 6) AS global_rate, disp(ratio, 6) + 0.0::DOUBLE AS ratio,
     CASE WHEN ratio >= 1.15 THEN 'faster' WHEN ratio <= 0.85 THEN 'slower' ELSE 'in step' END AS verdict FROM r""")
 def _(spark, sf):
     local = I.trend_per_decade(place_annual(spark, sf), K)
@@ -125,7 +125,7 @@ def _(spark, sf):
 
 @query("rainfall_change_pct", f"""{_ENDS.format(n=3)}, c AS (SELECT *, CASE WHEN first_mean <> 0 THEN round((last_mean - first_mean) / first_mean * 100, 9) ELSE 0 END AS change_pct FROM e
     WHERE first_mean IS NOT NULL AND last_mean IS NOT NULL)
-  SELECT geonameid, round(first_mean, 6) AS first_mean, round(last_mean, 6) AS last_mean, round(change_pct, 6) + 0.0::DOUBLE AS change_pct,
+  SELECT geonameid, disp(first_mean, 6) AS first_mean, disp(last_mean, 6) AS last_mean, disp(change_pct, 6) + 0.0::DOUBLE AS change_pct,
     CASE WHEN change_pct >= 5 THEN 'increased' WHEN change_pct <= -5 THEN 'decreased' ELSE 'stable' END AS verdict FROM c""")
 def _(spark, sf):
     return rounded(I.rainfall_change(place_annual(spark, sf), K, 3), "first_mean", "last_mean", "change_pct")

@@ -138,8 +138,8 @@ def _(spark, sf):
      CAST(greatest(0, least(899, floor((90 - lat) / 0.2::DOUBLE))) AS INTEGER) AS f_lat,
      CAST(greatest(0, least(1799, floor(((((lon + 180) - floor((lon + 180) / 360) * 360) - 180) + 180) / 0.2::DOUBLE))) AS INTEGER) AS f_lon FROM point_cells),
   j AS (SELECT p.*, m.i_lat IS NOT NULL AS fine FROM p LEFT JOIN mask_a m ON m.i_lat = p.i_lat AND m.i_lon = p.i_lon)
-  SELECT point_id, fine, round(CASE WHEN fine THEN 90 - (f_lat + 0.5::DOUBLE) * 0.2::DOUBLE - 0.1::DOUBLE ELSE 90 - (i_lat + 0.5::DOUBLE) - 0.5::DOUBLE END, 6) AS box_lat_min,
-    round(CASE WHEN fine THEN -180 + (f_lon + 0.5::DOUBLE) * 0.2::DOUBLE - 0.1::DOUBLE ELSE -180 + (i_lon + 0.5::DOUBLE) - 0.5::DOUBLE END, 6) AS box_lon_min FROM j""")
+  SELECT point_id, fine, round(CASE WHEN fine THEN 90 - (f_lat + 0.5::DOUBLE) * 0.2::DOUBLE - 0.1::DOUBLE ELSE 90 - (i_lat + 0.5::DOUBLE) - 0.5::DOUBLE END, 6) + 0.0::DOUBLE AS box_lat_min,
+    round(CASE WHEN fine THEN -180 + (f_lon + 0.5::DOUBLE) * 0.2::DOUBLE - 0.1::DOUBLE ELSE -180 + (i_lon + 0.5::DOUBLE) - 0.5::DOUBLE END, 6) + 0.0::DOUBLE AS box_lon_min FROM j""")
 def _(spark, sf):
     out = M.fine_or_coarse_bbox(V.points(spark, sf), V.mask_a(spark, sf), V.TOY, V.TOY_FINE)
     return out.select("point_id", "fine", (F.round("box_lat_min", 6) + 0.0).alias("box_lat_min"),

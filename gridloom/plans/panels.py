@@ -45,7 +45,7 @@ _GRAPHS = {
    UNION ALL SELECT point_id, 'water', 'rain', x, value, 'mm' FROM chart_rows WHERE metric_id = 'rain'
    UNION ALL SELECT point_id, 'water', 'heat_again', x, value * 9 / 5 + 32, 'F' FROM chart_rows WHERE metric_id = 'heat'),
   s AS (SELECT geonameid AS point_id, geonameid IN (SELECT point_id FROM chart_rows WHERE metric_id = 'heat') AS h, geonameid IN (SELECT point_id FROM chart_rows WHERE metric_id = 'rain') AS r FROM places)
-  SELECT d.point_id, graph_id, series_key, x, round(y, 4) + 0.0::DOUBLE AS y, unit, CAST(NULL AS VARCHAR) AS error FROM d JOIN s USING (point_id) WHERE h AND (r OR graph_id = 'temperature')
+  SELECT d.point_id, graph_id, series_key, x, disp(y, 4) + 0.0::DOUBLE AS y, unit, CAST(NULL AS VARCHAR) AS error FROM d JOIN s USING (point_id) WHERE h AND (r OR graph_id = 'temperature')
   UNION ALL SELECT point_id, 'temperature', NULL, NULL, NULL, NULL, 'Missing data - graph can''t be displayed.' FROM s WHERE NOT h
   UNION ALL SELECT point_id, 'water', NULL, NULL, NULL, NULL, 'Missing data - graph can''t be displayed.' FROM s WHERE NOT (h AND r)""")
 def _(spark, sf):
@@ -80,9 +80,9 @@ def _(spark, sf):
 
 
 @query("global_panel_series", f"""WITH g AS (SELECT year, mean, max FROM region_values WHERE region_key = 'globe'), f AS (SELECT regr_slope(mean, year) AS b, regr_intercept(mean, year) AS a FROM g)
-  SELECT 'air' AS panel_id, 'annual' AS series_key, year AS x, round(mean, 4) AS y, 'mm' AS unit FROM g
-  UNION ALL SELECT 'air', 'annual_linear_trend_line', year, round(a + b * year, 4), 'mm' FROM g, f
-  UNION ALL SELECT 'extremes', 'top', year, round(max * 9 / 5 + 32, 4), 'F' FROM g""")
+  SELECT 'air' AS panel_id, 'annual' AS series_key, year AS x, disp(mean, 4) AS y, 'mm' AS unit FROM g
+  UNION ALL SELECT 'air', 'annual_linear_trend_line', year, disp(a + b * year, 4), 'mm' FROM g, f
+  UNION ALL SELECT 'extremes', 'top', year, disp(max * 9 / 5 + 32, 4), 'F' FROM g""")
 def _(spark, sf):
     rv = region_values(spark, sf)
     parts = [

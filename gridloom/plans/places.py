@@ -138,7 +138,7 @@ _HAV = "2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians(q.lat - p.lat) / 2)
 @query("nearest_place", f"""WITH d AS (SELECT p.lat, p.lon, q.geonameid, round({_HAV}, 6) AS r, {_HAV} AS km FROM (SELECT DISTINCT lat, lon FROM points) p, places q),
   b AS (SELECT lat, lon, min(r) AS r FROM d GROUP BY 1, 2),
   n AS (SELECT d.lat, d.lon, min(d.geonameid) AS geonameid, min(d.km) AS km FROM d JOIN b ON b.lat = d.lat AND b.lon = d.lon AND b.r = d.r GROUP BY 1, 2)
-  SELECT point_id, geonameid, round(km, 4) AS distance_km FROM points JOIN n USING (lat, lon)""")
+  SELECT point_id, geonameid, disp(km, 4) AS distance_km FROM points JOIN n USING (lat, lon)""")
 def _(spark, sf):
     return rounded(N.nearest_place(V.points(spark, sf), V.places(spark, sf)), "distance_km", digits=4)
 
@@ -186,7 +186,7 @@ def spots(spark, sf):
       j.country_code IN (SELECT country_code FROM places) AS inhabited, j.country_code IS NULL AND ocean_id IS NOT NULL AS wet FROM j JOIN places q ON q.geonameid = gid)
   SELECT point_id, gid AS geonameid, CASE WHEN wet AND km <= 2 THEN city WHEN wet AND km <= 80 THEN coalesce(ocean_name, 'Open Ocean') || ' off ' || city
       WHEN wet THEN coalesce(ocean_name, 'Open Ocean') WHEN country_code IS NOT NULL AND NOT inhabited THEN coalesce(cname, city) ELSE city END AS label,
-    round(km, 4) AS distance_km, pcc AS country_code, CASE WHEN NOT wet AND pop > 0 THEN pop END AS population FROM k""")
+    disp(km, 4) AS distance_km, pcc AS country_code, CASE WHEN NOT wet AND pop > 0 THEN pop END AS population FROM k""")
 def _(spark, sf):
     names = land(spark, sf).select("code", "name")
     return rounded(N.resolve_place(spots(spark, sf), V.places(spark, sf), names), "distance_km", digits=4)

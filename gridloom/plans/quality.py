@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from gridloom.contract import CELL
+from gridloom.grid import Grid
 from gridloom.operators import quality as Q, regions as RG
 from gridloom.plans import views as V
 from gridloom.plans.queries import region_values, wide_series
@@ -31,10 +32,10 @@ def _(spark, sf):
 V.SQL_VIEWS["annual_cells"] = "SELECT i_lat, i_lon FROM annual GROUP BY 1, 2 HAVING count(value) > 0"
 
 
-def annual_series(spark, sf):
+def annual_series(spark, sf, grid=V.TOY):
     long = V.annual(spark, sf).withColumn("t", F.make_date("year", F.lit(1), F.lit(1)))
     axis = S.build_axis("annual", long, "year")
-    return S.pack_series(long, axis, "annual", V.TOY), axis
+    return S.pack_series(long, axis, "annual", grid), axis
 
 
 @query("scan_series", """SELECT c.i_lat, c.i_lon, y.year, a.value FROM annual_cells c CROSS JOIN (SELECT DISTINCT year FROM annual) y
@@ -215,11 +216,11 @@ def _(spark, sf):
     return Q.absent_rankings(declared, stored)
 
 
-@query("tile_presence", """SELECT CAST(a AS INTEGER) AS tile_r, CAST(b AS INTEGER) AS tile_c FROM range(2, 9) r(a), range(3, 20) s(b)
-  WHERE (a, b) NOT IN (SELECT (i_lat // 16, i_lon // 16) FROM annual_cells)""")
+@query("tile_presence", """SELECT CAST(a AS INTEGER) AS tile_r, CAST(b AS INTEGER) AS tile_c FROM range(8, 36) r(a), range(12, 80) s(b)
+  WHERE (a, b) NOT IN (SELECT (i_lat // 4, i_lon // 4) FROM annual_cells)""")
 def _(spark, sf):
-    series, _axis = annual_series(spark, sf)
-    return Q.missing_tiles(series, "annual", rows=(2, 8), cols=(3, 19))
+    series, _axis = annual_series(spark, sf, Grid("toy_1deg", 1.0, 180, 360, tile_size=4))
+    return Q.missing_tiles(series, "annual", rows=(8, 35), cols=(12, 79))
 
 
 @query("orphan_artifacts", """SELECT 'series' AS kind, 'm' || (p_partkey % 97) AS artifact_id, p_brand AS version FROM part WHERE ('m' || (p_partkey % 97), p_brand) NOT IN (SELECT ('m' || (l_partkey % 97), p_brand) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49)""")

@@ -233,7 +233,7 @@ def _(spark, sf):
     return H.resolve_regions(asked, info)
 
 
-@query("region_series_query", """SELECT 'continent:ASIA' AS region_key, CAST(year AS VARCHAR) AS x, round(value * 9 / 5 + 32, 6) AS value
+@query("region_series_query", """SELECT 'continent:ASIA' AS region_key, CAST(year AS VARCHAR) AS x, disp(value * 9 / 5 + 32, 6) AS value
   FROM region_series WHERE region_key = 'continent:ASIA' AND year BETWEEN 1996 AND 2000""")
 def _(spark, sf):
     rs = region_series(spark, sf).withColumn("axis_label", F.col("year").cast("string"))
@@ -251,7 +251,7 @@ def globe_monthly(spark, sf):
     return g.select("region_key", F.date_format("t", "yyyy-MM").alias("axis_label"), F.col("mean").alias("value"))
 
 
-@query("region_series_query_seasonal", """SELECT region_key, substr(axis_label, 1, 4) AS x, round(avg(value), 6) AS value FROM globe_monthly
+@query("region_series_query_seasonal", """SELECT region_key, substr(axis_label, 1, 4) AS x, disp(avg(value), 6) AS value FROM globe_monthly
   WHERE CAST(substr(axis_label, 6, 2) AS INTEGER) IN (6, 7, 8) GROUP BY 1, 2""")
 def _(spark, sf):
     out = H.region_series_query(globe_monthly(spark, sf), "globe", months=[6, 7, 8], by_year=True)
@@ -267,7 +267,7 @@ def _(spark, sf):
 @query("rank_of_point", """WITH d AS (SELECT point_id, rank, value, greatest(abs(r.lat - p.lat), abs(r.lon - p.lon)) AS d FROM points p JOIN ranked_mean r
     ON r.lat BETWEEN p.lat - 0.35 AND p.lat + 0.35 AND r.lon BETWEEN p.lon - 0.35 AND p.lon + 0.35),
   b AS (SELECT * FROM d WHERE d < 0.35::DOUBLE QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, rank) = 1)
-  SELECT point_id, rank, value, (SELECT count(*) FROM ranked_mean) AS total, round(((SELECT count(*) FROM ranked_mean) - rank) / (SELECT count(*) FROM ranked_mean) * 100, 6) AS share_below FROM b""")
+  SELECT point_id, rank, value, (SELECT count(*) FROM ranked_mean) AS total, disp(((SELECT count(*) FROM ranked_mean) - rank) / (SELECT count(*) FROM ranked_mean) * 100, 6) AS share_below FROM b""")
 def _(spark, sf):
     ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.RASTER, "mean")
     return rounded(H.rank_of_points(V.points(spark, sf), ranking), "share_below")

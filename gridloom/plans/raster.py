@@ -33,18 +33,18 @@ def _(spark, sf):
 V.SQL_VIEWS["scale"] = "SELECT quantile_cont(value, 0.02) AS vmin, quantile_cont(value, 0.98) AS vmax FROM raster"
 
 
-@query("resolve_scale", "SELECT round(vmin, 6) AS vmin, round(vmax, 6) AS vmax FROM scale")
+@query("resolve_scale", "SELECT disp(vmin, 6) AS vmin, disp(vmax, 6) AS vmax FROM scale")
 def _(spark, sf):
     return rounded(E.resolve_scale(V.raster(spark, sf)), "vmin", "vmax")
 
 
-@query("resolve_scale_daily", "SELECT round(quantile_cont(value, 0.02), 6) AS vmin, 45.0::DOUBLE AS vmax FROM obs_daily")
+@query("resolve_scale_daily", "SELECT disp(quantile_cont(value, 0.02), 6) AS vmin, 45.0::DOUBLE AS vmax FROM obs_daily")
 def _(spark, sf):
     return rounded(E.resolve_scale(V.obs_daily(spark, sf), vmax=45.0), "vmin", "vmax")
 
 
 @query("legend_ticks", """SELECT CAST(k AS INTEGER) AS tick, round(vmax - k * ((vmax - vmin) / 4), 2) AS value
-  FROM (SELECT round(vmin, 6) AS vmin, round(vmax, 6) AS vmax FROM scale), range(5) r(k)""")
+  FROM (SELECT disp(vmin, 6) AS vmin, disp(vmax, 6) AS vmax FROM scale), range(5) r(k)""")
 def _(spark, sf):
     return E.legend_ticks(rounded(E.resolve_scale(V.raster(spark, sf)), "vmin", "vmax"))
 

@@ -15,7 +15,7 @@ from gridloom.plans.rounding import rounded
 
 # --- coordinates, predicates, units -------------------------------------------------
 
-@query("normalize_lon", "SELECT point_id, round(((lon + 180) - floor((lon + 180) / 360) * 360) - 180, 6) AS lon FROM points")
+@query("normalize_lon", "SELECT point_id, disp(((lon + 180) - floor((lon + 180) / 360) * 360) - 180, 6) AS lon FROM points")
 def _(spark, sf):
     return rounded(V.points(spark, sf).select("point_id", G.wrap_lon(F.col("lon")).alias("lon")), "lon")
 
@@ -63,7 +63,7 @@ def _(spark, sf):
     )
 
 
-@query("postprocess", "SELECT i_lat, i_lon, t, round((value - 273.15::DOUBLE) * 1000 * 0.1::DOUBLE, 6) AS value FROM obs_daily")
+@query("postprocess", "SELECT i_lat, i_lon, t, disp((value - 273.15::DOUBLE) * 1000 * 0.1::DOUBLE, 6) AS value FROM obs_daily")
 def _(spark, sf):
     steps = ["k_to_c", "m_to_mm", ("scale", 0.1)]
     out = V.obs_daily(spark, sf).withColumn("value", units.postprocess(F.col("value"), steps))
@@ -71,7 +71,7 @@ def _(spark, sf):
 
 
 @query("convert_unit", """SELECT i_lat, i_lon, t, disp(value * 9 / 5 + 32, 3) AS absolute,
-  disp(value * 9 / 5, 3) AS delta, round((value - 32) * 5 / 9, 6) AS to_c FROM obs_daily""")
+  disp(value * 9 / 5, 3) AS delta, disp((value - 32) * 5 / 9, 6) AS to_c FROM obs_daily""")
 def _(spark, sf):
     v = F.col("value")
     out = V.obs_daily(spark, sf).select(
@@ -182,12 +182,12 @@ for _name, _fn, _agg in [
         FROM obs_gappy GROUP BY 1, 2, 3),
       span AS (SELECT i_lat, i_lon, min(t) AS a, max(t) AS b FROM m GROUP BY 1, 2),
       spine AS (SELECT i_lat, i_lon, CAST(unnest(generate_series(a, b, INTERVAL 1 MONTH)) AS DATE) AS t FROM span)
-      SELECT i_lat, i_lon, t, round(value, 6) AS value FROM spine LEFT JOIN m USING (i_lat, i_lon, t)""")(
+      SELECT i_lat, i_lon, t, disp(value, 6) AS value FROM spine LEFT JOIN m USING (i_lat, i_lon, t)""")(
         lambda spark, sf, fn=_fn: rounded(fn(V.obs_gappy(spark, sf), fill_gaps=True), "value")
     )
 
 
-@query("annual_mean_from_monthly", """SELECT i_lat, i_lon, CAST(year(t) AS INTEGER) AS year, round(avg(value), 6) AS value
+@query("annual_mean_from_monthly", """SELECT i_lat, i_lon, CAST(year(t) AS INTEGER) AS year, disp(avg(value), 6) AS value
   FROM obs_monthly GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return rounded(R.annual_mean_of_months(V.obs_monthly(spark, sf)), "value")
@@ -195,23 +195,23 @@ def _(spark, sf):
 
 @query("annual_mean_from_daily", """WITH m AS (SELECT i_lat, i_lon, date_trunc('month', t) AS t, avg(value) AS value
   FROM obs_gappy GROUP BY 1, 2, 3)
-  SELECT i_lat, i_lon, CAST(year(t) AS INTEGER) AS year, round(avg(value), 6) AS value FROM m GROUP BY 1, 2, 3""")
+  SELECT i_lat, i_lon, CAST(year(t) AS INTEGER) AS year, disp(avg(value), 6) AS value FROM m GROUP BY 1, 2, 3""")
 def _(spark, sf):
     return rounded(R.annual_mean_from_daily(V.obs_gappy(spark, sf)), "value")
 
 
-@query("annual_sum_from_daily", "SELECT i_lat, i_lon, year, round(value, 6) AS value FROM annual")
+@query("annual_sum_from_daily", "SELECT i_lat, i_lon, year, disp(value, 6) AS value FROM annual")
 def _(spark, sf):
     return rounded(R.annual_sum(V.obs_gappy(spark, sf)), "value")
 
 
-@query("annual_group", """SELECT CAST(year(t) AS INTEGER) AS year, round(avg(value), 6) AS mean, round(sum(value), 4) AS sum, max(value) AS max
+@query("annual_group", """SELECT CAST(year(t) AS INTEGER) AS year, disp(avg(value), 6) AS mean, disp(sum(value), 4) AS sum, max(value) AS max
   FROM obs_gappy GROUP BY 1""")
 def _(spark, sf):
     obs = V.obs_gappy(spark, sf)
     how = lambda h: R.annual_group(obs, h, keys=[]).withColumnRenamed("value", h)
     out = how("mean").join(how("sum"), "year").join(how("max"), "year")
-    return out.withColumns({"mean": F.round("mean", 6), "sum": F.round("sum", 4)})
+    return rounded(rounded(out, "mean"), "sum", digits=4)
 
 
 V.SQL_VIEWS["daily_range"] = """SELECT i_lat, i_lon, t, value AS v_mean, value - i_lat % 5 AS v_min,
@@ -227,9 +227,9 @@ def daily_range(spark, sf):
 
 
 @query("daily_to_monthly_yearly", """SELECT i_lat, i_lon, 'monthly' AS period, CAST(date_trunc('month', t) AS DATE) AS start,
-  round(avg(v_mean), 6) AS v_mean, round(avg(v_min), 6) AS v_min, round(avg(v_max), 6) AS v_max FROM daily_range GROUP BY 1, 2, 3, 4
+  disp(avg(v_mean), 6) AS v_mean, disp(avg(v_min), 6) AS v_min, disp(avg(v_max), 6) AS v_max FROM daily_range GROUP BY 1, 2, 3, 4
   UNION ALL SELECT i_lat, i_lon, 'yearly', CAST(date_trunc('year', t) AS DATE),
-  round(avg(v_mean), 6), round(avg(v_min), 6), round(avg(v_max), 6) FROM daily_range GROUP BY 1, 2, 3, 4""")
+  disp(avg(v_mean), 6), disp(avg(v_min), 6), disp(avg(v_max), 6) FROM daily_range GROUP BY 1, 2, 3, 4""")
 def _(spark, sf):
     return rounded(R.daily_to_monthly_yearly(daily_range(spark, sf)), "v_mean", "v_min", "v_max")
 
@@ -244,7 +244,7 @@ def _(spark, sf):
     return R.longest_dry_run(V.obs_gappy(spark, sf), threshold=25.0)
 
 
-@query("climatology_mean", """SELECT i_lat, i_lon, CAST(2000 AS INTEGER) AS year, round(avg(value), 6) AS value FROM annual
+@query("climatology_mean", """SELECT i_lat, i_lon, CAST(2000 AS INTEGER) AS year, disp(avg(value), 6) AS value FROM annual
   WHERE year BETWEEN 1996 AND 2000 GROUP BY 1, 2""")
 def _(spark, sf):
     return rounded(R.climatology_mean(V.annual(spark, sf), 1996, 2000, strict=False), "value")
@@ -252,7 +252,7 @@ def _(spark, sf):
 
 @query("hot_days_per_year", """WITH d AS (SELECT i_lat, i_lon, CAST(year(t) AS INTEGER) AS year, dayofyear(t) AS doy, value
     FROM obs_gappy WHERE NOT (month(t) = 2 AND day(t) = 29)),
-  lim AS (SELECT i_lat, i_lon, doy, quantile_cont(value, 0.6) AS p FROM d
+  lim AS (SELECT i_lat, i_lon, doy, round(quantile_cont(value, 0.6), 9) AS p FROM d
     WHERE year <= (SELECT min(year(t)) + 4 FROM obs_gappy) GROUP BY 1, 2, 3)
   SELECT i_lat, i_lon, year, CASE WHEN count(value) > 0 THEN count(*) FILTER (WHERE value > p) END AS value
   FROM d LEFT JOIN lim USING (i_lat, i_lon, doy) GROUP BY 1, 2, 3""")
@@ -261,7 +261,7 @@ def _(spark, sf):
 
 
 @query("multi_model_offset", """WITH e AS (SELECT i_lat, i_lon, year, avg(value) AS value FROM models GROUP BY 1, 2, 3)
-  SELECT i_lat, i_lon, CAST(2000 AS INTEGER) AS year, round(avg(value) FILTER (WHERE year BETWEEN 1998 AND 2000)
+  SELECT i_lat, i_lon, CAST(2000 AS INTEGER) AS year, disp(avg(value) FILTER (WHERE year BETWEEN 1998 AND 2000)
     - avg(value) FILTER (WHERE year BETWEEN 1995 AND 1996), 6) + 0.0::DOUBLE AS value FROM e GROUP BY 1, 2""")
 def _(spark, sf):
     return rounded(R.multi_model_offset(V.models(spark, sf), (1995, 1996), (1998, 2000)), "value")

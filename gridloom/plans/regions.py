@@ -47,7 +47,7 @@ def _(spark, sf):
     return V.annual(spark, sf).select(*CELL).distinct().withColumn("w", F.round(area_weight(F.col("i_lat"), V.TOY), 9))
 
 
-@query("region_weights", "SELECT region_key, region_type, region_name, i_lat, i_lon, round(frac, 6) AS frac FROM weights")
+@query("region_weights", "SELECT region_key, region_type, region_name, i_lat, i_lon, disp(frac, 6) AS frac FROM weights")
 def _(spark, sf):
     return rounded(weights(spark, sf), "frac")
 
@@ -73,14 +73,14 @@ def _(spark, sf):
 @query("global_mean_trend", f"""WITH m AS (SELECT i_lat, i_lon, date_trunc('month', t) AS t, avg(value) AS value FROM obs_daily GROUP BY 1, 2, 3),
   a AS (SELECT i_lat, i_lon, year(t) AS year, avg(value) AS value FROM m GROUP BY 1, 2, 3),
   g AS (SELECT year, disp(sum(value * {_COS}) / sum(CASE WHEN value IS NOT NULL THEN {_COS} END), 4) AS v FROM a GROUP BY 1)
-  SELECT count(*) AS years, round(avg(v), 4) AS mean, round(regr_slope(v, year), 6) + 0.0::DOUBLE AS slope_per_year FROM g""")
+  SELECT count(*) AS years, disp(avg(v), 4) AS mean, disp(regr_slope(v, year), 6) + 0.0::DOUBLE AS slope_per_year FROM g""")
 def _(spark, sf):
     annual = R.annual_mean_from_daily(V.obs_daily(spark, sf))
     globe = RG.globe_aggregates(annual, V.TOY).withColumnRenamed("mean", "value")
-    return globe.agg(
-        F.count(F.lit(1)).alias("years"), F.round(F.avg("value"), 4).alias("mean"),
-        (F.round(D.slope(), 6) + 0.0).alias("slope_per_year"),
+    fit = globe.agg(
+        F.count(F.lit(1)).alias("years"), F.avg("value").alias("mean"), D.slope().alias("slope_per_year")
     )
+    return rounded(rounded(fit, "mean", digits=4), "slope_per_year")
 
 
 @query("region_key", f"""SELECT c_custkey, 'country:' || chr(CAST(65 + c_nationkey AS INTEGER)) || 'X' AS country,
@@ -98,7 +98,7 @@ def _(spark, sf):
 
 @query("bbox_mean", f"""WITH a AS (SELECT i_lat, i_lon, value, {_COS} AS w FROM annual WHERE year = 1999 AND value IS NOT NULL
     AND 90 - (i_lat + 0.5) BETWEEN -50 AND 60 AND -180 + (i_lon + 0.5) BETWEEN -120 AND 100)
-  SELECT round(sum(value * w) / sum(w), 6) AS mean, max(value) AS peak,
+  SELECT disp(sum(value * w) / sum(w), 6) AS mean, max(value) AS peak,
    (SELECT 90 - (i_lat + 0.5::DOUBLE) FROM a ORDER BY value DESC, i_lat, i_lon LIMIT 1) AS peak_lat,
    (SELECT -180 + (i_lon + 0.5::DOUBLE) FROM a ORDER BY value DESC, i_lat, i_lon LIMIT 1) AS peak_lon FROM a""")
 def _(spark, sf):
