@@ -30,18 +30,18 @@ def in_years_months(year: Column, month: Column, start=None, end=None, months=No
     return keep
 
 
-def widen_range(start: Column, end: Column, first: Column, last: Column) -> tuple[Column, Column]:
+def widen_range(start: Column, end: Column, first: Column, last: Column,
+                side: str = "after") -> tuple[Column, Column]:
     """Grow a one- or two-year request to three years inside ``first..last``.
 
-    The end grows first, then the start, then whichever side still has room,
-    so each bound has a closed form.
+    ``side`` grows first, then the other, then whichever still has room, so
+    each bound has a closed form.
     """
     need = F.greatest(F.lit(0), F.lit(2) - (end - start))
-    room_after = F.greatest(F.lit(0), last - end)
-    room_before = F.greatest(F.lit(0), start - first)
-    # One step goes to the end when it can; of two steps one goes to each side.
-    want_after = F.ceil(need / 2).cast("int")
-    after0 = F.least(want_after, room_after)
-    before = F.least(need - after0, room_before)
-    after = F.least(need - before, room_after)
-    return start - before, end + after
+    room = {"after": F.greatest(F.lit(0), last - end), "before": F.greatest(F.lit(0), start - first)}
+    other = "before" if side == "after" else "after"
+    # A single step goes to the preferred side when it can; of two, one goes to each.
+    preferred = F.least(F.ceil(need / 2).cast("int"), room[side])
+    opposite = F.least(need - preferred, room[other])
+    grown = {side: F.least(need - opposite, room[side]), other: opposite}
+    return start - grown["before"], end + grown["after"]

@@ -47,11 +47,13 @@ def last_event_ts(clicks: DataFrame, sessions: DataFrame) -> DataFrame:
 
 def _parsed(messages: DataFrame) -> DataFrame:
     empty = lambda schema: F.array().cast(schema)
-    return messages.withColumns({
-        "answer": F.coalesce("answer", F.lit("")),
-        "tools_called": F.coalesce(F.from_json("tools_called", "array<string>"), empty("array<string>")),
-        "steps_timing": F.coalesce(F.from_json("steps_timing", STEPS), empty(STEPS)),
-    })
+    # Call details are objects of any shape; each stays a JSON text of its own.
+    schemas = {"tools_called": "array<string>", "tool_calls_detail": "array<string>", "steps_timing": STEPS,
+               "rejected_tiers": "array<string>"}
+    parsed = {
+        c: F.coalesce(F.from_json(c, schema), empty(schema)) for c, schema in schemas.items() if c in messages.columns
+    }
+    return messages.withColumns({"answer": F.coalesce("answer", F.lit("")), **parsed})
 
 
 def messages_page(messages: DataFrame, limit: int = 50, offset: int = 0, feedback: str | None = None) -> DataFrame:

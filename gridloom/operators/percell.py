@@ -91,17 +91,32 @@ def trend_slope_per_decade(annual: DataFrame, axis: DataFrame | None = None) ->
     )
 
 
-def monthly_climatology_anomaly(monthly: DataFrame, year: int, month: int, start: int, end: int) -> DataFrame:
-    """One month minus the mean of that calendar month over a window of years."""
+def monthly_climatology_anomaly(monthly: DataFrame, year: int, month: int, start: int, end: int,
+                                strict: bool = True) -> DataFrame:
+    """One month minus the mean of that calendar month over a window of years.
+
+    Without the target month, or without any month of the window, it fails.
+    """
     y, m = F.year("t"), F.month("t")
-    return monthly.where(m == month).groupBy(*CELL).agg(
+    rows = monthly.where(m == month)
+    if strict:
+        _require(rows.where(y == year), f"month {year}-{month:02d}")
+        _require(rows.where(y.between(start, end)), f"month {month} of {start}-{end}")
+    return rows.groupBy(*CELL).agg(
         (F.max(F.when(y == year, _v())) - F.avg(F.when(y.between(start, end), _v()))).alias("value")
     )
 
 
-def mean_over_positions(series: DataFrame, axis: DataFrame, keep: Column) -> DataFrame:
+def _require(rows: DataFrame, what: str) -> None:
+    if rows.isEmpty():
+        raise ValueError(f"{what} is not on the axis")
+
+
+def mean_over_positions(series: DataFrame, axis: DataFrame, keep: Column, strict: bool = True) -> DataFrame:
     """Mean over the axis positions that satisfy ``keep``; rows carry ``t``."""
     wanted = axis.where(keep).select("t").distinct()
+    if strict:
+        _require(wanted, "any selected position")
     return series.join(wanted, "t", "left_semi").groupBy(*CELL).agg(F.avg("value").alias("value"))
 
 
@@ -112,8 +127,12 @@ def difference(left: DataFrame, right: DataFrame) -> DataFrame:
     ).select(*CELL, (F.col("a") - F.col("b")).alias("value"))
 
 
-def daily_window_anomaly(daily: DataFrame, monthly: DataFrame, window: Column, climatology: Column) -> DataFrame:
+def daily_window_anomaly(daily: DataFrame, monthly: DataFrame, window: Column, climatology: Column,
+                         strict: bool = True) -> DataFrame:
     """Mean of a daily window minus a monthly climatology on the same grid."""
+    if strict:
+        _require(daily.where(window), "the daily window")
+        _require(monthly.where(climatology), "the climatology")
     mean = lambda df, keep: df.where(keep).groupBy(*CELL).agg(F.avg("value").alias("value"))
     return difference(mean(daily, window), mean(monthly, climatology))
 
@@ -127,6 +146,30 @@ def blended_preindustrial_anomaly(annual: DataFrame, offset: DataFrame, recent,
     ).select(*CELL, (F.col("a") + F.col("b")).alias("value"))
 
 
+#: Reductions of a yearly series to one map value, by the name a map definition uses.
+MAP_REDUCERS = {
+    "latest_year": latest_year,
+    "year": at_year,
+    "mean": mean_between,
+    "anomaly_vs_mean": anomaly_vs_mean,
+    "trend_slope": trend_slope,
+}
+
+#: Functions of derived metrics, by the name a metric definition uses.
+DERIVATIONS = {
+    "trend_slope_per_decade": trend_slope_per_decade,
+    "monthly_climatology_anomaly": monthly_climatology_anomaly,
+    "daily_window_anomaly": daily_window_anomaly,
+    "blended_preindustrial_anomaly": blended_preindustrial_anomaly,
+}
+
+
+def reduce_map(annual: DataFrame, op: str = "latest_year", **params) -> DataFrame:
+    if op not in MAP_REDUCERS:
+        raise ValueError(f"unknown map reducer: {op}")
+    return MAP_REDUCERS[op](annual, **params)
+
+
 def derive_metrics(base: dict[str, DataFrame], definitions: dict) -> tuple[DataFrame, dict[str, str]]:
     """Run derived metrics once their inputs exist.
 

@@ -111,7 +111,17 @@ def reindex_nearest(source: DataFrame, grid: Grid, tolerance: float = 0.51, keys
     return cand.groupBy(*keys, *CELL).agg(F.min_by("value", order).alias("value"))
 
 
-def mercator_rows(raster: DataFrame, grid: Grid, lat_limit: float = 85.05112878) -> DataFrame:
+MERCATOR_LIMIT = 85.05112878
+
+
+def mercator_bounds(grid: Grid, lat_limit: float = MERCATOR_LIMIT) -> tuple[float, float]:
+    """Lowest and highest row centre inside the limit, or the limit itself."""
+    lats = [grid.lat_max - (i + 0.5) * grid.deg for i in range(grid.nlat)]
+    kept = [round(lat, 10) for lat in lats if abs(lat) <= lat_limit]
+    return (kept[-1], kept[0]) if kept else (-lat_limit, lat_limit)
+
+
+def mercator_rows(raster: DataFrame, grid: Grid, lat_limit: float = MERCATOR_LIMIT) -> DataFrame:
     """Rows resampled to equal Mercator spacing, only between present neighbours.
 
     Each pair of vertically adjacent present cells fills the target rows that

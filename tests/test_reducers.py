@@ -106,6 +106,12 @@ def test_widen_range(frame, s, e, lo, hi, want):
     assert tuple(row.select(a, b).first()) == want
 
 
+def test_widen_range_can_start_before(frame):
+    row = frame("s int, e int, lo int, hi int", [(2000, 2001, 1990, 2010), (1990, 1991, 1990, 2010), (2000, 2000, 1990, 2010)])
+    a, b = cal.widen_range(*[F.col(c) for c in ("s", "e", "lo", "hi")], side="before")
+    assert [tuple(r) for r in row.select(a, b).collect()] == [(1999, 2001), (1990, 1992), (1999, 2001)]
+
+
 def monthly(frame, other=20.0):
     rows = []
     for y in range(1991, 2027):
@@ -169,7 +175,10 @@ def test_guards(frame):
         R.require_complete_end(frame(OBS, daily([1.0] * 300, "2021-01-01")))
     annual = R.annual_sum(year)
     for bad in (lambda: R.climatology_mean(annual, 1990, 1995), lambda: R.concat_blocks([annual], 1990, 1995),
-                lambda: D.at_year(annual, 1990), lambda: D.mean_between(annual, 2021, 2022)):
+                lambda: D.at_year(annual, 1990), lambda: D.mean_between(annual, 2021, 2022),
+                lambda: D.monthly_climatology_anomaly(year, 2022, 6, 2021, 2021),
+                lambda: D.mean_over_positions(year, year, F.year("t") == 1990), lambda: D.reduce_map(annual, "median")):
         with pytest.raises(ValueError):
             bad()
     assert R.select_years(annual, [1850]).count() == 1
+    assert D.reduce_map(annual).first().value == 365.0 and D.reduce_map(annual, "year", year=2021).count() == 1

@@ -94,3 +94,11 @@ def test_blocklist_ignores_comments(frame):
     ev = frame("id int, ip string", [(1, "1.1.1.1"), (2, "2.2.2.2"), (3, "# 3")])
     lines = frame("value string", [(" 1.1.1.1 ",), ("# 3",), ("",)])
     assert {r.id for r in K.without_blocked(ev, lines).collect()} == {2, 3}
+
+
+def test_json_columns_of_a_page(frame):
+    df = frame("message_id string, ts long, feedback string, answer string, tools_called string, tool_calls_detail string, steps_timing string, "
+               "rejected_tiers string", [("a", 1, None, None, '["x"]', '[{"t": {"k": 1}}]', None, None), ("b", 2, None, "hi", None, None, '[{"step": 1}]', '["big"]')])
+    b, a = K.messages_page(df).collect()
+    assert (a.answer, a.tools_called, a.tool_calls_detail, a.steps_timing, a.rejected_tiers) == ("", ["x"], ['{"t":{"k":1}}'], [], [])
+    assert (b.message_id, b.steps_timing[0].step, b.rejected_tiers) == ("b", 1, ["big"])
