@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.functions.text import norm_name
 from gridloom.operators.scan import global_row_number
+from gridloom.storage import stable
 
 MIN_QUERY = 3
 
@@ -123,7 +124,8 @@ def resolve_location(queries: DataFrame, places: DataFrame, country_names: dict[
         F.struct(F.lit(0).alias("stage"), F.col("whole").alias("text")),
         F.struct(F.lit(1).alias("stage"), F.col("part").alias("text")),
     ))).where(F.col("text").isNotNull())
-    exact = forms.join(_exact(forms, places, "text"), "text").withColumn("tier", F.lit(0)).select(*cols)
+    # Checkpointed because it is read twice: as candidates and to see what is left.
+    exact = stable(forms.join(_exact(forms, places, "text"), "text").withColumn("tier", F.lit(0)).select(*cols))
     # Substring search runs only for what has no exact match.
     rest = forms.join(exact.select(query).distinct(), query, "left_anti")
     found = autocomplete(rest, places, 10, "text").join(places.select("geonameid", "country_code"), "geonameid")

@@ -178,14 +178,16 @@ def _(spark, sf):
     return K.current_messages(message_log(V.messages(spark, sf))).withColumn("question", F.md5("question"))
 
 
-@query("canned_match", """WITH c AS (SELECT DISTINCT trim(regexp_replace(lower(substr(text, 1, 4)), '\\s+', ' ', 'g')) AS k FROM documents WHERE length(trim(substr(text, 1, 4))) > 0),
-  q AS (SELECT conv_id, turn, substr(text, 1, 4) AS question FROM conversations)
-  SELECT conv_id, turn, question, md5(k) AS answer_id FROM q JOIN c ON c.k = trim(regexp_replace(lower(question), '\\s+', ' ', 'g'))""")
-def _(spark, sf):
-    head = F.substring("text", 1, 4)
-    k = TX.collapse_spaces(head)
-    canned = V.table(spark, sf, "documents").where(F.length(F.trim(head)) > 0).select(k.alias("k")).distinct().select(
-        F.upper("k").alias("question"), F.md5("k").alias("answer_id")
+# The stored questions are what users asked, with doubled spaces; every turn is looked up.
+@query("canned_match", """WITH k AS (SELECT conv_id, turn, role, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS k FROM conversations),
+  c AS (SELECT DISTINCT k FROM k WHERE role = 'user' AND k <> '')
+  SELECT conv_id, turn, md5(k) AS answer_id FROM k JOIN c USING (k)""")
+def _(spark, sf):
+    turns = V.table(spark, sf, "conversations")
+    k = TX.collapse_spaces(F.col("text"))
+    canned = turns.where("role = 'user'").select(k.alias("k")).where("k <> ''").distinct().select(
+        F.replace("k", F.lit(" "), F.lit("  ")).alias("question"), F.md5("k").alias("answer_id")
+    )
+    return K.canned_match(turns.select("conv_id", "turn", F.col("text").alias("question")), canned).select(
+        "conv_id", "turn", "answer_id"
     )
-    asked = V.table(spark, sf, "conversations").select("conv_id", "turn", head.alias("question"))
-    return K.canned_match(asked, canned)

@@ -24,17 +24,17 @@ def _(spark, sf):
 
 
 V.SQL_VIEWS["normed"] = f"SELECT *, {_norm('label')} AS norm_label, {_norm('city_name')} AS norm_city FROM places"
-V.SQL_VIEWS["asked"] = """SELECT DISTINCT substr(city_name, 1 + CAST(geonameid % 4 AS INTEGER), 4 + CAST(geonameid % 5 AS INTEGER)) AS query FROM places WHERE geonameid % 2 = 0
-  UNION SELECT lang FROM documents UNION SELECT label FROM places WHERE geonameid % 7 = 0"""
+V.SQL_VIEWS["asked"] = """SELECT DISTINCT substr(city_name, 1 + CAST(geonameid % 4 AS INTEGER), 4 + CAST(geonameid % 5 AS INTEGER)) AS query FROM places
+  UNION SELECT lang FROM documents UNION SELECT label FROM places"""
 
 
 def asked(spark, sf):
-    p, k = V.places(spark, sf), F.col("geonameid")
+    p = V.places(spark, sf)
     part = F.expr("substring(city_name, 1 + cast(geonameid % 4 as int), 4 + cast(geonameid % 5 as int))")
     return (
-        p.where(k % 2 == 0).select(part.alias("query"))
+        p.select(part.alias("query"))
         .union(V.table(spark, sf, "documents").select("lang"))
-        .union(p.where(k % 7 == 0).select("label")).distinct()
+        .union(p.select("label")).distinct()
     )
 
 
@@ -96,20 +96,20 @@ def _(spark, sf):
 
 V.SQL_VIEWS["located"] = """SELECT query, whole, CASE WHEN contains(whole, ',') THEN trim(split_part(whole, ',', 1)) END AS part,
     CASE WHEN contains(whole, ',') THEN lower(trim(substr(whole, position(',' IN whole) + 1))) END AS qual FROM
-  (SELECT query, regexp_replace(trim(query), '^\\*+|\\*+$', '', 'g') AS whole FROM (SELECT DISTINCT query FROM (SELECT '**' || city_name || '**' AS query FROM places WHERE geonameid % 2 = 0
-    UNION ALL SELECT city_name || ', ' || country_code FROM places WHERE geonameid % 3 = 0 UNION ALL SELECT city_name || ', USA' FROM places WHERE geonameid % 5 = 0
-    UNION ALL SELECT substr(city_name, 2, 6) || ', ' || country_name FROM places WHERE geonameid % 7 = 0 UNION ALL SELECT 'Nowhere ' || geonameid FROM places WHERE geonameid % 11 = 0)))"""
+  (SELECT query, regexp_replace(trim(query), '^\\*+|\\*+$', '', 'g') AS whole FROM (SELECT DISTINCT query FROM (SELECT '**' || city_name || '**' AS query FROM places
+    UNION ALL SELECT city_name || ', ' || country_code FROM places UNION ALL SELECT city_name || ', USA' FROM places
+    UNION ALL SELECT substr(city_name, 2, 6) || ', ' || country_name FROM places UNION ALL SELECT 'Nowhere ' || geonameid FROM places)))"""
 
 
 def located(spark, sf):
     p, k = V.places(spark, sf), F.col("geonameid")
     join = lambda a, b: F.concat(a, F.lit(", "), b).alias("query")
     return (
-        p.where(k % 2 == 0).select(F.concat(F.lit("**"), "city_name", F.lit("**")).alias("query"))
-        .union(p.where(k % 3 == 0).select(join(F.col("city_name"), F.col("country_code"))))
-        .union(p.where(k % 5 == 0).select(F.concat("city_name", F.lit(", USA"))))
-        .union(p.where(k % 7 == 0).select(join(F.substring("city_name", 2, 6), F.col("country_name"))))
-        .union(p.where(k % 11 == 0).select(F.concat(F.lit("Nowhere "), k.cast("string"))))
+        p.select(F.concat(F.lit("**"), "city_name", F.lit("**")).alias("query"))
+        .union(p.select(join(F.col("city_name"), F.col("country_code"))))
+        .union(p.select(F.concat("city_name", F.lit(", USA"))))
+        .union(p.select(join(F.substring("city_name", 2, 6), F.col("country_name"))))
+        .union(p.select(F.concat(F.lit("Nowhere "), k.cast("string"))))
     )
 
 
@@ -120,14 +120,14 @@ def _country_names() -> dict[str, str]:
 def _loc_auto(col: str, tier: int, stage: int) -> str:
     return f"""SELECT query, cc, geonameid, label, country_code, population, {tier} AS tier, {stage} AS stage FROM
       (SELECT l.query, l.cc, n.*, row_number() OVER (PARTITION BY l.query ORDER BY n.population DESC, n.label, n.geonameid) AS k FROM loc l
-        JOIN normed n ON contains(norm_label, {_norm(col)}) OR contains(norm_city, {_norm(col)}) WHERE length({_norm(col)}) >= 3) WHERE k <= 10"""
+        JOIN normed n ON contains(norm_label, {col}) OR contains(norm_city, {col}) WHERE length({col}) >= 3) WHERE k <= 10"""
 
 
-@query("resolve_location", f"""WITH loc AS (SELECT *, CASE WHEN qual = 'usa' THEN 'US' WHEN regexp_matches(qual, '^[a-z]{{2}}$') THEN upper(qual)
+@query("resolve_location", f"""WITH loc AS (SELECT *, {_norm('whole')} AS nw, {_norm('part')} AS np, CASE WHEN qual = 'usa' THEN 'US' WHEN regexp_matches(qual, '^[a-z]{{2}}$') THEN upper(qual)
     WHEN qual LIKE 'nation\\_%' ESCAPE '\\' THEN chr(65 + CAST(substr(qual, 8) AS INTEGER)) || 'X' END AS cc FROM located),
-  cand AS (SELECT query, cc, geonameid, label, country_code, population, 0 AS tier, 1 AS stage FROM loc JOIN name_rows ON name = {_norm('whole')}
-    UNION ALL SELECT query, cc, geonameid, label, country_code, population, 0, 2 FROM loc JOIN name_rows ON name = {_norm('part')}
-    UNION ALL {_loc_auto('l.whole', 1, 3)} UNION ALL {_loc_auto('l.part', 2, 4)})
+  cand AS (SELECT query, cc, geonameid, label, country_code, population, 0 AS tier, 1 AS stage FROM loc JOIN name_rows ON name = nw
+    UNION ALL SELECT query, cc, geonameid, label, country_code, population, 0, 2 FROM loc JOIN name_rows ON name = np
+    UNION ALL {_loc_auto('l.nw', 1, 3)} UNION ALL {_loc_auto('l.np', 2, 4)})
   SELECT query, geonameid, label FROM cand QUALIFY row_number() OVER (PARTITION BY query
     ORDER BY tier, NOT coalesce(country_code = cc, false), stage, population DESC, label, geonameid) = 1""")
 def _(spark, sf):

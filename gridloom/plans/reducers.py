@@ -149,7 +149,7 @@ def _(spark, sf):
 
 
 @query("widen_narrow_range", """WITH req AS (SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS s,
-    CAST(year(o_orderdate) + o_orderkey % 4 AS INTEGER) AS e FROM orders WHERE o_custkey % 1 = 0),
+    CAST(year(o_orderdate) + o_orderkey % 4 AS INTEGER) AS e FROM orders),
   r2 AS (SELECT o_orderkey, s, least(e, 2001) AS e FROM req),
   grown AS (SELECT *, CASE WHEN e - s >= 2 THEN 0
       WHEN e - s = 1 THEN CASE WHEN e < 2001 THEN 0 WHEN s > 1995 THEN 1 ELSE 0 END

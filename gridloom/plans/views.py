@@ -347,7 +347,7 @@ def sessions(spark, sf) -> DataFrame:
 
 @_view("messages", """SELECT 'm' || conv_id || '_' || turn AS message_id, 's' || (conv_id // 3) AS session_id,
   CAST(1700000000 + conv_id * 60 + turn * 7 AS BIGINT) AS ts, text AS question,
-  CASE WHEN turn % 5 <> 4 THEN substr(text, 1, 40) END AS answer,
+  CASE WHEN turn % 5 <> 4 THEN text END AS answer,
   CAST(turn % 4 AS INTEGER) AS step_count,
   '["series","rank' || (turn % 3) || '"]' AS tools_called,
   '[{"step":1,"prompt_tokens":' || length(text) || ',"completion_tokens":' || (turn * 3) || '},{"step":2,"prompt_tokens":5,"completion_tokens":null}]' AS steps_timing,
@@ -370,7 +370,7 @@ def messages(spark, sf) -> DataFrame:
         F.concat(F.lit("s"), s(F.floor(c / 3))).alias("session_id"),
         (F.lit(1700000000) + c * 60 + n * 7).cast("long").alias("ts"),
         text.alias("question"),
-        F.when(n % 5 != 4, F.substring(text, 1, 40)).alias("answer"),
+        F.when(n % 5 != 4, text).alias("answer"),
         (n % 4).cast("int").alias("step_count"),
         F.concat(F.lit('["series","rank'), s(n % 3), F.lit('"]')).alias("tools_called"),
         F.concat(
