@@ -9,6 +9,8 @@ from gridloom.operators.scan import global_row_number
 from gridloom.storage import stable
 
 MIN_QUERY = 3
+#: Most distinct queries (short strings) that are broadcast to the index.
+BROADCAST_QUERIES = 100_000
 
 # Spoken country names and their codes.
 COUNTRY_ALIASES = {
@@ -41,7 +43,8 @@ def autocomplete(queries: DataFrame, places: DataFrame, limit: int = 10, query:
     asked = queries.select(query).distinct().withColumn("__q", norm_name(F.col(query))).where(
         F.length("__q") >= MIN_QUERY
     )
-    lengths = asked.agg(F.collect_set(F.length("__q")).alias("__lens"))  # no longer than a label
+    wanted = stable(asked.select("__q").distinct())
+    lengths = wanted.agg(F.collect_set(F.length("__q")).alias("__lens"))  # no longer than a label
     subs = lambda s, n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
 
     def substrings(s: Column) -> Column:
@@ -52,6 +55,9 @@ def autocomplete(queries: DataFrame, places: DataFrame, limit: int = 10, query:
         "geonameid", "label", "population",
         F.explode(F.array_distinct(F.concat(substrings(F.col("norm_label")), substrings(F.col("norm_city"))))).alias("__q"),
     )
+    if wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
+        # Few queries: everything nobody asked for is dropped before the shuffle.
+        pool = pool.join(F.broadcast(wanted), "__q", "left_semi")
     best = Window.partitionBy("__q").orderBy(F.desc("population"), "label", "geonameid")
     top = pool.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
     return asked.join(top, "__q").select(query, "rank", "geonameid", "label", "population")

@@ -127,3 +127,19 @@ def test_unit_pairs(frame):
     df = frame("c double", [(20.04,)]).select(TX.both_units(F.col("c")).alias("t"))
     assert df.first().t == "[[20.0°C|68.0°F]]"
     assert df.select(TX.pick_unit(F.col("t"), "F")).first()[0] == "68.0°F"
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_autocomplete_with_and_without_broadcast(frame, monkeypatch, bound):
+    monkeypatch.setattr(J, "BROADCAST_QUERIES", bound)
+    rng = np.random.default_rng(4)
+    words = ["lan", "land", "island", "san", "santa", "ana", "nda"]
+    rows = [(i, " ".join(rng.choice(words, 2)), str(rng.choice(words)), "X", 0.0, 0.0, int(p), "") for i, p in enumerate(rng.integers(0, 20, 200))]
+    asked = ["land", "AN", "lan", "sla", "a san", "zzz", "and is"]
+    got = {}
+    for r in J.autocomplete(ask(frame, *asked), frame(PLACES, rows), limit=4).collect():
+        got.setdefault(r.query, []).append((r["rank"], r.geonameid))
+    for q in asked:
+        n = q.lower()
+        hits = sorted((-p, label, i) for i, label, city, *_x, p, _a in rows if len(n) >= 3 and (n in label or n in city))
+        assert [g for _, g in sorted(got.get(q, []))] == [i for *_y, i in hits[:4]]
