@@ -120,7 +120,7 @@ def _(spark, sf):
     return readers.geonames_scan(spark, path, ["PPLA2"]).select("geonameid", "name", "cc", "lat", "population", "alias_count", "feature_code")
 
 
-@query("units_row_skip", "SELECT i_lat, i_lon, CAST(t AS TIMESTAMP) AS time, value FROM obs_daily")
+@query("units_row_skip", "SELECT i_lat, i_lon, t AS time, value FROM obs_daily")
 def _(spark, sf):
     path = work_folder(spark) + "/griddap"
     stamped = V.obs_daily(spark, sf).select(
@@ -133,7 +133,7 @@ def _(spark, sf):
 
     stamped.mapInPandas(with_units, stamped.schema).write.option("header", True).csv(path)
     columns = {"time": "timestamp_ntz", "i_lat": "int", "i_lon": "int", "value": "double"}
-    return readers.read_with_units_row(spark, path, columns)
+    return readers.read_with_units_row(spark, path, columns).withColumn("time", F.col("time").cast("date"))
 
 
 @query("write_region_series", "SELECT region_key, year, mean AS value, 'annual' AS metric_id, 'mean' AS aggregation FROM region_values UNION ALL SELECT region_key, year, max, 'annual', 'max' FROM region_values")
