@@ -2,11 +2,34 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from gridloom.storage import work_folder
 
 
+def in_tasks(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInPandas(fn, schema)``, where the workers can import this package on any cluster."""
+    ship_package(df.sparkSession)
+    return df.mapInPandas(fn, schema)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Once per application, hand this package's code to the executors (as ``--py-files`` would)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = pathlib.Path(__file__).resolve().parents[2]
+        to = pathlib.Path(tempfile.mkdtemp(prefix="gridloom-code-"))
+        sc.addPyFile(shutil.make_archive(str(to / "gridloom_code"), "zip", root, "gridloom"))
+        _shipped.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from gridloom.llm.block_join import op4_block_join
+from gridloom.llm.language_id import op2_language_id
 from gridloom.llm.license_rules import op5_license_rules
 from gridloom.llm.mixing import op6_entropy_mix
+from gridloom.llm.norm_buckets import op7_norm_buckets
+from gridloom.llm.order_minhash import op9_order_minhash
 from gridloom.llm.secret_links import op10_secret_links
 from gridloom.llm.shard_table import op3_shard_table
 
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op3_shard_table": op3_shard_table,
+    "op4_block_join": op4_block_join,
     "op5_license_rules": op5_license_rules,
     "op6_entropy_mix": op6_entropy_mix,
+    "op7_norm_buckets": op7_norm_buckets,
+    "op9_order_minhash": op9_order_minhash,
     "op10_secret_links": op10_secret_links,
 }
 ORACLE_SQL: dict[str, str] = {}
