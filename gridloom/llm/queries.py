@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from gridloom.llm.best_fit import op8_best_fit
 from gridloom.llm.block_join import op4_block_join
 from gridloom.llm.language_id import op2_language_id
 from gridloom.llm.license_rules import op5_license_rules
@@ -10,14 +11,17 @@ from gridloom.llm.norm_buckets import op7_norm_buckets
 from gridloom.llm.order_minhash import op9_order_minhash
 from gridloom.llm.secret_links import op10_secret_links
 from gridloom.llm.shard_table import op3_shard_table
+from gridloom.llm.warc_index import op1_warc_index
 
 QUERIES = {
+    "op1_warc_index": op1_warc_index,
     "op2_language_id": op2_language_id,
     "op3_shard_table": op3_shard_table,
     "op4_block_join": op4_block_join,
     "op5_license_rules": op5_license_rules,
     "op6_entropy_mix": op6_entropy_mix,
     "op7_norm_buckets": op7_norm_buckets,
+    "op8_best_fit": op8_best_fit,
     "op9_order_minhash": op9_order_minhash,
     "op10_secret_links": op10_secret_links,
 }
