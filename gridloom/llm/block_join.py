@@ -66,7 +66,7 @@ def tile_neighbours(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarr
         for i in np.flatnonzero(keep.any(axis=1)):
             js = np.flatnonzero(keep[i])
             diff = x[js] - q[i]
-            exact = np.sqrt((diff * diff).sum(axis=1))
+            exact = np.sqrt(np.cumsum(diff * diff, axis=1)[:, -1])  # summed in the order of the components
             heap = heaps[i]
             for d, j in zip(exact.tolist(), ids[js].tolist(), strict=True):
                 item = (-d, -j)  # the worst kept one on top: largest distance, then largest id

@@ -10,8 +10,8 @@ from gridloom.llm.mixing import op6_entropy_mix
 from gridloom.llm.norm_buckets import op7_norm_buckets
 from gridloom.llm.order_minhash import op9_order_minhash
 from gridloom.llm.secret_links import op10_secret_links
-from gridloom.llm.shard_table import op3_shard_table
-from gridloom.llm.warc_index import op1_warc_index
+from gridloom.llm.shard_table import SHARDS, SIZE, claimed_slots, op3_shard_table
+from gridloom.llm.warc_index import ALPHABET, op1_warc_index
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
@@ -25,4 +25,71 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_secret_links": op10_secret_links,
 }
-ORACLE_SQL: dict[str, str] = {}
+# 40 hexadecimal digits of the SHA-1, 20 bits at a time, as 32 letters; the capture time follows the page id.
+WARC_SQL = f"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex,
+         regexp_replace(coalesce(url, ''), ' ', '%20', 'g') AS url FROM pages
+), q AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+         array_to_string(list_transform(range(0, 32), lambda i: substr('{ALPHABET}', 1 + (
+           (('0x' || substr(hex, 1 + 5 * (i // 4)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31)::INT, 1)), '') AS payload_digest,
+         lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^#]*)', 1)) AS host,
+         lower(regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)([^#]*)', 2)) AS path FROM p
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS latest,
+         array_to_string(list_reverse(string_split(regexp_replace(regexp_replace(host, ':(80|443)?$', ''), '^www[.]', ''), '.')), ',')
+           || ')' || CASE WHEN path = '' THEN '/' ELSE path END AS url_key FROM q
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = latest THEN NULL ELSE latest END AS refers_to, url_key,
+       row_number() OVER (PARTITION BY url_key ORDER BY page_id % 2147483648, page_id) AS capture_no
+FROM r
+"""
+
+NEAREST_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))
+    AND list_bool_or(list_transform(embedding, lambda e: e <> 0))
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(
+    list_transform(list_zip(q.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])), lambda a, b: a + b)) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d
+) WHERE rank <= 10
+"""
+
+PRODUCTS_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding::DOUBLE[], lambda e: floor(256 * e)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda e: e IS NOT NULL AND isfinite(e)))
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM d
+) WHERE rank <= 5
+"""
+
+
+def _shard_sql() -> str:
+    """Placement over the given slot owners; how the slots are claimed is tested on its own."""
+    owners = ",".join(map(str, claimed_slots(SHARDS, SIZE)))
+    names = ", ".join(f"'{s}'" for s in SHARDS)
+    return f"""
+WITH t AS (SELECT string_split('{owners}', ',') AS owner, [{names}] AS names),
+h AS (SELECT doc_id, source, n_chars,
+             (('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT % {SIZE})::INT AS slot FROM documents)
+SELECT doc_id, source, n_chars, slot, names[owner[slot + 1]::INT + 1] AS shard FROM h, t
+"""
+
+
+# The other operators learn, iterate or look around matches, which SQL cannot state; their tests use brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_index": WARC_SQL, "op3_shard_table": _shard_sql(), "op4_block_join": NEAREST_SQL, "op7_norm_buckets": PRODUCTS_SQL,
+}
