@@ -51,6 +51,29 @@ def with_added(df: DataFrame, added: dict[str, Column]) -> DataFrame:
     return df.select(*kept, *[value.alias(name) for name, value in added.items()])
 
 
+BITS = 1 << 24
+
+
+def marked(df: DataFrame, key: str, among: DataFrame, among_key: str) -> DataFrame:
+    """``df`` plus ``__marked``: false only where ``key`` is certainly not among ``among_key``; no shuffle of ``df``.
+
+    The keys of ``among`` set bits of one map of ``BITS`` bits (2 MB, whatever the data), which is broadcast.  More keys
+    than bits only make the mark less telling.  A null key is marked.
+    """
+    def spot(c: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(c)), F.lit(BITS))
+
+    page = 4096 * 8  # bits in one row of the map
+    bits = among.select(spot(among_key).alias("at")).groupBy(F.expr(f"at div {page}").alias("__page")).agg(
+        F.bitmap_construct_agg(F.col("at") % page).alias("__bits"))
+    seen = df.withColumn("__spot", spot(key)).withColumn("__on", F.expr(f"__spot div {page}"))
+    seen = seen.join(F.broadcast(bits), F.col("__on") == F.col("__page"), "left")
+    at = F.col("__spot") % page
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), F.expr(f"cast((__spot % {page}) div 8 as int) + 1"), F.lit(1))), 16, 10).cast("int")
+    on = F.coalesce(F.pmod(F.floor(byte / F.pow(F.lit(2), at % 8)), F.lit(2)) == 1, F.lit(False))
+    return seen.withColumn("__marked", on | F.col(key).isNull()).drop("__spot", "__on", "__page", "__bits")
+
+
 def match_spans(text: Column, pattern: Column, group: int | None = None) -> Column:
     """All non-overlapping matches of ``pattern``: array of (start, end, part), in code points, end exclusive.
 

@@ -22,13 +22,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window
 
-from gridloom.llm.common import in_tasks, saved, table
-from gridloom.llm.components import components
+from gridloom.llm.common import in_tasks, marked, saved, table
+from gridloom.llm.components import components, joined_components
 from gridloom.llm.tokens import mix64, word_hashes
 
 WORDS, SKETCHES, PICKED, LEAST = 5, 24, 3, 0.8
 AGREE = 5  # of the SKETCHES single minima, for comparisons between components
-BLOCK = 256
+BLOCK, BAG = 256, 128
 FACTORS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -78,11 +78,11 @@ def node_id(words: np.ndarray) -> int:
 
 def _sketches(batches):
     for batch in batches:
-        nodes, lengths, keys, minima = [], [], [], []
+        nodes, lengths, keys, minima, bags = [], [], [], [], []
         for text in batch["text"]:
             words = word_hashes(text) if isinstance(text, str) else ()
             if len(words) == 0:
-                for out in (nodes, lengths, keys, minima):
+                for out in (nodes, lengths, keys, minima, bags):
                     out.append(None)
                 continue
             k, m = sketch(words)
@@ -90,8 +90,9 @@ def _sketches(batches):
             lengths.append(len(words))
             keys.append(k.view(np.int64))
             minima.append(m.astype(np.uint32).view(np.int32))
+            bags.append(np.bincount((words >> np.uint64(40)).astype(np.int64) % BAG, minlength=BAG).astype(np.int32))
         yield pd.DataFrame({"doc_id": batch["doc_id"], "node": pd.array(nodes, dtype="Int64"),
-                            "n_words": pd.array(lengths, dtype="Int64"), "keys": keys, "minima": minima})
+                            "n_words": pd.array(lengths, dtype="Int64"), "keys": keys, "minima": minima, "bag": bags})
 
 
 def banded_distance(a: list[int], b: list[int], most: int) -> int:
@@ -193,11 +194,13 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return saved(in_tasks(pairs.join(one, "a").join(two, "b"), _verify, "a long, b long"))
 
 
-def _across(members: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share a bucket, agree in enough minima and are close in length.
+def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components that share a bucket and may be similar.
 
-    ``members``: (key, node, n_words, minima).  Up to three nodes stand for a component in a bucket; the nodes of a
-    bucket meet block by block, so no task holds a whole large bucket.
+    ``members``: (key, node, n_words).  Up to three nodes stand for a component in a bucket; the nodes of a bucket meet
+    block by block, so no task holds a whole large bucket.  A pair must agree in ``AGREE`` minima; and its word counts,
+    folded into ``BAG`` counters, must leave room for the similarity (an edit moves at most one word of either text, and
+    folding only hides differences, so this test loses nothing).
     """
     own = F.coalesce("comp", "node").alias("comp")
     placed = members.join(comps, "node", "left").select("key", "node", "n_words", own)
@@ -206,20 +209,22 @@ def _across(members: DataFrame, comps: DataFrame) -> DataFrame:
     chosen = placed.join(mixed, "key").groupBy("key", "comp").agg(
         F.array(F.min("node"), F.min(size)["node"], F.max(size)["node"]).alias("nodes"))
     chosen = chosen.select("key", "comp", F.explode(F.array_distinct("nodes")).alias("node"))
-    minima = members.select("node", "n_words", "minima").distinct()
     spot = Window.partitionBy("key").orderBy("node")
     ranked = chosen.withColumn("block", F.floor((F.row_number().over(spot) - 1) / BLOCK))
     blocks = saved(ranked.groupBy("key").agg((F.max("block") + 1).alias("blocks")))
-    ranked = saved(ranked.join(blocks, "key").join(minima, "node"))
+    ranked = saved(ranked.join(blocks, "key").join(nodes.select("node", "n_words", "minima", "bag"), "node"))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    cells = ranked.withColumn("cell", F.explode(every)).select("key", "cell", "comp", "node", "block", "n_words", "minima")
+    cells = ranked.withColumn("cell", F.explode(every)).select("key", "cell", "comp", "node", "block", "n_words", "minima", "bag")
     left = cells.where("block = cell.i").alias("l")
     right = cells.where("block = cell.j").alias("r")
     agree = F.aggregate(F.zip_with("l.minima", "r.minima", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = F.least("l.n_words", "r.n_words") >= LEAST * F.greatest("l.n_words", "r.n_words")
+    longer = F.greatest("l.n_words", "r.n_words")
+    near = F.least("l.n_words", "r.n_words") >= LEAST * longer
+    shared = F.aggregate(F.zip_with("l.bag", "r.bag", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
+    roomy = shared >= LEAST * longer - 1e-6
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.cell") == F.col("r.cell"))
-                    & (F.col("l.comp") < F.col("r.comp")) & near & (agree >= AGREE))
+                    & (F.col("l.comp") < F.col("r.comp")) & near & (agree >= AGREE) & roomy)
     return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
 
 
@@ -228,28 +233,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     light = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     id_type = light.schema["doc_id"].dataType.simpleString()
     rows = saved(in_tasks(
-        light, _sketches, f"doc_id {id_type}, node long, n_words long, keys array<long>, minima array<int>"))
+        light, _sketches, f"doc_id {id_type}, node long, n_words long, keys array<long>, minima array<int>, bag array<int>"))
     groups = saved(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min("n_words").alias("n_words")))
     # One row per node speaks for it; equal nodes have equal sketches.
     speaker = rows.join(groups.select("node", F.col("first_id")), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    nodes = saved(speaker.select("node", "doc_id", "n_words", "keys", "minima").dropDuplicates(["node"]))
-    keyed = nodes.select("node", "n_words", "minima", F.explode("keys").alias("key"))
+    nodes = saved(speaker.select("node", "doc_id", "n_words", "keys", "minima", "bag").dropDuplicates(["node"]))
+    keyed = nodes.select("node", "n_words", F.explode("keys").alias("key"))
     buckets = saved(keyed.groupBy("key").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"))
-    members = saved(keyed.select("key", "node", "n_words").join(buckets, "key"))
+    members = saved(keyed.join(buckets, "key"))
     shared = members.select("node").distinct()
     wanted = saved(nodes.join(shared, "node").select("node", "doc_id"))
-    fetched = light.join(wanted, light["doc_id"].eqNullSafe(wanted["doc_id"])).select("node", "text")
+    likely = marked(light, "doc_id", wanted, "doc_id").where("__marked")
+    fetched = likely.join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
     known = in_tasks(fetched.where(F.col("text").isNotNull()), _of_node, "node long, text string")
     texts = saved(known.dropDuplicates(["node"]))
     star = members.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = _verified(saved(star), texts)
     comps = components(first)
-    with_minima = members.select("key", "node", "n_words").join(nodes.select("node", "minima"), "node")
-    second = _verified(saved(_across(with_minima, comps)), texts)
+    second = _verified(saved(_across(members.select("key", "node", "n_words"), nodes, comps)), texts)
     edges = first.union(second).distinct()
     if not second.isEmpty():
-        comps = components(edges)
+        comps = joined_components(comps, second)
     links = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     named = saved(groups.join(comps, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp")))
     classes = saved(named.groupBy("comp").agg(F.min("first_id").alias("class_id")))
@@ -275,7 +280,11 @@ def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """One row of each class (its smallest id), with the columns of ``docs``."""
     classes = near_duplicates(docs, doc_id, text)
     gone = saved(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct())
-    kept = docs.join(gone, F.col(f"`{doc_id}`") == F.col("__gone"), "left_anti")
+    # Most rows are certainly kept and need no shuffle; the others are compared id by id.
+    likely = marked(docs.withColumn("__key", F.col(f"`{doc_id}`")), "__key", gone, "__gone")
+    sure = likely.where(~F.col("__marked"))
+    tested = likely.where("__marked").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
+    kept = sure.union(tested).drop("__key", "__marked")
     if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     return kept.dropDuplicates([doc_id])
