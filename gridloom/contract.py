@@ -26,7 +26,7 @@ SERIES = T.StructType([
     T.StructField("tile_c", T.IntegerType()),
     T.StructField("i_lat", T.IntegerType()),
     T.StructField("i_lon", T.IntegerType()),
-    T.StructField("values", T.ArrayType(T.DoubleType())),
+    T.StructField("values", T.ArrayType(T.FloatType())),  # at rest; computed in double
 ])
 
 AXIS = T.StructType([

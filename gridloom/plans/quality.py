@@ -38,7 +38,7 @@ def annual_series(spark, sf, grid=V.TOY):
     return S.pack_series(long, axis, "annual", grid), axis
 
 
-@query("scan_series", """SELECT c.i_lat, c.i_lon, y.year, a.value FROM annual_cells c CROSS JOIN (SELECT DISTINCT year FROM annual) y
+@query("scan_series", """SELECT c.i_lat, c.i_lon, y.year, a.value::FLOAT::DOUBLE AS value FROM annual_cells c CROSS JOIN (SELECT DISTINCT year FROM annual) y
   LEFT JOIN annual a ON a.i_lat = c.i_lat AND a.i_lon = c.i_lon AND a.year = y.year WHERE c.i_lat // 16 IN (1, 3, 5)""")
 def _(spark, sf):
     series, axis = annual_series(spark, sf)
@@ -57,6 +57,17 @@ def _(spark, sf):
     return spark.read.parquet(path).groupBy(*CELL).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("write_series_tile", """SELECT c.i_lat, c.i_lon, y.year, (CASE WHEN c.i_lat // 16 = 3 AND c.i_lon // 16 = 5 THEN a.value + 1 ELSE a.value END)::FLOAT::DOUBLE AS value
+  FROM annual_cells c CROSS JOIN (SELECT DISTINCT year FROM annual) y LEFT JOIN annual a ON a.i_lat = c.i_lat AND a.i_lon = c.i_lon AND a.year = y.year""")
+def _(spark, sf):
+    series, axis = annual_series(spark, sf)
+    path = work_folder(spark) + "/series"
+    S.write_series(series, path)
+    one = series.where("tile_r = 3 AND tile_c = 5").withColumn("values", F.transform("values", lambda v: v + 1))
+    S.write_series(one, path)  # a tile written again leaves its row's other tiles in place
+    return S.unpack_series(S.scan_series(spark, path, "annual"), axis.drop("t")).select(*CELL, "year", "value")
+
+
 @query("axis_guard", """WITH a AS (SELECT year AS y, row_number() OVER (ORDER BY year) - 1 AS pos FROM (SELECT DISTINCT year FROM annual)),
   b AS (SELECT year AS y, row_number() OVER (ORDER BY year) - 1 AS pos FROM (SELECT DISTINCT year FROM annual WHERE year <> 1997))
   SELECT CAST(coalesce(a.pos, b.pos) AS INTEGER) AS pos, CAST(a.y AS VARCHAR) AS stored, CAST(b.y AS VARCHAR) AS "new" FROM a FULL JOIN b ON a.pos = b.pos WHERE a.y IS DISTINCT FROM b.y""")

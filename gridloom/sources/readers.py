@@ -89,13 +89,18 @@ def geonames_scan(spark: SparkSession, path: str, excluded: list[str]) -> DataFr
     )
 
 
-def read_with_units_row(spark: SparkSession, path: str, columns: dict[str, str], time: str = "time") -> DataFrame:
+def read_with_units_row(spark: SparkSession, path: str, columns: dict[str, str], time: str = "time",
+                        time_units: tuple[str, ...] = ("UTC",)) -> DataFrame:
     """CSV files whose line after the header names units.
 
-    The units row is the only one whose time does not parse, which holds in
-    every split of every file; typed columns are cast after it is gone.
+    A units row names one of ``time_units`` as its time and has no value that parses in another typed column.  Every
+    other row is kept, in any split of any file; a time or value that does not parse is missing there.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
     raw = spark.read.schema(schema).option("header", True).csv(path)
-    kept = raw.where(F.col(time).try_cast("timestamp").isNotNull())
-    return kept.select(*[F.col(c).try_cast(t).alias(c) for c, t in columns.items()])
+    is_units = F.trim(F.col(f"`{time}`")).isin(*time_units)
+    for c, t in columns.items():
+        if c != time and t != "string":
+            is_units = is_units & F.col(f"`{c}`").try_cast(t).isNull()
+    kept = raw.where(~F.coalesce(is_units, F.lit(False)))
+    return kept.select(*[F.col(f"`{c}`").try_cast(t).alias(c) for c, t in columns.items()])

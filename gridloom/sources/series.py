@@ -29,14 +29,18 @@ def build_axis(metric_id: str, dates: DataFrame, label: str = "day") -> DataFram
 def pack_series(long: DataFrame, axis: DataFrame, metric_id: str, grid: Grid) -> DataFrame:
     """Array per cell in axis order, missing where a step has no row.
 
-    Only present values travel; a cell contributes at most one per axis step.
+    Only present values travel; a cell contributes at most one per axis step.  The absent steps are added as empty
+    entries, and one sort of the entries puts them in order.
     """
     size = axis.agg(F.count(F.lit(1)).cast("int").alias("__n"))
     present = long.where(F.col("value").isNotNull()).join(axis.select("t", "pos"), "t")
     packed = present.groupBy(*CELL).agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m")
+        F.collect_list(F.struct("pos", "value")).alias("present")
     ).join(F.broadcast(size))
-    values = F.transform(F.sequence(F.lit(0), F.col("__n") - 1), lambda p: F.try_element_at("m", p))
+    steps = F.sequence(F.lit(0), F.col("__n") - 1)
+    gaps = F.array_except(steps, F.transform("present", lambda e: e["pos"]))
+    empty = F.transform(gaps, lambda p: F.struct(p.alias("pos"), F.lit(None).cast("double").alias("value")))
+    values = F.transform(F.array_sort(F.concat("present", empty)), lambda e: e["value"])
     tiles = tile_of(grid)
     return packed.select(
         F.lit(metric_id).alias("metric_id"), F.lit(grid.grid_id).alias("grid_id"),
@@ -53,17 +57,22 @@ def unpack_series(series: DataFrame, axis: DataFrame, keep: list[str] | None = N
 
 
 def scan_series(spark: SparkSession, path: str, metric_id: str, tile_rows: list[int] | None = None) -> DataFrame:
-    """Series of one metric; metric and tile row prune whole directories."""
+    """Series of one metric, in double; metric and tile row prune whole directories."""
     df = spark.read.parquet(path).where(F.col("metric_id") == metric_id)
+    df = df.withColumn("values", F.col("values").cast("array<double>"))
     return df.where(F.col("tile_r").isin(*tile_rows)) if tile_rows is not None else df
 
 
 def write_series(series: DataFrame, path: str, resume: bool = False) -> None:
-    """Write series by (metric, tile row); ``resume`` adds only absent cells."""
+    """Write series by (metric, tile), in single precision; ``resume`` adds only absent cells.
+
+    A write replaces the tiles it holds and leaves the other tiles of their rows alone.
+    """
     spark = series.sparkSession
+    series = series.withColumn("values", F.col("values").cast("array<float>"))
     if resume and _exists(spark, path):
-        done = spark.read.parquet(path).select("metric_id", "tile_r", *CELL)
-        series = series.join(done, ["metric_id", "tile_r", *CELL], "left_anti")
+        done = spark.read.parquet(path).select("metric_id", "tile_r", "tile_c", *CELL)
+        series = series.join(done, ["metric_id", "tile_r", "tile_c", *CELL], "left_anti")
         mode = "append"
     else:
         mode = "overwrite"
@@ -71,7 +80,7 @@ def write_series(series: DataFrame, path: str, resume: bool = False) -> None:
         series.repartition("metric_id", "tile_r", "tile_c")
         .sortWithinPartitions("metric_id", "tile_r", "tile_c", *CELL)
         .write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        .partitionBy("metric_id", "tile_r").option("compression", "zstd").parquet(path)
+        .partitionBy("metric_id", "tile_r", "tile_c").option("compression", "zstd").parquet(path)
     )
 
 

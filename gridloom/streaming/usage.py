@@ -67,13 +67,15 @@ def daily_click_heatmap(clicks: DataFrame, lateness: str = "1 day") -> DataFrame
     ).agg(F.count(F.lit(1)).alias("count"))
 
 
-def message_upserts(log: DataFrame, folder: str, lateness: str = "1 hour") -> str:
-    """Append a message log without retried events; read it with ``current_messages``.
+def message_upserts(log: DataFrame, folder: str) -> str:
+    """Append a message log; read it with :func:`logged_messages`.
 
-    Retries repeat (message_id, seq) within the watermark.  The table keeps
-    the log itself, so replays and out-of-order batches cannot lose an update.
+    The table keeps every event, however late it comes.  Retries repeat (message_id, seq) and are told apart when the
+    log is read, so no state has to remember them.
     """
-    once = log.withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", lateness).dropDuplicatesWithinWatermark(
-        ["message_id", "seq"]
-    ).drop("at")
-    return run_available(once, folder, mode="append")
+    return run_available(log, folder, mode="append")
+
+
+def logged_messages(spark: SparkSession, path: str) -> DataFrame:
+    """Every event once, whatever was retried or replayed."""
+    return spark.read.parquet(path).drop("batch_id").dropDuplicates(["message_id", "seq"])

@@ -69,6 +69,37 @@ def test_units_row_in_every_file(spark, tmp_path):
     assert sorted(r.sst for r in out.collect()) == [0.5, 1.5]
 
 
+def test_a_corrupt_time_is_no_units_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("time,sst\nUTC,degree_C\n2020-01-01T12:00:00Z,1.5\n2020-13-01,2.5\n2020-01-03T12:00:00Z,3.5\n")
+    out = readers.read_with_units_row(spark, str(tmp_path), {"time": "timestamp", "sst": "double"}).collect()
+    assert sorted(r.sst for r in out) == [1.5, 2.5, 3.5] and sum(r.time is None for r in out) == 1
+
+
+def test_one_tile_written_again_leaves_its_siblings(spark, frame, tmp_path):
+    cols = "metric_id string, grid_id string, tile_r int, tile_c int, i_lat int, i_lon int, values array<double>"
+    path = str(tmp_path / "series")
+    S.write_series(frame(cols, [("m", "g", 0, 0, 0, 0, [1.0]), ("m", "g", 0, 1, 0, 9, [2.0])]), path)
+    S.write_series(frame(cols, [("m", "g", 0, 1, 0, 9, [0.1])]), path)
+    got = {r.i_lon: r["values"][0] for r in S.scan_series(spark, path, "m").collect()}
+    assert got[0] == 1.0 and abs(got[9] - 0.1) < 1e-7
+    assert dict(spark.read.parquet(path).dtypes)["values"] == "array<float>"
+
+
+def test_long_series_pack_in_linear_time(spark):
+    import time
+
+    from gridloom.grid import Grid
+
+    axis = spark.range(17_000).select(F.col("id").cast("int").alias("pos"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("id").cast("int")).alias("t"))
+    cells = spark.range(40).select((F.col("id") % 2).cast("int").alias("i_lat"), F.col("id").cast("int").alias("i_lon"))
+    long = cells.crossJoin(axis.where("pos % 3 <> 0")).select("i_lat", "i_lon", "t", F.col("pos").cast("double").alias("value"))
+    packed = S.pack_series(long, axis, "m", Grid("g", 1.0, 180, 360, tile_size=16))
+    t0 = time.time()
+    row = packed.orderBy("i_lon").first()
+    assert row["values"][:4] == [None, 1.0, 2.0, None] and len(row["values"]) == 17_000
+    assert time.time() - t0 < 40 * 0.5
+
+
 def test_variable_choice():
     assert readers.data_variable(["lat", "lon", "time", "a", "b"], "a") == "a"
     assert readers.data_variable(["lat", "lon", "time", "tas", "time_bnds"]) == "tas"

@@ -47,15 +47,21 @@ def test_daily_windows_close_after_the_lateness(spark, feed):
     assert (1, 2) in out and (1, 3) not in out  # the late click came after its window closed
 
 
-def test_upserts_ignore_retries(spark, tmp_path):
+def test_upserts_ignore_retries_and_keep_late_events(spark, tmp_path):
     schema = "message_id string, kind string, seq long, ts long, session_id string, question string, answer string, error string, feedback string"
-    m = lambda seq, kind, answer=None, error=None, feedback=None: ("m1", kind, seq, seq, "s", "q", answer, error, feedback)
-    rows = [m(1, "message", "old"), m(2, "feedback", feedback="bad"), m(2, "feedback", feedback="bad"), m(3, "message", "new", "boom"), m(4, "review")]
-    src = str(tmp_path / "log")
-    spark.createDataFrame(rows, schema).write.parquet(src)
-    path = U.message_upserts(spark.readStream.schema(schema).parquet(src), work_folder(spark, "stream"))
-    assert spark.read.parquet(path).count() == 4
-    r = K.current_messages(spark.read.parquet(path)).first()
+    m = lambda seq, kind, answer=None, error=None, feedback=None, ts=None: ("m1", kind, seq, seq if ts is None else ts, "s", "q", answer, error, feedback)
+    batches = [
+        [m(1, "message", "old"), m(2, "feedback", feedback="bad"), m(2, "feedback", feedback="bad")],
+        [m(3, "message", "new", "boom", ts=10 ** 6), m(2, "feedback", feedback="bad")],
+        [m(4, "review", ts=5)],  # days late
+    ]
+    src, folder = str(tmp_path / "log"), work_folder(spark, "stream")
+    for rows in batches:
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+        path = U.message_upserts(spark.readStream.schema(schema).parquet(src), folder)
+    log = U.logged_messages(spark, path)
+    assert sorted(r.seq for r in log.collect()) == [1, 2, 3, 4]
+    r = K.current_messages(log).first()
     assert (r.answer, r.error, r.feedback, r.feedback_status) == ("new", "boom", None, "reviewed")
 
 
