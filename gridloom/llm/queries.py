@@ -11,7 +11,7 @@ from gridloom.llm.norm_buckets import op7_norm_buckets
 from gridloom.llm.order_minhash import op9_order_minhash
 from gridloom.llm.secret_links import op10_secret_links
 from gridloom.llm.shard_table import SHARDS, SIZE, claimed_slots, op3_shard_table
-from gridloom.llm.warc_index import ALPHABET, op1_warc_index
+from gridloom.llm.warc_index import op1_warc_index
 
 QUERIES = {
     "op1_warc_index": op1_warc_index,
@@ -25,6 +25,7 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_secret_links": op10_secret_links,
 }
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # of base32
 # 40 hexadecimal digits of the SHA-1, 20 bits at a time, as 32 letters; the capture time follows the page id.
 WARC_SQL = f"""
 WITH p AS (

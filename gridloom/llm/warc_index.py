@@ -18,16 +18,19 @@ with the same id get the same record type.  Empty tables give no rows.
 from __future__ import annotations
 
 import base64
+import calendar
 import hashlib
 import re
+import time
 import zlib
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, Window
+from pyspark.sql import DataFrame, SparkSession, functions as F, Window
 
 from gridloom.llm.common import in_tasks, saved, table
 from gridloom.storage import work_folder
 
+DATE = "%Y-%m-%dT%H:%M:%SZ"
 EPOCH = 1_600_000_000  # the capture time of page 0; pages carry no time of their own
 FILE_BYTES = 32 << 20
 ENTRIES_PER_RANGE = 200_000
@@ -35,19 +38,7 @@ HOT_SHARE = 1000  # a payload with more than 1/1000 of the captures; there are f
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 SEPARATOR = zlib.compressobj(9, zlib.DEFLATED, 31)
 SEPARATOR = SEPARATOR.compress(b"\r\n\r\n") + SEPARATOR.flush()
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-
-
-def base32_sha1(payload: Column) -> Column:
-    """Bare upper-case base32 of the SHA-1: 40 hexadecimal digits, 20 bits at a time, as 32 letters."""
-    digest = F.sha1(payload)
-    letters = F.split(F.lit(ALPHABET), "")
-
-    def letter(i: Column) -> Column:
-        bits = F.conv(F.substring(digest, F.floor(i / 4).cast("int") * 5 + 1, F.lit(5)), 16, 10).cast("int")
-        return F.get(letters, F.pmod(F.floor(bits / F.get(F.array(*[F.lit(32 ** (3 - k)) for k in range(4)]), i % 4)), F.lit(32)).cast("int"))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+GZIP_LEVEL, CHUNK = 4, 1 << 15
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
@@ -69,7 +60,7 @@ def with_roles(pages: DataFrame) -> DataFrame:
 
 
 def _gzip(data: bytes) -> bytes:
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    packer = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, 31)
     return packer.compress(data) + packer.flush()
 
 
@@ -78,9 +69,9 @@ def record(id_, url, payload: bytes, digest: str, first, seconds: int) -> bytes:
     revisit = first is not None and id_ != first
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n").encode()
     block = http if revisit else http + payload
-    date = pd.Timestamp(seconds, unit="s").strftime("%Y-%m-%dT%H:%M:%SZ")
+    date = time.strftime(DATE, time.gmtime(seconds))
     lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:capture:{'' if id_ is None else id_}>",
-             f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest}"]
+             f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}"]
     if url is not None:
         lines.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
     if revisit:
@@ -103,7 +94,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     """Write all rows as ``.warc.gz`` members under ``path``."""
     body = F.coalesce(F.col(f"`{payload}`"), F.lit(""))
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("id"), F.col(f"`{url}`").alias("url"), body.alias("payload"))
-    rows = rows.withColumn("digest", base32_sha1(F.col("payload").cast("binary")))
+    rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     seconds = F.lit(EPOCH) + F.pmod(F.coalesce("id", F.lit(0)), F.lit(1 << 31))
     average = rows.agg(F.avg(F.octet_length("payload"))).first()[0] or 1
     members = in_tasks(with_roles(rows).withColumn("seconds", seconds), _write, "member binary")
@@ -130,14 +121,16 @@ def _header(block: bytes) -> tuple[dict[str, str], bytes]:
 
 def records(data: bytes):
     """(offset, length, header, block) of every record of an archive; offsets are of the gzip members."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        unpack = zlib.decompressobj(31)
-        content = unpack.decompress(data[at:] if at == 0 else memoryview(data)[at:])
-        content += unpack.flush()
-        length = len(data) - at - len(unpack.unused_data)
-        if not unpack.eof:
-            raise ValueError(f"archive ends inside a record at {at}")
+        unpack, content, end = zlib.decompressobj(31), [], at
+        while not unpack.eof:  # in chunks: what follows the member is copied back each time
+            if end >= len(data):
+                raise ValueError(f"archive ends inside a record at {at}")
+            content.append(unpack.decompress(view[end : end + CHUNK]))
+            end += CHUNK
+        content = b"".join(content)
+        length = min(end, len(data)) - len(unpack.unused_data) - at
         if content.strip(b"\r\n"):
             header, block = _header(content)
             if len(block) != int(header["content-length"]):
@@ -168,7 +161,7 @@ def _read(batches):
                 if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != stated:
                     raise ValueError(f"{path}: payload at {offset} does not match its digest")
                 url = header.get("warc-target-uri")
-                when = int(pd.Timestamp(header["warc-date"]).timestamp())
+                when = calendar.timegm(time.strptime(header["warc-date"], DATE))
                 run.append((url_key(url) if url is not None else "", when, _number(header["warc-record-id"]), url, kind,
                             _number(header.get("warc-refers-to")), size, stated, path, offset, length))
             run.sort(key=index_order)
