@@ -7,10 +7,6 @@ from functools import lru_cache
 
 from pyspark.sql import Column, functions as F
 
-# Blocks whose compatibility forms contain ASCII letters or digits.
-_BLOCKS = [(0x00A0, 0x024F), (0x02B0, 0x02FF), (0x1D00, 0x1DBF), (0x1E00, 0x1EFF), (0x2070, 0x209F),
-           (0x2100, 0x218F), (0x2460, 0x24FF), (0xFB00, 0xFB06), (0xFF10, 0xFF5A)]
-
 
 def _fold(ch: str, form: str) -> str:
     parts = unicodedata.normalize(form, ch)
@@ -18,34 +14,46 @@ def _fold(ch: str, form: str) -> str:
 
 
 @lru_cache(maxsize=None)
-def _folding(form: str) -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """One-to-one and one-to-many foldings to ASCII, derived from Unicode data."""
-    src, dst, many = [], [], []
-    for lo, hi in _BLOCKS:
-        for cp in range(lo, hi + 1):
-            ch = chr(cp)
-            out = _fold(ch, form)
-            if not out or out == ch or not any(c.isascii() and c.isalnum() for c in out):
-                continue
-            if len(out) == 1:
-                src.append(ch)
-                dst.append(out)
-            else:
-                many.append((ch, out))
-    return "".join(src), "".join(dst), tuple(many)
+def _folding(form: str) -> tuple[str, str, str, tuple[str, ...]]:
+    """Foldings with an ASCII letter or digit, of all of Unicode.
+
+    One-to-one foldings are two parallel strings; combining marks end the first one and so vanish.  The other characters come longest folding first, with one string per
+    position of the folding, so that each of these strings covers a prefix of the characters.
+    """
+    src, dst, many, marks = [], [], [], []
+    for cp in range(0x80, 0x110000):
+        if 0xD800 <= cp < 0xE000:
+            continue
+        ch = chr(cp)
+        out = _fold(ch, form)
+        if not out:
+            marks.append(ch)
+        if not out or out == ch or not any(c.isascii() and c.isalnum() for c in out):
+            continue
+        if len(out) == 1:
+            src.append(ch)
+            dst.append(out)
+        else:
+            many.append((ch, out))
+    many.sort(key=lambda m: -len(m[1]))
+    longest = len(many[0][1]) if many else 0
+    at = tuple("".join(out[i] for _, out in many if len(out) > i) for i in range(longest))
+    return "".join(src + marks), "".join(dst), "".join(ch for ch, _ in many), at
 
 
 def fold_ascii(text: Column, form: str = "NFKD") -> Column:
     """Lower case without diacritics.  Plain ASCII rows skip the Unicode work."""
-    src, dst, many = _folding(form)
+    src, dst, many, at = _folding(form)
     folded = F.translate(text, src, dst)
-    expanded = "".join(ch for ch, _ in many)
-    slow = folded
-    for ch, out in many:
-        slow = F.replace(slow, F.lit(ch), F.lit(out))
-    folded = F.when(folded.rlike(f"[{expanded}]"), slow).otherwise(folded)
-    folded = F.lower(F.regexp_replace(folded, r"\p{M}+", ""))
-    return F.when(text.rlike(r"[^\x00-\x7f]"), folded).otherwise(F.lower(text))
+
+    def expand(c: Column) -> Column:
+        # Characters beyond the end of a position's string have no such position, and translate to nothing.
+        return F.when(F.instr(F.lit(many), c) > 0, F.concat(*[F.translate(c, many, x) for x in at])).otherwise(c)
+
+    if many:
+        slow = F.array_join(F.transform(F.split(folded, ""), expand), "")
+        folded = F.when(folded.rlike(f"[{many}]"), slow).otherwise(folded)
+    return F.when(text.rlike(r"[^\x00-\x7f]"), F.lower(folded)).otherwise(F.lower(text))
 
 
 def norm_name(text: Column) -> Column:

@@ -9,8 +9,8 @@ from gridloom.operators.scan import global_row_number
 from gridloom.storage import stable
 
 MIN_QUERY = 3
-#: Most distinct queries (short strings) that are broadcast to the index.
-BROADCAST_QUERIES = 100_000
+#: Places of one trigram are spread over so many keys.
+SALTS = 16
 
 # Spoken country names and their codes.
 COUNTRY_ALIASES = {
@@ -33,59 +33,74 @@ def with_norms(places: DataFrame) -> DataFrame:
     return places.withColumns({"norm_label": norm_name(F.col("label")), "norm_city": norm_name(F.col("city_name"))})
 
 
-def autocomplete(queries: DataFrame, places: DataFrame, limit: int = 10, query: str = "query") -> DataFrame:
+def _trigrams(s: Column) -> Column:
+    return F.when(F.length(s) >= MIN_QUERY, F.transform(
+        F.sequence(F.lit(1), F.length(s) - MIN_QUERY + 1), lambda i: F.substring(s, i, F.lit(MIN_QUERY))
+    )).otherwise(F.array().cast("array<string>"))
+
+
+def trigram_index(places: DataFrame) -> DataFrame:
+    """(tri, salt, place columns): every place under each distinct trigram of its names; worth storing by ``tri``."""
+    both = F.array_distinct(F.concat(_trigrams(F.col("norm_label")), _trigrams(F.col("norm_city"))))
+    return with_norms(places).select(
+        F.explode(both).alias("tri"), F.pmod(F.hash("geonameid"), F.lit(SALTS)).alias("salt"),
+        "geonameid", "label", "population", "norm_label", "norm_city",
+    )
+
+
+def autocomplete(queries: DataFrame, places: DataFrame, limit: int = 10, query: str = "query",
+                 index: DataFrame | None = None) -> DataFrame:
     """Best places whose label or city contains the normalised query.
 
-    Every place lists its substrings of the lengths that were asked for; each
-    substring keeps its best places, per task before the shuffle, so a
-    substring of most places shrinks early.  Queries then meet them by equality.
+    A query looks up the places of its rarest trigram only, then checks the whole string.  The places of a trigram are
+    spread over a few keys, and each task keeps the best of a query before the last shuffle.  ``index`` is a stored
+    :func:`trigram_index` of ``places``.
     """
+    index = trigram_index(places) if index is None else index
     asked = queries.select(query).distinct().withColumn("__q", norm_name(F.col(query))).where(
         F.length("__q") >= MIN_QUERY
     )
-    wanted = stable(asked.select("__q").distinct())
-    lengths = wanted.agg(F.collect_set(F.length("__q")).alias("__lens"))  # no longer than a label
-    subs = lambda s, n: F.transform(F.sequence(F.lit(1), F.length(s) - n + 1), lambda i: F.substring(s, i, n))
-
-    def substrings(s: Column) -> Column:
-        fitting = F.filter("__lens", lambda n: n <= F.length(s))
-        return F.flatten(F.transform(fitting, lambda n: subs(s, n)))
-
-    pool = with_norms(places).join(F.broadcast(lengths)).select(
-        "geonameid", "label", "population",
-        F.explode(F.array_distinct(F.concat(substrings(F.col("norm_label")), substrings(F.col("norm_city"))))).alias("__q"),
+    parts = asked.select("__q").distinct().select("__q", F.explode(F.array_distinct(_trigrams(F.col("__q")))).alias("tri"))
+    counts = index.groupBy("tri").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(counts, "tri", "left").groupBy("__q").agg(
+        F.min_by("tri", F.struct(F.coalesce("n", F.lit(0)), "tri")).alias("tri")
+    )
+    keyed = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hits = index.join(keyed, ["tri", "salt"]).where(
+        F.contains("norm_label", "__q") | F.contains("norm_city", "__q")
     )
-    if wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        # Few queries: everything nobody asked for is dropped before the shuffle.
-        pool = pool.join(F.broadcast(wanted), "__q", "left_semi")
     best = Window.partitionBy("__q").orderBy(F.desc("population"), "label", "geonameid")
-    top = pool.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit)
+    top = hits.select("__q", "geonameid", "label", "population").withColumn("rank", F.row_number().over(best)).where(
+        F.col("rank") <= limit
+    )
     return asked.join(top, "__q").select(query, "rank", "geonameid", "label", "population")
 
 
 def place_names(places: DataFrame) -> DataFrame:
-    """(name, place) for every label, city and alternative name of three or more letters."""
+    """(name, place) for every label, city and alternative name of three or more letters; worth storing by name."""
     raw = F.concat(F.array("label", "city_name"), F.split(F.coalesce("alt_names", F.lit("")), ","))
     return places.select("geonameid", "label", "country_code", "population", F.explode(F.array_distinct(raw)).alias("raw")).select(
         norm_name(F.col("raw")).alias("name"), "geonameid", "label", "country_code", "population"
     ).where(F.length("name") >= MIN_QUERY).distinct()
 
 
-def _exact(queries: DataFrame, places: DataFrame, query: str) -> DataFrame:
+def _exact(queries: DataFrame, places: DataFrame, query: str, names: DataFrame | None = None) -> DataFrame:
+    """Places by equal name; ``names`` is a stored :func:`place_names` of ``places``."""
     asked = queries.select(query).distinct().withColumn("__n", norm_name(F.col(query)))
-    return asked.join(place_names(places).withColumnRenamed("name", "__n"), "__n").drop("__n")
+    names = place_names(places) if names is None else names
+    return asked.join(names.withColumnRenamed("name", "__n"), "__n").drop("__n")
 
 
-def resolve_name_all(queries: DataFrame, places: DataFrame, query: str = "query") -> DataFrame:
+def resolve_name_all(queries: DataFrame, places: DataFrame, query: str = "query", names: DataFrame | None = None) -> DataFrame:
     """Every place with exactly that name, most populous first."""
     order = [F.desc("population"), F.asc("label"), F.asc("geonameid")]
-    return global_row_number(_exact(queries, places, query), [query], order)
+    return global_row_number(_exact(queries, places, query, names), [query], order)
 
 
-def resolve_name(queries: DataFrame, places: DataFrame, query: str = "query") -> DataFrame:
+def resolve_name(queries: DataFrame, places: DataFrame, query: str = "query", names: DataFrame | None = None) -> DataFrame:
     """The most populous place with exactly that name; the first id on ties."""
     best = F.max_by(F.struct("geonameid", "label"), F.struct("population", -F.col("geonameid")))
-    return _exact(queries, places, query).groupBy(query).agg(best.alias("p")).select(query, "p.*")
+    return _exact(queries, places, query, names).groupBy(query).agg(best.alias("p")).select(query, "p.*")
 
 
 def resolve_id(ids: DataFrame, places: DataFrame, row: str = "row_no") -> DataFrame:

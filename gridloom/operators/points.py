@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from gridloom.contract import CELL
 from gridloom.functions.calendar import in_years_months, widen_range
@@ -146,11 +146,32 @@ def is_sovereign(code: Column, dependencies: list[str]) -> Column:
     return F.coalesce(~code.isin(*dependencies), F.lit(True)) if dependencies else F.lit(True)
 
 
+def shown(value: Column, unit: str, target: str, delta: bool) -> Column:
+    """Display value of a score in another temperature unit; differences keep their zero."""
+    return display_round((convert_delta if delta else convert_unit)(display_round(value), unit, target))
+
+
+def shown_unit(unit: str, target: str) -> Column:
+    """Only temperatures are converted."""
+    return F.lit(target if {unit, target} <= {"C", "F"} else unit)
+
+
+def _is_delta(aggregation: str, aggregator: str) -> bool:
+    return aggregation == "trend_slope" or any(w in aggregator.lower() for w in ("offset", "anomaly", "delta"))
+
+
+def _first_rows(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    """Top ``limit`` rows with their ``rank``; only those rows are numbered."""
+    top = df.orderBy(*order).limit(limit)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
 def extreme_locations(cities: DataFrame, series: DataFrame, grid: Grid, aggregation: str,
                       extremum: str = "max", limit: int = 1, monthly: bool = False,
                       start: int | None = None, end: int | None = None,
-                      months: list[int] | None = None, collapse: bool = True) -> DataFrame:
-    """Top cities by a score of their series (long rows per cell).
+                      months: list[int] | None = None, collapse: bool = True, unit: str = "C",
+                      target: str = "C", aggregator: str = "mean") -> DataFrame:
+    """Top cities by a score of their series (long rows per cell), with rank, value in ``target`` and unit.
 
     Scores use display-rounded values, and a long monthly series is scored on
     its yearly means unless ``collapse`` is off.  Only cells under a candidate
@@ -177,46 +198,67 @@ def extreme_locations(cities: DataFrame, series: DataFrame, grid: Grid, aggregat
         "min": F.min_by("year", F.when(v.isNotNull(), F.struct(v, first))),
     }.get(aggregation, F.lit(None).cast("int"))
     scored = rows.groupBy(*CELL).agg(F.round(score, 9).alias("score"), at.alias("year"))
-    ordered = chosen.join(scored.where(F.col("score").isNotNull()), CELL).orderBy(
-        F.desc("score") if extremum == "max" else F.asc("score"), F.desc("population"), "geonameid"
-    )
-    return ordered.limit(limit).select(
-        "geonameid", "label", "alt_names", "lat", "lon", display_round(F.col("score")).alias("value"), "year"
+    ordered = chosen.join(scored.where(F.col("score").isNotNull()), CELL)
+    order = [F.desc("score") if extremum == "max" else F.asc("score"), F.desc("population"), F.asc("geonameid")]
+    value = shown(F.col("score"), unit, target, _is_delta(aggregation, aggregator))
+    return _first_rows(ordered, order, limit).select(
+        "rank", "geonameid", "label", "alt_names", "lat", "lon", value.alias("value"),
+        shown_unit(unit, target).alias("unit"), "year"
     )
 
 
-def extreme_from_ranking(ranking: DataFrame, eligible: DataFrame, extremum: str = "max", limit: int = 1) -> DataFrame:
+def extreme_from_ranking(ranking: DataFrame, eligible: DataFrame, extremum: str = "max", limit: int = 1,
+                         unit: str = "C", target: str = "C", aggregation: str = "mean",
+                         aggregator: str = "mean") -> DataFrame:
     """The same question answered from a stored ranking; ``min`` reads it backwards."""
-    kept = ranking.join(eligible.select("geonameid"), "geonameid", "left_semi")
-    return kept.orderBy(F.asc("rank") if extremum == "max" else F.desc("rank")).limit(limit).select(
-        "geonameid", "name", "lat", "lon", display_round(F.col("value")).alias("value")
+    kept = ranking.join(eligible.select("geonameid"), "geonameid", "left_semi").withColumnRenamed("rank", "stored")
+    top = _first_rows(kept, [F.asc("stored") if extremum == "max" else F.desc("stored")], limit)
+    return top.select(
+        "rank", "geonameid", "name", "lat", "lon",
+        shown(F.col("value"), unit, target, _is_delta(aggregation, aggregator)).alias("value"),
+        shown_unit(unit, target).alias("unit"),
     )
 
 
-def similar_locations(places: DataFrame, reference: DataFrame, means: DataFrame, grid: Grid,
-                      limit: int = 5, min_population: int = 100_000, box: float = 0.13) -> DataFrame:
-    """Cities whose series mean is closest to that of the one reference row.
+def series_means(series: DataFrame, monthly: bool = False) -> DataFrame:
+    """(cell, mean) of the series as they are shown: display-rounded, long monthly ones as yearly means."""
+    rows = metric_series(series, CELL, monthly)
+    if monthly:
+        pos = (F.col("year") * 12 + F.col("month")).alias("pos")
+        rows = collapse_long(rows.select(*CELL, "year", pos, "value"), CELL)
+    return rows.groupBy(*CELL).agg(F.avg("value").alias("mean")).where(F.col("mean").isNotNull())
+
 
-    ``means`` holds (cell, mean).  The reference is a single row, so attaching
-    it to every city costs one column, not a product.
+def similar_locations(places: DataFrame, references: DataFrame, series: DataFrame, grid: Grid,
+                      limit: int = 5, min_population: int = 100_000, box: float = 0.13, monthly: bool = False,
+                      key: str = "reference", unit: str = "C", target: str = "C",
+                      aggregator: str = "mean") -> DataFrame:
+    """Cities whose series mean is closest to that of each reference, ranked per reference.
+
+    ``references`` is (key, lat, lon), a stated set of questions; every city is compared with each of them, and each
+    task keeps the best of a reference before the shuffle.  ``series`` are long rows per cell.
     """
+    means = series_means(series, monthly)
     at = lambda df: df.withColumns(cell_of(F.col("lat"), F.col("lon"), grid)).join(means, CELL)
-    ref = at(reference.limit(1)).select(
-        F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("mean").alias("r_mean")
+    ref = at(references.select(key, "lat", "lon")).select(
+        key, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("mean").alias("r_mean")
     )
     near = (F.abs(F.col("lat") - F.col("r_lat")) < box) & (F.abs(F.col("lon") - F.col("r_lon")) < box)
-    pool = at(places.where(F.col("population") >= min_population)).join(F.broadcast(ref)).where(~near)
-    delta = F.round(F.abs(F.col("mean") - F.col("r_mean")), 9)
-    return pool.withColumn("d", delta).orderBy("d", F.desc("population"), "geonameid").limit(limit).select(
-        "geonameid", "label", display_round(F.col("mean"), 3).alias("value"), display_round(F.col("d")).alias("delta"),
-        display_round(F.col("r_mean"), 3).alias("reference_mean"),
+    pool = at(places.where(F.col("population") >= min_population)).join(ref, ~near)
+    pool = pool.withColumn("d", F.round(F.abs(F.col("mean") - F.col("r_mean")), 9))
+    best = Window.partitionBy(key).orderBy("d", F.desc("population"), "geonameid")
+    delta = _is_delta("mean", aggregator)
+    return pool.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(
+        key, "rank", "geonameid", "label", shown(F.col("mean"), unit, target, delta).alias("value"),
+        shown(F.col("d"), unit, target, True).alias("delta"),
+        shown(F.col("r_mean"), unit, target, delta).alias("reference_mean"), shown_unit(unit, target).alias("unit"),
     )
 
 
 def extreme_regions(region_series: DataFrame, aggregation: str, extremum: str = "max", limit: int = 1,
                     region_type: str | None = None, major_oceans: list[str] | None = None,
                     countries: list[str] | None = None, start: int | None = None,
-                    end: int | None = None) -> DataFrame:
+                    end: int | None = None, unit: str = "C", target: str = "C", aggregator: str = "mean") -> DataFrame:
     """Top regions by a score of their yearly mean series.
 
     Oceans outside the major list are left out; a country list (a continent's
@@ -235,12 +277,14 @@ def extreme_regions(region_series: DataFrame, aggregation: str, extremum: str =
         "mean": F.avg("value"), "max": F.max("value"), "min": F.min("value"), "trend_slope": slope() * 10
     }[aggregation]
     scored = rows.groupBy("region_key", "region_type", "region_name").agg(F.round(score, 9).alias("score"))
-    return scored.where(F.col("score").isNotNull()).orderBy(
-        F.desc("score") if extremum == "max" else F.asc("score"), "region_key"
-    ).limit(limit).select("region_key", "region_type", "region_name", display_round(F.col("score")).alias("value"))
+    order = [F.desc("score") if extremum == "max" else F.asc("score"), F.asc("region_key")]
+    value = shown(F.col("score"), unit, target, _is_delta(aggregation, aggregator))
+    return _first_rows(scored.where(F.col("score").isNotNull()), order, limit).select(
+        "rank", "region_key", "region_type", "region_name", value.alias("value"), shown_unit(unit, target).alias("unit")
+    )
 
 
-#: Other names of the whole globe.
+# Other names of the whole globe.
 GLOBE_NAMES = ["global", "worldwide", "world", "globe"]
 
 
@@ -270,8 +314,11 @@ def resolve_regions(names: DataFrame, regions: DataFrame, name: str = "query") -
 def region_series_query(region_series: DataFrame, key: str, unit: str = "C", target: str = "C",
                         aggregator: str = "mean", start: int | None = None, end: int | None = None,
                         months: list[int] | None = None, by_year: bool = False,
-                        limit: int = MAX_POINTS) -> DataFrame:
-    """One region's series by label, optionally by month, rolled up and converted."""
+                        limit: int | None = MAX_POINTS) -> DataFrame:
+    """One region's series by label, optionally by month, rolled up and converted.
+
+    A series of more than ``limit`` points becomes yearly means; None keeps every point.
+    """
     label = F.col("axis_label")
     year = F.substring(label, 1, 4).cast("int")
     rows = region_series.where(F.col("region_key") == key).where(
@@ -290,7 +337,8 @@ def region_series_query(region_series: DataFrame, key: str, unit: str = "C", tar
         convert_unit(v, unit, target)
     )
     out = rows.select("region_key", "x", shown.alias("value"), F.substring("x", 1, 4).cast("int").alias("year"))
-    n = out.agg((F.count(F.lit(1)) > limit).alias("collapsed"))
+    long = F.lit(False) if limit is None else F.count(F.lit(1)) > limit
+    n = out.agg(long.alias("collapsed"))
     slot = F.when(F.col("collapsed"), F.col("year").cast("string")).otherwise(F.col("x"))
     return out.join(F.broadcast(n)).groupBy("region_key", slot.alias("x"), "collapsed").agg(
         F.when(F.col("collapsed"), display_round(F.avg("value"))).otherwise(F.max("value")).alias("value")

@@ -121,11 +121,13 @@ _KEYED = """SELECT *, row_number() OVER (PARTITION BY round_even(lat * 4, 0), ro
   WHERE population >= 1000 AND {cond}"""
 
 
-def _extreme_sql(cond: str, score: str, order: str, limit: int, year: str = "CAST(NULL AS INTEGER)", where: str = "true") -> str:
+def _extreme_sql(cond: str, score: str, order: str, limit: int, year: str = "CAST(NULL AS INTEGER)", where: str = "true",
+                 value: str = "disp(score, 3)", unit: str = "C") -> str:
     return f"""WITH c AS (SELECT *, CAST(floor((90 - lat) / 10) AS INTEGER) AS i_lat, CAST(floor((lon + 180) / 10) AS INTEGER) AS i_lon FROM ({_KEYED.format(cond=cond)}) WHERE k = 1),
       r AS (SELECT i_lat, i_lon, year, disp(value, 3) AS value FROM annual_wide WHERE {where}),
       s AS (SELECT i_lat, i_lon, round({score}, 9) AS score, {year} AS year FROM r GROUP BY 1, 2)
-      SELECT geonameid, label, alt_names, lat, lon, disp(score, 3) + 0.0::DOUBLE AS value, year FROM c JOIN s USING (i_lat, i_lon) WHERE score IS NOT NULL
+      SELECT CAST(row_number() OVER (ORDER BY score {order}, population DESC, geonameid) AS INTEGER) AS rank, geonameid, label, alt_names, lat, lon,
+        {value} + 0.0::DOUBLE AS value, '{unit}' AS unit, year FROM c JOIN s USING (i_lat, i_lon) WHERE score IS NOT NULL
       ORDER BY score {order}, population DESC, geonameid LIMIT {limit}"""
 
 
@@ -136,18 +138,19 @@ def _(spark, sf):
     return out.withColumn("value", F.col("value") + 0.0)
 
 
-@query("find_extreme_location_trend", _extreme_sql("country_code IN (SELECT country_code FROM continent_country WHERE continent IN ('ASIA', 'EUROPE'))", _SLOPE10, "ASC", 5))
+@query("find_extreme_location_trend", _extreme_sql("country_code IN (SELECT country_code FROM continent_country WHERE continent IN ('ASIA', 'EUROPE'))", _SLOPE10, "ASC", 5, value="disp(disp(score, 3) * 9.0 / 5.0, 3)", unit="F"))
 def _(spark, sf):
     both = V.continent_country(spark, sf).where("continent IN ('ASIA', 'EUROPE')").withColumn("continent", F.lit("eurasia"))
     cities = H.eligible_cities(V.places(spark, sf), continent="eurasia", continent_country=both)
-    out = H.extreme_locations(cities, annual_wide(spark, sf), V.RASTER, "trend_slope", "min", 5)
+    out = H.extreme_locations(cities, annual_wide(spark, sf), V.RASTER, "trend_slope", "min", 5, target="F")
     return out.withColumn("value", F.col("value") + 0.0)
 
 
-@query("find_extreme_location_capitals", _extreme_sql("capital AND country_code NOT IN ('AX', 'CX')", "avg(value)", "DESC", 3))
+@query("find_extreme_location_capitals", _extreme_sql("capital AND country_code NOT IN ('AX', 'CX')", "avg(value)", "DESC", 3, value="disp(disp(score, 3) * 9.0 / 5.0 + 32.0, 3)", unit="F"))
 def _(spark, sf):
     cities = H.eligible_cities(V.places(spark, sf), capital_only=True, dependencies=["AX", "CX"])
-    return H.extreme_locations(cities, annual_wide(spark, sf), V.RASTER, "mean", "max", 3)
+    out = H.extreme_locations(cities, annual_wide(spark, sf), V.RASTER, "mean", "max", 3, target="F")
+    return out.withColumn("value", F.col("value") + 0.0)
 
 
 @query("find_extreme_location_monthly", f"""WITH c AS (SELECT *, CAST(floor((90 - lat) / 30) AS INTEGER) AS i_lat, CAST(floor((lon + 180) / 30) AS INTEGER) AS i_lon FROM ({_KEYED.format(cond="country_code = 'BX'")}) WHERE k = 1),
@@ -159,28 +162,29 @@ def _(spark, sf):
     return H.extreme_locations(cities, rows, M30, "mean", "max", 5, monthly=True).select("geonameid", "label", "value")
 
 
-@query("find_extreme_location_ranked", """SELECT r.geonameid, r.name, r.lat, r.lon, disp(r.value, 3) AS value FROM ranked_mean r JOIN places p USING (geonameid)
+@query("find_extreme_location_ranked", """SELECT CAST(row_number() OVER (ORDER BY r.rank DESC) AS INTEGER) AS rank, r.geonameid, r.name, r.lat, r.lon,
+  disp(disp(r.value, 3) * 9.0 / 5.0 + 32.0, 3) AS value, 'F' AS unit FROM ranked_mean r JOIN places p USING (geonameid)
   WHERE p.population >= 100000 ORDER BY r.rank DESC LIMIT 5""")
 def _(spark, sf):
     ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.RASTER, "mean")
     eligible = H.eligible_cities(V.places(spark, sf), min_population=100_000)
-    return H.extreme_from_ranking(ranking, eligible, "min", 5)
+    return H.extreme_from_ranking(ranking, eligible, "min", 5, target="F")
 
 
-V.SQL_VIEWS["cell_means"] = "SELECT i_lat, i_lon, avg(value) AS mean FROM annual_wide GROUP BY 1, 2 HAVING count(value) > 0"
+V.SQL_VIEWS["cell_means"] = "SELECT i_lat, i_lon, avg(disp(value, 3)) AS mean FROM annual_wide GROUP BY 1, 2 HAVING count(value) > 0"
 
 
 @query("find_similar_locations", """WITH j AS (SELECT geonameid, label, lat, lon, population, mean FROM place_cells JOIN cell_means USING (i_lat, i_lon)),
-  ref AS (SELECT * FROM j ORDER BY population DESC, geonameid LIMIT 1)
-  SELECT j.geonameid, j.label, disp(j.mean, 3) AS value, disp(abs(j.mean - ref.mean), 3) AS delta, disp(ref.mean, 3) AS reference_mean
-  FROM j, ref WHERE j.population >= 100000 AND NOT (abs(j.lat - ref.lat) < 0.13 AND abs(j.lon - ref.lon) < 0.13)
-  ORDER BY round(abs(j.mean - ref.mean), 9), j.population DESC, j.geonameid LIMIT 8""")
+  ref AS (SELECT * FROM j WHERE population >= 100000 AND geonameid % 40 = 0),
+  d AS (SELECT ref.geonameid AS reference, j.*, ref.mean AS r_mean, round(abs(j.mean - ref.mean), 9) AS d FROM j JOIN ref
+    ON NOT (abs(j.lat - ref.lat) < 0.13 AND abs(j.lon - ref.lon) < 0.13) WHERE j.population >= 100000)
+  SELECT reference, CAST(row_number() OVER (PARTITION BY reference ORDER BY d, population DESC, geonameid) AS INTEGER) AS rank, geonameid, label,
+    disp(disp(mean, 3) * 9.0 / 5.0 + 32.0, 3) AS value, disp(disp(d, 3) * 9.0 / 5.0, 3) AS delta, disp(disp(r_mean, 3) * 9.0 / 5.0 + 32.0, 3) AS reference_mean, 'F' AS unit
+  FROM d QUALIFY rank <= 8""")
 def _(spark, sf):
     places = V.places(spark, sf)
-    means = annual_wide(spark, sf).groupBy(*CELL).agg(F.avg("value").alias("mean")).where("mean IS NOT NULL")
-    placed = places.withColumns(cell_of(F.col("lat"), F.col("lon"), V.RASTER)).join(means, CELL, "left_semi")
-    ref = placed.orderBy(F.desc("population"), "geonameid").limit(1).select("lat", "lon")
-    return H.similar_locations(places, ref, means, V.RASTER, limit=8)
+    asked = places.where("population >= 100000 AND geonameid % 40 = 0").select(F.col("geonameid").alias("reference"), "lat", "lon")
+    return H.similar_locations(places, asked, annual_wide(spark, sf), V.RASTER, limit=8, target="F")
 
 
 V.SQL_VIEWS["region_info"] = "SELECT DISTINCT region_key, region_type, region_name FROM weights UNION ALL SELECT 'globe', 'globe', 'Global'"
@@ -204,7 +208,8 @@ _MAJOR = ["ocean:ocean_africa_sea", "ocean:ocean_asia_sea"]
 for _agg, _ext, _expr in [("mean", "max", "avg(value)"), ("trend_slope", "min", _SLOPE10), ("max", "max", "max(value)")]:
     query(f"find_extreme_region_{_agg}", f"""WITH s AS (SELECT region_key, region_type, region_name, round({_expr}, 9) AS score FROM region_series
         WHERE (region_type <> 'ocean' OR region_key IN ('{_MAJOR[0]}', '{_MAJOR[1]}')) AND year >= 1996 AND value IS NOT NULL GROUP BY ALL)
-      SELECT region_key, region_type, region_name, disp(score, 3) + 0.0::DOUBLE AS value FROM s WHERE score IS NOT NULL
+      SELECT CAST(row_number() OVER (ORDER BY score {'DESC' if _ext == 'max' else 'ASC'}, region_key) AS INTEGER) AS rank, region_key, region_type, region_name,
+        disp(score, 3) + 0.0::DOUBLE AS value, 'C' AS unit FROM s WHERE score IS NOT NULL
       ORDER BY score {'DESC' if _ext == 'max' else 'ASC'}, region_key LIMIT 6""")(
         lambda spark, sf, a=_agg, e=_ext: H.extreme_regions(
             region_series(spark, sf), a, e, 6, major_oceans=_MAJOR, start=1996
