@@ -15,7 +15,7 @@ from gridloom.grid import Grid, cell_of
 from gridloom.operators.percell import linear_trend_line, rolling_mean_centered
 from gridloom.operators.places import resolve_name
 
-MISSING = "Missing data - graph can't be displayed."
+MISSING = "No chart: a series has no values here."
 
 
 def series_key(spec: dict) -> str:
@@ -126,9 +126,13 @@ def caption_facts(rows: DataFrame, keys: list[str], lat: str = "lat") -> DataFra
     )
 
 
-def merge_series_wide(rows: DataFrame, group: list[str], series_keys: list[str]) -> DataFrame:
-    """One row per x with a column per series; sort by x as text."""
-    return rows.groupBy(*group, F.col("x").cast("string").alias("x")).pivot("series_key", series_keys).agg(F.last("y"))
+def merge_series_wide(rows: DataFrame, group: list[str], series_keys: list[str], order: str | None = None) -> DataFrame:
+    """One row per x with a column per series; sort by x as text.
+
+    Of several values the one with the greatest ``order`` counts, else the greatest value.
+    """
+    chosen = F.max_by("y", order) if order else F.max("y")
+    return rows.groupBy(*group, F.col("x").cast("string").alias("x")).pivot("series_key", series_keys).agg(chosen)
 
 
 def prefer_explicit(results: DataFrame) -> DataFrame:
@@ -176,21 +180,29 @@ def scalar_region_compare(results: DataFrame) -> DataFrame:
     )
 
 
-def source_of(metric_id: str, metrics: dict[str, dict]) -> dict | None:
-    """Dataset of a metric, following the first input of derived ones."""
-    if metric_id not in metrics:
-        return None
-    at, seen = metric_id, set()
-    while at in metrics:
-        spec = metrics[at]
+def dataset_sources(metrics: dict[str, dict]) -> dict[str, tuple[str | None, str | None]]:
+    """(dataset, provider) of every metric of a registry; a derived metric has those of its first input.
+
+    Answers spread from the metrics that name a dataset, and from those that lead nowhere, to the metrics built on
+    them.  Where first inputs form a ring, a member leaves it by its next input that has an answer.
+    """
+    found: dict[str, tuple[str | None, str | None]] = {}
+    for name, spec in metrics.items():
         if spec.get("dataset"):
-            return {"dataset_id": spec["dataset"], "provider": (spec.get("provider") or "").upper() or None}
-        seen.add(at)
-        onward = [i for i in spec.get("inputs", []) if i not in seen]
-        if not onward:
-            break
-        at = onward[0]
-    return {"dataset_id": None, "provider": None}
+            found[name] = (spec["dataset"], (spec.get("provider") or "").upper() or None)
+        elif not [i for i in spec.get("inputs", []) if i != name]:
+            found[name] = (None, None)
+    for reach in (1, None):
+        spreading = True
+        while spreading:
+            ready = {
+                name: answers[0] for name, spec in metrics.items() if name not in found
+                and (answers := [found.get(i, (None, None)) for i in [x for x in spec["inputs"] if x != name][:reach]
+                                 if i in found or i not in metrics])
+            }
+            found |= ready
+            spreading = bool(ready)
+    return {name: found.get(name, (None, None)) for name in metrics}
 
 
 def provenance_cards(charts: DataFrame, metrics: dict[str, dict]) -> DataFrame:
@@ -199,10 +211,7 @@ def provenance_cards(charts: DataFrame, metrics: dict[str, dict]) -> DataFrame:
     ``charts`` are (chart_id, metric_id, position, place).  The lineage of the
     registry resolves on the driver; places are ranked by first appearance.
     """
-    known = [
-        (m, (s := source_of(m, metrics))["dataset_id"], s["provider"], spec.get("title") or m)
-        for m, spec in metrics.items()
-    ]
+    known = [(m, *source, metrics[m].get("title") or m) for m, source in dataset_sources(metrics).items()]
     lineage = charts.sparkSession.createDataFrame(
         known, "metric_id string, dataset_id string, provider string, metric_title string"
     )

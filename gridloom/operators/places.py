@@ -226,17 +226,16 @@ def append_marine(index: DataFrame, marine: DataFrame, first_id: int = MARINE_FI
 
     Seas take ids upward in name order and skip those in use: the n-th free
     id lies beyond every used id that has at most n - 1 free ids below it.
-    Named seas and synthetic ids number a few hundred.
     """
     ranked = global_row_number(marine, [], [F.asc("norm_name")], "n")
     used = index.where(F.col("geonameid") >= first_id).select("geonameid").distinct()
-    free_below = F.col("geonameid") - first_id - (
-        F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("geonameid")) - 1
-    )
-    marks = used.select(free_below.alias("at"), F.lit(1).alias("u"), F.lit(None).cast("long").alias("n"))
-    asks = ranked.select((F.col("n") - 1).alias("at"), F.lit(0).alias("u"), F.col("n").cast("long").alias("n"))
-    run = Window.partitionBy(F.lit(0)).orderBy("at", F.desc("u")).rowsBetween(Window.unboundedPreceding, 0)
-    shifts = marks.unionByName(asks).withColumn("shift", F.sum("u").over(run)).where("u = 0").select("n", "shift")
+    numbered = global_row_number(used, [], [F.asc("geonameid")], "k")
+    marks = numbered.select((F.col("geonameid") - first_id - (F.col("k") - 1)).alias("at"), F.lit(0).alias("ask"), F.lit(None).cast("long").alias("n"))
+    asks = ranked.select((F.col("n") - 1).alias("at"), F.lit(1).alias("ask"), F.col("n").cast("long").alias("n"))
+    # In this order the n-th ask stands behind n - 1 asks and all the used ids that it has to skip.
+    order = [F.asc("at"), F.asc("ask"), F.asc("n")]
+    placed = global_row_number(marks.unionByName(asks), [], order, "stand").where("ask = 1")
+    shifts = placed.select("n", (F.col("stand") - F.col("n")).alias("shift"))
     rows = ranked.join(shifts, "n").select(
         (F.lit(first_id) + F.col("n") - 1 + F.col("shift")).cast("long").alias("geonameid"),
         "label", F.col("label").alias("city_name"), F.lit("Ocean").alias("country_name"),

@@ -14,22 +14,24 @@ def _target_axis(spark, grid: Grid, axis: str) -> DataFrame:
     return idx.select("i", center(F.col("i"), grid).alias("x"))
 
 
-def _brackets(source_axis: DataFrame, targets: DataFrame) -> DataFrame:
-    """Neighbouring source coordinates of each target coordinate.
+def _brackets(source_axis: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """Neighbouring source coordinates of each target coordinate, for each source grid (value of ``by``).
 
-    Both axes together have at most a few thousand rows (the edge length of a
-    grid), so one ordered window over them is small at any table size.
+    Both axes of a grid together have at most a few thousand rows (the edge length of a grid), so an ordered window
+    over them is small at any table size.
     """
-    src = source_axis.select(F.lit(None).cast("int").alias("i"), F.col("x"), F.col("x").alias("s"))
-    tgt = targets.select("i", "x", F.lit(None).cast("double").alias("s"))
-    ends = source_axis.agg(F.min("x").alias("first"), F.max("x").alias("last"))
-    second = source_axis.join(F.broadcast(ends)).where(F.col("x") > F.col("first")).agg(F.min("x").alias("second"))
+    xs = F.array_sort(F.collect_list("x"))
+    ends = source_axis.groupBy(*by).agg(
+        F.min("x").alias("first"), F.max("x").alias("last"), F.get(xs, F.lit(1)).alias("second")
+    )
+    src = source_axis.select(*by, F.lit(None).cast("int").alias("i"), F.col("x"), F.col("x").alias("s"))
+    tgt = ends.select(*by).join(F.broadcast(targets)).select(*by, "i", "x", F.lit(None).cast("double").alias("s"))
     # A target sorts before an equal source, so "before" is strictly lower.
-    w = Window.partitionBy(F.lit(0)).orderBy("x", F.col("s").isNotNull())
+    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("x", F.col("s").isNotNull())
     below = F.last("s", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     above = F.first("s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     rows = src.union(tgt).withColumns({"lo": below, "hi": above}).where(F.col("i").isNotNull())
-    rows = rows.join(F.broadcast(ends)).join(F.broadcast(second))
+    rows = rows.join(ends, by) if by else rows.join(F.broadcast(ends))
     at_first = F.col("x") == F.col("first")
     lo = F.when(at_first, F.col("first")).otherwise(F.col("lo"))
     hi = F.when(at_first, F.col("second")).otherwise(F.col("hi"))
@@ -41,48 +43,54 @@ def _brackets(source_axis: DataFrame, targets: DataFrame) -> DataFrame:
         .otherwise(F.col("hi"))
     )
     return rows.select(
-        "i", outside.alias("outside"), nearest.alias("nearest"),
+        *by, "i", outside.alias("outside"), nearest.alias("nearest"),
         F.when(~outside, lo).alias("lo"), F.when(~outside, hi).alias("hi"),
         F.when(~outside, (F.col("x") - lo) / (hi - lo)).alias("w"),
     )
 
 
-def _interpolate(src: DataFrame, br: DataFrame, coord: str, out: str, keep: list[str]) -> DataFrame:
+def _interpolate(src: DataFrame, br: DataFrame, coord: str, out: str, keep: list[str], by: list[str]) -> DataFrame:
     """1-D linear step: a missing neighbour makes the result missing."""
     pairs = br.where(~F.col("outside")).select(
-        F.col("i").alias(out),
+        *by, F.col("i").alias(out),
         F.explode(F.array(
             F.struct(F.col("lo").alias("c"), (1 - F.col("w")).alias("wt")),
             F.struct(F.col("hi").alias("c"), F.col("w").alias("wt")),
         )).alias("p"),
-    ).select(out, F.col("p.c").alias(coord), F.col("p.wt").alias("__w"))
-    joined = src.join(pairs, coord)
+    ).select(*by, out, F.col("p.c").alias(coord), F.col("p.wt").alias("__w"))
+    joined = src.join(pairs, [*by, coord])
     full = F.count("value") == 2
     return joined.groupBy(*keep, out).agg(F.when(full, F.sum(F.col("value") * F.col("__w"))).alias("value"))
 
 
-def regrid(source: DataFrame, grid: Grid, method: str = "bilinear", keys: list[str] | None = None) -> DataFrame:
+def regrid(source: DataFrame, grid: Grid, method: str = "bilinear", keys: list[str] | None = None,
+           grid_keys: list[str] | None = None) -> DataFrame:
     """(lat, lon, value) on any rectangular axes to the cells of ``grid``.
 
     Interior gaps stay missing; only targets beyond the source bounds take the
     nearest source value.  Bilinear is separable: rows first, then columns.
+    Every value of ``grid_keys`` (of all ``keys``, if not given) is a source
+    grid with axes of its own; name only the keys that tell grids apart, as
+    the metric, and the time steps of a grid share its axes.
     """
     keys = keys or []
+    by = keys if grid_keys is None else grid_keys
     src = source.select(*keys, "lat", wrap_lon(F.col("lon")).alias("lon"), "value")
     spark = source.sparkSession
-    rows = _brackets(src.select(F.col("lat").alias("x")).distinct(), _target_axis(spark, grid, "lat"))
-    cols = _brackets(src.select(F.col("lon").alias("x")).distinct(), _target_axis(spark, grid, "lon"))
+    rows = _brackets(src.select(*by, F.col("lat").alias("x")).distinct(), _target_axis(spark, grid, "lat"), by)
+    cols = _brackets(src.select(*by, F.col("lon").alias("x")).distinct(), _target_axis(spark, grid, "lon"), by)
+
     def nearest_of(r: DataFrame, c: DataFrame) -> DataFrame:
-        by_lat = r.select(F.col("i").alias("i_lat"), F.col("nearest").alias("lat"))
-        by_lon = c.select(F.col("i").alias("i_lon"), F.col("nearest").alias("lon"))
-        return src.join(by_lat, "lat").join(by_lon, "lon").select(*keys, *CELL, "value")
+        by_lat = r.select(*by, F.col("i").alias("i_lat"), F.col("nearest").alias("lat"))
+        by_lon = c.select(*by, F.col("i").alias("i_lon"), F.col("nearest").alias("lon"))
+        return src.join(by_lat, [*by, "lat"]).join(by_lon, [*by, "lon"]).select(*keys, *CELL, "value")
 
     if method == "nearest":
         return nearest_of(rows, cols)
     if method != "bilinear":
         raise ValueError(f"unknown regrid method: {method}")
-    by_row = _interpolate(src, rows, "lat", "i_lat", [*keys, "lon"])
-    inside = _interpolate(by_row, cols, "lon", "i_lon", [*keys, "i_lat"])
+    by_row = _interpolate(src, rows, "lat", "i_lat", [*keys, "lon"], by)
+    inside = _interpolate(by_row, cols, "lon", "i_lon", [*keys, "i_lat"], by)
     # Beyond the source bounds: whole outer rows, then the outer columns of inner rows.
     beyond = nearest_of(rows.where("outside"), cols).unionByName(nearest_of(rows.where(~F.col("outside")), cols.where("outside")))
     return inside.select(*keys, *CELL, "value").unionByName(beyond)

@@ -46,8 +46,8 @@ _GRAPHS = {
    UNION ALL SELECT point_id, 'water', 'heat_again', x, value * 9 / 5 + 32, 'F' FROM chart_rows WHERE metric_id = 'heat'),
   s AS (SELECT geonameid AS point_id, geonameid IN (SELECT point_id FROM chart_rows WHERE metric_id = 'heat') AS h, geonameid IN (SELECT point_id FROM chart_rows WHERE metric_id = 'rain') AS r FROM places)
   SELECT d.point_id, graph_id, series_key, x, disp(y, 4) + 0.0::DOUBLE AS y, unit, CAST(NULL AS VARCHAR) AS error FROM d JOIN s USING (point_id) WHERE h AND (r OR graph_id = 'temperature')
-  UNION ALL SELECT point_id, 'temperature', NULL, NULL, NULL, NULL, 'Missing data - graph can''t be displayed.' FROM s WHERE NOT h
-  UNION ALL SELECT point_id, 'water', NULL, NULL, NULL, NULL, 'Missing data - graph can''t be displayed.' FROM s WHERE NOT (h AND r)""")
+  UNION ALL SELECT point_id, 'temperature', NULL, NULL, NULL, NULL, 'No chart: a series has no values here.' FROM s WHERE NOT h
+  UNION ALL SELECT point_id, 'water', NULL, NULL, NULL, NULL, 'No chart: a series has no values here.' FROM s WHERE NOT (h AND r)""")
 def _(spark, sf):
     pts = V.places(spark, sf).select(F.col("geonameid").alias("point_id"))
     return rounded(P.panel_series(pts, chart_rows(spark, sf), _GRAPHS, unit="F"), "y", digits=4)

@@ -8,14 +8,22 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_local: dict[str, str] = {}  # one temporary root per application
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
+    """The folder named by ``spark.checkpoint.dir``; one temporary folder per application, only in local mode.
+
+    What jobs leave there belongs to the caller, who clears it when no table made from it is in use any more.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.mkdtemp(prefix="gridloom-")
+    if spark.sparkContext.applicationId not in _local:
+        _local[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="gridloom-")
+    return _local[spark.sparkContext.applicationId]
 
 
 def work_folder(spark: SparkSession, prefix: str = "work") -> str:

@@ -71,6 +71,22 @@ def test_regrid_fills_only_outside(frame):
     assert out[0, 0] == 2.0 and out[4, 4] == 2.0
 
 
+def test_regrid_of_two_source_grids(frame):
+    """Each source grid keeps axes of its own, also when steps of time tell its rows apart."""
+    fine = [(lat, lon, v) for lat, lon, v in SRC]
+    coarse = [(lat + 0.37, lon + 0.21, v * 2) for lat, lon, v in SRC]
+    rows = [(m, t, *r) for m, src in (("a", fine), ("b", coarse)) for t in (1, 2) for r in src]
+    both = frame("m string, t int, lat double, lon double, value double", rows)
+    for method in ("bilinear", "nearest"):
+        alone = {m: table(RGD.regrid(frame("lat double, lon double, value double", src), small_grid(5), method))
+                 for m, src in (("a", fine), ("b", coarse))}
+        for grid_keys in (None, ["m"]):
+            got = {}
+            for r in RGD.regrid(both, small_grid(5), method, keys=["m", "t"], grid_keys=grid_keys).collect():
+                got.setdefault((r.m, r.t), {})[r.i_lat, r.i_lon] = r.value
+            assert got == {(m, t): alone[m] for m in "ab" for t in (1, 2)}
+
+
 def test_regrid_keeps_interior_gaps(frame):
     src = [(a, b, None if (a, b) == (0.0, 0.0) else v) for a, b, v in SRC]
     out = table(RGD.regrid(frame("lat double, lon double, value double", src), small_grid(3)))

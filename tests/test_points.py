@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from gridloom.grid import Grid
 from gridloom.operators import headlines as I, points as H
 
 YEARLY = "k int, year int, value double"
@@ -78,3 +79,28 @@ def test_extremes_score_collapsed_means(frame):
     assert (native.label, native.value, native.year) == ("spiky", 100.0, 2005)
     with pytest.raises(ValueError):
         H.extreme_locations(cities, s, g, "trend_slope", monthly=True)
+
+
+def test_sources_of_derived_metrics():
+    from gridloom.operators.panels import dataset_sources
+
+    metrics = {
+        "obs": {"dataset": "d1", "provider": "era"}, "mean": {"inputs": ["obs"]}, "trend": {"inputs": ["mean", "other"]},
+        "bare": {}, "lost": {"inputs": ["bare", "obs"]}, "far": {"inputs": ["nowhere"]}, "self": {"inputs": ["self", "obs"]},
+        "ring1": {"inputs": ["ring2"]}, "ring2": {"inputs": ["ring1", "obs"]}, "loop": {"inputs": ["loop"]},
+    }
+    got = dataset_sources(metrics)
+    assert {k for k, v in got.items() if v == ("d1", "ERA")} == {"obs", "mean", "trend", "self", "ring1", "ring2"}
+    assert {k for k, v in got.items() if v == (None, None)} == {"bare", "lost", "far", "loop"}
+
+
+def test_several_references_are_all_answered(frame):
+    places = frame("geonameid long, label string, lat double, lon double, population long",
+                   [(i, f"p{i}", 10.5 + i, 20.5, 200_000 + i) for i in range(6)])
+    s = frame("i_lat int, i_lon int, year int, value double",
+              [(79 - i, 200, y, float(i * i) + 0.0004) for i in range(6) for y in (2000, 2001)])
+    refs = frame("reference string, lat double, lon double", [("x", 10.5, 20.5), ("y", 14.5, 20.5), ("none", -80.0, 0.0)])
+    grid = Grid("g", 1.0, 180, 360, tile_size=16)
+    got = H.similar_locations(places, refs, s, grid, limit=2, target="F").orderBy("reference", "rank").collect()
+    assert [(r.reference, r["rank"], r.geonameid) for r in got] == [("x", 1, 1), ("x", 2, 2), ("y", 1, 3), ("y", 2, 5)]
+    assert [(r.value, r.delta, r.reference_mean, r.unit) for r in got][:1] == [(33.8, 1.8, 32.0, "F")]
