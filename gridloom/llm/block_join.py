@@ -98,7 +98,8 @@ def nearest(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", e
     zero = ~F.exists("v", lambda x: x != 0)
     clean = saved(usable(rows, vec_id, embedding).where(~zero))
     queries = clean.where(is_query)
-    across, down = grid(queries.count(), clean.count())
+    slots = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    across, down = grid(queries.count(), clean.count(), slots)
     left = tiles(queries, group_of("vec_id", across), down, "gi", "gj").groupBy("gi", "gj")
     right = tiles(clean, group_of("vec_id", down), across, "gj", "gi").groupBy("gi", "gj")
     found = left.cogroup(right).applyInPandas(_tile(k), "query_id long, vec_id long, score double")

@@ -137,7 +137,8 @@ def top_products(rows: DataFrame, is_query: Column, k: int, vec_id: str = "vec_i
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     clean = saved(usable(rows, vec_id, embedding).withColumn("v", whole).withColumn("norm", length))
     queries = clean.where(is_query).select("vec_id", "v")
-    across, down = grid(queries.count(), clean.count())
+    slots = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    across, down = grid(queries.count(), clean.count(), slots)
     longest = clean.orderBy(F.desc("norm"), "vec_id").limit(SEEDS).select("vec_id", "v").toPandas()
     seeds = {d: (longest["vec_id"].to_numpy()[at], m) for d, (at, m) in stacked(longest["v"]).items()}
     # Tiles are dealt by id, whatever the lengths; each tile orders its rows by length into buckets.

@@ -20,7 +20,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F, Window
+from pyspark.sql import DataFrame, functions as F
 
 from gridloom.llm.common import in_tasks, marked, saved, table
 from gridloom.llm.components import components, joined_components
@@ -209,10 +209,9 @@ def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame
     chosen = placed.join(mixed, "key").groupBy("key", "comp").agg(
         F.array(F.min("node"), F.min(size)["node"], F.max(size)["node"]).alias("nodes"))
     chosen = chosen.select("key", "comp", F.explode(F.array_distinct("nodes")).alias("node"))
-    spot = Window.partitionBy("key").orderBy("node")
-    ranked = chosen.withColumn("block", F.floor((F.row_number().over(spot) - 1) / BLOCK))
-    blocks = saved(ranked.groupBy("key").agg((F.max("block") + 1).alias("blocks")))
-    ranked = saved(ranked.join(blocks, "key").join(nodes.select("node", "n_words", "minima", "bag"), "node"))
+    blocks = saved(chosen.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
+    placed = chosen.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    ranked = saved(placed.join(nodes.select("node", "n_words", "minima", "bag"), "node"))
     every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(
         F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
     cells = ranked.withColumn("cell", F.explode(every)).select("key", "cell", "comp", "node", "block", "n_words", "minima", "bag")

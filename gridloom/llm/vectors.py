@@ -7,7 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, Window
 
-PAIRS_PER_TILE = 200_000_000
+PAIRS_PER_TILE, LEAST_PAIRS = 200_000_000, 250_000
 ROWS_PER_TILE = 1 << 18
 
 
@@ -20,11 +20,15 @@ def usable(rows: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return clean.groupBy("vec_id").agg(F.max("v").alias("v"))
 
 
-def grid(queries: int, rows: int) -> tuple[int, int]:
-    """Numbers of query groups and candidate groups, so that every tile has a bounded number of rows and pairs."""
+def grid(queries: int, rows: int, slots: int = 1) -> tuple[int, int]:
+    """Numbers of query groups and candidate groups, so that every tile has a bounded number of rows and pairs.
+
+    Below that bound the work is spread over ``slots`` tiles, unless they would be very small.
+    """
     parts = max(1, math.ceil(rows / ROWS_PER_TILE))
     groups = max(1, math.ceil(queries / ROWS_PER_TILE))
-    tiles = max(parts * groups, math.ceil(queries * rows / PAIRS_PER_TILE), 1)
+    pairs = min(PAIRS_PER_TILE, max(LEAST_PAIRS, queries * rows / slots))
+    tiles = max(parts * groups, math.ceil(queries * rows / pairs), 1)
     # Both sides are copied to a row or column of the grid; the square root balances the copies.
     across = min(max(groups, round(math.sqrt(tiles * queries / max(rows, 1)))), tiles)
     return across, max(parts, math.ceil(tiles / across))
