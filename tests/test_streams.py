@@ -77,3 +77,25 @@ def test_packed_matches_windows(spark):
     assert key(P.longest_dry_run(series, axis, 25.0)) == key(R.longest_dry_run(dense, 25.0))
     plan = P.longest_dry_run(spark.createDataFrame(series.limit(3).collect(), series.schema), axis)._jdf.queryExecution().toString()
     assert "Window" not in plan.split("Physical Plan")[1].split("BroadcastNestedLoopJoin")[0]
+
+
+def test_packed_daily_reducers_match_the_long_ones(spark):
+    """Same numbers as the long forms, and only (cell, year) rows are ever shuffled."""
+    from conftest import SF
+    from gridloom.operators import packed as P, reducers as R
+    from gridloom.plans.packed import daily_series
+    from gridloom.sources import series as S
+
+    series, axis = daily_series(spark, SF)
+    series = spark.createDataFrame(series.collect(), series.schema)
+    dense = S.unpack_series(series, axis, keep=["i_lat", "i_lon"]).select("i_lat", "i_lon", "t", "value")
+    rows = lambda df: sorted((tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()), key=repr)
+    assert rows(P.annual_sum(series, axis)) == rows(R.annual_sum(dense))
+    assert rows(P.annual_mean_from_daily(series, axis)) == rows(R.annual_mean_from_daily(dense))
+    assert rows(P.heat_stress_years(series, axis, 20.0, 35.0)) == rows(R.heat_stress_years(dense, 20.0, 35.0))
+    hot = P.hot_days(series, axis, 5, 60)
+    assert rows(hot) == rows(R.hot_days(dense, 5, 60))
+    for df in (P.annual_sum(series, axis), P.annual_mean_from_daily(series, axis), P.heat_stress_years(series, axis)):
+        left = df._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+        assert "Exchange" not in left and "Window" not in left
+    assert "partial_count_if" in hot._jdf.queryExecution().toString() or "partial_count" in hot._jdf.queryExecution().toString()
