@@ -76,13 +76,16 @@ def _(spark, sf):
 _Y = "ln(tan(pi() / 4 + radians(90 - (i + 0.5::DOUBLE) * 10) / 2))"
 
 
-@query("mercator_rows", f"""WITH ax AS (SELECT CAST(i AS INTEGER) AS i, {_Y} AS y FROM range(18) r(i)),
+MERCATOR_SQL = f"""WITH ax AS (SELECT CAST(i AS INTEGER) AS i, {_Y} AS y FROM range(18) r(i)),
   b AS (SELECT max(y) AS top, min(y) AS bot FROM ax),
   t AS (SELECT CAST(k AS INTEGER) AS row, top - k * ((top - bot) / 17) AS yt FROM range(18) r(k), b),
   s AS (SELECT p.i_lon, p.i_lat, p.value AS v, q.value AS v1, u.y AS y, w.y AS y1 FROM raster p JOIN raster q ON q.i_lon = p.i_lon AND q.i_lat = p.i_lat + 1
      JOIN ax u ON u.i = p.i_lat JOIN ax w ON w.i = q.i_lat WHERE p.value IS NOT NULL AND q.value IS NOT NULL)
   SELECT row, i_lon, disp(v1 + (v - v1) * least(greatest((yt - y1) / (y - y1), 0), 1), 6) AS value FROM s JOIN t ON yt <= y + 1e-9 AND yt >= y1 - 1e-9
-  QUALIFY row_number() OVER (PARTITION BY row, i_lon ORDER BY i_lat) = 1""")
+  QUALIFY row_number() OVER (PARTITION BY row, i_lon ORDER BY i_lat) = 1"""
+
+
+@query("mercator_rows", MERCATOR_SQL)
 def _(spark, sf):
     return rounded(RGD.mercator_rows(V.raster(spark, sf), V.RASTER), "value")
 

@@ -183,15 +183,15 @@ def _(spark, sf):
 _MONTHS = "['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December']"
 
 
-@query("month_span_label", f"""WITH m AS (SELECT o_custkey, list_sort(list(DISTINCT CAST(month(o_orderdate) AS INTEGER))) AS ms FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1),
+@query("month_span_label", f"""WITH m AS (SELECT o_custkey, o_orderpriority, list_sort(list(DISTINCT CAST(month(o_orderdate) AS INTEGER))) AS ms FROM orders GROUP BY 1, 2),
   s AS (SELECT *, list_filter(ms, lambda x: NOT list_contains(ms, ((x + 10) % 12) + 1)) AS st FROM m)
-  SELECT o_custkey, CASE WHEN len(ms) = 12 THEN NULL WHEN len(ms) = 1 THEN {_MONTHS}[ms[1]] WHEN len(st) = 1 THEN {_MONTHS}[st[1]] || '–' || {_MONTHS}[((st[1] + len(ms) - 2) % 12) + 1]
+  SELECT o_custkey, o_orderpriority, CASE WHEN len(ms) = 12 THEN NULL WHEN len(ms) = 1 THEN {_MONTHS}[ms[1]] WHEN len(st) = 1 THEN {_MONTHS}[st[1]] || '–' || {_MONTHS}[((st[1] + len(ms) - 2) % 12) + 1]
     ELSE array_to_string(list_transform(ms, lambda x: {_MONTHS}[x]), ', ') END AS label FROM s""")
 def _(spark, sf):
-    months = V.table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(
+    months = V.table(spark, sf, "orders").groupBy("o_custkey", "o_orderpriority").agg(
         F.collect_set(F.month("o_orderdate")).alias("ms")  # at most twelve
     )
-    return months.select("o_custkey", TX.month_span_label(F.col("ms")).alias("label"))
+    return months.select("o_custkey", "o_orderpriority", TX.month_span_label(F.col("ms")).alias("label"))
 
 
 _METRICS = {

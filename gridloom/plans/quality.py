@@ -234,10 +234,10 @@ def _(spark, sf):
     return Q.missing_tiles(series, "annual", rows=(8, 35), cols=(12, 79))
 
 
-@query("orphan_artifacts", """SELECT 'series' AS kind, 'm' || (p_partkey % 97) AS artifact_id, p_brand AS version FROM part WHERE ('m' || (p_partkey % 97), p_brand) NOT IN (SELECT ('m' || (l_partkey % 97), p_brand) FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49)""")
+@query("orphan_artifacts", """SELECT 'series' AS kind, 'm' || (p_partkey % 97) AS artifact_id, p_brand AS version FROM part WHERE ('m' || (p_partkey % 97), p_brand) NOT IN (SELECT ('m' || (l_partkey % 89), p_brand) FROM lineitem JOIN part ON p_partkey = l_partkey)""")
 def _(spark, sf):
-    name = lambda c: F.concat(F.lit("m"), (F.col(c) % 97).cast("string")).alias("artifact_id")
+    name = lambda c, n: F.concat(F.lit("m"), (F.col(c) % n).cast("string")).alias("artifact_id")
     part = V.table(spark, sf, "part")
-    stored = part.select(F.lit("series").alias("kind"), name("p_partkey"), F.col("p_brand").alias("version"))
-    used = V.table(spark, sf, "lineitem").where("l_quantity > 49").join(part, F.col("p_partkey") == F.col("l_partkey"))
-    return Q.orphans(stored, used.select(F.lit("series").alias("kind"), name("l_partkey"), F.col("p_brand").alias("version")))
+    stored = part.select(F.lit("series").alias("kind"), name("p_partkey", 97), F.col("p_brand").alias("version"))
+    used = V.table(spark, sf, "lineitem").join(part, F.col("p_partkey") == F.col("l_partkey"))
+    return Q.orphans(stored, used.select(F.lit("series").alias("kind"), name("l_partkey", 89), F.col("p_brand").alias("version")))

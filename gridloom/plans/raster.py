@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.contract import CELL
-from gridloom.operators import raster as E
+from gridloom.operators import raster as E, regrid as RGD
 from gridloom.plans import views as V
+from gridloom.plans.grids import MERCATOR_SQL
 from gridloom.plans.registry import query
 from gridloom.plans.rounding import rounded
 
@@ -88,6 +89,7 @@ def _(spark, sf):
     return E.downsample_max_alpha(pixels(spark, sf))
 
 
-@query("map_stats", "SELECT min(value) AS min, max(value) AS max, CAST(648 - count(value) AS BIGINT) AS nan_count FROM raster WHERE i_lat BETWEEN 1 AND 16")
+@query("map_stats", f"""WITH m AS ({MERCATOR_SQL}) SELECT min(value) AS min, max(value) AS max, CAST(648 - count(value) AS BIGINT) AS nan_count FROM m""")
 def _(spark, sf):
-    return E.map_stats(V.raster(spark, sf).where("i_lat BETWEEN 1 AND 16"), V.RASTER.nlat * V.RASTER.nlon)
+    projected = rounded(RGD.mercator_rows(V.raster(spark, sf), V.RASTER), "value")
+    return E.map_stats(projected, V.RASTER.nlat * V.RASTER.nlon)

@@ -15,7 +15,7 @@ _COS = "cos(radians(90 - (i_lat + 0.5::DOUBLE)))"
 _SLUG = "replace(replace(lower(strip_accents({})), ' ', '_'), '-', '_')"
 
 V.SQL_VIEWS["weights"] = f"""SELECT 'country:' || code AS region_key, 'country' AS region_type, name AS region_name, i_lat, i_lon, frac
-    FROM country_frac JOIN countries USING (id)
+    FROM country_frac JOIN countries USING (id) WHERE code IS NOT NULL
   UNION ALL SELECT 'continent:' || replace(continent, ' ', '_'), 'continent', array_to_string(list_transform(string_split(lower(continent), ' '), lambda w: upper(w[1]) || w[2:]), ' '), i_lat, i_lon, least(sum(frac), 1)
     FROM country_frac JOIN countries USING (id) JOIN continent_country ON country_code = code GROUP BY continent, i_lat, i_lon
   UNION ALL SELECT 'ocean:' || {_SLUG.format("coalesce(name, 'ocean_' || id)")}, 'ocean', coalesce(name, 'ocean_' || id), i_lat, i_lon, frac
@@ -96,14 +96,13 @@ def _(spark, sf):
     )
 
 
-@query("bbox_mean", f"""WITH a AS (SELECT i_lat, i_lon, value, {_COS} AS w FROM annual WHERE year = 1999 AND value IS NOT NULL
+@query("bbox_mean", f"""WITH a AS (SELECT i_lat, i_lon, value, {_COS} AS w FROM annual WHERE value IS NOT NULL
     AND 90 - (i_lat + 0.5) BETWEEN -50 AND 60 AND -180 + (i_lon + 0.5) BETWEEN -120 AND 100)
   SELECT disp(sum(value * w) / sum(w), 6) AS mean, max(value) AS peak,
    (SELECT 90 - (i_lat + 0.5::DOUBLE) FROM a ORDER BY value DESC, i_lat, i_lon LIMIT 1) AS peak_lat,
    (SELECT -180 + (i_lon + 0.5::DOUBLE) FROM a ORDER BY value DESC, i_lat, i_lon LIMIT 1) AS peak_lon FROM a""")
 def _(spark, sf):
-    year = V.annual(spark, sf).where("year = 1999")
-    return rounded(RG.bbox_mean(year, V.TOY, west=-120, south=-50, east=100, north=60), "mean")
+    return rounded(RG.bbox_mean(V.annual(spark, sf), V.TOY, west=-120, south=-50, east=100, north=60), "mean")
 
 
 @query("dhw_fraction_days", """WITH d AS (SELECT t, count(value) AS valid, count(*) FILTER (WHERE value >= 8) AS sev, count(*) FILTER (WHERE value >= 4) AS mod

@@ -234,22 +234,22 @@ def _coarse_where(mask: DataFrame, cond: Column) -> DataFrame:
 
 
 @_view("countries", """SELECT CAST(n_nationkey + 1 AS INTEGER) AS id,
-  chr(CAST(65 + n_nationkey AS INTEGER)) || 'X' AS code, n_name AS name FROM nation WHERE n_nationkey <> 13""")
+  CASE WHEN n_nationkey <> 13 THEN chr(CAST(65 + n_nationkey AS INTEGER)) || 'X' END AS code, n_name AS name FROM nation""")
 def countries(spark, sf) -> DataFrame:
     """Names of the country ids; one id has no code on purpose."""
-    return table(spark, sf, "nation").where("n_nationkey <> 13").select(
+    return table(spark, sf, "nation").select(
         (F.col("n_nationkey") + 1).cast("int").alias("id"),
-        F.concat(F.char(F.lit(65) + F.col("n_nationkey")), F.lit("X")).alias("code"),
+        F.when(F.col("n_nationkey") != 13, F.concat(F.char(F.lit(65) + F.col("n_nationkey")), F.lit("X"))).alias("code"),
         F.col("n_name").alias("name"),
     )
 
 
-@_view("oceans", """SELECT CAST(r_regionkey + 1 AS INTEGER) AS id, 'Océan ' || r_name || '-Sea' AS name
-  FROM region WHERE r_regionkey < 3""")
+@_view("oceans", """SELECT CAST(r_regionkey + 1 AS INTEGER) AS id, CASE WHEN r_regionkey < 3 THEN 'Océan ' || r_name || '-Sea' END AS name
+  FROM region""")
 def oceans(spark, sf) -> DataFrame:
-    return table(spark, sf, "region").where("r_regionkey < 3").select(
+    return table(spark, sf, "region").select(
         (F.col("r_regionkey") + 1).cast("int").alias("id"),
-        F.concat(F.lit("Océan "), F.col("r_name"), F.lit("-Sea")).alias("name"),
+        F.when(F.col("r_regionkey") < 3, F.concat(F.lit("Océan "), F.col("r_name"), F.lit("-Sea"))).alias("name"),
     )
 
 
