@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from gridloom.functions.text import both_units
+from gridloom.functions.text import MONTH_NAMES, both_units
 from gridloom.functions.units import display_round
 from gridloom.operators.percell import intercept, slope
 
@@ -195,3 +195,75 @@ def temperature_fact(rows: DataFrame, keys: list[str], label: str) -> DataFrame:
         both_units(F.col("first_mean")), F.lit(" to "), both_units(F.col("last_mean")), F.lit("."),
     )
     return j.select(*keys, text.alias("fact"))
+
+
+def _month_name(month: Column) -> Column:
+    return F.get(F.array(*[F.lit(m) for m in MONTH_NAMES]), month - 1)
+
+
+def _whole(value: Column) -> Column:
+    return display_round(value, 0).cast("long").cast("string")
+
+
+def extreme_month_fact(rows: DataFrame, keys: list[str], name: str, extreme: str = "max", recent_years: int = 10) -> DataFrame:
+    """The usual extreme month of late, and the record with its month.  ``rows`` are monthly, ``label`` is YYYY-MM."""
+    usual = typical_extreme_month(rows, keys, extreme, recent_years).withColumnsRenamed({"value": "usual"})
+    record = record_value(rows, keys, extreme).withColumnRenamed("value", "record")
+    at = _month_name(F.substring("label", 6, 2).cast("int"))
+    text = F.concat(
+        F.lit("In **"), F.col(name), F.lit("** " + ("hot" if extreme == "max" else "cold") + " months reach "),
+        both_units(F.col("usual")), F.lit(", mostly in "), _month_name(F.col("month")), F.lit("; the record is "),
+        both_units(F.col("record")), F.lit(" in "), at, F.lit(" "), F.substring("label", 1, 4), F.lit("."),
+    )
+    return usual.join(record, keys).select(*keys, text.alias("fact"))
+
+
+def winter_fact(rows: DataFrame, keys: list[str], name: str, lat: str = "lat", n: int = 10) -> DataFrame:
+    """How winters changed: stable below 0.05 degrees per decade, else warmer or colder."""
+    years = seasonal_yearly_means(rows, keys, lat)
+    season = rows.groupBy(*keys).agg(F.when(F.max(lat) >= 0, "December–February").otherwise("June–August").alias("season"))
+    span = years.groupBy(*keys).agg(F.min("year").alias("since"), F.count(F.lit(1)).alias("n"))
+    j = trend_per_decade(years, keys).join(first_last_mean(years, keys, n), keys).join(span, keys).join(season, keys)
+    rate = F.col("per_decade")
+    change = F.when(F.round(F.abs(rate), 9) < 0.05, F.lit("hardly changed")).otherwise(F.concat(
+        F.when(rate > 0, F.lit("warmed by ")).otherwise(F.lit("cooled by ")), both_units(F.abs(rate), 2, delta=True), F.lit(" per decade")))
+    text = F.concat(
+        F.lit("Winters ("), F.col("season"), F.lit(") of **"), F.col(name), F.lit("** have "), change, F.lit(" since "),
+        F.col("since").cast("string"), F.lit(": "), both_units(F.col("first_mean")), F.lit(" then, "), both_units(F.col("last_mean")), F.lit(" now."),
+    )
+    known = rate.isNotNull() & F.col("first_mean").isNotNull() & F.col("last_mean").isNotNull()
+    return j.where((F.col("n") >= 2) & known).select(*keys, text.alias("fact"))
+
+
+def ratio_fact(local: DataFrame, globe_rate: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """A place's trend against the globe's."""
+    verdict = F.when(F.col("verdict") == "faster", F.concat(
+        display_round(F.col("ratio"), 1).cast("string"), F.lit(" times"))).when(
+        F.col("verdict") == "slower", F.lit("less than")).otherwise(F.lit("about"))
+    text = F.concat(
+        F.lit("**"), F.col(name), F.lit("** changes by "), both_units(F.col("per_decade"), 2, delta=True), F.lit(" per decade, "), verdict,
+        F.lit(" the global "), both_units(F.col("global_rate"), 2, delta=True), F.lit("."),
+    )
+    return local_vs_global(local, globe_rate).select(*keys, text.alias("fact"))
+
+
+def rainfall_fact(rows: DataFrame, keys: list[str], name: str, n: int = 10) -> DataFrame:
+    """Mean yearly total, its change in bands, and the totals at both ends."""
+    mean = rows.groupBy(*keys).agg(F.avg(_v()).alias("mean"))
+    size = F.abs(F.col("change_pct"))
+    change = F.when(F.col("verdict") == "increased", F.concat(F.lit("grew by "), _whole(size), F.lit(" %"))).when(
+        F.col("verdict") == "decreased", F.concat(F.lit("shrank by "), _whole(size), F.lit(" %"))).otherwise(F.lit("stayed about the same"))
+    text = F.concat(
+        F.lit("**"), F.col(name), F.lit("** gets "), _whole(F.col("mean")), F.lit(" mm a year; totals "), change, F.lit(", from "),
+        _whole(F.col("first_mean")), F.lit(" to "), _whole(F.col("last_mean")), F.lit(" mm."),
+    )
+    return rainfall_change(rows, keys, n).join(mean, keys).select(*keys, text.alias("fact"))
+
+
+def rank_fact(ranks: DataFrame, key: str) -> DataFrame:
+    """Position of a point's nearest ranked city; ``ranks`` as :func:`gridloom.operators.points.rank_of_points` gives them."""
+    text = F.concat(
+        F.lit("Number "), F.col("rank").cast("string"), F.lit(" of "), F.col("total").cast("string"), F.lit(" cities by warmth at "),
+        both_units(F.col("value")), F.lit(", above "), _whole(F.col("share_below")), F.lit(" % of them."),
+    )
+    return ranks.select(key, text.alias("fact"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as TX
-from gridloom.operators import headlines as I, reducers as R
+from gridloom.operators import headlines as I, points as H, reducers as R, regions as RG
 from gridloom.plans import views as V
 from gridloom.plans.cells import _ICPT, _SLOPE
-from gridloom.plans.queries import place_annual, place_monthly, region_values
+from gridloom.plans.queries import annual_wide, place_annual, place_monthly, region_values
 from gridloom.plans.registry import query
 from gridloom.plans.rounding import rounded
 
@@ -151,3 +151,65 @@ def _both_sql(x: str, nd: int, delta: bool) -> str:
 def _(spark, sf):
     facts = I.temperature_fact(place_annual(spark, sf), ["geonameid", "label"], "label")
     return facts.select("geonameid", "fact", TX.pick_unit(F.col("fact"), "F").alias("fahrenheit"))
+
+
+_MONTH_LIST = "[" + ", ".join(f"'{m}'" for m in TX.MONTH_NAMES) + "]"
+_N = ["geonameid", "name"]
+
+
+def _named(rows, spark, sf):
+    return rows.join(V.places(spark, sf).select("geonameid", F.col("label").alias("name")), "geonameid")
+
+
+def _whole_sql(x: str) -> str:
+    return f"CAST(CAST(disp({x}, 0) AS BIGINT) AS VARCHAR)"
+
+
+for _ext, _dir, _word in [("max", "DESC", "hot"), ("min", "ASC", "cold")]:
+    query(f"fact_text_{_ext}_month", f"""WITH m AS (SELECT geonameid, month, avg(value) AS v FROM place_monthly WHERE year > (SELECT max(year) FROM place_monthly) - 4 AND value IS NOT NULL GROUP BY 1, 2),
+      u AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY geonameid ORDER BY v {_dir}, month) = 1),
+      r AS (SELECT geonameid, value AS record, t FROM place_monthly WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY geonameid ORDER BY value {_dir}, t) = 1)
+      SELECT geonameid, 'In **' || label || '** {_word} months reach ' || {_both_sql('v', 1, False)} || ', mostly in ' || {_MONTH_LIST}[u.month] || '; the record is ' || {_both_sql('record', 1, False)}
+        || ' in ' || {_MONTH_LIST}[CAST(month(t) AS INTEGER)] || ' ' || CAST(year(t) AS VARCHAR) || '.' AS fact FROM u JOIN r USING (geonameid) JOIN places USING (geonameid)""")(
+        lambda spark, sf, e=_ext: I.extreme_month_fact(_named(place_monthly(spark, sf), spark, sf), _N, "name", e, 4).drop("name")
+    )
+
+
+@query("fact_text_winter", f"""WITH y AS (SELECT geonameid, lat >= 0 AS north, year, avg(value) AS value FROM place_monthly
+    WHERE value IS NOT NULL AND ((lat >= 0 AND month IN (12, 1, 2)) OR (lat < 0 AND month IN (6, 7, 8))) GROUP BY 1, 2, 3),
+  p AS (SELECT *, row_number() OVER (PARTITION BY geonameid ORDER BY year) AS f, row_number() OVER (PARTITION BY geonameid ORDER BY year DESC) AS b FROM y),
+  e AS (SELECT geonameid, any_value(north) AS north, avg(value) FILTER (WHERE f <= 2) AS first_mean, avg(value) FILTER (WHERE b <= 2) AS last_mean,
+    {_SLOPE} * 10 AS d, min(year) AS since, count(*) AS n FROM p GROUP BY 1)
+  SELECT geonameid, 'Winters (' || CASE WHEN north THEN 'December–February' ELSE 'June–August' END || ') of **' || label || '** have ' || CASE WHEN round(abs(d), 9) < 0.05 THEN 'hardly changed'
+    ELSE CASE WHEN d > 0 THEN 'warmed by ' ELSE 'cooled by ' END || {_both_sql('abs(d)', 2, True)} || ' per decade' END || ' since ' || since || ': '
+    || {_both_sql('first_mean', 1, False)} || ' then, ' || {_both_sql('last_mean', 1, False)} || ' now.' AS fact FROM e JOIN places USING (geonameid) WHERE n >= 2 AND d IS NOT NULL""")
+def _(spark, sf):
+    return I.winter_fact(_named(place_monthly(spark, sf), spark, sf), _N, "name", n=2).drop("name")
+
+
+@query("fact_text_ratio", f"""WITH l AS (SELECT geonameid, label, {_SLOPE} * 10 AS d FROM place_annual GROUP BY 1, 2), g AS (SELECT {_SLOPE} * 10 AS g FROM globe_series),
+  r AS (SELECT *, CASE WHEN g <> 0 THEN round(d / g, 9) END AS ratio FROM l, g WHERE d IS NOT NULL AND g IS NOT NULL)
+  SELECT geonameid, '**' || label || '** changes by ' || {_both_sql('d', 2, True)} || ' per decade, ' || CASE WHEN ratio >= 1.15 THEN CAST(disp(ratio, 1) + 0.0::DOUBLE AS VARCHAR) || ' times'
+    WHEN ratio <= 0.85 THEN 'less than' ELSE 'about' END || ' the global ' || {_both_sql('g', 2, True)} || '.' AS fact FROM r""")
+def _(spark, sf):
+    local = I.trend_per_decade(place_annual(spark, sf), ["geonameid", "label"])
+    globe = I.trend_per_decade(globe_series(spark, sf), ["region_key"])
+    return I.ratio_fact(local, globe, ["geonameid", "label"], "label").drop("label")
+
+
+@query("fact_text_rainfall", f"""{_ENDS.format(n=3)}, m AS (SELECT geonameid, label, avg(value) AS mean FROM place_annual GROUP BY 1, 2),
+  c AS (SELECT *, CASE WHEN first_mean <> 0 THEN round((last_mean - first_mean) / first_mean * 100, 9) ELSE 0 END AS pct FROM e JOIN m USING (geonameid)
+    WHERE first_mean IS NOT NULL AND last_mean IS NOT NULL)
+  SELECT geonameid, '**' || label || '** gets ' || {_whole_sql('mean')} || ' mm a year; totals ' || CASE WHEN pct >= 5 THEN 'grew by ' || {_whole_sql('abs(pct)')} || ' %'
+    WHEN pct <= -5 THEN 'shrank by ' || {_whole_sql('abs(pct)')} || ' %' ELSE 'stayed about the same' END || ', from ' || {_whole_sql('first_mean')} || ' to ' || {_whole_sql('last_mean')} || ' mm.' AS fact FROM c""")
+def _(spark, sf):
+    return I.rainfall_fact(place_annual(spark, sf), ["geonameid", "label"], "label", 3).drop("label")
+
+
+@query("fact_text_rank", f"""WITH d AS (SELECT point_id, rank, value, greatest(abs(r.lat - p.lat), abs(r.lon - p.lon)) AS d FROM points p JOIN ranked_mean r
+    ON r.lat BETWEEN p.lat - 0.35 AND p.lat + 0.35 AND r.lon BETWEEN p.lon - 0.35 AND p.lon + 0.35),
+  b AS (SELECT *, (SELECT count(*) FROM ranked_mean) AS total FROM d WHERE d < 0.35::DOUBLE QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY d, rank) = 1)
+  SELECT point_id, 'Number ' || rank || ' of ' || total || ' cities by warmth at ' || {_both_sql('value', 1, False)} || ', above ' || {_whole_sql('(total - rank) / total * 100')} || ' % of them.' AS fact FROM b""")
+def _(spark, sf):
+    ranking = RG.city_rankings(V.places(spark, sf), annual_wide(spark, sf), V.RASTER, "mean")
+    return I.rank_fact(H.rank_of_points(V.points(spark, sf), ranking), "point_id")
