@@ -12,7 +12,6 @@ from gridloom.contract import CELL
 from gridloom.functions.text import norm_name
 from gridloom.functions.units import convert_unit
 from gridloom.grid import Grid, cell_of
-from gridloom.operators.percell import linear_trend_line, rolling_mean_centered
 from gridloom.operators.places import resolve_name
 
 MISSING = "No chart: a series has no values here."
@@ -26,25 +25,60 @@ def series_key(spec: dict) -> str:
     return f"{spec['metric']}_{fn}" if fn else spec["metric"]
 
 
-def _transformed(rows: DataFrame, keys: list[str], transform: dict | None) -> DataFrame:
-    """Rows of one metric as (keys, x, y) after an optional transform."""
-    if not transform:
-        return rows.select(*keys, "x", F.col("value").alias("y"))
-    fn, params = transform["fn"], transform.get("params", {})
-    if fn == "rolling_mean":
-        out = rolling_mean_centered(rows, keys, int(params.get("window", 5)), order="x")
-        return out.select(*keys, "x", F.col("rolling").alias("y"))
-    if fn == "linear_trend_line":
-        return linear_trend_line(rows, keys, "x", params.get("extend_to")).select(*keys, "x", F.col("trend").alias("y"))
-    raise ValueError(f"unknown transform: {fn}")
+def _chart_rows(rows: DataFrame, keys: list[str], specs: list[tuple[str, dict]], unit: str, tag: str) -> DataFrame:
+    """(keys, tag, series_key, x, y, unit) of all (tag, series) pairs in one pass over ``rows``.
 
-
-def _spec_rows(rows: DataFrame, keys: list[str], spec: dict, unit: str) -> DataFrame:
-    given = spec.get("unit") or ""
-    out = _transformed(rows.where(F.col("metric_id") == spec["metric"]), keys, spec.get("transform"))
-    shown = unit if given.upper() in ("C", "F") else given or unit
-    y = convert_unit(F.col("y"), given.upper(), unit) if given.upper() in ("C", "F") else F.col("y")
-    return out.select(*keys, F.lit(series_key(spec)).alias("series_key"), "x", y.alias("y"), F.lit(shown).alias("unit"))
+    The series of a (key, metric) is one axis long, so one window over it yields every rolling mean and the fitted line;
+    the specs are a literal list that each row unfolds into.
+    """
+    def transform(spec: dict) -> tuple[str, dict]:
+        t = spec.get("transform") or {}
+        if t.get("fn") not in (None, "rolling_mean", "linear_trend_line"):
+            raise ValueError(f"unknown transform: {t['fn']}")
+        return t.get("fn") or "", t.get("params", {})
+
+    whole = Window.partitionBy(*keys, "metric_id")
+    made = {"value": F.col("value")}
+    listed = []
+    for name, spec in specs:
+        fn, params = transform(spec)
+        column = "value"
+        if fn == "rolling_mean":
+            half = int(params.get("window", 5)) // 2
+            column = f"__roll{half}"
+            w = whole.orderBy("x").rowsBetween(-half, half)
+            made[column] = F.when(F.count(F.lit(1)).over(w) == 2 * half + 1, F.avg("value").over(w))
+        elif fn == "linear_trend_line":
+            column = "__line"
+            made["__b"], made["__a"] = F.regr_slope("value", "x").over(whole), F.regr_intercept("value", "x").over(whole)
+            made["__last"] = F.max("x").over(whole)
+        given = (spec.get("unit") or "").upper()
+        listed.append(F.struct(
+            F.lit(name).alias("tag"), F.lit(spec["metric"]).alias("metric"), F.lit(spec.get("aggregation", "mean")).alias("aggregation"),
+            F.lit(series_key(spec)).alias("series_key"), F.lit(column).alias("column"), F.lit(given).alias("given"),
+            F.lit(unit if given in ("C", "F") else spec.get("unit") or unit).alias("unit"),
+            F.lit(params.get("extend_to") if fn == "linear_trend_line" else None).cast("double").alias("extend_to"),
+        ))
+    base = rows.where(F.col("metric_id").isin(*{spec["metric"] for _, spec in specs}))
+    base = base.withColumns({c: v for c, v in made.items() if c != "value"}).withColumn("s", F.explode(F.array(*listed)))
+    mine = F.col("s.metric") == F.col("metric_id")
+    if "aggregation" in keys:
+        mine = mine & (F.col("s.aggregation") == F.col("aggregation"))
+    y = F.col("value")
+    for column in made:
+        if column.startswith("__roll"):
+            y = F.when(F.col("s.column") == column, F.col(column)).otherwise(y)
+    points = F.array(F.struct(F.col("x").alias("x"), y.alias("y")))
+    if "__b" in made:
+        x_type = rows.schema["x"].dataType
+        line = lambda x: F.struct(x.alias("x"), (F.col("__a") + F.col("__b") * x).alias("y"))
+        more = (F.col("x") == F.col("__last")) & (F.col("s.extend_to") > F.col("__last"))
+        fitted = F.when(more, F.array(line(F.col("x")), line(F.col("s.extend_to").cast(x_type)))).otherwise(F.array(line(F.col("x"))))
+        points = F.when(F.col("s.column") == "__line", fitted).otherwise(points)
+    out = base.where(mine).select(*keys, "s", F.inline(points))
+    shown = F.when(F.col("s.given") == "C", convert_unit(F.col("y"), "C", unit)).when(
+        F.col("s.given") == "F", convert_unit(F.col("y"), "F", unit)).otherwise(F.col("y"))
+    return out.select(*keys, F.col("s.tag").alias(tag), F.col("s.series_key").alias("series_key"), "x", shown.alias("y"), F.col("s.unit").alias("unit"))
 
 
 def panel_series(points: DataFrame, rows: DataFrame, graphs: dict[str, list[dict]], unit: str = "C") -> DataFrame:
@@ -54,13 +88,7 @@ def panel_series(points: DataFrame, rows: DataFrame, graphs: dict[str, list[dict
     series is replaced by one row that carries the error.
     """
     wanted = {g: [s for s in specs if not s.get("global_only")] for g, specs in graphs.items()}
-    parts = [
-        _spec_rows(rows, ["point_id"], s, unit).withColumn("graph_id", F.lit(g))
-        for g, specs in wanted.items() for s in specs
-    ]
-    data = parts[0]
-    for p in parts[1:]:
-        data = data.unionByName(p)
+    data = _chart_rows(rows, ["point_id"], [(g, s) for g, specs in wanted.items() for s in specs], unit, "graph_id")
     # Whether a series exists depends on its metric only, so a small presence
     # table decides it before any chart row is touched.
     have = rows.select("point_id", "metric_id").distinct().groupBy("point_id").agg(
@@ -104,13 +132,8 @@ def rank_panels(scores: DataFrame) -> DataFrame:
 def global_panel_series(region_series: DataFrame, panels: dict[str, list[dict]], unit: str = "C") -> DataFrame:
     """Globe rows (metric_id, aggregation, x, value) per panel; panels without series vanish."""
     globe = region_series.where(F.col("region_key") == "globe")
-    out = None
-    for panel, specs in panels.items():
-        for s in specs:
-            mine = globe.where(F.col("aggregation") == s.get("aggregation", "mean"))
-            part = _spec_rows(mine, ["region_key"], s, unit).withColumn("panel_id", F.lit(panel)).drop("region_key")
-            out = part if out is None else out.unionByName(part)
-    return out
+    specs = [(panel, s) for panel, listed in panels.items() for s in listed]
+    return _chart_rows(globe, ["aggregation"], specs, unit, "panel_id").drop("aggregation")
 
 
 def caption_facts(rows: DataFrame, keys: list[str], lat: str = "lat") -> DataFrame:
