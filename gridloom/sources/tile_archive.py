@@ -9,7 +9,6 @@ from __future__ import annotations
 import struct
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.grid import Grid
@@ -56,19 +55,29 @@ def decode_tiles(files: DataFrame, grid: Grid, fill: float | None = None) -> Dat
         return np.where(np.isfinite(values), values, np.nan)
 
     def rows(batches):
-        for pdf in batches:
-            for f in pdf.itertuples(index=False):
-                tile = values_of(bytes(f.content), f.packed)
-                i_lat, i_lon = np.indices(tile.shape[:2])
-                i_lat, i_lon = i_lat + f.tile_r * f.size, i_lon + f.tile_c * f.size
-                keep = (i_lat < nlat) & (i_lon < nlon) & np.isfinite(tile).any(axis=2)
-                values = [[None if np.isnan(x) else x for x in cell.tolist()] for cell in tile[keep]]
-                yield pd.DataFrame({
-                    "metric_id": f.metric_id, "grid_id": f.grid_id, "tile_r": f.tile_r, "tile_c": f.tile_c,
-                    "i_lat": i_lat[keep].astype("int32"), "i_lon": i_lon[keep].astype("int32"), "values": values,
-                })
-
-    return named.mapInPandas(rows, _ROWS)
+        import pyarrow as pa
+
+        names = pa.schema([("metric_id", pa.string()), ("grid_id", pa.string()), ("tile_r", pa.int32()), ("tile_c", pa.int32()),
+                           ("i_lat", pa.int32()), ("i_lon", pa.int32()), ("values", pa.list_(pa.float64()))])
+        for batch in batches:
+            for f in batch.to_pylist():
+                tile = values_of(f["content"], f["packed"])
+                i_lat, i_lon = np.indices(tile.shape[:2], dtype="int32")
+                i_lat, i_lon = i_lat + f["tile_r"] * f["size"], i_lon + f["tile_c"] * f["size"]
+                keep = np.argwhere((i_lat < nlat) & (i_lon < nlon) & np.isfinite(tile).any(axis=2))
+                for at in range(0, len(keep), per_batch):
+                    y, x = keep[at : at + per_batch].T
+                    flat = tile[y, x].ravel()
+                    lists = pa.ListArray.from_arrays(
+                        np.arange(len(y) + 1, dtype="int32") * tile.shape[2], pa.array(flat, mask=np.isnan(flat)))
+                    same = lambda v, t, n=len(y): pa.repeat(pa.scalar(v, t), n)
+                    yield pa.RecordBatch.from_arrays([
+                        same(f["metric_id"], pa.string()), same(f["grid_id"], pa.string()), same(f["tile_r"], pa.int32()),
+                        same(f["tile_c"], pa.int32()), pa.array(i_lat[y, x], pa.int32()), pa.array(i_lon[y, x], pa.int32()), lists,
+                    ], schema=names)
+
+    per_batch = 256  # cells handed over at a time
+    return named.mapInArrow(rows, _ROWS)
 
 
 def ingest(spark: SparkSession, folder: str, grid: Grid, fill: float | None = None) -> DataFrame:
@@ -84,18 +93,24 @@ def encode_tiles(series: DataFrame, grid: Grid, packed: bool = True) -> DataFram
     size, suffix = grid.tile_size, ".bin.zst" if packed else ".bin"
     layout, magic, version = HEADER, MAGIC, VERSION
 
-    def encode(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        steps = len(first["values"])
-        tile = np.full((size, size, steps), np.nan, dtype="<f4")
-        for r in pdf.itertuples(index=False):
-            tile[r.i_lat % size, r.i_lon % size] = [np.nan if v is None else v for v in r.values]
-        blob = struct.pack(layout, magic, version, 1, 0, steps, size, size) + tile.tobytes()
+    def encode(group):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        first = group.slice(0, 1).drop_columns(["values"]).to_pylist()[0]
+        lists = group.column("values").combine_chunks()
+        flat = pc.fill_null(lists.flatten(), float("nan")).to_numpy(zero_copy_only=False)
+        cells = flat.reshape(len(lists), -1)
+        tile = np.full((size, size, cells.shape[1]), np.nan, dtype="<f4")
+        at = [group.column(c).to_numpy() % size for c in ("i_lat", "i_lon")]
+        tile[at[0], at[1]] = cells
+        blob = struct.pack(layout, magic, version, 1, 0, cells.shape[1], size, size) + tile.tobytes()
         if packed:
             import zstandard
 
             blob = zstandard.ZstdCompressor(level=10).compress(blob)
-        path = f"/{first.grid_id}/{first.metric_id}/z{size}/r{first.tile_r:03d}_c{first.tile_c:03d}{suffix}"
-        return pd.DataFrame({"path": [path], "content": [blob]})
+        path = f"/{first['grid_id']}/{first['metric_id']}/z{size}/r{first['tile_r']:03d}_c{first['tile_c']:03d}{suffix}"
+        return pa.table({"path": [path], "content": pa.array([blob], pa.binary())})
 
-    return series.groupBy("metric_id", "grid_id", "tile_r", "tile_c").applyInPandas(encode, "path string, content binary")
+    light = series.withColumn("values", F.col("values").cast("array<float>"))
+    return light.groupBy("metric_id", "grid_id", "tile_r", "tile_c").applyInArrow(encode, "path string, content binary")

@@ -10,6 +10,10 @@ registry.load_all()
 ORACLES = registry.oracles()
 
 
+# Too few rows in the smallest tables to have a result.
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con():
     return oracle_check.connect(SF)
@@ -18,7 +22,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_matches_sql(spark, con, name):
     problems = oracle_check.compare(registry.QUERIES[name](spark, SF), con, ORACLES[name])
-    assert [p for p in problems if p != "EMPTY"] == []
+    assert [p for p in problems if p != "EMPTY" or name not in MAY_BE_EMPTY] == []
 
 
 def test_entry(spark):
