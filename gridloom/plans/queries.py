@@ -175,7 +175,7 @@ V.SQL_VIEWS["cell_means"] = "SELECT i_lat, i_lon, avg(disp(value, 3)) AS mean FR
 
 
 @query("find_similar_locations", """WITH j AS (SELECT geonameid, label, lat, lon, population, mean FROM place_cells JOIN cell_means USING (i_lat, i_lon)),
-  ref AS (SELECT * FROM j WHERE population >= 100000 AND geonameid % 40 = 0),
+  ref AS (SELECT * FROM j WHERE population >= 100000 AND geonameid % 5 = 0),
   d AS (SELECT ref.geonameid AS reference, j.*, ref.mean AS r_mean, round(abs(j.mean - ref.mean), 9) AS d FROM j JOIN ref
     ON NOT (abs(j.lat - ref.lat) < 0.13 AND abs(j.lon - ref.lon) < 0.13) WHERE j.population >= 100000)
   SELECT reference, CAST(row_number() OVER (PARTITION BY reference ORDER BY d, population DESC, geonameid) AS INTEGER) AS rank, geonameid, label,
@@ -183,7 +183,7 @@ V.SQL_VIEWS["cell_means"] = "SELECT i_lat, i_lon, avg(disp(value, 3)) AS mean FR
   FROM d QUALIFY rank <= 8""")
 def _(spark, sf):
     places = V.places(spark, sf)
-    asked = places.where("population >= 100000 AND geonameid % 40 = 0").select(F.col("geonameid").alias("reference"), "lat", "lon")
+    asked = places.where("population >= 100000 AND geonameid % 5 = 0").select(F.col("geonameid").alias("reference"), "lat", "lon")
     return H.similar_locations(places, asked, annual_wide(spark, sf), V.RASTER, limit=8, target="F")
 
 
