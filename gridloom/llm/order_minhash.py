@@ -91,7 +91,7 @@ def _sketches(batches):
             keys.append(k.view(np.int64))
             minima.append(m.astype(np.uint32).view(np.int32))
             bags.append(np.bincount((words >> np.uint64(40)).astype(np.int64) % BAG, minlength=BAG).astype(np.int32))
-        yield pd.DataFrame({"doc_id": batch["doc_id"], "node": pd.array(nodes, dtype="Int64"),
+        yield pd.DataFrame({"doc_id": batch["doc_id"], "h": batch["h"], "node": pd.array(nodes, dtype="Int64"),
                             "n_words": pd.array(lengths, dtype="Int64"), "keys": keys, "minima": minima, "bag": bags})
 
 
@@ -228,11 +228,15 @@ def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, node, class_id, n_links): one row per row of ``docs``; ``n_links`` counts the verified links of its text."""
-    light = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    """(doc_id, h, node, comp, class_id, n_links): one row per row of ``docs``.
+
+    ``h`` is a hash of the text, ``node`` one of its words, ``comp`` the class's smallest node; ``n_links`` counts the
+    verified links of the text.
+    """
+    light = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
     id_type = light.schema["doc_id"].dataType.simpleString()
     rows = saved(in_tasks(
-        light, _sketches, f"doc_id {id_type}, node long, n_words long, keys array<long>, minima array<int>, bag array<int>"))
+        light, _sketches, f"doc_id {id_type}, h long, node long, n_words long, keys array<long>, minima array<int>, bag array<int>"))
     groups = saved(rows.where("node is not null").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.min("n_words").alias("n_words")))
     # One row per node speaks for it; equal nodes have equal sketches.
@@ -243,7 +247,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = saved(keyed.join(buckets, "key"))
     shared = members.select("node").distinct()
     wanted = saved(nodes.join(shared, "node").select("node", "doc_id"))
-    likely = marked(light, "doc_id", wanted, "doc_id").where("__marked")
+    likely = marked(light.drop("h"), "doc_id", wanted, "doc_id").where("__marked")
     fetched = likely.join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
     known = in_tasks(fetched.where(F.col("text").isNotNull()), _of_node, "node long, text string")
     texts = saved(known.dropDuplicates(["node"]))
@@ -258,10 +262,10 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     named = saved(groups.join(comps, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp")))
     classes = saved(named.groupBy("comp").agg(F.min("first_id").alias("class_id")))
     named = named.join(classes, "comp").join(links.withColumnRenamed("a", "node"), "node", "left")
-    named = saved(named.select("node", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    out = rows.select("doc_id", "node").join(named, "node", "left")
+    named = saved(named.select("node", "comp", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    out = rows.select("doc_id", "h", "node").join(named, "node", "left")
     alone = F.col("node").isNull()
-    return out.select("doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
+    return out.select("doc_id", "h", "node", "comp", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
@@ -276,17 +280,28 @@ def _of_node(batches):
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each class (its smallest id), with the columns of ``docs``."""
-    classes = near_duplicates(docs, doc_id, text)
-    gone = saved(classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__gone")).distinct())
-    # Most rows are certainly kept and need no shuffle; the others are compared id by id.
-    likely = marked(docs.withColumn("__key", F.col(f"`{doc_id}`")), "__key", gone, "__gone")
+    """One row of each class (its smallest id), with the columns of ``docs``; null and blank texts all stay.
+
+    An id with several texts counts as several documents.  Of repeated rows one stays.
+    """
+    classes = saved(near_duplicates(docs, doc_id, text).where("node is not null").select("doc_id", "h", "comp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h"))
+    chosen = saved(classes.groupBy("comp").agg(first.alias("first")))
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    gone = saved(classes.join(chosen, "comp").where(~stays).select(
+        F.col("doc_id").alias("__id"), F.col("h").alias("__h"), F.xxhash64("doc_id", "h").alias("__gone")).distinct())
+    # Most rows are certainly kept and need no shuffle; the others are compared one by one.
+    value = F.col(f"`{text}`")
+    keyed = docs.withColumns({"__doc": F.col(f"`{doc_id}`"), "__text": F.xxhash64(value)})
+    likely = marked(keyed.withColumn("__key", F.xxhash64("__doc", "__text")), "__key", gone, "__gone")
     sure = likely.where(~F.col("__marked"))
-    tested = likely.where("__marked").join(gone, F.col("__key") == F.col("__gone"), "left_anti")
-    kept = sure.union(tested).drop("__key", "__marked")
-    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
+    tested = likely.where("__marked").join(
+        gone, F.col("__doc").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__h")), "left_anti")
+    kept = sure.union(tested).select(*[F.col(f"`{c}`") for c in docs.columns])
+    if classes.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
         return kept
-    return kept.dropDuplicates([doc_id])
+    blank = F.coalesce(F.trim(value), F.lit("")) == ""
+    return kept.where(~blank).dropDuplicates([doc_id, text]).union(kept.where(blank))
 
 
 def op9_order_minhash(spark, sf_dir: str) -> DataFrame:

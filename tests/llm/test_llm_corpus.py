@@ -333,6 +333,8 @@ def test_near_duplicates_of_repeated_rows(spark, frame):
     rows = [tuple(r) for r in order_minhash.near_duplicates(df).select("doc_id", "class_id").collect()]
     assert sorted(rows, key=str) == sorted([(1, 1), (1, 1), (2, 1), (2, 2), (None, 2), (None, None)], key=str)
     assert order_minhash.near_duplicates(df.limit(0)).count() == 0
+    kept = sorted((tuple(r) for r in order_minhash.survivors(df).collect()), key=str)
+    assert kept == sorted([(1, "a b c d e f"), (2, "x y z u v w"), (None, None)], key=str)
 
 
 def test_sketches_find_similar_and_tell_orders_apart():
