@@ -12,11 +12,18 @@ from gridloom.storage import work_folder
 
 
 def in_tasks(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``df.mapInPandas(fn, schema)``, where the workers can import this package on any cluster."""
-    ship_package(df.sparkSession)
+    """``df.mapInPandas(fn, schema)``, where the workers can import this package on any cluster.
+
+    Texts are long: with Spark's default of 10,000 rows a batch, a task would hold tens of MB several times over.
+    """
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
     return df.mapInPandas(fn, schema)
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 

@@ -176,7 +176,7 @@ def remainder(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def predict_task(model):
+def predict_task(model, keep_text: bool):
     """Language and probability of each text; ``model`` is a broadcast of the fitted model or of None."""
 
     def run(batches):
@@ -194,28 +194,27 @@ def predict_task(model):
                 best = int(np.argmax(s))
                 langs.append(m["langs"][best])
                 scores.append(min(1.0, float(s[best] / s.sum())))
-            yield batch.drop(columns="text").assign(lang_pred=langs, score=scores)
+            yield (batch if keep_text else batch.drop(columns="text")).assign(lang_pred=langs, score=scores)
 
     return run
 
 
-def predict(docs: DataFrame, model: dict | None, keys: dict[str, Column], text: str = "text") -> DataFrame:
-    """``keys`` plus ``lang_pred`` and ``score`` for each row; the model's size is fixed by ``DIMS`` and the languages."""
+def predict(docs: DataFrame, model: dict | None, keys: dict[str, Column], text: str = "text", keep_text: bool = False) -> DataFrame:
+    """``keys`` (and ``text``) plus ``lang_pred`` and ``score`` for each row; the model's size is fixed by ``DIMS``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[c.alias(k) for k, c in keys.items()], F.col(f"`{text}`").alias("text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return in_tasks(rows, predict_task(shared), f"{kinds}, lang_pred string, score double")
+    fields = rows.schema.fields if keep_text else rows.schema.fields[:-1]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    return in_tasks(rows, predict_task(shared, keep_text), f"{kinds}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame) -> DataFrame:
+def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
     """Documents whose language is recognised: predicted with a probability of at least ``LEAST_SCORE``."""
-    known = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    model = fit(docs)
-    keys = {f"c{i}": F.col(f"c{i}") for i in range(len(docs.columns))}
-    rows = predict(known, model, keys, at["text"])
+    names = {c: "text" if c == text else f"c{i}" for i, c in enumerate(docs.columns)}
+    keys = {n: F.col(f"`{c}`") for c, n in names.items() if c != text}
+    rows = predict(docs, fit(docs), keys, text, keep_text=True)
     good = rows.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE))
-    return good.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
+    return good.select(*[F.col(n).alias(c) for c, n in names.items()])
 
 
 def op2_language_id(spark, sf_dir: str) -> DataFrame:
