@@ -133,9 +133,9 @@ def nearest(points: DataFrame, places: DataFrame, scope: list[str] | None = None
     ).select(*scope, "lat", F.col("o_lon").alias("lon"), F.col("b.id").alias(place_id), F.col("b.d").alias("distance_km"))
 
 
-def nearest_place(points: DataFrame, places: DataFrame, key: str = "point_id") -> DataFrame:
-    """Nearest place of every point by great-circle distance."""
-    found = nearest(points, places)
+def nearest_place(points: DataFrame, places: DataFrame, key: str = "point_id", index: DataFrame | None = None) -> DataFrame:
+    """Nearest place of every point by great-circle distance; ``index`` is a stored table of :func:`build_index`."""
+    found = nearest(points, places, index=index)
     return points.select(key, "lat", "lon").join(found, ["lat", "lon"]).select(key, "geonameid", "distance_km")
 
 

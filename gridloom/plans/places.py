@@ -10,6 +10,7 @@ from gridloom.plans import views as V
 from gridloom.plans.grids import vertices
 from gridloom.plans.registry import query
 from gridloom.plans.rounding import rounded
+from gridloom.storage import work_folder
 
 
 def _norm(x: str) -> str:
@@ -38,13 +39,46 @@ def asked(spark, sf):
     )
 
 
-@query("autocomplete", f"""WITH q AS (SELECT query, {_norm('query')} AS q FROM asked)
+_AUTOCOMPLETE_SQL = f"""WITH q AS (SELECT query, {_norm('query')} AS q FROM asked)
   SELECT query, CAST(row_number() OVER (PARTITION BY query ORDER BY population DESC, label, geonameid) AS INTEGER) AS rank, geonameid, label, population
-  FROM q JOIN normed ON contains(norm_label, q) OR contains(norm_city, q) WHERE length(q) >= 3 QUALIFY rank <= 5""")
+  FROM q JOIN normed ON contains(norm_label, q) OR contains(norm_city, q) WHERE length(q) >= 3 QUALIFY rank <= 5"""
+
+
+@query("autocomplete", _AUTOCOMPLETE_SQL)
 def _(spark, sf):
     return J.autocomplete(asked(spark, sf), V.places(spark, sf), limit=5)
 
 
+_STORED: dict = {}
+
+
+def stored(name, spark, sf, make):
+    """A table made from the places once per application and tables, as a deployment would keep it."""
+    key = (name, spark.sparkContext.applicationId, sf)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def written(spark, df):
+    path = work_folder(spark, "index")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("autocomplete_stored", _AUTOCOMPLETE_SQL)
+def _(spark, sf):
+    index = stored("trigrams", spark, sf, lambda: written(spark, J.trigram_index(V.places(spark, sf))))
+    return J.autocomplete(asked(spark, sf), V.places(spark, sf), limit=5, index=index)
+
+
+@query("resolve_name_stored", f"""SELECT query, geonameid, label FROM named JOIN name_rows ON name = {_norm('query')}
+  QUALIFY row_number() OVER (PARTITION BY query ORDER BY population DESC, geonameid) = 1""")
+def _(spark, sf):
+    names = stored("names", spark, sf, lambda: written(spark, J.place_names(V.places(spark, sf))))
+    return J.resolve_name(named(spark, sf), V.places(spark, sf), names=names)
+
+
 V.SQL_VIEWS["name_rows"] = f"""SELECT DISTINCT {_norm('raw')} AS name, geonameid, label, country_code, population FROM
   (SELECT geonameid, label, country_code, population, unnest([label, city_name] || string_split(alt_names, ',')) AS raw FROM places) WHERE length({_norm('raw')}) >= 3"""
 V.SQL_VIEWS["named"] = """SELECT DISTINCT city_name AS query FROM places UNION SELECT 'ALT  ' || (geonameid % 50) FROM places UNION SELECT ' øld näme' || (geonameid % 9) FROM places"""
@@ -135,14 +169,23 @@ def _(spark, sf):
 
 
 _HAV = "2 * 6371.0::DOUBLE * asin(sqrt(least(pow(sin(radians(q.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(q.lat)) * pow(sin(radians(q.lon - p.lon) / 2), 2), 1)))"
-@query("nearest_place", f"""WITH d AS (SELECT p.lat, p.lon, q.geonameid, round({_HAV}, 6) AS r, {_HAV} AS km FROM (SELECT DISTINCT lat, lon FROM points) p, places q),
+_NEAREST_SQL = f"""WITH d AS (SELECT p.lat, p.lon, q.geonameid, round({_HAV}, 6) AS r, {_HAV} AS km FROM (SELECT DISTINCT lat, lon FROM points) p, places q),
   b AS (SELECT lat, lon, min(r) AS r FROM d GROUP BY 1, 2),
   n AS (SELECT d.lat, d.lon, min(d.geonameid) AS geonameid, min(d.km) AS km FROM d JOIN b ON b.lat = d.lat AND b.lon = d.lon AND b.r = d.r GROUP BY 1, 2)
-  SELECT point_id, geonameid, disp(km, 4) AS distance_km FROM points JOIN n USING (lat, lon)""")
+  SELECT point_id, geonameid, disp(km, 4) AS distance_km FROM points JOIN n USING (lat, lon)"""
+
+
+@query("nearest_place", _NEAREST_SQL)
 def _(spark, sf):
     return rounded(N.nearest_place(V.points(spark, sf), V.places(spark, sf)), "distance_km", digits=4)
 
 
+@query("nearest_place_stored", _NEAREST_SQL)
+def _(spark, sf):
+    index = stored("nearest", spark, sf, lambda: N.build_index(V.places(spark, sf)))
+    return rounded(N.nearest_place(V.points(spark, sf), V.places(spark, sf), index=index), "distance_km", digits=4)
+
+
 V.SQL_VIEWS["spots"] = """SELECT point_id, p.lat, p.lon, c.code AS country_code, o.id AS ocean_id, n.name AS ocean_name FROM
    (SELECT point_id, lat, lon, CAST(floor((90 - lat) / 10) AS INTEGER) AS r, CAST(floor((lon + 180) / 10) AS INTEGER) AS k FROM
      (SELECT event_id AS point_id, CAST((event_id * 37 + user_id) % 1700 AS DOUBLE) / 10 - 84.95::DOUBLE AS lat, CAST((event_id * 731 + user_id * 3) % 3600 AS DOUBLE) / 10 - 179.95::DOUBLE AS lon FROM events)) p
