@@ -104,3 +104,19 @@ def test_several_references_are_all_answered(frame):
     got = H.similar_locations(places, refs, s, grid, limit=2, target="F").orderBy("reference", "rank").collect()
     assert [(r.reference, r["rank"], r.geonameid) for r in got] == [("x", 1, 1), ("x", 2, 2), ("y", 1, 3), ("y", 2, 5)]
     assert [(r.value, r.delta, r.reference_mean, r.unit) for r in got][:1] == [(33.8, 1.8, 32.0, "F")]
+
+
+def test_chart_rows_read_their_input_once(spark, tmp_path):
+    """Three series of one metric and one of another come from a single scan."""
+    from gridloom.operators import panels as P
+
+    path = str(tmp_path / "rows")
+    spark.range(40).selectExpr("id % 2 AS point_id", "if(id % 4 < 2, 'a', 'b') AS metric_id", "cast(id AS int) AS x", "cast(id * 2 AS double) AS value").write.parquet(path)
+    specs = [("g", {"metric": "a"}), ("g", {"metric": "a", "transform": {"fn": "rolling_mean", "params": {"window": 3}}}),
+             ("g", {"metric": "a", "key": "line", "transform": {"fn": "linear_trend_line", "params": {"extend_to": 99}}}), ("h", {"metric": "b"})]
+    out = P._chart_rows(spark.read.parquet(path), ["point_id"], specs, "mm", "graph_id")
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    rows = {(r.point_id, r.series_key, r.x): r.y for r in out.collect()}
+    assert rows[0, "a", 4] == 8.0 and rows[0, "a_rolling_mean", 4] == 8.0 and rows[0, "a_rolling_mean", 0] is None
+    assert abs(rows[0, "line", 99] - 198.0) < 1e-9 and rows[1, "b", 3] == 6.0
+    assert {k[1] for k in rows} == {"a", "a_rolling_mean", "line", "b"}
