@@ -110,3 +110,9 @@ def test_grid_tiles_are_bounded():
         across, down = vectors.grid(n // 100, n)
         assert n // 100 / across <= vectors.ROWS_PER_TILE + 1 and n / down <= vectors.ROWS_PER_TILE + 1
         assert (n // 100 / across) * (n / down) <= vectors.PAIRS_PER_TILE * 1.01 + 1
+
+
+def test_small_grids_spread_over_the_slots():
+    assert vectors.grid(103, 10_256, 24) == (1, 5)
+    across, down = vectors.grid(513, 51_282, 24)
+    assert across * down == 24 and vectors.grid(1, 10, 24) == (1, 1)
