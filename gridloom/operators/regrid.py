@@ -49,51 +49,66 @@ def _brackets(source_axis: DataFrame, targets: DataFrame, by: list[str]) -> Data
     )
 
 
-def _interpolate(src: DataFrame, br: DataFrame, coord: str, out: str, keep: list[str], by: list[str]) -> DataFrame:
-    """1-D linear step: a missing neighbour makes the result missing."""
-    pairs = br.where(~F.col("outside")).select(
-        *by, F.col("i").alias(out),
-        F.explode(F.array(
-            F.struct(F.col("lo").alias("c"), (1 - F.col("w")).alias("wt")),
-            F.struct(F.col("hi").alias("c"), F.col("w").alias("wt")),
-        )).alias("p"),
-    ).select(*by, out, F.col("p.c").alias(coord), F.col("p.wt").alias("__w"))
-    joined = src.join(pairs, [*by, coord])
-    full = F.count("value") == 2
-    return joined.groupBy(*keep, out).agg(F.when(full, F.sum(F.col("value") * F.col("__w"))).alias("value"))
+def source_axes(source: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, axis, x): the distinct latitudes and longitudes of each source grid, in one scan; worth storing."""
+    both = F.array(F.struct(F.lit("lat").alias("axis"), F.col("lat").alias("x")),
+                   F.struct(F.lit("lon").alias("axis"), wrap_lon(F.col("lon")).alias("x")))
+    return source.select(*(by or []), F.inline(both)).distinct()
+
+
+def _weights(br: DataFrame, by: list[str], coord: str, out: str) -> DataFrame:
+    """(by, coord, target, way, weight, outside): two weighted neighbours inside the bounds, and the nearest one."""
+    pair = lambda way, c, w: F.struct(F.lit(way).alias("way"), c.alias(coord), w.alias("w"))
+    nearest = pair("near", F.col("nearest"), F.lit(1.0))
+    ways = F.when(F.col("outside"), F.array(nearest)).otherwise(
+        F.array(pair("mix", F.col("lo"), 1 - F.col("w")), pair("mix", F.col("hi"), F.col("w")), nearest))
+    return br.select(*by, F.col("i").alias(out), F.col("outside").alias(f"{out}_outside"), F.inline(ways))
+
+
+def _weighed() -> Column:
+    """Weighted sum; a missing neighbour makes the result missing."""
+    need = F.when(F.col("way") == "mix", 2).otherwise(1)
+    return F.when(F.count("value") == need, F.sum(F.col("value") * F.col("w")))
 
 
 def regrid(source: DataFrame, grid: Grid, method: str = "bilinear", keys: list[str] | None = None,
-           grid_keys: list[str] | None = None) -> DataFrame:
+           grid_keys: list[str] | None = None, axes: DataFrame | None = None) -> DataFrame:
     """(lat, lon, value) on any rectangular axes to the cells of ``grid``.
 
     Interior gaps stay missing; only targets beyond the source bounds take the
     nearest source value.  Bilinear is separable: rows first, then columns.
     Every value of ``grid_keys`` (of all ``keys``, if not given) is a source
     grid with axes of its own; name only the keys that tell grids apart, as
-    the metric, and the time steps of a grid share its axes.
+    the metric, and the time steps of a grid share its axes.  With ``axes``
+    (:func:`source_axes` of the grids) the source is read once.
     """
+    if method not in ("bilinear", "nearest"):
+        raise ValueError(f"unknown regrid method: {method}")
     keys = keys or []
     by = keys if grid_keys is None else grid_keys
     src = source.select(*keys, "lat", wrap_lon(F.col("lon")).alias("lon"), "value")
     spark = source.sparkSession
-    rows = _brackets(src.select(*by, F.col("lat").alias("x")).distinct(), _target_axis(spark, grid, "lat"), by)
-    cols = _brackets(src.select(*by, F.col("lon").alias("x")).distinct(), _target_axis(spark, grid, "lon"), by)
-
-    def nearest_of(r: DataFrame, c: DataFrame) -> DataFrame:
-        by_lat = r.select(*by, F.col("i").alias("i_lat"), F.col("nearest").alias("lat"))
-        by_lon = c.select(*by, F.col("i").alias("i_lon"), F.col("nearest").alias("lon"))
-        return src.join(by_lat, [*by, "lat"]).join(by_lon, [*by, "lon"]).select(*keys, *CELL, "value")
-
+    axes = source_axes(source, by) if axes is None else axes
+    axis = lambda name: axes.where(F.col("axis") == name).select(*by, "x")
+    rows = _brackets(axis("lat"), _target_axis(spark, grid, "lat"), by)
+    cols = _brackets(axis("lon"), _target_axis(spark, grid, "lon"), by)
     if method == "nearest":
-        return nearest_of(rows, cols)
-    if method != "bilinear":
-        raise ValueError(f"unknown regrid method: {method}")
-    by_row = _interpolate(src, rows, "lat", "i_lat", [*keys, "lon"], by)
-    inside = _interpolate(by_row, cols, "lon", "i_lon", [*keys, "i_lat"], by)
-    # Beyond the source bounds: whole outer rows, then the outer columns of inner rows.
-    beyond = nearest_of(rows.where("outside"), cols).unionByName(nearest_of(rows.where(~F.col("outside")), cols.where("outside")))
-    return inside.select(*keys, *CELL, "value").unionByName(beyond)
+        by_lat = rows.select(*by, F.col("i").alias("i_lat"), F.col("nearest").alias("lat"))
+        by_lon = cols.select(*by, F.col("i").alias("i_lon"), F.col("nearest").alias("lon"))
+        return src.join(by_lat, [*by, "lat"]).join(by_lon, [*by, "lon"]).select(*keys, *CELL, "value")
+    # A target is mixed if both its coordinates are inside, else it takes the nearest row and column.
+    ends = axis("lon").groupBy(*by).agg(F.min("x").alias("west"), F.max("x").alias("east"))
+    lat = _weights(rows, by, "lat", "i_lat")
+    src = src.join(ends, by) if by else src.join(F.broadcast(ends))
+    # Inner rows need their nearest values only under columns beyond the bounds, so at the outermost longitudes.
+    used = (F.col("way") == "mix") | F.col("i_lat_outside") | F.col("lon").isin(F.col("west"), F.col("east"))
+    by_row = src.join(lat, [*by, "lat"]).where(used).groupBy(*keys, "lon", "i_lat", "way", "i_lat_outside").agg(
+        _weighed().alias("value"))
+    lon = _weights(cols, by, "lon", "i_lon")
+    hit = by_row.join(lon, [*by, "lon", "way"]).where(
+        (F.col("way") == "mix") | F.col("i_lat_outside") | F.col("i_lon_outside"))
+    mixed = hit.where(~((F.col("way") == "mix") & (F.col("i_lat_outside") | F.col("i_lon_outside"))))
+    return mixed.groupBy(*keys, *CELL, "way").agg(_weighed().alias("value")).drop("way")
 
 
 def reindex_nearest(source: DataFrame, grid: Grid, tolerance: float = 0.51, keys: list[str] | None = None) -> DataFrame:

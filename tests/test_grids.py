@@ -87,6 +87,16 @@ def test_regrid_of_two_source_grids(frame):
             assert got == {(m, t): alone[m] for m in "ab" for t in (1, 2)}
 
 
+def test_regrid_with_stored_axes_reads_its_source_once(spark, frame, tmp_path):
+    path = str(tmp_path / "src")
+    frame("lat double, lon double, value double", SRC).write.parquet(path)
+    src = spark.read.parquet(path)
+    axes = spark.createDataFrame(RGD.source_axes(src).collect(), "axis string, x double")
+    out = RGD.regrid(src, small_grid(5), axes=axes)
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    assert table(out) == table(RGD.regrid(src, small_grid(5)))
+
+
 def test_regrid_keeps_interior_gaps(frame):
     src = [(a, b, None if (a, b) == (0.0, 0.0) else v) for a, b, v in SRC]
     out = table(RGD.regrid(frame("lat double, lon double, value double", src), small_grid(3)))
