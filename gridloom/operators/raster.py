@@ -24,13 +24,14 @@ def score_counts(scored: DataFrame, levels: int = 5) -> DataFrame:
 
 
 def resolve_scale(raster: DataFrame, vmin: float | None = None, vmax: float | None = None,
-                  qlo: float = 0.02, qhi: float = 0.98) -> DataFrame:
-    """Colour range: given ends or exact quantiles, then min/max, then one unit either way."""
-    ends = raster.agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
+                  qlo: float = 0.02, qhi: float = 0.98, keys: list[str] | None = None) -> DataFrame:
+    """Colour range of each raster (value of ``keys``): given ends or exact quantiles, then min/max, then one unit either way."""
+    keys = keys or []
+    ends = raster.groupBy(*keys).agg(F.min("value").alias("mn"), F.max("value").alias("mx"))
     if vmin is None or vmax is None:
-        q = exact_quantiles(raster, [], "value", {"q0": qlo, "q1": qhi})
+        q = exact_quantiles(raster, keys, "value", {"q0": qlo, "q1": qhi})
     else:
-        q = ends.select(F.lit(None).cast("double").alias("q0"), F.lit(None).cast("double").alias("q1"))
+        q = ends.select(*keys, F.lit(None).cast("double").alias("q0"), F.lit(None).cast("double").alias("q1"))
     lo = F.col("q0") if vmin is None else F.lit(float(vmin))
     hi = F.col("q1") if vmax is None else F.lit(float(vmax))
     usable = lo < hi
@@ -38,8 +39,9 @@ def resolve_scale(raster: DataFrame, vmin: float | None = None, vmax: float | No
     a = F.when(usable, lo).when(flat, F.col("mn") - 1.0).otherwise(F.col("mn"))
     b = F.when(usable, hi).when(flat, F.col("mx") + 1.0).otherwise(F.col("mx"))
     empty = F.col("mn").isNull()
-    return ends.join(F.broadcast(q), how="left").select(
-        F.when(empty, F.lit(0.0)).otherwise(a).alias("vmin"),
+    joined = ends.join(q, keys, "left") if keys else ends.join(F.broadcast(q), how="left")
+    return joined.select(
+        *keys, F.when(empty, F.lit(0.0)).otherwise(a).alias("vmin"),
         F.when(empty, F.lit(1.0)).otherwise(b).alias("vmax"),
     )
 
@@ -71,35 +73,38 @@ def palette(value: Column, vmin: Column, vmax: Column, colors: list[str],
     return out
 
 
-def stitch_dateline(raster: DataFrame, nlon: int, band: int = 8) -> DataFrame:
-    """Average the ``band`` outer columns with their mirror; copy one-sided values."""
+def stitch_dateline(raster: DataFrame, nlon: int, band: int = 8, keys: list[str] | None = None) -> DataFrame:
+    """Average the ``band`` outer columns of each raster with their mirror; copy one-sided values."""
+    keys = keys or []
     width = max(1, min(band, nlon // 2))
     mirror = F.lit(nlon - 1) - F.col("i_lon")
     edge = (F.col("i_lon") < width) | (F.col("i_lon") >= nlon - width)
     # A pair of mirrored cells is a group of two, so one small aggregate replaces a self-join.
     pair = F.least(F.col("i_lon"), mirror)
-    edges = raster.where(edge).groupBy("i_lat", pair.alias("k")).agg(F.avg("value").alias("value"))
+    edges = raster.where(edge).groupBy(*keys, "i_lat", pair.alias("k")).agg(F.avg("value").alias("value"))
     both = edges.select(
-        "i_lat", F.explode(F.array(F.col("k"), F.lit(nlon - 1) - F.col("k"))).alias("i_lon"), "value"
+        *keys, "i_lat", F.explode(F.array(F.col("k"), F.lit(nlon - 1) - F.col("k"))).alias("i_lon"), "value"
     ).distinct()
-    return raster.where(~edge).select("i_lat", "i_lon", "value").unionByName(
-        both.select("i_lat", F.col("i_lon").cast("int").alias("i_lon"), "value")
+    return raster.where(~edge).select(*keys, "i_lat", "i_lon", "value").unionByName(
+        both.select(*keys, "i_lat", F.col("i_lon").cast("int").alias("i_lon"), "value")
     )
 
 
-def downsample_max_alpha(pixels: DataFrame) -> DataFrame:
-    """Per 2x2 block the most opaque pixel; the first in row order wins ties."""
+def downsample_max_alpha(pixels: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Per 2x2 block of each raster the most opaque pixel; the first in row order wins ties."""
+    keys = keys or []
     first = -((F.col("i_lat") % 2) * 2 + F.col("i_lon") % 2)
     best = F.max_by(F.struct("r", "g", "b", "a"), F.struct(F.col("a"), first))
     return pixels.groupBy(
+        *keys,
         F.floor(F.col("i_lat") / 2).cast("int").alias("i_lat"),
         F.floor(F.col("i_lon") / 2).cast("int").alias("i_lon"),
-    ).agg(best.alias("p")).select("i_lat", "i_lon", "p.*")
+    ).agg(best.alias("p")).select(*keys, "i_lat", "i_lon", "p.*")
 
 
-def map_stats(projected: DataFrame, source_cells: int) -> DataFrame:
-    """Range of the projected values; missing counts against the *source* size."""
-    return projected.agg(
+def map_stats(projected: DataFrame, source_cells: int, keys: list[str] | None = None) -> DataFrame:
+    """Range of the projected values of each raster; missing counts against the *source* size."""
+    return projected.groupBy(*(keys or [])).agg(
         F.min("value").alias("min"), F.max("value").alias("max"),
         (F.lit(source_cells) - F.count("value")).cast("long").alias("nan_count"),
     )

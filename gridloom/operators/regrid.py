@@ -144,8 +144,8 @@ def mercator_bounds(grid: Grid, lat_limit: float = MERCATOR_LIMIT) -> tuple[floa
     return (kept[-1], kept[0]) if kept else (-lat_limit, lat_limit)
 
 
-def mercator_rows(raster: DataFrame, grid: Grid, lat_limit: float = MERCATOR_LIMIT) -> DataFrame:
-    """Rows resampled to equal Mercator spacing, only between present neighbours.
+def mercator_rows(raster: DataFrame, grid: Grid, lat_limit: float = MERCATOR_LIMIT, keys: list[str] | None = None) -> DataFrame:
+    """Rows of each raster resampled to equal Mercator spacing, only between present neighbours.
 
     Each pair of vertically adjacent present cells fills the target rows that
     fall between them, so gaps are never bridged and nothing is joined.
@@ -159,7 +159,8 @@ def mercator_rows(raster: DataFrame, grid: Grid, lat_limit: float = MERCATOR_LIM
         return raster
     top, bottom, n = y(lats[kept[0]]), y(lats[kept[-1]]), len(kept)
     step = (top - bottom) / (n - 1)
-    w = Window.partitionBy("i_lon").orderBy("i_lat")
+    keys = keys or []
+    w = Window.partitionBy(*keys, "i_lon").orderBy("i_lat")
     yc = F.log(F.tan(F.lit(math.pi / 4) + F.radians(center_lat(F.col("i_lat"), grid)) / 2))
     rows = raster.where(F.col("value").isNotNull() & F.col("i_lat").between(kept[0], kept[-1]))
     seg = rows.withColumn("y", yc).withColumns({
@@ -175,7 +176,7 @@ def mercator_rows(raster: DataFrame, grid: Grid, lat_limit: float = MERCATOR_LIM
     )
     part = (F.col("yt") - F.col("y1")) / (F.col("y") - F.col("y1"))
     filled = F.col("v1") + (F.col("value") - F.col("v1")) * F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))
-    return hits.groupBy("row", "i_lon").agg(F.min_by(filled, "i_lat").alias("value"))
+    return hits.groupBy(*keys, "row", "i_lon").agg(F.min_by(filled, "i_lat").alias("value"))
 
 
 def ring_edges(vertices: DataFrame) -> DataFrame:

@@ -201,3 +201,19 @@ def test_ranking_blocks_keys_and_breaks_ties(frame):
                    + [(*cell(10.6, 10.6), y, None) for y in (2000, 2001)])
     out = [(r.geonameid, r.rank) for r in RG.city_rankings(places, annual, g, "mean").orderBy("rank").collect()]
     assert out == [(4, 1), (3, 2)]
+
+
+def test_rasters_of_several_keys_stay_apart(frame):
+    """One run over two rasters gives what two runs give."""
+    grid = Grid("g", 10.0, 18, 36, tile_size=16)
+    one = [(i, j, None if (i + j) % 7 == 0 else float(i * j % 11)) for i in range(18) for j in range(36)]
+    two = [(i, j, float((i + 3 * j) % 5) * 10) for i in range(18) for j in range(36)]
+    both = frame("m string, " + CELLS, [("a", *r) for r in one] + [("b", *r) for r in two])
+    runs = {
+        "scale": lambda df, **k: E.resolve_scale(df, **k), "stitch": lambda df, **k: E.stitch_dateline(df, 36, **k),
+        "rows": lambda df, **k: RGD.mercator_rows(df, grid, **k), "stats": lambda df, **k: E.map_stats(df, 648, **k),
+        "half": lambda df, **k: E.downsample_max_alpha(df.selectExpr("*", *[f"coalesce(int(value), 0) AS {c}" for c in "rgba"]), **k),
+    }
+    for run in runs.values():
+        alone = {(m, *r) for m, rows in (("a", one), ("b", two)) for r in map(tuple, run(frame(CELLS, rows)).collect())}
+        assert {tuple(r) for r in run(both, keys=["m"]).collect()} == alone
