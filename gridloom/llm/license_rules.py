@@ -1,7 +1,7 @@
 """License detection by ordered signature rules (DataFrame functions only, one pass, no shuffle).
 
-Texts become token strings (ASCII words and non-ASCII runs, one space around each).  A cheap test on the raw text
-selects the texts that can hold a license at all.  There each rule family is gated by its keyword, each rule of an
+Texts become token strings (ASCII words and non-ASCII runs, one space around each).  A test on the raw text, derived from
+the rules' keywords, selects the texts that can match a rule at all.  There each rule family is gated by its keyword, each rule of an
 open family is one regular expression, and the detections are resolved: walking them by start (longest first), a
 detection inside an earlier one of the same or a higher tier is dropped.  Contract phrases form the highest tier, so
 they always stay.
@@ -12,6 +12,9 @@ named like the added ones give way.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from gridloom.llm.common import match_spans, no_spans, table, with_added
@@ -25,7 +28,7 @@ BASE_TIER = 5
 
 # label: (keyword that must occur, pattern of the license's name in token space, SPDX tokens)
 LICENSES: dict[str, tuple[str, str, str]] = {
-    "mit": ("mit", r"mit|expat", r"mit"),
+    "mit": ("mit", r"mit", r"mit"),
     "mit-0": ("mit", r"mit no attribution", r"mit 0"),
     "apache-1": ("apache", r"apache (?:software )?license (?:version )?1(?: [01])?", r"apache 1 [01]"),
     "apache-2": ("apache", r"apache (?:software )?license (?:v|version )?2(?: 0)?", r"apache 2 0"),
@@ -33,7 +36,7 @@ LICENSES: dict[str, tuple[str, str, str]] = {
     "bsd-3": ("bsd", r"(?:bsd 3 clause|3 clause bsd|(?:modified|new|revised) bsd)", r"bsd 3 clause"),
     "bsd-4": ("bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)", r"bsd 4 clause"),
     "0bsd": ("bsd", r"(?:zero clause bsd|0bsd)", r"0bsd"),
-    "isc": ("isc", r"isc|internet systems consortium", r"isc"),
+    "isc": ("isc", r"isc", r"isc"),
     "gpl-1": ("general public", r"gnu general public license (?:v|version )1", r"gpl 1 0(?: only| or later)?"),
     "gpl-2": ("general public", r"gnu general public license (?:v|version )2", r"gpl 2 0(?: only| or later)?"),
     "gpl-3": ("general public", r"gnu general public license (?:v|version )3", r"gpl 3 0(?: only| or later)?"),
@@ -100,20 +103,46 @@ PLAIN = {"apache-1", "apache-2", "gpl-1", "gpl-2", "gpl-3", "lgpl-2", "lgpl-2.1"
          "epl-1", "epl-2", "cddl-1", "cpl-1", "eupl-1.2", "artistic-1", "artistic-2", "boost-1", "unlicense", "ofl-1.1",
          "odbl-1", "ms-pl", "ms-rl", "afl-3", "osl-3", "gfdl-1", "cc0", "cc-by", "cc-by-sa", "cc-by-nd", "cc-by-nc",
          "cc-by-nc-sa", "cc-by-nc-nd", "wtfpl", "proprietary"}
-GATE = r"(?i)licen[sc]|rights\W+reserved|gnu|creative|cc0|unlicense|wtfpl|spdx|cc" + GAP + r"by|apache|mozilla|eclipse"
+# Further names that do not hold their license's keyword, with keywords of their own: (label, keyword, name).
+ALIASES = [("mit", "expat", r"expat"), ("isc", "internet systems consortium", r"internet systems consortium")]
 
 
 def rules() -> list[tuple[str, str, int, float, str]]:
-    """(keyword, label, tier, confidence, pattern) of every rule, in order."""
+    """(keyword, label, tier, confidence, pattern) of every rule, in order; no text matches a rule without its keyword."""
     out = []
     for label, (keyword, name, spdx) in LICENSES.items():
         out += [("spdx" if form == "tag" else keyword, label, tier, sure, shape.format(name=name, spdx=spdx))
                 for form, (tier, sure, shape) in FORMS.items()]
         if label in PLAIN:
             out.append((keyword, label, 2, 0.7, f" (?:{name})(?= )"))
+    for label, keyword, name in ALIASES:
+        out += [(keyword, label, tier, sure, shape.format(name=name)) for form, (tier, sure, shape) in FORMS.items() if form != "tag"]
     return out
 
 
+def _holds(low: Column, words: list[str]) -> Column:
+    """Whether lower-case raw text can hold a keyword as whole words: a plain search for its longest word, then the pattern.
+
+    "bsd" also ends words ("freebsd").
+    """
+    def one(w: str) -> Column:
+        start = "" if w == "bsd" else f"(?<!{WORD[:-1]})"
+        return F.contains(low, F.lit(max(w.split(), key=len))) & low.rlike(f"{start}{w.replace(' ', GAP)}(?!{WORD[:-1]})")
+
+    return functools.reduce(operator.or_, [one(w) for w in words])
+
+
+def possible(low: Column) -> Column:
+    """False only where no rule matches ``low``, the raw text in lower case.
+
+    Plain names and tags stand alone; every other form holds one of the words tested here beside the name.
+    """
+    alone = list(dict.fromkeys(["spdx", *[LICENSES[label][0] for label in LICENSES if label in PLAIN]]))
+    named = [k for k in dict.fromkeys([*[v[0] for v in LICENSES.values()], *[k for _, k, _ in ALIASES]]) if k not in alone]
+    form = F.contains(low, F.lit("licenc")) | F.contains(low, F.lit("licens")) | _holds(low, ["under", "terms"])
+    return _holds(low, alone) | (form & _holds(low, named))
+
+
 _DET = "struct<start:int,stop:int,tier:int,label:string,sure:double>"
 
 
@@ -170,8 +199,9 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     Tier 5 are the contract phrases.  Word positions count from 0.
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # lower() maps some further letters to ASCII ones, which can only open the gate for more texts.
     gated = docs.withColumn("__raw", value).withColumn("__t", F.when(
-        F.col("__raw").rlike(GATE),
+        possible(F.lower("__raw")),
         F.translate(F.regexp_replace(F.concat(F.lit(" "), "__raw", F.lit(" ")), GAP, " "),
                     "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
     ))

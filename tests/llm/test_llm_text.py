@@ -155,6 +155,28 @@ def test_license_query_on_the_table(spark):
         check_license(r, texts[r.doc_id])
 
 
+UNGATED_TEXTS = [
+    ("Released under MIT.", "mit"), ("distributed under the terms of the ISC", "isc"), ("available under the 3-clause BSD", "bsd-3"),
+    ("published under Zlib", "zlib"), ("Licensed under the Expat license", "mit"), ("see the terms of Expat", "mit"),
+    ("under the terms of the Internet Systems Consortium", "isc"), ("provided under FreeBSD", "bsd-2"), ("by the terms of\n0BSD.", "0bsd"),
+    ("Boost\nSoftware  License", "boost-1"), ("SPDX-Licence x", ""), ("kein Hund mit unter den terms", ""), ("submit under thunder", ""),
+]
+
+
+def test_license_gates_lose_nothing(spark, frame, tmp_path, monkeypatch):
+    """Each name in each form, and texts without the word "license": the same labels as all rules without a gate."""
+    names = sorted({re.sub(r"\(\?:([^()|]*)[^()]*\)\??", r"\1", n) for _, n, _ in license_rules.LICENSES.values() if "(?!" not in n})
+    texts = [t for t, _ in UNGATED_TEXTS] + [f"{start} {n}{end}" for n in [*names, "cc by 4 0"] for start, end in (
+        ("Released under", "."), ("see the terms of the", ","), ("LICENCE:", ""), ("the", " licence"), ("x", " licensed"), ("a", ""))]
+    docs_of(frame, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in license_rules.op5_license_rules(spark, str(tmp_path)).collect()}
+    every = license_rules.rules()
+    monkeypatch.setattr(license_rules, "rules", lambda: [("", *rule[1:]) for rule in every])
+    for i, text in enumerate(texts):
+        check_license(got[i], text)
+    assert all(got[i].labels == labels for i, (_, labels) in enumerate(UNGATED_TEXTS))
+
+
 def test_license_scan_replaces_clashing_columns(spark, frame):
     docs = docs_of(frame, ["under the mit license", None]).withColumn("n_words", F.lit("x"))
     out = license_rules.scan_licenses(docs)
