@@ -5,9 +5,11 @@ orders the ``PICKED`` smallest labelled shingles are taken and kept *in text ord
 keys need common shingles in the same order, as texts at a small edit distance have.  Candidates are verified by the
 word edit similarity ``1 - distance / longer length``, at least 0.8, with an alignment inside a band.
 
-Work stays linear in the size of a group: equal texts collapse into one node first; all members of a bucket (equal key)
-are compared with its first member only; and after the connected components are known, just the components that share
-a bucket without being linked are compared again, through up to three members each (smallest node, shortest, longest).
+Equal texts collapse into one node first, and all members of a bucket (equal key) are compared with its first member.
+Then components that still share a bucket without being linked meet through up to three members each (smallest node,
+shortest, longest), and at last through all members: every pair that shares a key ends in one class, or in two classes
+after an alignment or a lossless count told it apart.  Pairs of one component are skipped, so groups of similar texts
+take linear work; dissimilar components that share a bucket are compared pair by pair.
 
 Two texts of shingle similarity 0.8 share a key with probability 0.9999999, at 0.65 (3 % of the words replaced) with
 0.9995, at 0.5 with 0.96.  Null and blank texts are classes of their own.  Node ids are 64-bit hashes of the word
@@ -16,6 +18,7 @@ sequence.  A class is named by its smallest doc_id; repeated rows share their cl
 
 from __future__ import annotations
 
+import functools
 from collections import Counter
 
 import numpy as np
@@ -27,7 +30,7 @@ from gridloom.llm.components import components, joined_components
 from gridloom.llm.tokens import mix64, word_hashes
 
 WORDS, SKETCHES, PICKED, LEAST = 5, 24, 3, 0.8
-AGREE = 5  # of the SKETCHES single minima, for comparisons between components
+AGREE = 5  # of the SKETCHES single minima: such pairs between components are verified first, the others after them
 BLOCK, BAG = 256, 128
 FACTORS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
@@ -194,27 +197,44 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return saved(in_tasks(pairs.join(one, "a").join(two, "b"), _verify, "a long, b long"))
 
 
-def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components that share a bucket and may be similar.
+def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame, everyone: bool = False) -> DataFrame:
+    """Pairs (a, b, agree) of nodes of different components that share a bucket and may be similar.
 
-    ``members``: (key, node, n_words).  Up to three nodes stand for a component in a bucket; the nodes of a bucket meet
-    block by block, so no task holds a whole large bucket.  A pair must agree in ``AGREE`` minima; and its word counts,
-    folded into ``BAG`` counters, must leave room for the similarity (an edit moves at most one word of either text, and
-    folding only hides differences, so this test loses nothing).
+    ``members``: (key, node, n_words); ``agree`` counts the equal minima.  A component comes to a bucket with all its
+    members there, or with up to three of them unless ``everyone``.  The word counts of a pair, folded into ``BAG``
+    counters, must leave room for the similarity (an edit moves at most one word of either text, and folding only hides
+    differences, so this test loses nothing).
+
+    The members of a bucket meet block by block, so no task holds a whole large bucket.  A component of more than
+    ``BLOCK`` members there has blocks of its own, which never meet each other.
     """
     own = F.coalesce("comp", "node").alias("comp")
     placed = members.join(comps, "node", "left").select("key", "node", "n_words", own)
     mixed = saved(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"))
-    size = F.struct("n_words", "node")
-    chosen = placed.join(mixed, "key").groupBy("key", "comp").agg(
-        F.array(F.min("node"), F.min(size)["node"], F.max(size)["node"]).alias("nodes"))
-    chosen = chosen.select("key", "comp", F.explode(F.array_distinct("nodes")).alias("node"))
-    blocks = saved(chosen.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")))
-    placed = chosen.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    ranked = saved(placed.join(nodes.select("node", "n_words", "minima", "bag"), "node"))
-    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda x: F.struct(
-        F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j")))
-    cells = ranked.withColumn("cell", F.explode(every)).select("key", "cell", "comp", "node", "block", "n_words", "minima", "bag")
+    if everyone:
+        chosen = placed.join(mixed, "key").select("key", "comp", "node").distinct()
+    else:
+        size = F.struct("n_words", "node")
+        chosen = placed.join(mixed, "key").groupBy("key", "comp").agg(
+            F.array(F.min("node"), F.min(size)["node"], F.max(size)["node"]).alias("nodes"))
+        chosen = chosen.select("key", "comp", F.explode(F.array_distinct("nodes")).alias("node"))
+    chosen = saved(chosen)
+    parts = saved(chosen.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")))
+    small = parts.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)) / BLOCK).alias("blocks"))
+    parts = parts.join(small, "key").withColumn("large", F.col("n") > BLOCK)
+    # A block is (component, number): component null for the blocks that small components share.
+    split = F.when(F.col("large"), F.ceil(F.col("n") / BLOCK)).otherwise(F.col("blocks"))
+    dealt = saved(chosen.join(parts, ["key", "comp"]).select("key", "comp", "node", F.struct(
+        F.when(F.col("large"), F.col("comp")).alias("of"),
+        F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("comp"))), split).alias("number")).alias("block")))
+    blocks = dealt.select("key", "block").distinct()
+    others = blocks.select("key", F.col("block").alias("other"))
+    meet = blocks.join(others, "key").where(
+        (F.col("block.of").isNull() | F.col("other.of").isNull() | (F.col("block.of") != F.col("other.of"))))
+    cell = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    meet = saved(meet.select("key", "block", cell.alias("cell")))
+    light = dealt.join(meet, ["key", "block"]).join(nodes.select("node", "n_words", "minima", "bag"), "node")
+    cells = saved(light.select("key", "cell", "comp", "node", "block", "n_words", "minima", "bag"))
     left = cells.where("block = cell.i").alias("l")
     right = cells.where("block = cell.j").alias("r")
     agree = F.aggregate(F.zip_with("l.minima", "r.minima", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
@@ -222,9 +242,20 @@ def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame
     near = F.least("l.n_words", "r.n_words") >= LEAST * longer
     shared = F.aggregate(F.zip_with("l.bag", "r.bag", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
     roomy = shared >= LEAST * longer - 1e-6
+    # In a cell of one block every pair is seen from both sides.
+    once = (F.col("l.block") != F.col("r.block")) | (F.col("l.node") < F.col("r.node"))
     met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.cell") == F.col("r.cell"))
-                    & (F.col("l.comp") < F.col("r.comp")) & near & (agree >= AGREE) & roomy)
-    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
+                    & (F.col("l.comp") != F.col("r.comp")) & once & near & roomy)
+    return met.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b"),
+                      agree.alias("agree")).distinct()
+
+
+def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose nodes are still in different components."""
+    side = comps.select(F.col("node").alias("n"), F.col("comp").alias("c"))
+    out = pairs.join(side.withColumnsRenamed({"n": "a", "c": "ca"}), "a", "left").join(
+        side.withColumnsRenamed({"n": "b", "c": "cb"}), "b", "left")
+    return out.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -254,10 +285,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     star = members.where("leader < node").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     first = _verified(saved(star), texts)
     comps = components(first)
-    second = _verified(saved(_across(members.select("key", "node", "n_words"), nodes, comps)), texts)
-    edges = first.union(second).distinct()
-    if not second.isEmpty():
-        comps = joined_components(comps, second)
+    edges = [first]
+    keys = members.select("key", "node", "n_words")
+
+    def linked(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+        found = _verified(saved(pairs), texts)
+        edges.append(found)
+        return comps if found.isEmpty() else joined_components(comps, found)
+
+    # Likely pairs of a few speakers first, then all that still share a bucket, so few pairs of one class are verified.
+    comps = linked(_across(keys, nodes, comps).where(F.col("agree") >= AGREE).select("a", "b"), comps)
+    rest = saved(_across(keys, nodes, comps, everyone=True))
+    comps = linked(rest.where(F.col("agree") >= AGREE).select("a", "b"), comps)
+    comps = linked(_apart(rest.where(F.col("agree") < AGREE), comps), comps)
+    edges = functools.reduce(DataFrame.union, edges).distinct()
     links = edges.select("a").union(edges.select("b")).groupBy("a").agg(F.count(F.lit(1)).alias("n_links"))
     named = saved(groups.join(comps, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp")))
     classes = saved(named.groupBy("comp").agg(F.min("first_id").alias("class_id")))

@@ -328,6 +328,29 @@ def test_near_duplicates_match_all_pairs(spark, frame):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(got.values())
 
 
+def test_near_duplicates_of_a_skewed_group(spark, frame):
+    """Variants of one template around the threshold: every similar pair that shares a key is in one class."""
+    rng = random.Random(11)
+    base = [f"t{i}" for i in range(60)]
+    texts = [" ".join(edited(rng, base, rng.randrange(1, 13))) for _ in range(400)]
+    docs = frame(DOCS, [(i, t, None, "s", 1) for i, t in enumerate(texts)])
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+    hashed = [word_hashes(t) for t in texts]
+    keys = [set(order_minhash.sketch(h)[0].tolist()) for h in hashed]
+    pairs = [(i, j) for i in range(400) for j in range(i) if keys[i] & keys[j] and order_minhash.edit_similar(texts[i], texts[j])]
+    up = list(range(400))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, j in pairs:
+        a, b = sorted((top(i), top(j)))
+        up[b] = a
+    assert got == {i: top(i) for i in range(400)}
+
+
 def test_near_duplicates_of_repeated_rows(spark, frame):
     df = frame("doc_id long, text string", [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "x y z u v w"), (None, "x y z u v w"), (None, None)])
     rows = [tuple(r) for r in order_minhash.near_duplicates(df).select("doc_id", "class_id").collect()]
