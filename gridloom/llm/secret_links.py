@@ -1,6 +1,7 @@
 """Secret scan with multipart credential linking (DataFrame functions only, one pass, no shuffle).
 
-Three strong patterns are always reported.  Identifiers, weak secrets (bare mixed-case tokens) and endpoints mean
+Three strong patterns are always reported.  Identifiers, weak secrets (bare mixed-case tokens of 20 characters or more,
+URL-safe and dotted ones too) and endpoints mean
 little alone: inside a scope (text between blank lines) they are joined on the distance of their intervals and
 reported only where complementary parts meet:
 
@@ -30,9 +31,13 @@ IDENTIFIER = (
     r"""(?<![A-Za-z0-9_])(?i:client[_-]?id|access[_-]?key[_-]?id|account[_-]?id|tenant[_-]?id|user[_-]?name|user|login)"""
     r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}"""
 )
+_MIXED = r"(?=[{0}]*[0-9])(?=[{0}]*[a-z])(?=[{0}]*[A-Z])"
+# Dotted parts, or one run of either base64 alphabet; of any length from 20 (possessive, so long runs need no stack).
 WEAK = (
-    r"(?<![A-Za-z0-9+/=_.-])(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[a-z])(?=[A-Za-z0-9+/]*[A-Z])"
-    r"[A-Za-z0-9+/]{20,128}={0,2}(?![A-Za-z0-9+/=_-])"
+    r"(?<![A-Za-z0-9+/=_.-])(?:"
+    + _MIXED.format("A-Za-z0-9_.-") + r"(?=(?:[A-Za-z0-9_-]|\.(?=[A-Za-z0-9_-])){20})[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)++"
+    + r"(?![A-Za-z0-9+/=_-])|"
+    + _MIXED.format("A-Za-z0-9+/_-") + r"[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/=_-]))"
 )
 ENDPOINT = (
     r"""(?i:(?<![a-z0-9])(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>]+"""
