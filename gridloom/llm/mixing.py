@@ -5,10 +5,10 @@ constraint per source and the box 0 <= rate <= 3; the solution is ``min(3, exp(l
 the duals ``lambda`` come from safeguarded Newton steps on the convex dual.  A step is one aggregate over the
 (source, size) histogram, for all sources at once.  Rates then become whole copies by systematic rounding along
 (source, size): running sums of the rates are rounded, so the error of a source stays within about one document, and a
-few repair rounds move the best fitting document each.
+few repair rounds move one copy of the best fitting document each.
 
 Null texts have size 0, a null source is a source of its own (last), documents of size 0 take no words.  Rows equal in
-id, source and text are taken equally often.  Empty tables give empty results.  Sums run over integers, so reruns
+id, source and text share their copies as evenly as whole copies allow.  Empty tables give empty results.  Sums run over integers, so reruns
 agree.  A hot source only meets partial aggregates, ordered chunks and joins with one row per source.
 """
 
@@ -109,7 +109,10 @@ def balanced(rows: DataFrame, targets: DataFrame, most: float = MOST, rounds: in
 
 
 def document_copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = int(MOST), repairs: int = 3) -> DataFrame:
-    """(id, source, size, h, source_size, target, copies): one row per distinct (id, source, size, h) of ``rows``."""
+    """(id, source, size, h, m, source_size, target, total): one row per distinct (id, source, size, h) of ``rows``.
+
+    ``total`` copies are taken of its ``m`` rows together.
+    """
     duals = saved(balanced(rows, source_targets(rows, weights, most), most))
     units = saved(
         rows.groupBy("source", "size", "id", "h").agg(F.count(F.lit(1)).alias("m"))
@@ -130,8 +133,8 @@ def document_copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
         offsets, _same("source", "__source") & (F.col(CHUNK) == F.col("__c")))
     upto = F.col("__offset") + F.col("__sum") + UNIT // 2
     whole = F.shiftright(upto, 24) - F.shiftright(upto - F.col("q"), 24)
-    copies = F.least(F.floor(whole / F.col("m")), F.lit(most)).cast("int")
-    units = saved(summed.select(*order, "m", "source_size", "target", copies.alias("copies")))
+    total = F.least(whole, F.col("m") * most)
+    units = saved(summed.select(*order, "m", "source_size", "target", total.alias("total")))
     for _ in range(repairs):
         units = _repaired(units, order, most)
     return units
@@ -140,9 +143,9 @@ def document_copies(rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 def _repaired(units: DataFrame, order: list[str], most: int) -> DataFrame:
     """Per source, one copy more or less of the document that brings the words nearest to the target."""
     gaps = saved(units.groupBy("source").agg(
-        (F.max("target") - F.sum(F.col("m") * F.col("copies") * F.col("size"))).alias("gap")))
-    words = F.col("m") * F.col("size")
-    open_ = F.when(F.col("gap") > 0, F.col("copies") < most).otherwise(F.col("copies") > 0)
+        (F.max("target") - F.sum(F.col("total") * F.col("size"))).alias("gap")))
+    words = F.col("size")
+    open_ = F.when(F.col("gap") > 0, F.col("total") < F.col("m") * most).otherwise(F.col("total") > 0)
     rest = F.abs(F.abs("gap") - words)
     best = saved(
         _by_source(units, gaps).where((words > 0) & open_ & (rest < F.abs("gap"))).groupBy("source")
@@ -152,15 +155,27 @@ def _repaired(units: DataFrame, order: list[str], most: int) -> DataFrame:
     for c in ("place", "id", "h", "size"):
         hit = hit & F.col(c).eqNullSafe(F.col("best")[c])
     change = F.when(hit, F.signum(F.col("best.gap")).cast("int")).otherwise(0)
-    return saved(_by_source(units, best).withColumn("copies", F.col("copies") + change).drop("best"))
+    return saved(_by_source(units, best).withColumn("total", F.col("total") + change).drop("best"))
 
 
 def with_copies(rows: DataFrame, units: DataFrame) -> DataFrame:
-    """Every row of ``rows`` (id, source, size, h and more) with ``source_size``, ``target`` and ``copies``."""
-    right = units.select(*[F.col(c).alias(f"__{c}") for c in ("id", "source", "size", "h")],
-                         "source_size", "target", "copies")
+    """Every row of ``rows`` (id, source, size, h and more) with ``source_size``, ``target`` and ``copies``.
+
+    Of the ``m`` rows of a unit the first ``total mod m`` are taken once more than the others.
+    """
+    keys = ["id", "source", "size", "h"]
+    right = units.select(*[F.col(c).alias(f"__{c}") for c in keys], "source_size", "target",
+                         F.expr("total div m").cast("int").alias("copies"), (F.col("total") % F.col("m")).alias("__more"))
     on = (F.col("h") == F.col("__h")) & (F.col("size") == F.col("__size")) & _same("id", "__id") & _same("source", "__source")
-    return rows.join(right, on).drop("__id", "__source", "__size", "__h")
+    joined = rows.join(right, on).drop("__id", "__source", "__size", "__h")
+    even = joined.where("__more = 0").drop("__more")
+    if units.where("total % m > 0").isEmpty():
+        return even
+    # Equal rows are told apart by their place in a stored table, so that a unit of very many rows spreads over tasks.
+    uneven = saved(joined.where("__more > 0").withColumn("__row", F.monotonically_increasing_id()))
+    ranked = global_row_number(uneven, keys, [F.col("__row")], name="__place")
+    more = F.when(F.col("__place") <= F.col("__more"), 1).otherwise(0)
+    return even.unionByName(ranked.withColumn("copies", F.col("copies") + more).drop("__place", "__more", "__row"))
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
@@ -173,7 +188,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
         F.regexp_count(F.coalesce(F.col(f"`{text}`"), F.lit("")), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.col(f"`{text}`")).alias("h"),
     )
-    taken = with_copies(packed, units.where("copies > 0"))
+    taken = with_copies(packed, units.where("total > 0")).where("copies > 0")
     repeated = taken.select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
     return repeated.select(*[F.col("__doc")[c].alias(c) for c in docs.columns])
 

@@ -88,6 +88,22 @@ def test_mix_of_odd_rows(spark, frame, tmp_path):
             assert times[r.doc_id] == r.taken // r.size * sum(x[0] == r.doc_id for x in rows)
 
 
+def test_mix_of_repeated_rows(spark, frame, tmp_path):
+    """Sources whose rows are all repeated, one by a hot row, still meet their targets."""
+    rng = random.Random(3)
+    rows = [(i, words_of(rng, rng.randrange(5, 60)), None, "abc"[i % 3], 1) for i in range(150) for _ in range(2)]
+    rows += [(900, words_of(rng, 20), None, "b", 1)] * 1000
+    frame(DOCS, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = mixing.op6_entropy_mix(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for words, wanted in check_mix(got, {r[0]: r[3] for r in rows}).values():
+        assert abs(words - wanted) <= 0.02 * wanted + 10
+    hot = {r.taken // r.size for r in got if r.doc_id == 900}
+    assert max(hot) - min(hot) <= 1
+    mixed = mixing.mix(spark.read.parquet(f"{tmp_path}/documents.parquet")).count()
+    assert mixed == sum(r.taken // r.size for r in got)
+
+
 def test_mix_of_nothing(spark, frame, tmp_path):
     frame(DOCS, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert mixing.op6_entropy_mix(spark, str(tmp_path)).count() == 0
