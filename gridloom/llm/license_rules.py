@@ -106,6 +106,27 @@ PLAIN = {"apache-1", "apache-2", "gpl-1", "gpl-2", "gpl-3", "lgpl-2", "lgpl-2.1"
 # Further names that do not hold their license's keyword, with keywords of their own: (label, keyword, name).
 ALIASES = [("mit", "expat", r"expat"), ("isc", "internet systems consortium", r"internet systems consortium")]
 
+_GPL = r"(?: (?:(?:as )?published by the free software foundation|either))*"
+# Short names, notices with the version further on, and characteristic clauses: (keyword, label, tier, confidence, pattern).
+SIGNATURES = [
+    *[("general public", f"{short}gpl-{v}", 3, 0.85, f" gnu {kind}general public license{_GPL} version {v.replace('.', ' ')}(?! [0-9])(?= )")
+      for short, kind, v in (("", "", "1"), ("", "", "2"), ("", "", "3"), ("l", "library ", "2"), ("l", "lesser ", "2.1"),
+                             ("l", "lesser ", "3"), ("a", "affero ", "3"))],
+    *[("gpl", f"{short}gpl-{v}", 2, 0.7, f" (?:gnu )?{short}gpl ?(?:v|version )?{v.replace('.', ' ')}(?: 0)?(?! [0-9])(?= )")
+      for short, v in (("", "1"), ("", "2"), ("", "3"), ("l", "2"), ("l", "2.1"), ("l", "3"), ("a", "3"))],
+    ("gpl", "gpl", 1, 0.5, " gpl(?= )"), ("gpl", "lgpl", 1, 0.5, " lgpl(?= )"), ("gpl", "agpl", 1, 0.5, " agpl(?= )"),
+    *[("creative commons", f"cc-by{'-' if kind else ''}{kind}", 3, 0.85, f" creative commons attribution{name}(?: [1-4] [05])?(?= (?!non|nod|share|no ))")
+      for kind, name in (("", ""), ("sa", " share ?alike"), ("nd", " no ?deriv(?:ative)?s"), ("nc", " non ?commercial"),
+                         ("nc-sa", " non ?commercial share ?alike"), ("nc-nd", " non ?commercial no ?deriv(?:ative)?s"))],
+    ("creative commons", "creative-commons", 1, 0.5, " creative commons(?= )"),
+    ("permission is hereby granted", "mit", 3, 0.85,
+     " permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files(?= )"),
+    ("redistribution and use", "bsd", 3, 0.8, " redistribution and use in source and binary forms with or without modification are permitted(?= )"),
+    ("permission to use copy modify and", "isc", 3, 0.8,
+     " permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted(?= )"),
+    ("provided as is without", "zlib", 3, 0.8, " this software is provided as is without any express or implied warranty(?= )"),
+]
+
 
 def rules() -> list[tuple[str, str, int, float, str]]:
     """(keyword, label, tier, confidence, pattern) of every rule, in order; no text matches a rule without its keyword."""
@@ -117,17 +138,18 @@ def rules() -> list[tuple[str, str, int, float, str]]:
             out.append((keyword, label, 2, 0.7, f" (?:{name})(?= )"))
     for label, keyword, name in ALIASES:
         out += [(keyword, label, tier, sure, shape.format(name=name)) for form, (tier, sure, shape) in FORMS.items() if form != "tag"]
-    return out
+    return out + SIGNATURES
 
 
 def _holds(low: Column, words: list[str]) -> Column:
     """Whether lower-case raw text can hold a keyword as whole words: a plain search for its longest word, then the pattern.
 
-    "bsd" also ends words ("freebsd").
+    "bsd" also ends words ("freebsd"), "gpl" also stands inside them ("lgplv3").
     """
     def one(w: str) -> Column:
-        start = "" if w == "bsd" else f"(?<!{WORD[:-1]})"
-        return F.contains(low, F.lit(max(w.split(), key=len))) & low.rlike(f"{start}{w.replace(' ', GAP)}(?!{WORD[:-1]})")
+        start = "" if w in ("bsd", "gpl") else f"(?<!{WORD[:-1]})"
+        stop = "" if w == "gpl" else f"(?!{WORD[:-1]})"
+        return F.contains(low, F.lit(max(w.split(), key=len))) & low.rlike(start + w.replace(" ", GAP) + stop)
 
     return functools.reduce(operator.or_, [one(w) for w in words])
 
@@ -137,7 +159,8 @@ def possible(low: Column) -> Column:
 
     Plain names and tags stand alone; every other form holds one of the words tested here beside the name.
     """
-    alone = list(dict.fromkeys(["spdx", *[LICENSES[label][0] for label in LICENSES if label in PLAIN]]))
+    alone = list(dict.fromkeys(["spdx", *[LICENSES[label][0] for label in LICENSES if label in PLAIN],
+                               *[k for k, *_ in SIGNATURES]]))
     named = [k for k in dict.fromkeys([*[v[0] for v in LICENSES.values()], *[k for _, k, _ in ALIASES]]) if k not in alone]
     form = F.contains(low, F.lit("licenc")) | F.contains(low, F.lit("licens")) | _holds(low, ["under", "terms"])
     return _holds(low, alone) | (form & _holds(low, named))

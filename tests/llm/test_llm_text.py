@@ -188,6 +188,26 @@ def test_license_gates_lose_nothing(spark, frame, tmp_path, monkeypatch):
     assert all(got[i].labels == labels for i, (_, labels) in enumerate(UNGATED_TEXTS))
 
 
+NOTICES = [
+    ("the GNU General Public License as published by the Free Software Foundation, either version 3 of the License", "gpl-3"),
+    ("GNU Lesser General Public License as published by the Free Software Foundation; version 2.1", "lgpl-2.1"),
+    ("GPLv2", "gpl-2"), ("GNU GPL version 3", "gpl-3"), ("LGPL", "lgpl"), ("LGPLv2.1", "lgpl-2.1"), ("AGPL-3.0", "agpl-3"),
+    ("Creative Commons Attribution 4.0", "cc-by"), ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0", "cc-by-nc-nd"),
+    ("Creative Commons Attribution-NoDerivatives 4.0", "cc-by-nd"), ("Creative Commons Attribution-ShareAlike 3.0", "cc-by-sa"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the", "mit"),
+    ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided", "bsd"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("This software is provided 'as-is', without any express or implied warranty.", "zlib"), ("a general permission", ""),
+]
+
+
+def test_license_notices_without_the_plain_name(spark, frame, tmp_path):
+    docs_of(frame, [t for t, _ in NOTICES]).write.parquet(f"{tmp_path}/documents.parquet")
+    for r in license_rules.op5_license_rules(spark, str(tmp_path)).collect():
+        check_license(r, NOTICES[r.doc_id][0])
+        assert r.labels == NOTICES[r.doc_id][1], NOTICES[r.doc_id]
+
+
 def test_license_scan_replaces_clashing_columns(spark, frame):
     docs = docs_of(frame, ["under the mit license", None]).withColumn("n_words", F.lit("x"))
     out = license_rules.scan_licenses(docs)
