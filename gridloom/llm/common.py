@@ -23,6 +23,15 @@ def in_tasks(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInPandas(fn, schema)
 
 
+def arrow_in_tasks(df: DataFrame, fn, schema: str) -> DataFrame:
+    """``df.mapInArrow(fn, schema)``, as :func:`in_tasks`: texts stay in Arrow's buffers, no Python string is made."""
+    spark = df.sparkSession
+    ship_package(spark)
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, "2000")
+    return df.mapInArrow(fn, schema)
+
+
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 

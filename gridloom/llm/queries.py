@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridloom.llm.best_fit import op8_best_fit
 from gridloom.llm.block_join import op4_block_join
+from gridloom.llm.importance_resample import op11_importance_resample
 from gridloom.llm.language_id import op2_language_id
 from gridloom.llm.license_rules import op5_license_rules
 from gridloom.llm.mixing import op6_entropy_mix
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_best_fit": op8_best_fit,
     "op9_order_minhash": op9_order_minhash,
     "op10_secret_links": op10_secret_links,
+    "op11_importance_resample": op11_importance_resample,
 }
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # of base32
 # 40 hexadecimal digits of the SHA-1, 20 bits at a time, as 32 letters; the capture time follows the page id.
@@ -78,6 +80,44 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 """
 
 
+# CRC-32 of each text of table ``t`` (column x): a table of 256 values by rule, then one step per byte.
+CRC_TABLE_SQL = "list_transform(range(256), lambda b: list_reduce(range(8), lambda v, i: " \
+    "CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, b))"
+
+
+def crc_sql(x: str) -> str:
+    """CRC-32 of the UTF-8 bytes of column ``x`` by the table ``crc.step``."""
+    byte = f"('0x' || substr(hex(encode({x})), 2 * i::INT + 1, 2))::BIGINT"
+    step = f"xor(v >> 8, step[1 + (xor(v, {byte}) & 255)::INT])"
+    return f"xor(list_reduce(range(octet_length(encode({x}))), lambda v, i: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+RESAMPLE_SQL = rf"""
+WITH crc AS (SELECT {CRC_TABLE_SQL} AS step),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{{80}}-\x{{10FFFF}}]+') AS words FROM documents),
+b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[0-9a-z\x{{80}}-\x{{10FFFF}}]+')) AS word FROM benchmark),
+dw AS (SELECT unnest(words) AS word FROM d),
+distinct_words AS (SELECT word FROM dw UNION SELECT word FROM b),
+hashed AS (SELECT word, {crc_sql("word")} % 10000 AS bucket FROM distinct_words, crc),
+s AS (SELECT bucket, count(*) AS s FROM dw JOIN hashed USING (word) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM b JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM dw) AS s_all, (SELECT count(*) FROM b) AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0)::DOUBLE + 1) * (s_all + 10000) / ((s::DOUBLE + 1) * (t_all + 10000))))::BIGINT AS gain
+         FROM s LEFT JOIN t USING (bucket), totals),
+one AS (SELECT row_number() OVER () AS no, doc_id, words, len(words) AS n_features,
+          ('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT AS h FROM d),
+weights AS (SELECT no, sum(gain)::BIGINT AS weight FROM (SELECT no, unnest(words) AS word FROM one) JOIN hashed USING (word) JOIN gain USING (bucket) GROUP BY no),
+scored AS (SELECT doc_id, n_features, coalesce(weight, 0) AS weight,
+             coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM one LEFT JOIN weights USING (no)),
+placed AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place,
+             count(*) OVER (PARTITION BY n_features >= 20) AS n FROM scored)
+SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score::BIGINT AS score,
+       CASE WHEN n_features >= 20 AND place <= n * 10 // 100 THEN place END AS rank FROM placed
+"""
+
+
 def _shard_sql() -> str:
     """Placement over the given slot owners; how the slots are claimed is tested on its own."""
     owners = ",".join(map(str, claimed_slots(SHARDS, SIZE)))
@@ -93,4 +133,5 @@ SELECT doc_id, source, n_chars, slot, names[owner[slot + 1]::INT + 1] AS shard F
 # The other operators learn, iterate or look around matches, which SQL cannot state; their tests use brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index": WARC_SQL, "op3_shard_table": _shard_sql(), "op4_block_join": NEAREST_SQL, "op7_norm_buckets": PRODUCTS_SQL,
+    "op11_importance_resample": RESAMPLE_SQL,
 }
