@@ -12,6 +12,7 @@ from gridloom.llm.norm_buckets import op7_norm_buckets
 from gridloom.llm.order_minhash import op9_order_minhash
 from gridloom.llm.secret_links import op10_secret_links
 from gridloom.llm.shard_table import SHARDS, SIZE, claimed_slots, op3_shard_table
+from gridloom.llm.spelling import op13_spelling_variants
 from gridloom.llm.warc_index import op1_warc_index
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_secret_links": op10_secret_links,
     "op11_importance_resample": op11_importance_resample,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # of base32
 # 40 hexadecimal digits of the SHA-1, 20 bits at a time, as 32 letters; the capture time follows the page id.
@@ -118,6 +120,31 @@ SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, score
 """
 
 
+# Words one edit apart share a pattern with one letter left out (replaced), or one is the other without a letter.
+SPELLING_SQL = rf"""
+WITH RECURSIVE crc AS (SELECT {CRC_TABLE_SQL} AS step),
+runs AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]{{7,}}')) AS run FROM documents),
+low AS (SELECT id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM runs GROUP BY ALL),
+keyed AS (SELECT run, n, id || ':' || run AS k FROM low),
+hashed AS (SELECT run, n, {crc_sql("k")} AS h FROM keyed, crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+holes AS (SELECT word, n, i, substr(word, 1, i - 1) AS head, substr(word, i + 1) AS tail FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.head = b.head AND a.tail = b.tail AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, v.word, v.n FROM holes a JOIN v ON v.word = a.head || a.tail
+  UNION SELECT v.word, b.word, b.n FROM holes b JOIN v ON v.word = b.head || b.tail
+),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS other_n FROM near GROUP BY word),
+named AS (SELECT best.word, best.n_near, best.other_n, min(near.other) AS other FROM best JOIN near ON near.word = best.word AND near.other_n = best.other_n GROUP BY ALL),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form,
+             CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN named ON named.word = v.word),
+walk AS (SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at AND f.form IS NOT NULL)
+SELECT f.word, f.form, walk.at AS root, f.n, f.n_near, f.form_n FROM f JOIN walk ON walk.word = f.word
+JOIN f last ON last.word = walk.at AND last.form IS NULL
+"""
+
+
 def _shard_sql() -> str:
     """Placement over the given slot owners; how the slots are claimed is tested on its own."""
     owners = ",".join(map(str, claimed_slots(SHARDS, SIZE)))
@@ -133,5 +160,5 @@ SELECT doc_id, source, n_chars, slot, names[owner[slot + 1]::INT + 1] AS shard F
 # The other operators learn, iterate or look around matches, which SQL cannot state; their tests use brute force.
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_index": WARC_SQL, "op3_shard_table": _shard_sql(), "op4_block_join": NEAREST_SQL, "op7_norm_buckets": PRODUCTS_SQL,
-    "op11_importance_resample": RESAMPLE_SQL,
+    "op11_importance_resample": RESAMPLE_SQL, "op13_spelling_variants": SPELLING_SQL,
 }
