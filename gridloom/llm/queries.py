@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from gridloom.llm.best_fit import op8_best_fit
 from gridloom.llm.block_join import op4_block_join
+from gridloom.llm.html_text import op12_html_text
 from gridloom.llm.importance_resample import op11_importance_resample
 from gridloom.llm.language_id import op2_language_id
 from gridloom.llm.license_rules import op5_license_rules
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_order_minhash": op9_order_minhash,
     "op10_secret_links": op10_secret_links,
     "op11_importance_resample": op11_importance_resample,
+    "op12_html_text": op12_html_text,
     "op13_spelling_variants": op13_spelling_variants,
 }
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"  # of base32
