@@ -68,7 +68,8 @@ TELLING = _set(
     "subscription signup login search form skip")
 READERS = _set("comment comments commentlist disqus respond reply replies discussion")
 GOOD = _set("article content main post entry story body text blog")
-LEVELS, LEAST_LENGTH, BONUS = 5, 25, 25.0
+LEVELS, LEAST_LENGTH, SIBLING = 5, 25, 0.2
+BONUS, NAMED = 25.0, 1.5  # points of an article or main element; factor of a telling name
 
 
 def _telling(name: str, words: frozenset[str]) -> bool:
@@ -176,7 +177,7 @@ def _dropped(page: Page) -> list[bool]:
     around, n_main = [0] * n, 0
     for i in range(n - 1, 0, -1):
         if not by_readers[i]:
-            mine = tags[i] in ("article", "main") or names_main(page.names[i])
+            mine = tags[i] in ("article", "main") or _names_main(page.names[i])
             n_main += mine
             around[parents[i]] += around[i] + mine
     # Pages that are one large form: without an article the form with most of the text stays.
@@ -209,7 +210,7 @@ def _is_header(names: dict[str, str]) -> bool:
     return any(_telling(x, frozenset({"header"})) for x in [*names.get("class", "").split(), names.get("id", "")])
 
 
-def names_main(names: dict[str, str]) -> bool:
+def _names_main(names: dict[str, str]) -> bool:
     return names.get("role", "").lower() == "main" or names.get("itemprop", "").lower() == "articlebody"
 
 
@@ -231,7 +232,7 @@ def main_text(source: str | None) -> str:
             length[b] += size
             commas[b] += len(COMMA.findall(text))
             linked[b] += size * link[at]
-    points, scored = [0.0] * n, []
+    points = [0.0] * n
     for i in range(n):
         if not length[i]:
             continue
@@ -250,12 +251,14 @@ def main_text(source: str | None) -> str:
     def score(i: int) -> float:
         if gone[i] or not whole[i] or block[i] != i:
             return 0.0
-        extra = 0.0
-        if points[i] > 0:
+        value = points[i]
+        if value > 0:
             labels = [*page.names[i].get("class", "").split(), page.names[i].get("id", "")]
-            good = tags[i] in ("article", "main") or names_main(page.names[i]) or any(_telling(x, GOOD) for x in labels)
-            extra = BONUS * (good and tags[i] != "body") + 5 * (tags[i] in ("div", "section")) - 3 * (tags[i] in ("ul", "ol", "dl"))
-        return (points[i] + extra) * (1 - whole_linked[i] / whole[i])
+            if tags[i] in ("article", "main") or _names_main(page.names[i]):
+                value += BONUS
+            elif tags[i] != "body" and any(_telling(x, GOOD) for x in labels):
+                value *= NAMED
+        return value * (1 - whole_linked[i] / whole[i])
 
     best = max(range(n), key=lambda i: (score(i), -i))
     if score(best) <= 0:
@@ -265,7 +268,7 @@ def main_text(source: str | None) -> str:
         if tags[at] == "article":
             main = at
             break
-        if main < 0 and (tags[at] == "main" or names_main(page.names[at])):
+        if main < 0 and (tags[at] == "main" or _names_main(page.names[at])):
             main = at
         at = parents[at]
     best = main if main >= 0 else best
@@ -277,10 +280,10 @@ def main_text(source: str | None) -> str:
             density = whole_linked[i] / whole[i]
             if tags[best] in ("article", "main"):
                 # The page says what its article is: only further articles, and a title before it, belong to it.
-                root[i] = (tags[i] == tags[best] and density < 0.25 and score(i) >= max(10.0, 0.2 * top)) or (tags[i] == "h1" and i < best)
+                root[i] = (tags[i] == tags[best] and density < 0.25 and score(i) >= SIBLING * top) or (tags[i] == "h1" and i < best)
             else:
                 reads = tags[i] in ("p", "pre", "blockquote") and density < 0.25 and (whole[i] > 80 or not density)
-                root[i] = reads or score(i) >= max(10.0, 0.2 * top) or (tags[i] == "h1" and i < best)
+                root[i] = reads or score(i) >= SIBLING * top or (tags[i] == "h1" and i < best)
     kept = _inherit(parents, root)
     return " ".join("".join(text if kept[at] and not gone[at] else " " for at, text in page.pieces).split())
 
