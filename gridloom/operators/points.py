@@ -156,7 +156,7 @@ def shown_unit(unit: str, target: str) -> Column:
     return F.lit(target if {unit, target} <= {"C", "F"} else unit)
 
 
-def _is_delta(aggregation: str, aggregator: str) -> bool:
+def counts_as_delta(aggregation: str, aggregator: str) -> bool:
     return aggregation == "trend_slope" or any(w in aggregator.lower() for w in ("offset", "anomaly", "delta"))
 
 
@@ -200,7 +200,7 @@ def extreme_locations(cities: DataFrame, series: DataFrame, grid: Grid, aggregat
     scored = rows.groupBy(*CELL).agg(F.round(score, 9).alias("score"), at.alias("year"))
     ordered = chosen.join(scored.where(F.col("score").isNotNull()), CELL)
     order = [F.desc("score") if extremum == "max" else F.asc("score"), F.desc("population"), F.asc("geonameid")]
-    value = shown(F.col("score"), unit, target, _is_delta(aggregation, aggregator))
+    value = shown(F.col("score"), unit, target, counts_as_delta(aggregation, aggregator))
     return _first_rows(ordered, order, limit).select(
         "rank", "geonameid", "label", "alt_names", "lat", "lon", value.alias("value"),
         shown_unit(unit, target).alias("unit"), "year"
@@ -215,7 +215,7 @@ def extreme_from_ranking(ranking: DataFrame, eligible: DataFrame, extremum: str
     top = _first_rows(kept, [F.asc("stored") if extremum == "max" else F.desc("stored")], limit)
     return top.select(
         "rank", "geonameid", "name", "lat", "lon",
-        shown(F.col("value"), unit, target, _is_delta(aggregation, aggregator)).alias("value"),
+        shown(F.col("value"), unit, target, counts_as_delta(aggregation, aggregator)).alias("value"),
         shown_unit(unit, target).alias("unit"),
     )
 
@@ -229,32 +229,6 @@ def series_means(series: DataFrame, monthly: bool = False) -> DataFrame:
     return rows.groupBy(*CELL).agg(F.avg("value").alias("mean")).where(F.col("mean").isNotNull())
 
 
-def similar_locations(places: DataFrame, references: DataFrame, series: DataFrame, grid: Grid,
-                      limit: int = 5, min_population: int = 100_000, box: float = 0.13, monthly: bool = False,
-                      key: str = "reference", unit: str = "C", target: str = "C",
-                      aggregator: str = "mean") -> DataFrame:
-    """Cities whose series mean is closest to that of each reference, ranked per reference.
-
-    ``references`` is (key, lat, lon), a stated set of questions; every city is compared with each of them, and each
-    task keeps the best of a reference before the shuffle.  ``series`` are long rows per cell.
-    """
-    means = series_means(series, monthly)
-    at = lambda df: df.withColumns(cell_of(F.col("lat"), F.col("lon"), grid)).join(means, CELL)
-    ref = at(references.select(key, "lat", "lon")).select(
-        key, F.col("lat").alias("r_lat"), F.col("lon").alias("r_lon"), F.col("mean").alias("r_mean")
-    )
-    near = (F.abs(F.col("lat") - F.col("r_lat")) < box) & (F.abs(F.col("lon") - F.col("r_lon")) < box)
-    pool = at(places.where(F.col("population") >= min_population)).join(ref, ~near)
-    pool = pool.withColumn("d", F.round(F.abs(F.col("mean") - F.col("r_mean")), 9))
-    best = Window.partitionBy(key).orderBy("d", F.desc("population"), "geonameid")
-    delta = _is_delta("mean", aggregator)
-    return pool.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select(
-        key, "rank", "geonameid", "label", shown(F.col("mean"), unit, target, delta).alias("value"),
-        shown(F.col("d"), unit, target, True).alias("delta"),
-        shown(F.col("r_mean"), unit, target, delta).alias("reference_mean"), shown_unit(unit, target).alias("unit"),
-    )
-
-
 def extreme_regions(region_series: DataFrame, aggregation: str, extremum: str = "max", limit: int = 1,
                     region_type: str | None = None, major_oceans: list[str] | None = None,
                     countries: list[str] | None = None, start: int | None = None,
@@ -278,7 +252,7 @@ def extreme_regions(region_series: DataFrame, aggregation: str, extremum: str =
     }[aggregation]
     scored = rows.groupBy("region_key", "region_type", "region_name").agg(F.round(score, 9).alias("score"))
     order = [F.desc("score") if extremum == "max" else F.asc("score"), F.asc("region_key")]
-    value = shown(F.col("score"), unit, target, _is_delta(aggregation, aggregator))
+    value = shown(F.col("score"), unit, target, counts_as_delta(aggregation, aggregator))
     return _first_rows(scored.where(F.col("score").isNotNull()), order, limit).select(
         "rank", "region_key", "region_type", "region_name", value.alias("value"), shown_unit(unit, target).alias("unit")
     )

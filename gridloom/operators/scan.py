@@ -52,6 +52,17 @@ def global_row_number(
     )
 
 
+def running_count(df: DataFrame, order: list[Column], counted: Column, name: str) -> DataFrame:
+    """How many rows up to and including each one, in ``order``, fulfil ``counted``."""
+    chunked = ordered_chunks(df.withColumn("__is", counted.cast("long")), order)
+    before = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)  # one row per chunk
+    offsets = chunked.groupBy(CHUNK).agg(F.sum("__is").alias("__n")).select(
+        CHUNK, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    inside = Window.partitionBy(CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = _join_on(chunked.withColumn("__local", F.sum("__is").over(inside)), offsets, [CHUNK])
+    return counts.withColumn(name, F.col("__offset") + F.col("__local")).drop("__offset", "__local", "__is", CHUNK)
+
+
 def last_before(df: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """Last non-NULL ``value`` strictly before each row of its key, in ascending ``order``."""
     cols = [F.col(c) for c in order]

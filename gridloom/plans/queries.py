@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gridloom.contract import CELL
 from gridloom.grid import Grid, cell_of
 from gridloom.operators import points as H, regions as RG
+from gridloom.operators.similar import similar_locations
 from gridloom.plans import views as V
 from gridloom.plans.regions import _SLOPE10, annual_wide, region_values, weights
 from gridloom.plans.registry import query
@@ -175,16 +176,16 @@ V.SQL_VIEWS["cell_means"] = "SELECT i_lat, i_lon, avg(disp(value, 3)) AS mean FR
 
 
 @query("find_similar_locations", """WITH j AS (SELECT geonameid, label, lat, lon, population, mean FROM place_cells JOIN cell_means USING (i_lat, i_lon)),
-  ref AS (SELECT * FROM j WHERE population >= 100000 AND geonameid % 5 = 0),
-  d AS (SELECT ref.geonameid AS reference, j.*, ref.mean AS r_mean, round(abs(j.mean - ref.mean), 9) AS d FROM j JOIN ref
+  ref AS (SELECT * FROM j WHERE population >= 100000),
+  d AS (SELECT ref.geonameid AS reference, j.*, ref.mean AS r_mean, round(abs(round(j.mean, 9) - round(ref.mean, 9)), 9) AS d FROM j JOIN ref
     ON NOT (abs(j.lat - ref.lat) < 0.13 AND abs(j.lon - ref.lon) < 0.13) WHERE j.population >= 100000)
   SELECT reference, CAST(row_number() OVER (PARTITION BY reference ORDER BY d, population DESC, geonameid) AS INTEGER) AS rank, geonameid, label,
     disp(disp(mean, 3) * 9.0 / 5.0 + 32.0, 3) AS value, disp(disp(d, 3) * 9.0 / 5.0, 3) AS delta, disp(disp(r_mean, 3) * 9.0 / 5.0 + 32.0, 3) AS reference_mean, 'F' AS unit
   FROM d QUALIFY rank <= 8""")
 def _(spark, sf):
     places = V.places(spark, sf)
-    asked = places.where("population >= 100000 AND geonameid % 5 = 0").select(F.col("geonameid").alias("reference"), "lat", "lon")
-    return H.similar_locations(places, asked, annual_wide(spark, sf), V.RASTER, limit=8, target="F")
+    asked = places.where("population >= 100000").select(F.col("geonameid").alias("reference"), "lat", "lon")
+    return similar_locations(places, asked, annual_wide(spark, sf), V.RASTER, limit=8, target="F")
 
 
 V.SQL_VIEWS["region_info"] = "SELECT DISTINCT region_key, region_type, region_name FROM weights UNION ALL SELECT 'globe', 'globe', 'Global'"

@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
 from gridloom.operators import headlines as I, points as H
+from gridloom.operators.similar import nearest_on_line, similar_locations
 
 YEARLY = "k int, year int, value double"
 MONTHLY = "k int, year int, month int, pos int, value double"
@@ -101,7 +104,7 @@ def test_several_references_are_all_answered(frame):
               [(79 - i, 200, y, float(i * i) + 0.0004) for i in range(6) for y in (2000, 2001)])
     refs = frame("reference string, lat double, lon double", [("x", 10.5, 20.5), ("y", 14.5, 20.5), ("none", -80.0, 0.0)])
     grid = Grid("g", 1.0, 180, 360, tile_size=16)
-    got = H.similar_locations(places, refs, s, grid, limit=2, target="F").orderBy("reference", "rank").collect()
+    got = similar_locations(places, refs, s, grid, limit=2, target="F").orderBy("reference", "rank").collect()
     assert [(r.reference, r["rank"], r.geonameid) for r in got] == [("x", 1, 1), ("x", 2, 2), ("y", 1, 3), ("y", 2, 5)]
     assert [(r.value, r.delta, r.reference_mean, r.unit) for r in got][:1] == [(33.8, 1.8, 32.0, "F")]
 
@@ -120,3 +123,38 @@ def test_chart_rows_read_their_input_once(spark, tmp_path):
     assert rows[0, "a", 4] == 8.0 and rows[0, "a_rolling_mean", 4] == 8.0 and rows[0, "a_rolling_mean", 0] is None
     assert abs(rows[0, "line", 99] - 198.0) < 1e-9 and rows[1, "b", 3] == 6.0
     assert {k[1] for k in rows} == {"a", "a_rolling_mean", "line", "b"}
+
+
+def brute_nearest(points, asked, limit, box):
+    out = set()
+    for lat, lon, level in set(asked):
+        away = [(round(abs(p[4] - level), 9), -p[1], p[0]) for p in points if not (abs(p[2] - lat) < box and abs(p[3] - lon) < box)]
+        out |= {(lat, lon, n, i) for n, (_, _, i) in enumerate(sorted(away)[:limit], 1)}
+    return out
+
+
+@pytest.mark.parametrize("levels", [3, 40, 10**6])
+def test_nearest_on_a_line_matches_brute_force(spark, frame, levels):
+    """Crowded spots, hot and equal levels, places around the reference that do not count."""
+    rng = random.Random(levels)
+    spot = lambda: rng.choice([(10.0, 10.0), (10.05, 10.05), (round(rng.uniform(0, 2), 2), round(rng.uniform(0, 2), 2)), (-0.06, 0.13)])
+    points = []
+    for i in range(700):
+        lat, lon = spot()
+        points.append((i, rng.randrange(5), lat, lon, round(rng.randrange(levels) / 7, 9)))
+    asked = [(p[2], p[3], p[4]) for p in points[::2]] + [(50.0, 50.0, -3.5), (50.0, 50.0, 1e9), (1.0, 1.0, 0.123456789)]
+    df = frame("id long, weight long, lat double, lon double, level double", points)
+    got = nearest_on_line(df, frame("lat double, lon double, level double", asked), 4, 0.13)
+    rows = [(r.r_lat, r.r_lon, r.r_level, r["rank"], r.id) for r in got.collect()]
+    want = set()
+    for lat, lon, level in set(asked):
+        want |= {(lat, lon, level, n, i) for _, _, n, i in brute_nearest(points, [(lat, lon, level)], 4, 0.13)}
+    assert set(rows) == want and len(rows) == len(want)
+
+
+def test_nearest_on_a_line_has_no_join_without_a_key(spark, frame):
+    df = frame("id long, weight long, lat double, lon double, level double", [(i, 1, i / 7, 0.0, i / 3) for i in range(50)])
+    plan = nearest_on_line(df, df.select("lat", "lon", "level"), 3, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert nearest_on_line(df.limit(0), df.select("lat", "lon", "level"), 3, 0.1).count() == 0
+    assert nearest_on_line(df, df.select("lat", "lon", "level").limit(0), 3, 0.1).count() == 0
