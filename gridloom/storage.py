@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pathlib
+import shutil
 import tempfile
 import uuid
 
@@ -38,3 +40,16 @@ def stable(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_root(spark))
     return df.checkpoint(eager=True)
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Once per application, hand this package's code to the executors (as ``--py-files`` would)."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        root = pathlib.Path(__file__).resolve().parents[1]
+        to = pathlib.Path(tempfile.mkdtemp(prefix="gridloom-code-"))
+        sc.addPyFile(shutil.make_archive(str(to / "gridloom_code"), "zip", root, "gridloom"))
+        _shipped.add(sc.applicationId)

@@ -81,6 +81,38 @@ def test_nearest_equals_brute_force(frame):
         assert d[got[i].geonameid] == pytest.approx(d.min(), abs=1e-6)
 
 
+@pytest.mark.parametrize("scope", [[], ["zone"]])
+def test_nearest_over_many_groups_and_blocks(frame, monkeypatch, scope):
+    """Small groups, a crowded spot asked by most locations, far locations, scopes without a place."""
+    for name, value in (("GROUP", 10), ("BLOCK", 40), ("LANDMARKS", 3)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(5)
+    lat = np.concatenate([rng.uniform(-90, 90, 80), 48 + rng.normal(0, 0.001, 250), [5.0, 5.0]])
+    lon = np.concatenate([rng.uniform(-180, 180, 80), 2 + rng.normal(0, 0.001, 250), [7.0, 7.0]])
+    zone = rng.choice(["a", "b", "c"], len(lat))
+    plat = np.concatenate([rng.uniform(-90, 90, 200), 48 + rng.normal(0, 0.001, 300), [5.0]])
+    plon = np.concatenate([rng.uniform(-360, 360, 200), 2 + rng.normal(0, 0.001, 300), [7.0]])
+    pzone = rng.choice(["a", "b", "none"], len(plat))
+    places = frame("geonameid long, zone string, lat double, lon double", [(i, z, float(a), float(b)) for i, (z, a, b) in enumerate(zip(zone, lat, lon))])
+    points = frame("zone string, lat double, lon double", [(z, float(a), float(b)) for z, a, b in zip(pzone, plat, plon)] * 2 + [("a", None, 1.0)])
+    index = N.build_index(places, scope)
+    assert index.targets.select("group").distinct().count() > 10
+    got = {(*[r[c] for c in scope], r.lat, r.lon): r for r in N.nearest(points, places, scope, index=index).collect()}
+    want = 0
+    for z, a, b in zip(pzone, plat, plon):
+        ok = (zone == z) if scope else np.ones(len(lat), bool)
+        if not ok.any():
+            continue
+        want += 1
+        p, q = np.deg2rad(a), np.deg2rad(lat)
+        h = np.sin((q - p) / 2) ** 2 + np.cos(p) * np.cos(q) * np.sin(np.deg2rad(lon - b) / 2) ** 2
+        d = np.where(ok, 2 * 6371 * np.arcsin(np.sqrt(h)), np.inf)
+        r = got[(z, a, b) if scope else (a, b)]
+        assert r.distance_km == pytest.approx(d.min(), abs=1e-6) and r.geonameid == np.flatnonzero(d <= d.min() + 1e-7)[0]
+    assert len(got) == want
+    assert N.nearest(points, places.limit(0), scope).count() == 0 and N.nearest(points.limit(0), places, scope).count() == 0
+
+
 def test_resolve_place_labels(frame):
     places = frame(PLACES, [(1, "City A", "City A", "US", 10.0, 20.0, 1000, ""), (2, "", "", None, 11.0, 21.0, 0, "")])
     names = frame("code string, name string", [("US", "United States"), ("NA", "Namibia")])
