@@ -25,7 +25,7 @@ class _Streamed:
 
 
 def _state(spark, stream, keys):
-    path = U.run_available(stream, work_folder(spark, 'stream'))
+    path = U.run_available(stream, work_folder(spark, 'stream'), keys=keys)
     return U.latest_state(spark, path, keys)
 
 

@@ -1,16 +1,25 @@
 """The usage aggregates as Structured Streaming jobs over a file source.
 
-Aggregations run in update mode.  Each micro-batch overwrites its own
-``batch_id`` partition of a Parquet table, so a replayed batch leaves the same
-files, and the current state is the row of the highest batch per key.
+Aggregations run in update mode: a micro-batch emits the new rows of the keys it touched.  Each batch is written as a
+delta of its own, and every ``EVERY`` batches the deltas are merged into a new base that holds one row per key.  Reading
+the state takes the last complete base and the deltas after it, so it costs as much as there are keys and a few batches,
+however long the stream has run.
+
+A folder only counts once it is complete.  A replayed batch overwrites its own delta and its own base, always from the
+same older base, so it leaves the same state.  What a base made superfluous is deleted when the *next* base is complete;
+until then a replay and readers of the old state find it.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gridloom.operators import analytics as K
 
+EVERY = 16
+
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """Stream the files of one table; the schema is declared from the stored one."""
@@ -18,18 +27,68 @@ def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
-def _batch_writer(path: str):
+def _files(spark: SparkSession, folder: str):
+    """(file system, path) of a folder, wherever Spark stores it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def complete(spark: SparkSession, folder: str) -> list[int]:
+    """Numbers of the subfolders ``name=<number>`` whose writing has ended."""
+    fs, path = _files(spark, folder)
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path) if s.isDirectory() and "=" in s.getPath().getName()]
+    done = [p for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def _merged(spark: SparkSession, path: str, keys: list[str], upto: int | None = None) -> DataFrame:
+    """The last row of every key after batch ``upto`` (the last one without it)."""
+    last = float("inf") if upto is None else upto
+    # A base of batch ``upto`` itself may be there already, from the run that is replayed.
+    bases = [n for n in complete(spark, f"{path}/base") if n < last]
+    base = max(bases, default=-1)
+    parts = [f"{path}/base/version={base}"] if bases else []
+    parts += [f"{path}/delta/batch_id={n}" for n in complete(spark, f"{path}/delta") if base < n <= last]
+    rows = functools.reduce(DataFrame.unionByName, [
+        spark.read.parquet(p).withColumn("__at", F.lit(int(p.rsplit("=", 1)[1]))) for p in parts])
+    rest = [c for c in rows.columns if c not in keys and c != "__at"]
+    if not rest:
+        return rows.select(*keys).distinct()
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "__at").alias("r")).select(*keys, "r.*")
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], batch_id: int) -> None:
+    """Write the state after ``batch_id`` as a base, then drop what the base before it had replaced."""
+    older = [n for n in complete(spark, f"{path}/base") if n < batch_id]
+    _merged(spark, path, keys, batch_id).write.mode("overwrite").parquet(f"{path}/base/version={batch_id}")
+    if older:
+        fs, _ = _files(spark, path)
+        gone = [f"{path}/base/version={n}" for n in older[:-1]]
+        gone += [f"{path}/delta/batch_id={n}" for n in complete(spark, f"{path}/delta") if n <= older[-1]]
+        for p in gone:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(p), True)
+
+
+def batch_writer(path: str, keys: list[str] | None = None):
+    """What a stream does with a micro-batch: keep it as a delta of the state of ``keys``, or as a part of a log."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        if not keys:
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+            return
+        batch.write.mode("overwrite").parquet(f"{path}/delta/batch_id={batch_id}")
+        if (batch_id + 1) % EVERY == 0:
+            compact(batch.sparkSession, path, keys, batch_id)
 
     return write
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "update") -> str:
-    """Process what is available and stop; returns the state table's path."""
+def run_available(stream: DataFrame, folder: str, mode: str = "update", keys: list[str] | None = None) -> str:
+    """Process what is available and stop; returns the path of the state (of a log without ``keys``)."""
     path = f"{folder}/table"
     query = (
-        stream.writeStream.outputMode(mode).foreachBatch(_batch_writer(path))
+        stream.writeStream.outputMode(mode).foreachBatch(batch_writer(path, keys))
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     query.awaitTermination()
@@ -37,10 +96,8 @@ def run_available(stream: DataFrame, folder: str, mode: str = "update") -> str:
 
 
 def latest_state(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Last emitted row of every key."""
-    log = spark.read.parquet(path)
-    rest = [c for c in log.columns if c not in keys and c != "batch_id"]
-    return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch_id").alias("r")).select(*keys, "r.*")
+    """The current row of every key."""
+    return _merged(spark, path, keys)
 
 
 def click_heatmap(clicks: DataFrame, blocklist: DataFrame) -> DataFrame:
@@ -67,15 +124,18 @@ def daily_click_heatmap(clicks: DataFrame, lateness: str = "1 day") -> DataFrame
     ).agg(F.count(F.lit(1)).alias("count"))
 
 
+EVENT = ["message_id", "seq"]
+
+
 def message_upserts(log: DataFrame, folder: str) -> str:
-    """Append a message log; read it with :func:`logged_messages`.
+    """Keep a message log; read it with :func:`logged_messages`.
 
-    The table keeps every event, however late it comes.  Retries repeat (message_id, seq) and are told apart when the
-    log is read, so no state has to remember them.
+    The table keeps every event, however late it comes.  Retries repeat (message_id, seq): merging leaves one of them, so
+    no state has to remember them.
     """
-    return run_available(log, folder, mode="append")
+    return run_available(log, folder, mode="append", keys=EVENT)
 
 
 def logged_messages(spark: SparkSession, path: str) -> DataFrame:
     """Every event once, whatever was retried or replayed."""
-    return spark.read.parquet(path).drop("batch_id").dropDuplicates(["message_id", "seq"])
+    return latest_state(spark, path, EVENT)

@@ -19,8 +19,46 @@ def feed(spark, tmp_path):
     return add, lambda: spark.readStream.schema(CLICK).parquet(str(folder))
 
 
+PLACE = ["lat", "lon"]
+
+
 def heat(spark, path):
-    return {(r.lat, r.lon): r["count"] for r in U.latest_state(spark, path, ["lat", "lon"]).collect()}
+    return {(r.lat, r.lon): r["count"] for r in U.latest_state(spark, path, PLACE).collect()}
+
+
+def test_state_is_merged_and_stays_small(spark, feed, monkeypatch):
+    """Many restarts: the state is right after each, and only the last bases and their deltas are kept."""
+    monkeypatch.setattr(U, "EVERY", 3)
+    add, stream = feed
+    folder, want = work_folder(spark, "stream"), {}
+    for n in range(11):
+        rows = [(n, n, 10.0 * (n % 4), 0.0, "a"), (n, n, 0.0, 10.0, "a")]
+        add(rows)
+        for _, _, lat, lon, _ in rows:
+            want[lat, lon] = want.get((lat, lon), 0) + 1
+        path = U.run_available(K.click_heatmap(stream()), folder, keys=PLACE)
+        assert heat(spark, path) == want
+        assert len(U.complete(spark, f"{path}/base")) <= 2 and len(U.complete(spark, f"{path}/delta")) <= 6
+    assert U.complete(spark, f"{path}/base") == [5, 8]
+
+
+def test_replayed_and_broken_batches_leave_the_same_state(spark, frame, tmp_path, monkeypatch):
+    """Batches written again, before and after a base was made of them; bases and deltas without an end do not count."""
+    monkeypatch.setattr(U, "EVERY", 2)
+    path = str(tmp_path / "table")
+    write = U.batch_writer(path, ["k"])
+    batch = lambda *rows: frame("k int, n int", list(rows))
+    batches = [batch((1, 1), (2, 1)), batch((1, 2)), batch((3, 1)), batch((2, 5), (1, 9)), batch((3, 4))]
+    state = lambda: {r.k: r.n for r in U.latest_state(spark, path, ["k"]).collect()}
+    after = [{1: 1, 2: 1}, {1: 2, 2: 1}, {1: 2, 2: 1, 3: 1}, {1: 9, 2: 5, 3: 1}, {1: 9, 2: 5, 3: 4}]
+    for n, (df, want) in enumerate(zip(batches, after, strict=True)):
+        write(df, n)
+        assert state() == want
+        write(df, n)
+        assert state() == want
+    for unfinished in (f"{path}/base/version=9", f"{path}/delta/batch_id=9"):
+        batch((1, -1)).write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(unfinished)
+    assert state() == after[-1]
 
 
 def test_state_grows_over_restarts(spark, frame, feed):
@@ -28,10 +66,10 @@ def test_state_grows_over_restarts(spark, frame, feed):
     folder = work_folder(spark, "stream")
     lines = frame("value string", [("9.9.9.9",), ("# note",)])
     add([(1, 1, 0.1, 0.1, "1.1.1.1"), (2, 2, 0.05, 0.1, "1.1.1.1"), (3, 3, 0.1, 0.1, "9.9.9.9")])
-    path = U.run_available(U.click_heatmap(stream(), lines), folder)
+    path = U.run_available(U.click_heatmap(stream(), lines), folder, keys=PLACE)
     assert heat(spark, path) == {(0.0, 0.0): 2}
     add([(4, 4, 0.0, 0.0, "1.1.1.1"), (5, 5, 10.0, 10.0, "1.1.1.1")])
-    assert U.run_available(U.click_heatmap(stream(), lines), folder) == path
+    assert U.run_available(U.click_heatmap(stream(), lines), folder, keys=PLACE) == path
     assert heat(spark, path) == {(0.0, 0.0): 3, (10.0, 10.0): 1}
 
 
