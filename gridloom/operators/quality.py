@@ -103,6 +103,51 @@ def fingerprints(series: DataFrame) -> DataFrame:
     )
 
 
+LANES = 4  # of 15 hexadecimal digits each
+_LANE = 1 << 60
+
+
+def tile_prints(series: DataFrame) -> DataFrame:
+    """(metric_id, tile_r, tile_c, n, lanes): number of cells and additive hash of each tile.
+
+    A cell's hash, of its position and values, is cut into lanes of 60 bits, and the lanes of the cells are added up
+    modulo 2**60.  Sums do not depend on the order, combine by partial aggregation, and can be taken apart again: the
+    print of a metric is the sum of its tiles', so a rewritten tile is subtracted and added without a scan.
+    """
+    text = F.array_join(F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("~"))), ",")
+    h = F.sha2(F.concat_ws(":", "i_lat", "i_lon", text), 256)
+    lanes = [F.conv(F.substring(h, 15 * k + 1, 15), 16, 10).cast("decimal(20,0)").alias(f"lane{k}") for k in range(LANES)]
+    return _added(series.select("metric_id", "tile_r", "tile_c", F.lit(1).cast("long").alias("n"), *lanes), ["metric_id", "tile_r", "tile_c"])
+
+
+def _added(rows: DataFrame, keys: list[str]) -> DataFrame:
+    lane = lambda k: F.pmod(F.sum(f"lane{k}"), F.lit(_LANE).cast("decimal(20,0)")).cast("decimal(20,0)").alias(f"lane{k}")
+    return rows.groupBy(*keys).agg(F.sum("n").alias("n"), *[lane(k) for k in range(LANES)])
+
+
+def metric_prints(tiles: DataFrame) -> DataFrame:
+    """(metric_id, n, lanes) of :func:`tile_prints`: sums over the tiles, no series is read."""
+    return _added(tiles.drop("tile_r", "tile_c"), ["metric_id"])
+
+
+def rewritten(metrics: DataFrame, old_tiles: DataFrame, new_tiles: DataFrame) -> DataFrame:
+    """``metrics`` after the old prints of some tiles gave way to new ones."""
+    minus = old_tiles.drop("tile_r", "tile_c").withColumns({"n": -F.col("n"), **{f"lane{k}": -F.col(f"lane{k}") for k in range(LANES)}})
+    return _added(metrics.unionByName(minus).unionByName(new_tiles.drop("tile_r", "tile_c")), ["metric_id"]).where("n > 0")
+
+
+def changed_tiles(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(metric_id, tile_r, tile_c, state): new, changed and removed tiles, looked for only in metrics that differ."""
+    lanes = ["n", *[f"lane{k}" for k in range(LANES)]]
+    name = lambda df, p: df.withColumnsRenamed({c: f"{p}_{c}" for c in lanes})
+    differ = ~F.struct(*[f"a_{c}" for c in lanes]).eqNullSafe(F.struct(*[f"b_{c}" for c in lanes]))
+    metrics = name(metric_prints(old), "a").join(name(metric_prints(new), "b"), "metric_id", "full_outer").where(differ).select("metric_id")
+    key = ["metric_id", "tile_r", "tile_c"]
+    tiles = name(old.join(metrics, "metric_id", "left_semi"), "a").join(name(new.join(metrics, "metric_id", "left_semi"), "b"), key, "full_outer")
+    state = F.when(F.col("a_n").isNull(), "new").when(F.col("b_n").isNull(), "removed").otherwise("changed")
+    return tiles.where(differ).select(*key, state.alias("state"))
+
+
 def fingerprint_changes(old: DataFrame, new: DataFrame) -> DataFrame:
     """new, changed, same or removed per metric."""
     a = old.select("metric_id", F.col("sha256").alias("was"))

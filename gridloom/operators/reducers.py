@@ -156,6 +156,29 @@ def hot_days(obs: DataFrame, baseline_years: int = 10, percentile: float = 90) -
     )
 
 
+def day_limits(baseline: DataFrame, percentile: float = 90) -> DataFrame:
+    """(cell, limits): each cell's percentile per day of the year, as one array of 366; the table to store for C12.
+
+    ``baseline`` holds the days of the baseline years only.  A day without an observation has no limit.
+    """
+    per_day = baseline.where(~is_feb29(F.col("t"))).groupBy(*CELL, F.dayofyear("t").alias("doy")).agg(
+        F.round(F.percentile("value", F.lit(percentile / 100)), 9).alias("p"))
+    known = F.map_from_entries(F.collect_list(F.struct("doy", "p")))
+    return per_day.groupBy(*CELL).agg(known.alias("known")).select(
+        *CELL, F.transform(F.sequence(F.lit(1), F.lit(366)), lambda d: F.try_element_at("known", d)).alias("limits"))
+
+
+def hot_days_against(obs: DataFrame, limits: DataFrame) -> DataFrame:
+    """:func:`hot_days` of any years against stored :func:`day_limits`: the baseline is not read again.
+
+    One row per cell is joined, and the days are shuffled at most once, by cell.  Cells without limits have no hot day.
+    """
+    days = obs.where(~is_feb29(F.col("t"))).select(*CELL, _year(), F.dayofyear("t").alias("doy"), "value")
+    hot = F.col("value") > F.get("limits", F.col("doy") - 1)
+    return days.join(limits.select(*CELL, "limits"), CELL, "left").groupBy(*CELL, "year").agg(
+        _observed(F.count_if(hot)).alias("value"))
+
+
 def multi_model_offset(models: DataFrame, base=(1850, 1900), ref=(1979, 2000),
                        label_year: int | None = None) -> DataFrame:
     """Ensemble mean first, then reference climatology minus the earlier one."""

@@ -194,6 +194,42 @@ def _(spark, sf):
     return Q.fingerprint_changes(old, Q.fingerprints(new.unionByName(extra)))
 
 
+# A cell's hash cut into lanes of 60 bits, which add up over the cells; the second release adds 1 to metric a1 in two
+# rows of tiles, drops the northernmost cells of a2 and gives a3's first tile column to a new metric.
+_LANES = ", ".join(f"(sum(('0x' || substr(h, {15 * k + 1}, 15))::HUGEINT) % 1152921504606846976)::DECIMAL(20, 0) AS lane{k}" for k in range(4))
+_CELLS = """SELECT 'a' || (c.i_lat % 5) AS metric_id, c.i_lat, c.i_lon, y.year, a.value FROM annual_cells c
+  CROSS JOIN (SELECT DISTINCT year FROM annual) y LEFT JOIN annual a ON a.i_lat = c.i_lat AND a.i_lon = c.i_lon AND a.year = y.year"""
+_TILE_PRINTS = """SELECT metric_id, i_lat // 16 AS tile_r, i_lon // 16 AS tile_c, count(*) AS n, {lanes} FROM (
+  SELECT metric_id, i_lat, i_lon, sha256(i_lat || ':' || i_lon || ':' || string_agg(coalesce(CAST(value AS VARCHAR), '~'), ',' ORDER BY year)) AS h
+  FROM ({cells}) GROUP BY metric_id, i_lat, i_lon) GROUP BY ALL"""
+V.SQL_VIEWS["tiles_before"] = _TILE_PRINTS.format(lanes=_LANES, cells=_CELLS)
+V.SQL_VIEWS["tiles_after"] = _TILE_PRINTS.format(lanes=_LANES, cells=f"""SELECT CASE WHEN metric_id = 'a3' AND i_lon < 48 THEN 'a9' ELSE metric_id END AS metric_id, i_lat, i_lon, year,
+  CASE WHEN metric_id = 'a1' AND i_lat // 16 IN (3, 4) THEN value + 1 ELSE value END AS value FROM ({_CELLS}) WHERE NOT (metric_id = 'a2' AND i_lat < 40)""")
+
+
+def releases(spark, sf):
+    series, _axis = annual_series(spark, sf)
+    old = series.withColumn("metric_id", F.concat(F.lit("a"), (F.col("i_lat") % 5).cast("string")))
+    m = F.col("metric_id")
+    bumped = F.when((m == "a1") & F.col("tile_r").isin(3, 4), F.transform("values", lambda v: v + 1)).otherwise(F.col("values"))
+    renamed = F.when((m == "a3") & (F.col("i_lon") < 48), "a9").otherwise(m)
+    new = old.where(~((m == "a2") & (F.col("i_lat") < 40))).withColumn("values", bumped).withColumn("metric_id", renamed)
+    return Q.tile_prints(old), Q.tile_prints(new)
+
+
+@query("tile_fingerprints", "SELECT * FROM tiles_before")
+def _(spark, sf):
+    return releases(spark, sf)[0]
+
+
+@query("changed_tiles", """SELECT coalesce(a.metric_id, b.metric_id) AS metric_id, coalesce(a.tile_r, b.tile_r) AS tile_r, coalesce(a.tile_c, b.tile_c) AS tile_c,
+    CASE WHEN a.n IS NULL THEN 'new' WHEN b.n IS NULL THEN 'removed' ELSE 'changed' END AS state
+  FROM tiles_before a FULL JOIN tiles_after b ON a.metric_id = b.metric_id AND a.tile_r = b.tile_r AND a.tile_c = b.tile_c
+  WHERE (a.n, a.lane0, a.lane1, a.lane2, a.lane3) IS DISTINCT FROM (b.n, b.lane0, b.lane1, b.lane2, b.lane3)""")
+def _(spark, sf):
+    return Q.changed_tiles(*releases(spark, sf))
+
+
 @query("coverage", """WITH p AS (SELECT * FROM annual_cells), d AS (SELECT i_lat, i_lon FROM mask_a)
   SELECT 'annual' AS metric_id, (SELECT count(*) FROM (SELECT DISTINCT i_lat // 16, i_lon // 16 FROM p)) AS tiles_found, CAST(276 AS BIGINT) AS tiles_expected, (SELECT count(*) FROM p) AS present_cells,
     round(100.0::DOUBLE * (SELECT count(*) FROM p) / (276 * 256), 6) AS container_pct, round(100.0::DOUBLE * (SELECT count(*) FROM p) / 64800, 6) AS real_pct,

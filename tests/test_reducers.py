@@ -87,6 +87,20 @@ def test_hot_days_percentile_is_exact(frame):
     assert by_year(R.hot_days(frame(OBS, rows), baseline_years=4)) == want
 
 
+def test_hot_days_against_stored_limits(spark, frame, tmp_path):
+    """Years counted on their own, against stored limits, are the years of the whole count; the baseline stays unread."""
+    rng = np.random.default_rng(8)
+    day = lambda y, d: dt.date(y, 1, 1) + dt.timedelta(days=int(d))
+    rows = [(c, 0, day(y, d), None if rng.random() < 0.1 else float(rng.integers(0, 30)))
+            for c in range(3) for y in range(2001, 2009) for d in rng.choice(366 if y in (2004, 2008) else 365, 120, replace=False)]
+    rows += [(9, 0, day(2007, 5), 3.0), (10, 0, day(2007, 6), None)]  # cells that the baseline does not have
+    base, new = [r for r in rows if r[2].year <= 2004], [r for r in rows if r[2].year > 2004]
+    R.day_limits(frame(OBS, base), 75).write.parquet(f"{tmp_path}/limits")
+    got = R.hot_days_against(frame(OBS, new), spark.read.parquet(f"{tmp_path}/limits")).collect()
+    want = R.hot_days(frame(OBS, rows), baseline_years=4, percentile=75).where("year > 2004").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(map(tuple, want), key=repr) and len(got) == 14
+
+
 def test_window_and_climatology_months(frame):
     june = frame("t date", [(dt.date(2026, 6, d),) for d in range(1, 31)])
     assert june.where(cal.in_window(F.col("t"), "2026-06-23", "2026-06-25")).count() == 3

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridloom.grid import Grid
+from gridloom.operators import quality as Q
 from gridloom.sources import readers, series as S, tile_archive as TA
 
 
@@ -106,3 +107,20 @@ def test_variable_choice():
     assert readers.data_variable(["lat", "lon", "x1", "y1"], "none", ["y1"]) == "y1"
     with pytest.raises(ValueError):
         readers.data_variable(["lat", "lon", "a", "b"])
+
+
+def test_prints_of_tiles_add_up(spark, frame):
+    """Order, partitions and rewritten tiles: sums follow, and only differing tiles are named."""
+    rng = np.random.default_rng(2)
+    schema = "metric_id string, tile_r int, tile_c int, i_lat int, i_lon int, values array<double>"
+    rows = [(m, i // 4, j // 4, i, j, [float(x) if x > 2 else None for x in rng.integers(0, 9, 5)]) for m in "ab" for i in range(12) for j in range(8)]
+    old = Q.tile_prints(frame(schema, rows))
+    assert sorted(map(tuple, old.collect())) == sorted(map(tuple, Q.tile_prints(frame(schema, rows[::-1]).repartition(7)).collect()))
+    new_rows = [(*r[:5], [9.0] * 5) if r[:3] == ("a", 1, 1) else r for r in rows if r[:3] != ("b", 2, 0)] + [("c", 0, 0, 0, 0, [1.0])]
+    new = Q.tile_prints(frame(schema, new_rows))
+    assert {tuple(r) for r in Q.changed_tiles(old, new).collect()} == {("a", 1, 1, "changed"), ("b", 2, 0, "removed"), ("c", 0, 0, "new")}
+    key = "(metric_id = 'a' AND tile_r = 1 AND tile_c = 1) OR (metric_id = 'b' AND tile_r = 2 AND tile_c = 0) OR metric_id = 'c'"
+    after = Q.rewritten(Q.metric_prints(old), old.where(key), new.where(key))
+    assert sorted(map(tuple, after.collect())) == sorted(map(tuple, Q.metric_prints(new).collect()))
+    swapped = [(*r[:3], r[4], r[3], r[5]) for r in rows]  # the same values elsewhere are another content
+    assert Q.changed_tiles(old, Q.tile_prints(frame(schema, swapped))).count() > 0
