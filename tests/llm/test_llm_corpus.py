@@ -367,6 +367,39 @@ def test_near_duplicates_of_a_skewed_group(spark, frame):
     assert got == {i: top(i) for i in range(400)}
 
 
+def test_most_pairs_near_the_threshold_share_a_key():
+    """Share of truly similar pairs (brute force) that are candidates, by bands of similarity, edits spread evenly."""
+    rng = random.Random(12)
+    found, total = collections.Counter(), collections.Counter()
+    for _ in range(600):
+        a = words_of(rng, rng.choice([60, 150, 400]), 5000).split()
+        b = edited(rng, a, rng.randrange(1, len(a) // 5))
+        x, y = (word_hashes(" ".join(t)) for t in (a, b))
+        similarity = 1 - order_minhash.banded_distance(x.tolist(), y.tolist(), len(a)) / max(len(x), len(y))
+        if similarity >= 0.8:
+            band = min(int(similarity * 20), 19)
+            total[band] += 1
+            found[band] += bool(set(order_minhash.sketch(x)[0].tolist()) & set(order_minhash.sketch(y)[0].tolist()))
+    assert min(total.values()) > 60 and set(total) == {16, 17, 18, 19}
+    assert all(found[k] >= 0.9 * total[k] for k in total)
+
+
+def test_alignments_grow_with_the_group(spark, frame, monkeypatch):
+    """Copies of one original, each some words away: about one alignment a copy, and one class."""
+    made = []
+    verified = order_minhash._verified
+    monkeypatch.setattr(order_minhash, "_verified", lambda pairs, texts: (made.append(pairs.count()), verified(pairs, texts))[1])
+    per_copy = []
+    for n in (200, 800):
+        rng, made[:] = random.Random(n), []
+        base = words_of(rng, 60, 3000).split()
+        rows = [(i, " ".join(edited(rng, base, 7) if i else base)) for i in range(n)]
+        got = {r.class_id for r in order_minhash.near_duplicates(frame("doc_id long, text string", rows)).collect()}
+        assert got == {0}
+        per_copy.append(sum(made) / n)
+    assert max(per_copy) < 1.6 and per_copy[1] < 1.2 * per_copy[0] + 0.1
+
+
 def test_near_duplicates_of_repeated_rows(spark, frame):
     df = frame("doc_id long, text string", [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "x y z u v w"), (None, "x y z u v w"), (None, None)])
     rows = [tuple(r) for r in order_minhash.near_duplicates(df).select("doc_id", "class_id").collect()]
@@ -386,7 +419,8 @@ def test_sketches_find_similar_and_tell_orders_apart():
         keys = [set(order_minhash.sketch(word_hashes(" ".join(x)))[0].tolist()) for x in (a, b, turned)]
         shared += bool(keys[0] & keys[1])
         crossed += len(keys[0] & keys[2])
-    assert shared == 60 and crossed / 60 < order_minhash.SKETCHES * 0.45
+    # A turned text keeps a key only where all picked shingles are of one half.
+    assert shared == 60 and crossed / 60 < order_minhash.SKETCHES * 1.2 * 2 * 0.5**order_minhash.PICKED
 
 
 def test_components(spark, frame):
