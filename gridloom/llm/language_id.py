@@ -209,10 +209,16 @@ def predict(docs: DataFrame, model: dict | None, keys: dict[str, Column], text:
 
 
 def accepted(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Documents whose language is recognised: predicted with a probability of at least ``LEAST_SCORE``."""
+    """Documents whose language is recognised: predicted with a probability of at least ``LEAST_SCORE``.
+
+    Without a labelled row there is nothing to tell languages by, and all documents stay.
+    """
+    model = fit(docs)
+    if model is None:
+        return docs
     names = {c: "text" if c == text else f"c{i}" for i, c in enumerate(docs.columns)}
     keys = {n: F.col(f"`{c}`") for c, n in names.items() if c != text}
-    rows = predict(docs, fit(docs), keys, text, keep_text=True)
+    rows = predict(docs, model, keys, text, keep_text=True)
     good = rows.where((F.col("lang_pred") != UND) & (F.col("score") >= LEAST_SCORE))
     return good.select(*[F.col(n).alias(c) for c, n in names.items()])
 

@@ -300,6 +300,8 @@ def test_language_of_odd_rows(spark, frame, tmp_path):
 def test_language_without_anything_to_learn(spark, frame, tmp_path):
     frame(DOCS, [(5, "abc", None, "s", 3)]).write.parquet(f"{tmp_path}/a/documents.parquet")
     assert [(r.lang_pred, r.score) for r in language_id.op2_language_id(spark, f"{tmp_path}/a").collect()] == [("und", 0.0)]
+    unlabelled = frame(DOCS, [(5, "abc", None, "s", 3), (6, None, None, "s", 0)])
+    assert sorted(language_id.accepted(unlabelled).collect()) == sorted(unlabelled.collect())  # nothing to tell them by: all stay
     frame(DOCS, []).write.parquet(f"{tmp_path}/b/documents.parquet")
     assert language_id.op2_language_id(spark, f"{tmp_path}/b").count() == 0
 
