@@ -298,7 +298,7 @@ def variants(rng, n, alphabet="abcdefgh"):
 def test_variant_groups_match_brute_force(spark, frame, monkeypatch, blocks):
     monkeypatch.setattr(spelling, "FILED", blocks[0])
     monkeypatch.setattr(spelling, "ASKED", blocks[1])
-    monkeypatch.setattr(spelling, "LEAF", 4 if blocks[0] < 1000 else 24)
+    monkeypatch.setattr(spelling, "LEAF", 4 if blocks[0] < 1000 else 256)
     vocabulary = variants(random.Random(blocks[0]), 250) | variants(random.Random(9), 60, "aé日z")
     # Very many words of the same letters, some of them one edit from a word outside.
     rng = random.Random(1)
