@@ -22,9 +22,13 @@ EVERY = 16
 
 
 def read_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """Stream the files of one table; the schema is declared from the stored one."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    """Stream the files of one table, a file or a folder of files; the schema is declared from the stored one."""
+    stored = f"{folder}/{table}.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(stored).schema)
+    fs, path = _files(spark, stored)
+    if fs.getFileStatus(path).isDirectory():
+        return stream.parquet(stored)
+    return stream.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
 
 
 def _files(spark: SparkSession, folder: str):

@@ -73,6 +73,24 @@ def test_state_grows_over_restarts(spark, frame, feed):
     assert heat(spark, path) == {(0.0, 0.0): 3, (10.0, 10.0): 1}
 
 
+@pytest.mark.parametrize("files", [0, 1, 3])
+def test_a_table_may_be_a_file_or_a_folder(spark, tmp_path, files):
+    """One file named as the table, or a folder of that name with one or more files; other tables stay out."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    rows = [(n, n, 10.0 * (n % 2), 0.0, "a") for n in range(6)]
+    tables = str(tmp_path)
+    if files:
+        spark.createDataFrame(rows, CLICK).repartition(files).write.parquet(f"{tables}/clicks.parquet")
+    else:
+        names = ["id", "ts", "click_lat", "click_lon", "ip"]
+        pq.write_table(pa.table(dict(zip(names, map(list, zip(*rows)), strict=True))), f"{tables}/clicks.parquet")
+    spark.createDataFrame(rows, CLICK).write.parquet(f"{tables}/others.parquet")
+    path = U.run_available(K.click_heatmap(U.read_stream(spark, tables, "clicks")), work_folder(spark, "stream"), keys=PLACE)
+    assert heat(spark, path) == {(0.0, 0.0): 3, (10.0, 0.0): 3}
+
+
 def test_daily_windows_close_after_the_lateness(spark, feed):
     add, stream = feed
     folder = work_folder(spark, "stream")
