@@ -45,14 +45,20 @@ def fold_ascii(text: Column, form: str = "NFKD") -> Column:
     """Lower case without diacritics.  Plain ASCII rows skip the Unicode work."""
     src, dst, many, at = _folding(form)
     folded = F.translate(text, src, dst)
+    # A character class of this size is tried member by member; deleting its members is one lookup a character.
+    holds = lambda c: F.length(F.translate(c, many, "")) < F.length(c)
 
     def expand(c: Column) -> Column:
         # Characters beyond the end of a position's string have no such position, and translate to nothing.
         return F.when(F.instr(F.lit(many), c) > 0, F.concat(*[F.translate(c, many, x) for x in at])).otherwise(c)
 
+    def expand_word(w: Column) -> Column:
+        return F.when(holds(w), F.array_join(F.transform(F.split(w, ""), expand), "")).otherwise(w)
+
     if many:
-        slow = F.array_join(F.transform(F.split(folded, ""), expand), "")
-        folded = F.when(folded.rlike(f"[{many}]"), slow).otherwise(folded)
+        # Only the words that hold such a character are taken apart.
+        slow = F.array_join(F.transform(F.split(folded, " "), expand_word), " ")
+        folded = F.when(holds(folded), slow).otherwise(folded)
     return F.when(text.rlike(r"[^\x00-\x7f]"), F.lower(folded)).otherwise(F.lower(text))
 
 

@@ -176,3 +176,14 @@ def test_autocomplete_matches_a_scan(frame, stored):
         n = q.lower()
         hits = sorted((-p, label, i) for i, label, city, *_x, p, _a in rows if len(n) >= 3 and (n in label or n in city))
         assert [g for _, g in sorted(got.get(q, []))] == [i for *_y, i in hits[:4]]
+
+
+def test_folding_costs_one_lookup_a_character(frame):
+    """No character class of hundreds of members is matched, and only words with a long folding are taken apart."""
+    words = ["Straße", "ﬁne", "x", "½", "Ⅷ", "É12", "", "№", "ﷺ"]
+    texts = [" ".join(words), "  ß  ", "ß", "a ß\tb c", "plain", "", None]
+    df = frame("i int, t string", list(enumerate(texts))).withColumn("n", TX.norm_name(F.col("t")))
+    got = {r.i: r.n for r in df.collect()}
+    assert got == {0: "strasse fine x 1 2 viii e12 no", 1: "ss", 2: "ss", 3: "a ss b c", 4: "plain", 5: "", 6: ""}
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert all(len(p.split("]", 1)[0]) < 100 for p in plan.split(", [")[1:])
