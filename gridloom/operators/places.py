@@ -29,8 +29,14 @@ def feature_rank(code: Column) -> Column:
     return F.coalesce(F.try_element_at(ranks, code), F.lit(9))
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores: normalising costs far more than moving the rows, and a table of one file is one task."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def with_norms(places: DataFrame) -> DataFrame:
-    return places.withColumns({"norm_label": norm_name(F.col("label")), "norm_city": norm_name(F.col("city_name"))})
+    return _spread(places).withColumns({"norm_label": norm_name(F.col("label")), "norm_city": norm_name(F.col("city_name"))})
 
 
 def _trigrams(s: Column) -> Column:
@@ -42,7 +48,8 @@ def _trigrams(s: Column) -> Column:
 def trigram_index(places: DataFrame) -> DataFrame:
     """(tri, salt, place columns): every place under each distinct trigram of its names; worth storing by ``tri``."""
     both = F.array_distinct(F.concat(_trigrams(F.col("norm_label")), _trigrams(F.col("norm_city"))))
-    return with_norms(places).select(
+    named = with_norms(places.select("geonameid", "label", "city_name", "population"))
+    return named.select(
         F.explode(both).alias("tri"), F.pmod(F.hash("geonameid"), F.lit(SALTS)).alias("salt"),
         "geonameid", "label", "population", "norm_label", "norm_city",
     )
@@ -57,14 +64,13 @@ def autocomplete(queries: DataFrame, places: DataFrame, limit: int = 10, query:
     :func:`trigram_index` of ``places``.
     """
     index = trigram_index(places) if index is None else index
-    asked = queries.select(query).distinct().withColumn("__q", norm_name(F.col(query))).where(
-        F.length("__q") >= MIN_QUERY
-    )
+    asked = _asked(queries, query).withColumnRenamed("__n", "__q").where(F.length("__q") >= MIN_QUERY)
     parts = asked.select("__q").distinct().select("__q", F.explode(F.array_distinct(_trigrams(F.col("__q")))).alias("tri"))
     counts = index.groupBy("tri").agg(F.count(F.lit(1)).alias("n"))
+    # A query with a trigram that no place has finds nothing.
     rarest = parts.join(counts, "tri", "left").groupBy("__q").agg(
-        F.min_by("tri", F.struct(F.coalesce("n", F.lit(0)), "tri")).alias("tri")
-    )
+        F.min_by("tri", F.struct("n", "tri")).alias("tri"), F.min(F.coalesce("n", F.lit(0))).alias("n")
+    ).where("n > 0").drop("n")
     keyed = rarest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     hits = index.join(keyed, ["tri", "salt"]).where(
         F.contains("norm_label", "__q") | F.contains("norm_city", "__q")
@@ -76,19 +82,29 @@ def autocomplete(queries: DataFrame, places: DataFrame, limit: int = 10, query:
     return asked.join(top, "__q").select(query, "rank", "geonameid", "label", "population")
 
 
-def place_names(places: DataFrame) -> DataFrame:
-    """(name, place) for every label, city and alternative name of three or more letters; worth storing by name."""
+def _names(places: DataFrame) -> DataFrame:
+    """:func:`place_names`, where a place may have a name several times."""
     raw = F.concat(F.array("label", "city_name"), F.split(F.coalesce("alt_names", F.lit("")), ","))
-    return places.select("geonameid", "label", "country_code", "population", F.explode(F.array_distinct(raw)).alias("raw")).select(
+    named = _spread(places.select("geonameid", "label", "city_name", "alt_names", "country_code", "population"))
+    return named.select("geonameid", "label", "country_code", "population", F.explode(F.array_distinct(raw)).alias("raw")).select(
         norm_name(F.col("raw")).alias("name"), "geonameid", "label", "country_code", "population"
-    ).where(F.length("name") >= MIN_QUERY).distinct()
+    ).where(F.length("name") >= MIN_QUERY)
+
+
+def place_names(places: DataFrame) -> DataFrame:
+    """(name, place) for every label, city and alternative name of three or more letters; worth storing by name."""
+    return _names(places).distinct()
+
+
+def _asked(queries: DataFrame, query: str) -> DataFrame:
+    """Each query once, with its search key ``__n``."""
+    return _spread(queries.select(query).distinct()).withColumn("__n", norm_name(F.col(query)))
 
 
 def _exact(queries: DataFrame, places: DataFrame, query: str, names: DataFrame | None = None) -> DataFrame:
     """Places by equal name; ``names`` is a stored :func:`place_names` of ``places``."""
-    asked = queries.select(query).distinct().withColumn("__n", norm_name(F.col(query)))
     names = place_names(places) if names is None else names
-    return asked.join(names.withColumnRenamed("name", "__n"), "__n").drop("__n")
+    return _asked(queries, query).join(names.withColumnRenamed("name", "__n"), "__n").drop("__n")
 
 
 def resolve_name_all(queries: DataFrame, places: DataFrame, query: str = "query", names: DataFrame | None = None) -> DataFrame:
@@ -99,8 +115,12 @@ def resolve_name_all(queries: DataFrame, places: DataFrame, query: str = "query"
 
 def resolve_name(queries: DataFrame, places: DataFrame, query: str = "query", names: DataFrame | None = None) -> DataFrame:
     """The most populous place with exactly that name; the first id on ties."""
+    asked = _asked(queries, query)
+    names = (_names(places) if names is None else names).withColumnRenamed("name", "__n")
     best = F.max_by(F.struct("geonameid", "label"), F.struct("population", -F.col("geonameid")))
-    return _exact(queries, places, query, names).groupBy(query).agg(best.alias("p")).select(query, "p.*")
+    # The best place of a name is found once, before queries of that name multiply its places.
+    known = names.join(asked.select("__n").distinct(), "__n", "left_semi").groupBy("__n").agg(best.alias("p"))
+    return asked.join(known, "__n").select(query, "p.*")
 
 
 def resolve_id(ids: DataFrame, places: DataFrame, row: str = "row_no") -> DataFrame:
@@ -111,8 +131,8 @@ def resolve_id(ids: DataFrame, places: DataFrame, row: str = "row_no") -> DataFr
 
 def resolve_label(labels: DataFrame, places: DataFrame, query: str = "query", row: str = "row_no") -> DataFrame:
     """Place per normalised label; the first row of a label counts."""
-    asked = labels.select(query).distinct().withColumn("n", norm_name(F.col(query))).where(F.col("n") != "")
-    first = places.withColumn("n", norm_name(F.col("label"))).groupBy("n").agg(F.min_by("geonameid", row).alias("geonameid"))
+    asked = _asked(labels, query).withColumnRenamed("__n", "n").where(F.col("n") != "")
+    first = _spread(places.select("label", "geonameid", row)).withColumn("n", norm_name(F.col("label"))).groupBy("n").agg(F.min_by("geonameid", row).alias("geonameid"))
     return asked.join(first, "n").select(query, "geonameid")
 
 
@@ -145,8 +165,16 @@ def resolve_location(queries: DataFrame, places: DataFrame, country_names: dict[
         F.struct(F.lit(0).alias("stage"), F.col("whole").alias("text")),
         F.struct(F.lit(1).alias("stage"), F.col("part").alias("text")),
     ))).where(F.col("text").isNotNull())
+    # Only the best place of a name, and its best in the named country, can be taken: at most two rows a form.
+    order = F.struct(-F.col("population"), "label", "geonameid")
+    best = F.min_by(F.struct("geonameid", "label", "country_code", "population"), order).alias("p")
+    keyed = forms.join(_asked(forms, "text"), "text")
+    lands = stable(_names(places).groupBy("name", "country_code").agg(best).select("name", "p.*"))
+    first = lands.groupBy("name").agg(best).select("name", "p.*")
+    same = (F.col("__n") == F.col("name")) & (F.col("cc") == F.col("country_code"))
+    hits = keyed.join(first, F.col("__n") == F.col("name")).unionByName(keyed.join(lands, same))
     # Checkpointed because it is read twice: as candidates and to see what is left.
-    exact = stable(forms.join(_exact(forms, places, "text"), "text").withColumn("tier", F.lit(0)).select(*cols))
+    exact = stable(hits.withColumn("tier", F.lit(0)).select(*cols))
     # Substring search runs only for what has no exact match.
     rest = forms.join(exact.select(query).distinct(), query, "left_anti")
     found = autocomplete(rest, places, 10, "text").join(places.select("geonameid", "country_code"), "geonameid")

@@ -187,3 +187,29 @@ def test_folding_costs_one_lookup_a_character(frame):
     assert got == {0: "strasse fine x 1 2 viii e12 no", 1: "ss", 2: "ss", 3: "a ss b c", 4: "plain", 5: "", 6: ""}
     plan = df._jdf.queryExecution().analyzed().toString()
     assert all(len(p.split("]", 1)[0]) < 100 for p in plan.split(", [")[1:])
+
+
+def test_a_common_name_is_not_multiplied_by_its_queries(frame, monkeypatch):
+    """Only the best place of a name, and its best in the named country, are stored for a query."""
+    rows = [(i, f"Santa, C{i % 3}", "Santa", ["AA", "BB", None][i % 3], 0.0, 0.0, None if i == 7 else i % 50, "San,San") for i in range(300)]
+    asked = [f"{stars}Santa, {land}" for stars in ("", "*", "**") for land in ("aa", "bb", "cc", "C0", "")]
+    kept, stable = [], J.stable
+    monkeypatch.setattr(J, "stable", lambda df: (kept.append(stable(df)), kept[-1])[1])
+    places = frame(PLACES, rows)
+    got = {r.query: r.geonameid for r in J.resolve_location(ask(frame, *asked), places).collect()}
+    assert max(df.count() for df in kept) <= 4 * len(asked)
+    lowest = lambda r: (r[6] is not None, -(r[6] or 0), r[1], r[0])
+    for q in asked:
+        land = q.split(",")[1].strip().upper()
+        whole = [r for r in rows if r[1].lower() == q.strip("*").lower()]
+        hits = [(r[3] != land, stage, lowest(r), r[0]) for stage, found in enumerate((whole, rows)) for r in found]
+        assert got[q] == min(hits)[-1], q
+    one = J.resolve_name(ask(frame, "san", "SAN", "Santa"), places).collect()
+    assert {r.query: r.geonameid for r in one} == {"san": 49, "SAN": 49, "Santa": 49}
+
+
+def test_names_are_normalised_by_many_tasks(spark, frame):
+    """A table that is one file is one task, which normalising must not stay in."""
+    places = frame(PLACES, [(i, f"É{i}, Land", f"É{i}", "AA", 0.0, 0.0, i, "x") for i in range(500)]).coalesce(1)
+    for named in (J.trigram_index(places), J._names(places)):
+        assert named.select(F.spark_partition_id().alias("p")).distinct().count() > 1
