@@ -15,8 +15,9 @@ component yet:
 3. components that still share a bucket meet: first by their most agreeing pair, then by the agreeing ones, then by all.
 
 Every pair that shares a key ends in one class, or in two classes after an alignment or a lossless count told it apart.
-Groups of similar texts take linear work; dissimilar components that share a bucket are compared member by member, by
-their counts, and aligned only where those leave room.
+Groups of similar texts take linear work; texts of dissimilar components that share a bucket are compared by their word
+counts (in buckets of more than ``LARGE`` only where both have one of the rare words that similar texts have in common) and
+aligned only where those leave room.
 
 Share of the pairs of texts that share a key, by word edit similarity, the edits spread evenly over 40 to 1,000 words:
 0.8 to 0.9 at 0.80, 0.9 to 0.95 at 0.82, 0.95 to 1.0 at 0.85, 1.0 from 0.9 on.  Null and blank texts are classes of their
@@ -39,7 +40,8 @@ from gridloom.llm.tokens import mix64, word_hashes
 
 WORDS, SKETCHES, PICKED, LEAST = 5, 64, 2, 0.8
 AGREE = 12  # of the SKETCHES single minima: such pairs between components are verified first, the others after them
-BLOCK, BAG = 1024, 128
+BAG, BLOCK, LARGE = 128, 1024, 256
+OFTEN, FOLD, HEAD, PAIRS = 1 << 18, 512, 64, 1 << 18  # see _meetings
 FACTORS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -233,66 +235,178 @@ def _roomy(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(shared >= LEAST * F.greatest("n_a", "n_b") - 1e-6).select("a", "b")
 
 
-def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs (a, b, agree, ca, cb) of nodes of different components that share a bucket and may be similar.
+def _words_of(batches):
+    """(node, ids, counts): the distinct words of a text, as 32-bit numbers, and how often it has each."""
+    for batch in batches:
+        ids, counts = [], []
+        for text in batch["text"]:
+            word, n = np.unique((word_hashes(text) >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            ids.append(word.view(np.int32))
+            counts.append(n.astype(np.int32))
+        yield batch.drop(columns="text").assign(ids=ids, counts=counts)
 
-    ``members``: (key, node, n_words); ``agree`` counts the equal minima.  The word counts of a pair, folded into ``BAG``
-    counters, must leave room for the similarity (an edit moves at most one word of either text, and folding only hides
-    differences, so this test loses nothing).
 
-    The members of a bucket meet block by block, so no task holds a whole large bucket.  A component of more than
-    ``BLOCK`` members there has blocks of its own, which never meet each other.
+def _rare(batches, often: np.ndarray, block: int):
+    """One row for each rare word of each text (see :func:`_meetings`) and each cell it is in.
+
+    ``often`` has, per remainder of a word's number, the texts with such a word: it orders the words, and as a word has
+    no more texts than that, it tells the words of one text, which meet nobody, and the number of blocks.
     """
-    own = F.coalesce("comp", "node").alias("comp")
-    placed = members.join(comps, "node", "left").select("key", "node", "n_words", own)
-    mixed = F.min("comp").alias("lo"), F.max("comp").alias("hi")
-    shared_keys = saved(placed.groupBy("key").agg(*mixed).where("lo < hi").select("key"))
+    columns = ("word", "i", "j", "block", "rank", "node", "comp", "n_words", "fine", "shared", "bins", "held", "head")
+    out: list[tuple] = []
+    for batch in batches:
+        for node, comp, n_words, shared, ids, counts in zip(*(batch[c] for c in ("node", "comp", "n_words", "shared", "ids", "counts")), strict=True):
+            seen = often[ids & (len(often) - 1)]
+            order = np.lexsort((ids, seen))
+            rare = order[: int(np.searchsorted(np.cumsum(counts[order]), (1 - LEAST) * n_words + 1e-6, side="right")) + 1]
+            rare = rare[seen[rare] > 1]
+            # Texts with many words are told by fewer counters, so that a row is bounded; folding only hides differences.
+            fine = len(ids) <= FOLD
+            bins = (ids.view(np.uint32) & np.uint32(0xFFFF)).astype(np.int64)
+            bins, inverse = np.unique(bins if fine else bins % FOLD, return_inverse=True)
+            held = np.bincount(inverse, weights=counts).astype(np.int32)
+            bins, head = bins.astype(np.uint16).view(np.int16), ids[rare[:HEAD]]
+            for rank, k in enumerate(rare):
+                blocks = -(-int(seen[k]) // block)
+                own = int(mix64(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(blocks)) if blocks > 1 else 0
+                out += [(ids[k], min(own, x), max(own, x), own, rank, node, comp, n_words, fine, shared, bins, held, head) for x in range(blocks)]
+                if len(out) >= 4096:
+                    yield pd.DataFrame(out, columns=columns)
+                    out = []
+    if out:
+        yield pd.DataFrame(out, columns=columns)
+
+
+def _meet(batches):
+    """Pairs (a, b) of texts of a cell (its rows come together) that differ in component and may be similar."""
+    held = None
+    for batch in batches:
+        held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        cell = held[["word", "i", "j"]].to_numpy()
+        last = int((cell == cell[-1]).all(axis=1).argmax()) if len(held) else 0  # the last cell may go on
+        if last:
+            yield from _cells(held.iloc[:last])
+            held = held.iloc[last:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield from _cells(held)
+
+
+def _cells(rows: pd.DataFrame):
+    """The pairs of :func:`_meet` in whole cells; ``PAIRS`` or one row's partners are compared at a time."""
+    cell = rows[["word", "i", "j"]].to_numpy()
+    new = np.concatenate([[True], (cell[1:] != cell[:-1]).any(axis=1)])
+    ends = np.concatenate([np.flatnonzero(new)[1:], [len(rows)]])[np.cumsum(new) - 1]
+    node, comp, n, block, rank, fine = (rows[c].to_numpy() for c in ("node", "comp", "n_words", "block", "rank", "fine"))
+    split = rows["i"].to_numpy() != rows["j"].to_numpy()
+    bins, held, heads = rows["bins"].to_list(), rows["held"].to_list(), rows["head"].to_list()
+    shared = [frozenset(keys.tolist()) for keys in rows["shared"]]
+    folded = np.zeros((len(rows), FOLD), np.int32)
+    head = np.full((len(rows), HEAD), np.iinfo(np.int64).max)
+    for k in range(len(rows)):
+        np.add.at(folded[k], bins[k].view(np.uint16) % FOLD, held[k])
+        head[k, : len(heads[k])] = heads[k]
+    later = ends - np.arange(len(rows)) - 1  # partners of a row: those behind it in its cell
+    upto = np.cumsum(later)
+    at = 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        x = np.repeat(np.arange(at, to), later[at:to])
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(later[at:to]) - later[at:to], later[at:to])
+        at = to
+        longer = np.maximum(n[x], n[y])
+        good = (comp[x] != comp[y]) & (np.minimum(n[x], n[y]) >= LEAST * longer) & (~split[x] | (block[x] != block[y]))
+        x, y, least = x[good], y[good], LEAST * longer[good] - 1e-6
+        a, b = [], []
+        for k in range(0, len(x), 4096):
+            p, q, need = x[k : k + 4096], y[k : k + 4096], least[k : k + 4096]
+            roomy = np.minimum(folded[p], folded[q]).sum(axis=1) >= need
+            p, q, need = p[roomy], q[roomy], need[roomy]
+            # Texts with an earlier rare word in common have met there.
+            column = np.arange(HEAD)
+            before = np.where(column < rank[p][:, None], head[p], -(1 << 40)), np.where(column < rank[q][:, None], head[q], 1 << 40)
+            met = np.zeros(len(p), bool)
+            for c in range(int(min(rank[p].max(initial=0), HEAD))):
+                met |= (before[0][:, c : c + 1] == before[1]).any(axis=1)
+            for u, v, m in zip(p[~met], q[~met], need[~met], strict=True):
+                if shared[u].isdisjoint(shared[v]):
+                    continue
+                if fine[u] and fine[v]:
+                    _, s, t = np.intersect1d(bins[u], bins[v], assume_unique=True, return_indices=True)
+                    if np.minimum(held[u][s], held[v][t]).sum() < m:
+                        continue
+                a.append(min(node[u], node[v]))
+                b.append(max(node[u], node[v]))
+        if a:
+            yield pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+
+def _meetings(nodes: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, comp, n_words, shared, text) that share a key, of different components, with room.
+
+    Order all words, the rarest first, and take of each text the first ones that make up more than 0.2 of it.  Two texts without a common word among these differ in the whole of the text
+    whose words end first, which is more than the similarity allows.  So texts meet at their rare words, and what very
+    many texts have in common, as a passage, brings nobody together.  Any order is right; this one counts the texts by
+    ``OFTEN`` remainders of the words' numbers.  The texts of a word that is frequent all the same meet block by block.
+    """
+    words = saved(in_tasks(nodes, _words_of, "node long, comp long, n_words long, shared array<long>, ids array<int>, counts array<int>"))
+    spot = F.explode("ids").alias("id")
+    found = words.select(spot).groupBy(F.col("id").bitwiseAND(OFTEN - 1).alias("at")).agg(F.count(F.lit(1)).alias("n")).toArrow()
+    often = np.zeros(OFTEN, np.int64)
+    often[found["at"].to_numpy()] = found["n"].to_numpy()
+    schema = ("word int, i int, j int, block int, rank int, node long, comp long, n_words long, fine boolean, "
+              "shared array<long>, bins array<smallint>, held array<int>, head array<int>")
+    rows = in_tasks(words, lambda batches: _rare(batches, often, block), schema)
+    dealt = rows.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j")
+    return in_tasks(dealt, _meet, "a long, b long").distinct()
+
+
+def _small_buckets(placed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b, agree, ca, cb) that share a bucket of ``placed`` (key, node, comp, n_words), all of bounded size."""
     # Similar texts are of one band of lengths or of neighbouring ones, so texts of very different lengths never meet.
     band = F.floor(F.log("n_words") / math.log(1.001 / LEAST))
     lower = F.explode(F.array(F.lit(False), F.lit(True))).alias("lower")
-    placed = placed.join(shared_keys, "key").select("key", "node", "comp", band.alias("band"), lower)
+    placed = placed.select("key", "node", "comp", band.alias("band"), lower)
     placed = saved(placed.select(F.xxhash64("key", F.col("band") + F.col("lower").cast("int")).alias("key"), "node", "comp", "lower"))
     # Without a text of the upper band, the lower one has met in its own.
-    mixed = saved(placed.groupBy("key").agg(*mixed, F.min("lower").alias("lower")).where("lo < hi and not lower").select("key"))
-    chosen = saved(placed.join(mixed, "key").select("key", "comp", "node").distinct())
-    parts = saved(chosen.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n")))
-    small = parts.groupBy("key").agg(F.ceil(F.sum(F.when(F.col("n") <= BLOCK, F.col("n")).otherwise(0)) / BLOCK).alias("blocks"))
-    parts = parts.join(small, "key").withColumn("large", F.col("n") > BLOCK)
-    # A block is (component, number): component null for the blocks that small components share.
-    split = F.when(F.col("large"), F.ceil(F.col("n") / BLOCK)).otherwise(F.col("blocks"))
-    dealt = saved(chosen.join(parts, ["key", "comp"]).select("key", "comp", "node", F.struct(
-        F.when(F.col("large"), F.col("comp")).alias("of"),
-        F.pmod(F.xxhash64(F.when(F.col("large"), F.col("node")).otherwise(F.col("comp"))), split).alias("number")).alias("block")))
-    # Most buckets are one block, which meets itself.
-    many = saved(dealt.groupBy("key").agg(F.min("block").alias("i"), F.max("block").alias("j")))
-    placed = dealt.join(many, "key")
-    single = placed.where("i = j").select("key", "comp", "node", "block", F.struct(F.col("block").alias("i"), F.col("block").alias("j")).alias("cell"))
-    dealt = saved(placed.where("i != j").select("key", "comp", "node", "block"))
-    blocks = dealt.select("key", "block").distinct()
-    others = blocks.select("key", F.col("block").alias("other"))
-    meet = blocks.join(others, "key").where(
-        (F.col("block.of").isNull() | F.col("other.of").isNull() | (F.col("block.of") != F.col("other.of"))))
-    cell = F.struct(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    meet = saved(meet.select("key", "block", cell.alias("cell")))
-    met = dealt.join(meet, ["key", "block"]).select("key", "comp", "node", "block", "cell").unionByName(single)
-    light = met.join(nodes.select("node", "n_words", "minima", "bag"), "node")
-    cells = saved(light.select("key", "cell", "comp", "node", "block", "n_words", "minima", "bag"))
-    left = cells.where("block = cell.i").alias("l")
-    right = cells.where("block = cell.j").alias("r")
-    agree = F.aggregate(F.zip_with("l.minima", "r.minima", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x)
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("lower").alias("lower"))
+    chosen = placed.join(saved(mixed.where("lo < hi and not lower").select("key")), "key").select("key", "comp", "node").distinct()
+    cells = saved(chosen.join(nodes.select("node", "n_words", "minima", "bag"), "node"))
+    left, right = cells.alias("l"), cells.alias("r")
     longer = F.greatest("l.n_words", "r.n_words")
     near = F.least("l.n_words", "r.n_words") >= LEAST * longer
     shared = F.aggregate(F.zip_with("l.bag", "r.bag", lambda a, b: F.least(a, b)), F.lit(0), lambda s, x: s + x)
     roomy = shared >= LEAST * longer - 1e-6
-    # In a cell of one block every pair is seen from both sides.
-    once = (F.col("l.block") != F.col("r.block")) | (F.col("l.node") < F.col("r.node"))
-    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.cell") == F.col("r.cell"))
-                    & (F.col("l.comp") != F.col("r.comp")) & once & near & roomy)
-    first = F.col("l.node") < F.col("r.node")
-    mine, other = F.struct("l.node", "l.comp"), F.struct("r.node", "r.comp")
-    pair = met.select(F.when(first, mine).otherwise(other).alias("x"), F.when(first, other).otherwise(mine).alias("y"), agree.alias("agree"))
-    return pair.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"), "agree",
-                       F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb")).distinct()
+    met = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.comp") != F.col("r.comp"))
+                    & (F.col("l.node") < F.col("r.node")) & near & roomy)
+    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b"), _agree("l.minima", "r.minima").alias("agree"),
+                      F.col("l.comp").alias("ca"), F.col("r.comp").alias("cb")).distinct()
+
+
+def _agree(a: str, b: str):
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+
+
+def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b, agree, ca, cb) of nodes of different components that share a bucket and may be similar.
+
+    ``members``: (key, node, n_words); ``agree`` counts the equal minima.  The word counts of a pair must leave room for
+    the similarity: an edit moves at most one word of either text, and folding counts only hides differences, so this
+    test loses nothing.  The members of a bucket of at most ``LARGE`` meet directly, those of larger ones by their rare
+    words (see :func:`_meetings`).
+    """
+    own = F.coalesce("comp", "node").alias("comp")
+    placed = members.join(comps, "node", "left").select("key", "node", "n_words", own)
+    mixed = saved(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where(
+        "lo < hi").select("key", (F.col("n") > LARGE).alias("large")))
+    direct = _small_buckets(placed.join(mixed.where("not large"), "key"), nodes)
+    large = placed.join(mixed.where("large"), "key").groupBy("node", "comp", "n_words").agg(F.collect_set("key").alias("shared"))
+    chosen = saved(large.join(nodes.select("node", "minima"), "node"))
+    if chosen.isEmpty():
+        return direct
+    pairs = saved(_meetings(chosen.select("node", "comp", "n_words", "shared").join(texts, "node"), BLOCK))
+    one, two = (chosen.select(F.col("node").alias(x), F.col("comp").alias(f"c{x}"), F.col("minima").alias(f"minima_{x}")) for x in "ab")
+    rare = pairs.join(one, "a").join(two, "b").select("a", "b", _agree("minima_a", "minima_b").alias("agree"), "ca", "cb")
+    return direct.union(rare).distinct()
 
 
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -336,7 +450,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return comps if found.isEmpty() else joined_components(comps, found)
 
     comps = linked(_roomy(_apart(star, comps), nodes), comps)
-    rest = saved(_across(keys, nodes, comps))
+    rest = saved(_across(keys, nodes, comps, texts))
     best = rest.groupBy(F.least("ca", "cb").alias("lo"), F.greatest("ca", "cb").alias("hi")).agg(
         F.max_by(F.struct("a", "b"), F.struct("agree", "a", "b")).alias("pair")).select("pair.a", "pair.b")
     comps = linked(best, comps)

@@ -400,6 +400,58 @@ def test_alignments_grow_with_the_group(spark, frame, monkeypatch):
     assert max(per_copy) < 1.6 and per_copy[1] < 1.2 * per_copy[0] + 0.1
 
 
+def test_rows_of_texts_with_a_common_passage_grow_with_the_texts(spark, frame, monkeypatch):
+    """Texts that share a passage and no more: the same number of stored rows a text, however many share it."""
+    most = []
+    saved = order_minhash.saved
+
+    def counted(df, *more):
+        out = saved(df, *more)
+        most.append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "saved", counted)
+    monkeypatch.setattr(order_minhash, "BLOCK", 16)
+    monkeypatch.setattr(order_minhash, "LARGE", 16, raising=False)
+    per_text = []
+    for n in (60, 240):
+        rng, most[:] = random.Random(n), []
+        passage = words_of(rng, 60, 3000)
+        rows = [(i, f"{words_of(rng, 30, 30000)} {passage} {words_of(rng, 30, 30000)}") for i in range(n)]
+        got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame("doc_id long, text string", rows)).collect()}
+        assert got == {i: i for i in range(n)}
+        per_text.append(max(most) / n)
+    assert per_text[1] < 1.3 * per_text[0]
+
+
+def test_near_duplicates_in_small_blocks(spark, frame, monkeypatch):
+    """Texts of frequent words only, which meet block by block, and texts of more words than a row holds."""
+    rng = random.Random(13)
+    base, long = [f"t{i}" for i in range(60)], words_of(rng, 1500, 30000).split()
+    texts = [" ".join(edited(rng, base, rng.randrange(1, 13))) for _ in range(120)]
+    texts += [" ".join(long[:700] + edited(rng, long[700:], rng.randrange(150, 400))) for _ in range(20)]
+    texts += [" ".join(rng.sample(base[:12], 1) * rng.randrange(40, 60)) for _ in range(30)]
+    docs = frame(DOCS, [(i, t, None, "s", 1) for i, t in enumerate(texts)])
+    keys = [set(order_minhash.sketch(word_hashes(t))[0].tolist()) for t in texts]
+    up = list(range(len(texts)))
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and order_minhash.edit_similar(texts[i], texts[j]):
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    for block in (16, 1024):
+        monkeypatch.setattr(order_minhash, "BLOCK", block)
+        monkeypatch.setattr(order_minhash, "LARGE", 16, raising=False)
+        got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(docs).collect()}
+        assert got == {i: top(i) for i in range(len(texts))}
+
+
 def test_near_duplicates_of_repeated_rows(spark, frame):
     df = frame("doc_id long, text string", [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f"), (2, "x y z u v w"), (None, "x y z u v w"), (None, None)])
     rows = [tuple(r) for r in order_minhash.near_duplicates(df).select("doc_id", "class_id").collect()]
