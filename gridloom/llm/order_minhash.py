@@ -16,7 +16,7 @@ component yet:
 
 Every pair that shares a key ends in one class, or in two classes after an alignment or a lossless count told it apart.
 Groups of similar texts take linear work; texts of dissimilar components that share a bucket are compared by their word
-counts (in buckets of more than ``LARGE`` only where both have one of the rare words that similar texts have in common) and
+counts (in buckets of more than ``LARGE`` only where both have one of the rare word pairs that similar texts have in common) and
 aligned only where those leave room.
 
 Share of the pairs of texts that share a key, by word edit similarity, the edits spread evenly over 40 to 1,000 words:
@@ -40,8 +40,8 @@ from gridloom.llm.tokens import mix64, word_hashes
 
 WORDS, SKETCHES, PICKED, LEAST = 5, 64, 2, 0.8
 AGREE = 12  # of the SKETCHES single minima: such pairs between components are verified first, the others after them
-BAG, BLOCK, LARGE = 128, 1024, 256
-OFTEN, FOLD, HEAD, PAIRS = 1 << 18, 512, 64, 1 << 18  # see _meetings
+BAG, BLOCK, LARGE = 128, 512, 16
+FOLD, HEAD, PAIRS = 512, 64, 1 << 18  # see _meetings
 FACTORS = mix64(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -235,42 +235,53 @@ def _roomy(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(shared >= LEAST * F.greatest("n_a", "n_b") - 1e-6).select("a", "b")
 
 
+def pairs_of_words(words: np.ndarray) -> np.ndarray:
+    """32-bit numbers of the pairs of neighbouring words (of one word: of that word)."""
+    both = words[:-1] * np.uint64(0x2545F4914F6CDD1D) + words[1:] if len(words) > 1 else words
+    return (mix64(both) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
 def _words_of(batches):
-    """(node, ids, counts): the distinct words of a text, as 32-bit numbers, and how often it has each."""
+    """The distinct word pairs of a text, how often it has each, and its words folded into counters."""
     for batch in batches:
-        ids, counts = [], []
+        ids, counts, fine, bins, held = [], [], [], [], []
         for text in batch["text"]:
-            word, n = np.unique((word_hashes(text) >> np.uint64(32)).astype(np.uint32), return_counts=True)
-            ids.append(word.view(np.int32))
+            words = word_hashes(text)
+            pair, n = np.unique(pairs_of_words(words), return_counts=True)
+            ids.append(pair)
             counts.append(n.astype(np.int32))
-        yield batch.drop(columns="text").assign(ids=ids, counts=counts)
-
+            word, n = np.unique((words >> np.uint64(32)).astype(np.uint32), return_counts=True)
+            # Texts with many words are told by fewer counters, so that a row is bounded; folding only hides differences.
+            fine.append(len(word) <= FOLD)
+            spots = (word & np.uint32(0xFFFF)).astype(np.int64)
+            spots, inverse = np.unique(spots if fine[-1] else spots % FOLD, return_inverse=True)
+            held.append(np.bincount(inverse, weights=n).astype(np.int32))
+            bins.append(spots.astype(np.uint16).view(np.int16))
+        yield batch.drop(columns="text").assign(ids=ids, counts=counts, fine=fine, bins=bins, held=held)
 
-def _rare(batches, often: np.ndarray, block: int):
-    """One row for each rare word of each text (see :func:`_meetings`) and each cell it is in.
 
-    ``often`` has, per remainder of a word's number, the texts with such a word: it orders the words, and as a word has
-    no more texts than that, it tells the words of one text, which meet nobody, and the number of blocks.
-    """
+def _rare(batches, block: int):
+    """One row for each rare word pair of each text (see :func:`_meetings`) and each cell it is in."""
     columns = ("word", "i", "j", "block", "rank", "node", "comp", "n_words", "fine", "shared", "bins", "held", "head")
     out: list[tuple] = []
     for batch in batches:
-        for node, comp, n_words, shared, ids, counts in zip(*(batch[c] for c in ("node", "comp", "n_words", "shared", "ids", "counts")), strict=True):
-            seen = often[ids & (len(often) - 1)]
-            order = np.lexsort((ids, seen))
-            rare = order[: int(np.searchsorted(np.cumsum(counts[order]), (1 - LEAST) * n_words + 1e-6, side="right")) + 1]
-            rare = rare[seen[rare] > 1]
-            # Texts with many words are told by fewer counters, so that a row is bounded; folding only hides differences.
-            fine = len(ids) <= FOLD
-            bins = (ids.view(np.uint32) & np.uint32(0xFFFF)).astype(np.int64)
-            bins, inverse = np.unique(bins if fine else bins % FOLD, return_inverse=True)
-            held = np.bincount(inverse, weights=counts).astype(np.int32)
-            bins, head = bins.astype(np.uint16).view(np.int16), ids[rare[:HEAD]]
-            for rank, k in enumerate(rare):
-                blocks = -(-int(seen[k]) // block)
+        names = ("node", "comp", "n_words", "shared", "fine", "bins", "held", "met")
+        for node, comp, n_words, shared, fine, bins, held, met in zip(*(batch[c] for c in names), strict=True):
+            met = sorted((m["n"], m["id"], m["often"]) for m in met)
+            # The pairs of one component come first, and meet nobody.
+            weight = max(n_words - 1, 1) - sum(m[2] for m in met)
+            most, rare = 2 * (1 - LEAST) * n_words + 1e-6, []
+            for seen, pair, often in met:
+                if weight > most:
+                    break
+                rare.append((seen, pair))
+                weight += often
+            head = np.array([pair for _, pair in rare[:HEAD]], np.int32)
+            for rank, (seen, pair) in enumerate(rare):
+                blocks = -(-seen // block)
                 own = int(mix64(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(blocks)) if blocks > 1 else 0
-                out += [(ids[k], min(own, x), max(own, x), own, rank, node, comp, n_words, fine, shared, bins, held, head) for x in range(blocks)]
-                if len(out) >= 4096:
+                out += [(pair, min(own, x), max(own, x), own, rank, node, comp, n_words, fine, shared, bins, held, head) for x in range(blocks)]
+                if len(out) >= 1024:
                     yield pd.DataFrame(out, columns=columns)
                     out = []
     if out:
@@ -343,19 +354,24 @@ def _cells(rows: pd.DataFrame):
 def _meetings(nodes: DataFrame, block: int) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, comp, n_words, shared, text) that share a key, of different components, with room.
 
-    Order all words, the rarest first, and take of each text the first ones that make up more than 0.2 of it.  Two texts without a common word among these differ in the whole of the text
-    whose words end first, which is more than the similarity allows.  So texts meet at their rare words, and what very
-    many texts have in common, as a passage, brings nobody together.  Any order is right; this one counts the texts by
-    ``OFTEN`` remainders of the words' numbers.  The texts of a word that is frequent all the same meet block by block.
+    An edit costs a text at most two of its pairs of neighbouring words, so similar texts of n words each share all but 0.4 n
+    of these.  Order all pairs, and take of each text the first ones that make up more than that.  Two texts without a common
+    pair among these differ in the whole of the text whose pairs end first, which is more than the similarity allows.  So
+    texts meet at their rare word pairs, and what very many texts have in common, as a passage, brings nobody together.  Any
+    order is right; in this one the pairs of a single component, which need no row, are first, the others by their number of
+    texts.  The texts of a pair that is frequent all the same meet block by block.
     """
-    words = saved(in_tasks(nodes, _words_of, "node long, comp long, n_words long, shared array<long>, ids array<int>, counts array<int>"))
-    spot = F.explode("ids").alias("id")
-    found = words.select(spot).groupBy(F.col("id").bitwiseAND(OFTEN - 1).alias("at")).agg(F.count(F.lit(1)).alias("n")).toArrow()
-    often = np.zeros(OFTEN, np.int64)
-    often[found["at"].to_numpy()] = found["n"].to_numpy()
+    words = saved(in_tasks(nodes, _words_of, "node long, comp long, n_words long, shared array<long>, ids array<int>, "
+                                             "counts array<int>, fine boolean, bins array<smallint>, held array<int>"))
+    spots = words.select("node", "comp", F.explode(F.arrays_zip(F.col("ids").alias("id"), F.col("counts").alias("often"))).alias("x"))
+    spots = spots.select("node", "comp", "x.id", "x.often")
+    seen = spots.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    common = saved(seen.where("lo < hi").select(F.col("id").alias("__id"), "n"))
+    met = spots.drop("comp").join(common, F.col("id") == F.col("__id")).groupBy("node").agg(
+        F.collect_list(F.struct("n", "id", "often")).alias("met"))
     schema = ("word int, i int, j int, block int, rank int, node long, comp long, n_words long, fine boolean, "
               "shared array<long>, bins array<smallint>, held array<int>, head array<int>")
-    rows = in_tasks(words, lambda batches: _rare(batches, often, block), schema)
+    rows = in_tasks(words.drop("ids", "counts").join(met, "node"), lambda batches: _rare(batches, block), schema)
     dealt = rows.repartition("word", "i", "j").sortWithinPartitions("word", "i", "j")
     return in_tasks(dealt, _meet, "a long, b long").distinct()
 
@@ -395,11 +411,12 @@ def _across(members: DataFrame, nodes: DataFrame, comps: DataFrame, texts: DataF
     words (see :func:`_meetings`).
     """
     own = F.coalesce("comp", "node").alias("comp")
-    placed = members.join(comps, "node", "left").select("key", "node", "n_words", own)
+    placed = saved(members.join(comps, "node", "left").select("key", "node", "n_words", own))
     mixed = saved(placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).where(
-        "lo < hi").select("key", (F.col("n") > LARGE).alias("large")))
-    direct = _small_buckets(placed.join(mixed.where("not large"), "key"), nodes)
-    large = placed.join(mixed.where("large"), "key").groupBy("node", "comp", "n_words").agg(F.collect_set("key").alias("shared"))
+        "lo < hi").select(F.col("key").alias("__key"), (F.col("n") > LARGE).alias("large")))
+    placed = saved(placed.join(mixed, F.col("key") == F.col("__key")).drop("__key"))
+    direct = _small_buckets(placed.where("not large").drop("large"), nodes)
+    large = placed.where("large").groupBy("node", "comp", "n_words").agg(F.collect_set("key").alias("shared"))
     chosen = saved(large.join(nodes.select("node", "minima"), "node"))
     if chosen.isEmpty():
         return direct
@@ -426,20 +443,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     id_type = light.schema["doc_id"].dataType.simpleString()
     rows = saved(in_tasks(
         light, _sketches, f"doc_id {id_type}, h long, node long, n_words long, keys array<long>, minima array<smallint>, bag array<int>"))
-    groups = saved(rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.min("n_words").alias("n_words")))
     # One row per node speaks for it; equal nodes have equal sketches.
-    speaker = rows.join(groups.select("node", F.col("first_id")), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")))
-    nodes = saved(speaker.select("node", "doc_id", "n_words", "keys", "minima", "bag").dropDuplicates(["node"]))
+    first = F.min_by(F.struct("doc_id", "n_words", "keys", "minima", "bag"), F.struct(F.col("doc_id").isNull(), "doc_id"))
+    nodes = saved(rows.where("node is not null").groupBy("node").agg(first.alias("first")).select("node", "first.*"))
     keyed = nodes.select("node", "n_words", F.explode("keys").alias("key"))
     full = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("key", "__key")
     members = saved(keyed.join(full, F.col("key") == F.col("__key")).select("key", "node", "n_words", "n"))
-    shared = members.select("node").distinct()
-    wanted = saved(nodes.join(shared, "node").select("node", "doc_id"))
+    shared = saved(members.select("node").distinct())
+    wanted = saved(nodes.select("node", "doc_id").join(shared, "node").select("doc_id"))
     likely = marked(light.drop("h"), "doc_id", wanted, "doc_id").where("__marked")
-    fetched = likely.join(wanted.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).select("node", "text")
-    known = in_tasks(fetched.where(F.col("text").isNotNull()), _of_node, "node long, text string")
-    texts = saved(known.dropDuplicates(["node"]))
+    known = in_tasks(likely.where(F.col("text").isNotNull()).select("text"), _with_node, "node long, text string")
+    texts = saved(known.join(shared, "node", "left_semi").dropDuplicates(["node"]))
     star = _stars(members)
     nearest = star.groupBy("b").agg(F.max_by("a", F.struct("shared", "degree", "a")).alias("a")).select("a", "b")
     comps = components(_verified(saved(nearest), texts))
@@ -456,7 +470,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     comps = linked(best, comps)
     comps = linked(_apart(rest.where(F.col("agree") >= AGREE), comps), comps)
     comps = linked(_apart(rest.where(F.col("agree") < AGREE), comps), comps)
-    named = saved(groups.join(comps, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp")))
+    named = saved(nodes.select("node", F.col("doc_id").alias("first_id")).join(comps, "node", "left").select("node", "first_id", F.coalesce("comp", "node").alias("comp")))
     classes = saved(named.groupBy("comp").agg(F.min("first_id").alias("class_id")))
     named = named.join(classes, "comp").select("node", "comp", "class_id")
     out = rows.select("doc_id", "h", "node").join(named, "node", "left")
@@ -464,14 +478,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     return out.select("doc_id", "h", "node", "comp", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _of_node(batches):
-    """Keep the texts that are their node's: an id may stand for several texts."""
+def _with_node(batches):
+    """(node, text) of all texts with a word."""
     for batch in batches:
-        good = []
-        for node, text in zip(batch["node"], batch["text"], strict=True):
-            words = word_hashes(text)
-            good.append(len(words) > 0 and node_id(words) == node)
-        yield batch.loc[good, ["node", "text"]]
+        hashed = [word_hashes(text) for text in batch["text"]]
+        good = np.array([len(words) > 0 for words in hashed], bool)
+        yield batch[good].assign(node=np.array([node_id(words) for words in hashed if len(words)], np.int64))[["node", "text"]]
 
 
 def survivors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

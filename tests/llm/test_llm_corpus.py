@@ -424,6 +424,26 @@ def test_rows_of_texts_with_a_common_passage_grow_with_the_texts(spark, frame, m
     assert per_text[1] < 1.3 * per_text[0]
 
 
+def test_texts_of_one_vocabulary_meet_at_their_rare_word_pairs(spark, frame, monkeypatch):
+    """Texts that share a passage and most words: hardly a row a text, as their other word pairs differ."""
+    made = []
+    in_tasks = order_minhash.in_tasks
+
+    def counted(df, fn, schema):
+        out = in_tasks(df, fn, schema)
+        if schema.startswith("word int"):
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(order_minhash, "in_tasks", counted)
+    rng = random.Random(21)
+    passage = words_of(rng, 60, 1000)
+    rows = [(i, f"{words_of(rng, 30, 1000)} {passage} {words_of(rng, 30, 1000)}") for i in range(300)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_duplicates(frame("doc_id long, text string", rows)).collect()}
+    assert got == {i: i for i in range(300)}
+    assert len(made) == 1 and made[0] < 3 * 300
+
+
 def test_near_duplicates_in_small_blocks(spark, frame, monkeypatch):
     """Texts of frequent words only, which meet block by block, and texts of more words than a row holds."""
     rng = random.Random(13)
